@@ -14,17 +14,23 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Parts remembered by a worker, at about 220 bytes each.
-MEMORY = 1_000_000
+#: Parts remembered by a worker, at about 220 bytes each; parts longer than this many characters seldom return.
+MEMORY = 800_000
+LONGEST = 24
 #: Unknown parts that the library encodes in one call.
-TOGETHER = 500
-#: White space in runs or of other kinds, and all beyond Latin letters, is left to the library.
-_ODD = re.compile(r"[^\S \n]|[ \n]{2}|[^\x00-ɏ‐-‧]")
+TOGETHER = 100
+#: White space of other kinds, and all beyond Latin letters and common punctuation, is left to the library. Texts
+#: without these bytes need no closer look: other ASCII space, U+0080-00BF, and lead bytes from U+0280 on.
+_ODD = re.compile(r"[^\S \n]|[^\x00-ɏ‐-‧]")
+_ODD_BYTES = bytes([*range(9, 10), *range(11, 14), *range(28, 32), 0xC2, *range(0xCA, 0x100)])
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as bytes of little-endian unsigned 32-bit integers."""
+    """encode(texts) gives each text's ids as an array of little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,59 +38,72 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        splitter = str(self.tokenizer.pre_tokenizer)
+        self.cuts = "ByteLevel" in splitter and "add_prefix_space=False" in splitter and self.tokenizer.normalizer is None
+        self.memory: dict[str, bytes] = {}
         self.feed = self._ids(["\n"])[0]
-        self.cuts = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and "add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        whole, cut = [], []
-        for i, text in enumerate(texts):
-            odd = not self.cuts or _ODD.search(text) or any(s in text for s in self.special)
-            (whole if odd else cut).append(i)
+    def _whole(self, text: str) -> bool:
+        """Whether the text must be encoded as a whole."""
+        if not self.cuts or text[:1] in " \n" or text[-1:] in " \n" or any(r in text for r in _RUNS) or any(s in text for s in self.special):
+            return True
+        raw = text.encode()
+        return len(raw.translate(None, _ODD_BYTES)) < len(raw) and _ODD.search(text) is not None
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, text in enumerate(texts) if self._whole(text)]
+        cut = sorted(set(range(len(texts))).difference(whole))
+        out = [self.feed] * len(texts)
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        lines = {i: [line.split(" ") for line in texts[i].split("\n")] for i in cut}
-        first, later = self._known(lines.values())
-        for i, parts in lines.items():
-            out[i] = self.feed.join([first[words[0]] + b"".join(map(later.__getitem__, words[1:])) for words in parts])
+        for i, ids in zip(cut, self._cut([texts[i] for i in cut]), strict=True):
+            out[i] = ids
         return out
 
-    def _known(self, documents) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Parts to ids, for all parts of these documents: at a line's start, and after a space."""
-        starts: set[str] = set()
-        rest: set[str] = set()
-        for parts in documents:
-            for words in parts:
-                starts.add(words[0])
-                rest.update(words[1:])
-        found = []
-        for known, words, lead in ((self.first, starts, ""), (self.later, rest, " ")):
-            new = [w for w in words if w not in known]
-            ids = dict(zip(new, self._parts(new, lead), strict=True))
-            if len(self.first) + len(self.later) + len(ids) <= MEMORY:
-                known.update(ids)
-                found.append(known)
-            else:
-                found.append({w: known[w] for w in words if w in known} | ids)
-        return found[0], found[1]
-
-    def _parts(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of lead + word: many words a call, with line feeds between, which are tokens of their own."""
-        if "" in words:
-            i = words.index("")
-            return [*self._parts(words[:i], lead), *self._ids([lead]), *self._parts(words[i + 1 :], lead)]
+    def _cut(self, texts: list[str]) -> list[np.ndarray]:
+        """Arrow cuts and numbers the parts: a word after a space, or a line feed and the word after it. Python sees
+        each distinct part once. The line feed put before each text, one token, is dropped again."""
+        if not texts:
+            return []
+        marked = pc.binary_join_element_wise("\n", pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), "")
+        lists = pc.split_pattern(marked, " ")
+        numbered = lists.flatten().dictionary_encode()
+        ids = self._known(numbered.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        part = numbered.indices.to_numpy()
+        n = size[part]
+        ends = np.cumsum(n)
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        at = np.repeat((first[part] - (ends - n)).astype(kind), n)
+        at += np.arange(len(at), dtype=kind)
+        flat = pool[at]
+        bounds = np.concatenate(([0], ends))[lists.offsets.to_numpy()].tolist()
+        return [flat[a + 1 : b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        ids = list(map(self.memory.get, parts))
+        holes = [i for i, x in enumerate(ids) if x is None]
+        feed = self.feed.tobytes()
+        for fed in (False, True):
+            at = [i for i in holes if (parts[i][0] == "\n") == fed]
+            found = self._parts([parts[i][1:] if fed else f" {parts[i]}" for i in at])
+            for i, x in zip(at, found, strict=True):
+                ids[i] = feed + x if fed else x
+        if len(self.memory) + len(holes) <= MEMORY:
+            self.memory.update((parts[i], ids[i]) for i in holes if len(parts[i]) <= LONGEST)
+        return ids
+
+    def _parts(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: many a call, with line feeds between, which are tokens of their own."""
         out: list[bytes] = []
-        (mark,) = np.frombuffer(self.feed, "<u4")
         for i in range(0, len(words), TOGETHER):
-            ids = np.frombuffer(self._ids(["\n".join([lead + w for w in words[i : i + TOGETHER]])])[0], "<u4")
-            ends = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
+            ids = self._ids(["\n".join(words[i : i + TOGETHER])])[0]
             raw, start = ids.tobytes(), 0
-            for end in ends:
+            for end in [*np.flatnonzero(ids == self.feed[0]).tolist(), len(ids)]:
                 out.append(raw[4 * start : 4 * end])
                 start = end + 1
         return out
@@ -100,7 +119,7 @@ def encoder(tokenizer_file: str) -> Encoder:
     return _ENCODERS[tokenizer_file]
 
 
-def batches_of(texts: list[str], most_chars: int = 4_000_000):
+def batches_of(texts: list[str], most_chars: int = 8_000_000):
     """Runs of indices with at most most_chars characters (one text at least)."""
     start, total = 0, 0
     for i, text in enumerate(texts):

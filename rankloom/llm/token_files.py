@@ -53,10 +53,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, r
             doc_ids, text = batch.column(0), batch.column(1).to_pylist()
             for a, b in batches_of(text):
                 ids = of.encode(text[a:b])
-                n = np.fromiter((len(x) // 4 + 1 for x in ids), np.int64, b - a)
+                n = np.fromiter(map(len, ids), np.int64, b - a) + 1
                 ends = np.cumsum(n)
-                end = np.asarray([end_id], "<u4").tobytes()
-                flat = np.frombuffer(end.join(ids) + end, "<i4")
+                end = np.asarray([end_id], "<u4")
+                flat = np.concatenate([x for document in ids for x in (document, end)]).view("<i4")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.array(start + ends - n), pa.array(n), lists], ["doc_id", "local_start", "n_tokens", "ids"])
                 start += int(ends[-1])

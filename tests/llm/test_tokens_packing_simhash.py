@@ -32,7 +32,9 @@ def library():
 def test_encoder_equals_library(library):
     texts = [t or "" for t in AWKWARD]
     want = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert Encoder(tokenizer_file()).encode(texts) == want
+    encoder = Encoder(tokenizer_file())
+    for _ in range(2):
+        assert [x.tobytes() for x in encoder.encode(texts)] == want
 
 
 def expected_tokens(rows, library, end):
