@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_classifier, quality_rules, sharding, simhash, token_files
+from . import language_model, mixing, packing, quality_classifier, quality_rules, sharding, simhash, token_files
 from .common import load, shared_path
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(load(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -51,6 +55,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_token_files": op3_token_files,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_packing": op5_packing,
