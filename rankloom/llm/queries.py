@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, mixing, packing, quality_classifier, quality_rules, sharding, simhash, token_files
+from . import language_model, mixing, packing, quality_classifier, quality_rules, sharding, simhash, token_files, vector_search
 from .common import load, shared_path
 
 
@@ -49,6 +49,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(load(spark, sf_dir, "embeddings"), is_query="id % 50 = 0")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -61,9 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_vector_search": op8_vector_search,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE_SQL,
+    "op8_vector_search": vector_search.ORACLE_SQL,
 }
