@@ -7,8 +7,8 @@ proportion of the classes. A labelled fold that neither view trains on calibrate
 the two calibrated views against each other and sets the cutoff: one half, or less if that would turn away more than
 the share MOST_LOST of the fold's good documents. A good document is one labelled quality 1.
 
-Fitting uses a bounded sample: at most LABELLED labelled and POOL unlabelled documents, those with the smallest hash
-of their doc_id; of these only sparse features reach the driver. Every document is scored, on its whole text.
+Fitting uses a bounded sample: about LABELLED labelled and at most POOL unlabelled documents, chosen by a hash of their
+doc_id; of these only sparse features reach the driver. Every document is scored, on its whole text.
 
 Defined cases: a null or empty text has no words and is judged by its layout; null lang or source are values of
 their own, and absent columns count as null; labels that are null or of unknown documents are not used; a document
@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import hash_sample
+
 LABELLED = 4000
 POOL = 4000
 ROUNDS = 4
@@ -207,11 +209,12 @@ def _column(docs: DataFrame, name: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
     good = F.min((F.col("quality") == 1).cast("int"))
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(good.alias("label"))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit("labelled")), "doc_id").limit(labelled)
-    known = [tuple(r) for r in known.collect()]
-    more = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(labelled + pool)
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = [tuple(r) for r in hash_sample(known, "doc_id", labelled, known.count()).collect()]
+    named = docs.filter("doc_id IS NOT NULL").select("doc_id")
     ids = {i for i, _ in known}
-    sample = known + [(i, -1) for (i,) in more.collect() if i not in ids][:pool]
+    more = {i for (i,) in hash_sample(named, "doc_id", labelled + pool, named.count()).collect()} - ids
+    sample = known + [(i, -1) for i in sorted(more, key=lambda i: zlib.crc32(f"pool {i}".encode()))[:pool]]
     if not sample:
         return None
     chosen = docs.sparkSession.createDataFrame(sample, "doc_id long, label int")
