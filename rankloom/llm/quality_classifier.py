@@ -40,7 +40,8 @@ TEXT_BITS = 16
 META_SIZE = 1024
 REMEMBERED = 200_000
 SYMBOLS = "#*$%&|<>"
-FEATURES = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in (("text_ids", T.IntegerType()), ("text_values", T.FloatType()), ("meta_ids", T.IntegerType()))])
+#: Little-endian 32-bit integers, floats and integers.
+FEATURES = T.StructType([T.StructField(n, T.BinaryType()) for n in ("text_ids", "text_values", "meta_ids")])
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("text_score", "meta_score", "score")])
 
 
@@ -97,7 +98,7 @@ def features(text: Column, lang: Column, source: Column) -> Column:
         for t, la, so in zip(texts, langs, sources, strict=True):
             words = (t or "").encode().lower().split()
             ids, values = text_features(words)
-            rows.append((ids.astype(np.int32), values.astype(np.float32), meta_features(t or "", words, la, so).astype(np.int32)))
+            rows.append((ids.astype("<i4").tobytes(), values.astype("<f4").tobytes(), meta_features(t or "", words, la, so).astype("<i4").tobytes()))
         return pd.DataFrame(rows, columns=["text_ids", "text_values", "meta_ids"])
 
     return view_features(text, lang, source)
@@ -116,7 +117,7 @@ class View:
     @classmethod
     def of(cls, ids: list, values: list, size: int) -> View:
         bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
-        return cls(np.concatenate(ids).astype(np.int64), np.concatenate(values).astype(np.float64), bounds, size)
+        return cls(np.concatenate(ids), np.concatenate(values), bounds, size)
 
     def logits(self) -> np.ndarray:
         sums = np.concatenate(([0.0], np.cumsum(self.weights[self.ids] * self.values)))
@@ -126,7 +127,7 @@ class View:
         """Full-batch logistic regression with adaptive steps; both classes weigh the same."""
         take = np.concatenate([np.arange(self.bounds[r], self.bounds[r + 1]) for r in rows])
         ids, values = self.ids[take], self.values[take]
-        owner = np.repeat(np.arange(len(rows)), self.bounds[rows + 1] - self.bounds[rows])
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), self.bounds[rows + 1] - self.bounds[rows])
         share = labels.mean()
         weight = np.where(labels == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(rows)
         w, seen = np.zeros(self.size + 1), np.full(self.size + 1, 1e-8)
@@ -220,11 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     chosen = docs.sparkSession.createDataFrame(sample, "doc_id long, label int")
     rows = docs.select("doc_id", "text", _column(docs, "lang").alias("lang"), _column(docs, "source").alias("source")).join(F.broadcast(chosen), "doc_id")
     rows = rows.limit(2 * (labelled + pool)).select("doc_id", "label", features(F.col("text"), F.col("lang"), F.col("source")).alias("f"))
-    table = rows.select("doc_id", "label", "f.*").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    text = View.of(list(table["text_ids"]), list(table["text_values"]), 1 << TEXT_BITS)
-    meta = View.of(list(table["meta_ids"]), [np.ones(len(x)) for x in table["meta_ids"]], META_SIZE)
-    fold = np.asarray([zlib.crc32(str(i).encode()) % FOLD == 0 for i in table["doc_id"]])
-    return co_train(text, meta, table["label"].to_numpy(), fold)
+    found = {r[0]: r for r in rows.select("doc_id", "label", "f.*").collect()}
+    table = [found[i] for i in sorted(found)]
+    text = View.of([np.frombuffer(r[2], "<i4") for r in table], [np.frombuffer(r[3], "<f4") for r in table], 1 << TEXT_BITS)
+    meta = View.of([np.frombuffer(r[4], "<i4") for r in table], [np.ones(len(r[4]) // 4, "<f4") for r in table], META_SIZE)
+    fold = np.asarray([zlib.crc32(str(i).encode()) % FOLD == 0 for i in sorted(found)])
+    return co_train(text, meta, np.asarray([r[1] for r in table]), fold)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
