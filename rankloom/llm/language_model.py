@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialize
+from .common import hash_sample, materialize
 
 STATES = 8
 CLASSES = 8192
@@ -43,7 +43,7 @@ WARM_DOCS = 1000
 WARM_ROUNDS = 20
 SEGMENT = 256
 BATCH_TOKENS = 500_000
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 10 << 20
 PRIOR = 100.0
 SCHEMA = "kind int, block bigint, doc_id bigint, held_out boolean, ids binary, classes binary, word binary, number int, class int, train_count bigint"
 OUTPUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -236,7 +236,7 @@ def baum_welch(train: DataFrame, model: Hmm, frequency: np.ndarray) -> Hmm:
 def fit(documents: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS) -> Hmm:
     """documents(doc_id, held_out, classes) of all blocks; frequency: the classes' shares of the training tokens."""
     train = documents.filter("NOT held_out").select("doc_id", "classes")
-    warm = [np.frombuffer(r[0], np.uint16) for r in train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS).select("classes").collect()]
+    warm = [np.frombuffer(r[0], np.uint16) for r in hash_sample(train, "doc_id", WARM_DOCS, train.count()).select("classes").collect()]
     model = Hmm.first(frequency)
     for _ in range(WARM_ROUNDS if warm else 0):
         model = Hmm.of_counts(*expected_counts(model, warm), frequency)
