@@ -90,23 +90,23 @@ def _holds(text: Column, some: list[str]) -> Column:
     return F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(some)})(?![a-z0-9])")
 
 
-def _lookup(values: dict[str, float], word: Column, default: float) -> Column:
-    return F.coalesce(F.create_map(*[x for w, v in values.items() for x in (F.lit(w), F.lit(v))])[word], F.lit(default))
-
-
 def cosines(files: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """__path, __text, line, license, cosine for whole texts (line -1) and lines that could reach least."""
+    """__path, __text, line, license, cosine for whole texts (line -1) and lines that could reach least. The templates'
+    words, a bounded parameter, are broadcast."""
     some = weights.needed(least)
     texts = files.filter("text IS NOT NULL").filter(_holds(F.col("text"), some)).select("__path", F.xxhash64("text").alias("__text"), "text")
     lines = texts.select("__path", "__text", F.posexplode(F.split("text", "\n")).alias("line", "part")).filter(_holds(F.col("part"), some))
     parts = lines.unionByName(texts.select("__path", "__text", F.lit(-1).alias("line"), F.col("text").alias("part")))
-    terms = parts.select("__path", "__text", "line", F.explode(_words(F.col("part"))).alias("word")).groupBy("__path", "__text", "line", "word").agg(F.count("*").alias("tf"))
-    weighted = terms.withColumn("w", F.col("tf") * _lookup(weights.idf, F.col("word"), weights.other))
-    names = list(weights.templates)
-    dots = [F.sum(F.col("w") * _lookup(weights.templates[n], F.col("word"), 0.0)).alias(f"dot_{i}") for i, n in enumerate(names)]
-    sums = weighted.groupBy("__path", "__text", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
-    scores = F.array(*[F.struct(F.round(F.col(f"dot_{i}") / F.col("norm"), 9).alias("cosine"), F.lit(n).alias("license")) for i, n in enumerate(names)])
-    return sums.select("__path", "__text", "line", F.explode(scores).alias("s")).select("__path", "__text", "line", "s.license", "s.cosine")
+    key = ["__path", "__text", "line"]
+    terms = parts.select(*key, F.explode(_words(F.col("part"))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("tf"))
+    spark = files.sparkSession
+    idf = spark.createDataFrame(sorted(weights.idf.items()), "word string, idf double")
+    entries = [(w, n, x) for n, weight in weights.templates.items() for w, x in weight.items()]
+    templates = spark.createDataFrame(entries, "word string, license string, x double")
+    weighted = materialize(terms.join(F.broadcast(idf), "word", "left").select(*key, "word", (F.col("tf") * F.coalesce("idf", F.lit(weights.other))).alias("w")), "license-terms")
+    norms = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighted.join(F.broadcast(templates), "word").groupBy(*key, "license").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    return dots.join(norms, key).select(*key, "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
 
 
 def _best(cosine: str = "cosine") -> Column:
@@ -135,7 +135,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, line_cosine: f
     weights = Weights(*document_frequencies(files, templates), templates)
     near = materialize(cosines(keyed, weights, min(line_cosine, file_cosine)).filter(F.col("cosine") >= min(line_cosine, file_cosine)), "license-cosines")
     declared = near.filter((F.col("line") >= 0) & (F.col("cosine") >= line_cosine)).groupBy("__path", "__text").agg(_best().alias("b"))
-    declared = declared.select("__path", "__text", F.col("b.license").alias("declared"), (-F.col("b.less")).alias("cosine"))
+    declared = materialize(declared.select("__path", "__text", F.col("b.license").alias("declared"), (-F.col("b.less")).alias("cosine")), "license-declared")
     named = F.substring("__path", 3, 1 << 30).rlike(NAMED)
     is_file = ((F.col("line") < 0) & (F.col("cosine") >= file_cosine)) | (named & (F.col("line") >= 0) & (F.col("cosine") >= line_cosine))
     sources = near.filter(is_file & F.col("__path").startswith("v:")).withColumn("p", F.substring("__path", 3, 1 << 30))
