@@ -85,7 +85,7 @@ def features(candidates: DataFrame, adapters: tuple[Adapter, ...] = (keyword_ada
     return rows.withColumns(more).drop("__qt", "__dt")
 
 
-def blend(weights: dict[str, float] | Column, query: Column = None) -> Column:
+def blend(weights: dict[str, float | Column], query: Column | None = None) -> Column:
     """The weighted sum of features; shared characters count per word of the query."""
     query = F.col("query") if query is None else query
     words = F.greatest(F.size(whitespace_tokens(F.regexp_replace(query, "_", " "))), F.lit(1))
@@ -93,8 +93,7 @@ def blend(weights: dict[str, float] | Column, query: Column = None) -> Column:
     def value(name: str) -> Column:
         return F.col(name) / words if name == "shared_token_char_sum" else F.col(name)
 
-    weight = (lambda n: F.lit(weights[n])) if isinstance(weights, dict) else (lambda n: weights[n])
-    return sum((weight(n) * value(n) for n in STATIC_WEIGHTS), F.lit(0.0))
+    return sum((F.lit(weights[n]) * value(n) for n in STATIC_WEIGHTS), F.lit(0.0))
 
 
 def pairwise_features(pairs: DataFrame) -> DataFrame:
@@ -111,3 +110,8 @@ def router_features(queries: DataFrame, dimension: int = V.DIMENSION) -> DataFra
     mean = F.col("s") / dimension
     length = F.aggregate(tokens, F.lit(0), lambda n, t: n + F.length(t)) / F.greatest(F.size(tokens), F.lit(1))
     return rows.select("query_id", "query", F.size(tokens).cast("double").alias("n_tokens"), length.alias("avg_token_len"), mean.alias("vec_mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / dimension - mean * mean)).alias("vec_std"), *[c.alias(n) for n, c in query_shape(F.col("query")).items()])
+
+
+def token_rows_of(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, f) by the Unicode tokenizer."""
+    return texts.select(key, F.explode(unicode_tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("f"))

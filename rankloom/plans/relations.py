@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..operators import bm25
+from ..session import stage
 
 #: Documents that retrieval hands to the rankers, for each query.
 RETRIEVED = 50
@@ -31,17 +32,22 @@ def retrieved(spark: SparkSession, sf: str, k: int = RETRIEVED) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf: str, k: int = RETRIEVED) -> DataFrame:
-    """(query_id, query, doc_id, doc, pos), ordered as retrieved."""
+    """(query_id, query, doc_id, doc, pos), ordered as retrieved; staged, since rankers use it many times."""
     found = retrieved(spark, sf, k).select("query_id", "doc_id", "pos")
-    return found.join(corpus(spark, sf), "doc_id").join(questions(spark, sf), "query_id").select("query_id", "query", "doc_id", "doc", "pos")
+    rows = found.join(corpus(spark, sf), "doc_id").join(questions(spark, sf), "query_id").select("query_id", "query", "doc_id", "doc", "pos")
+    return stage(rows, "candidates")
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates with rel: 3 if the document holds the whole query, else 2 or 1 by the share of its words held."""
-    rows = candidates(spark, sf)
+    """Candidates with rel."""
+    return judge(candidates(spark, sf))
+
+
+def judge(rows: DataFrame) -> DataFrame:
+    """Adds rel: 3 if the document holds the whole query, else 2 or 1 by the share of its words held."""
     terms = F.array_distinct(bm25.whitespace_tokens(F.col("query")))
     held = F.size(F.array_intersect(terms, bm25.whitespace_tokens(F.col("doc")))) / F.greatest(F.size(terms), F.lit(1))
-    rel = F.when(F.contains("doc", "query"), 3).when(held >= 0.5, 2).when(held >= 0.25, 1).otherwise(0)
+    rel = F.when(F.contains(F.col("doc"), F.col("query")), 3).when(held >= 0.5, 2).when(held >= 0.25, 1).otherwise(0)
     return rows.withColumn("rel", rel)
 
 

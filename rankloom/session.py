@@ -1,13 +1,14 @@
-"""Make this package importable in Python workers, wherever the driver found it."""
+"""What needs the session: shipping this package to Python workers, and staging relations in shared storage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -24,3 +25,17 @@ def ship(spark: SparkSession) -> None:
             sources.write(file, file.relative_to(root.parent))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the folder that driver and executors share (spark.checkpoint.dir) and read it again.
+
+    For relations that a plan uses many times: they are computed once, and lost executors don't recompute them."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="rankloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
