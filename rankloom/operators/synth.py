@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 SEED = 42
@@ -30,14 +29,14 @@ SUBJECTS = [
 SUFFIXES = ["This note adds practical detail.", "This explanation stays high level.", "This example is intentionally compact.", "This statement includes a nearby concept."]
 LIST_SCORES = [0.4, 0.3, 0.2, 0.1]
 
-#: Record schemas, with the checks that a record must pass.
+#: Record schemas as DDL, and the checks that a record must pass.
 SCHEMAS = {
-    "pairs": T.StructType.fromDDL("query string, doc string, score int, rationale string, generation_seed int, generation_mode string, teacher_model string"),
-    "preferences": T.StructType.fromDDL("query string, doc_a string, doc_b string, preferred string, confidence double, generation_seed int, generation_mode string, teacher_model string"),
-    "contradictions": T.StructType.fromDDL("subject string, doc_a string, doc_b string, contradicted_field string, value_a string, value_b string, is_contradiction boolean, generation_seed int, generation_mode string, teacher_model string"),
-    "listwise_preferences": T.StructType.fromDDL("query string, docs array<string>, scores array<double>, generation_seed int, generation_mode string, teacher_model string"),
-    "hard_negatives": T.StructType.fromDDL("query string, positive string, hard_negative string, easy_negative string, generation_seed int, generation_mode string, teacher_model string"),
-    "query_expansions": T.StructType.fromDDL("original_query string, expanded_queries array<string>, generation_seed int, generation_mode string, teacher_model string"),
+    "pairs": "query string, doc string, score int, rationale string, generation_seed int, generation_mode string, teacher_model string",
+    "preferences": "query string, doc_a string, doc_b string, preferred string, confidence double, generation_seed int, generation_mode string, teacher_model string",
+    "contradictions": "subject string, doc_a string, doc_b string, contradicted_field string, value_a string, value_b string, is_contradiction boolean, generation_seed int, generation_mode string, teacher_model string",
+    "listwise_preferences": "query string, docs array<string>, scores array<double>, generation_seed int, generation_mode string, teacher_model string",
+    "hard_negatives": "query string, positive string, hard_negative string, easy_negative string, generation_seed int, generation_mode string, teacher_model string",
+    "query_expansions": "original_query string, expanded_queries array<string>, generation_seed int, generation_mode string, teacher_model string",
 }
 CHECKS = {
     "pairs": "query IS NOT NULL AND doc IS NOT NULL AND rationale IS NOT NULL AND score BETWEEN 0 AND 3 AND generation_mode IN ('offline', 'teacher')",

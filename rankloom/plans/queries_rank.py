@@ -285,7 +285,7 @@ _PER = f"""{_JUDGED_RANK},
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS best, sum((rel > 0)::INTEGER) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM jr),
 per AS (SELECT query_id, coalesce(sum(CASE WHEN rank <= 10 THEN {_GAIN.format("rank")} END), 0) AS dcg, coalesce(sum(CASE WHEN best <= 10 THEN {_GAIN.format("best")} END), 0) AS ideal,
   coalesce(1e0 / min(CASE WHEN rel > 0 THEN rank END), 0) AS rr, coalesce(avg(CASE WHEN rel > 0 THEN so_far / CAST(rank AS DOUBLE) END), 0) AS ap,
-  avg(CASE WHEN rank <= 1 THEN (rel > 0)::INTEGER END) AS p1, avg(CASE WHEN rank <= 5 THEN (rel > 0)::INTEGER END) AS p5, max((rel > 0)::INTEGER) AS some FROM o GROUP BY ALL),
+  avg(CASE WHEN rank <= 1 THEN (rel > 0)::INTEGER END) AS p1, avg(CASE WHEN rank <= 5 THEN (rel > 0)::INTEGER END) AS p5, max((rel > 0)::INTEGER) AS any_rel FROM o GROUP BY ALL),
 pn AS (SELECT *, CASE WHEN ideal = 0 THEN 0 ELSE dcg / ideal END AS ndcg FROM per)"""
 
 
@@ -297,7 +297,7 @@ def l02_metrics_per_query(spark, sf):
     return rows.select("query_id", *[F.round(c, 6).alias(c) for c in ("dcg", "ndcg", "rr", "ap", "p5")])
 
 
-@query(f"WITH {_PER} SELECT count(*) AS queries, round(coalesce(avg(CASE WHEN some = 1 THEN ndcg END), 0), 6) AS ndcg, round(coalesce(avg(CASE WHEN some = 1 THEN rr END), 0), 6) AS mrr, round(coalesce(avg(CASE WHEN some = 1 THEN ap END), 0), 6) AS map, round(coalesce(avg(CASE WHEN some = 1 THEN p1 END), 0), 6) AS p_at_1 FROM pn")
+@query(f"WITH {_PER} SELECT count(*) AS queries, round(coalesce(avg(CASE WHEN any_rel = 1 THEN ndcg END), 0), 6) AS ndcg, round(coalesce(avg(CASE WHEN any_rel = 1 THEN rr END), 0), 6) AS mrr, round(coalesce(avg(CASE WHEN any_rel = 1 THEN ap END), 0), 6) AS map, round(coalesce(avg(CASE WHEN any_rel = 1 THEN p1 END), 0), 6) AS p_at_1 FROM pn")
 def l10_evaluate(spark, sf):
     """Means over the queries that have a relevant document."""
     rows = metrics.evaluate(_judged_ranking(spark, sf, bm25.rerank), only_with_relevant=True)
