@@ -115,7 +115,7 @@ def _best(cosine: str = "cosine") -> Column:
 
 
 def _folder(path: Column) -> Column:
-    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
 def nearest(folders: DataFrame, licensed: DataFrame) -> DataFrame:
