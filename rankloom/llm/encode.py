@@ -11,22 +11,19 @@ goes to the library as a whole. Both ways give the library's ids; tests compare
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts remembered by a worker, at about 220 bytes each; parts longer than this many characters seldom return.
-MEMORY = 800_000
+MEMORY = 700_000
 LONGEST = 24
 #: Unknown parts that the library encodes in one call.
 TOGETHER = 100
-#: White space of other kinds, and all beyond Latin letters and common punctuation, is left to the library. Texts
-#: without these bytes need no closer look: other ASCII space, U+0080-00BF, and lead bytes from U+0280 on.
-_ODD = re.compile(r"[^\S \n]|[^\x00-ɏ‐-‧]")
-_ODD_BYTES = bytes([*range(9, 10), *range(11, 14), *range(28, 32), 0xC2, *range(0xCA, 0x100)])
-_RUNS = ("  ", " \n", "\n ", "\n\n")
+#: What sends a text to the library as a whole: white space in runs, at the ends or of other kinds, and characters
+#: beyond Latin letters and common punctuation.
+_ODD = r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}]|[^\x00-\x{24f}\x{2010}-\x{2027}]"
 
 
 class Encoder:
@@ -46,42 +43,42 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _whole(self, text: str) -> bool:
-        """Whether the text must be encoded as a whole."""
-        if not self.cuts or text[:1] in " \n" or text[-1:] in " \n" or any(r in text for r in _RUNS) or any(s in text for s in self.special):
-            return True
-        raw = text.encode()
-        return len(raw.translate(None, _ODD_BYTES)) < len(raw) and _ODD.search(text) is not None
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, text in enumerate(texts) if self._whole(text)]
-        cut = sorted(set(range(len(texts))).difference(whole))
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts must be encoded as a whole."""
+        if not self.cuts:
+            return np.ones(len(texts), bool)
+        odd = pc.match_substring_regex(texts, _ODD)
+        for name in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, name))
+        return odd.to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """texts: strings without nulls."""
+        whole = self._whole(texts)
         out = [self.feed] * len(texts)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        for i, ids in zip(cut, self._cut([texts[i] for i in cut]), strict=True):
+        if whole.any():
+            for i, ids in zip(np.flatnonzero(whole).tolist(), self._ids(texts.filter(pa.array(whole)).to_pylist()), strict=True):
+                out[i] = ids
+        for i, ids in zip(np.flatnonzero(~whole).tolist(), self._cut(texts.filter(pa.array(~whole)) if whole.any() else texts), strict=True):
             out[i] = ids
+        pa.default_memory_pool().release_unused()
         return out
 
-    def _cut(self, texts: list[str]) -> list[np.ndarray]:
+    def _cut(self, texts: pa.Array) -> list[np.ndarray]:
         """Arrow cuts and numbers the parts: a word after a space, or a line feed and the word after it. Python sees
         each distinct part once. The line feed put before each text, one token, is dropped again."""
-        if not texts:
+        if not len(texts):
             return []
-        marked = pc.binary_join_element_wise("\n", pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), "")
+        marked = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
         lists = pc.split_pattern(marked, " ")
         numbered = lists.flatten().dictionary_encode()
         ids = self._known(numbered.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        part = numbered.indices.to_numpy()
-        n = size[part]
-        ends = np.cumsum(n)
-        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
-        at = np.repeat((first[part] - (ends - n)).astype(kind), n)
-        at += np.arange(len(at), dtype=kind)
-        flat = pool[at]
-        bounds = np.concatenate(([0], ends))[lists.offsets.to_numpy()].tolist()
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        starts = np.concatenate(([0], np.cumsum(size, dtype=np.int32)))
+        by_part = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        taken = by_part.take(numbered.indices)
+        flat = taken.values.to_numpy()
+        bounds = taken.offsets.to_numpy()[lists.offsets.to_numpy()].tolist()
         return [flat[a + 1 : b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def _known(self, parts: list[str]) -> list[bytes]:
@@ -119,13 +116,11 @@ def encoder(tokenizer_file: str) -> Encoder:
     return _ENCODERS[tokenizer_file]
 
 
-def batches_of(texts: list[str], most_chars: int = 8_000_000):
-    """Runs of indices with at most most_chars characters (one text at least)."""
-    start, total = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and total + len(text) > most_chars:
-            yield start, i
-            start, total = i, 0
-        total += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+def batches_of(texts: pa.Array, most_bytes: int = 8_000_000):
+    """Runs (first, last + 1) of texts with at most most_bytes bytes (one text at least)."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start, base = 0, 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
+        yield start, stop
+        start, base = stop, int(ends[stop - 1])

@@ -108,9 +108,9 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
 
     def pack_shard(key: tuple, table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
-        texts, of = table.column("text").to_pylist(), encoder(tokenizer_file)
+        texts, of = table.column("text").combine_chunks(), encoder(tokenizer_file)
         end = np.asarray([end_id], "<u4")
-        ids = [np.concatenate([x, end]) for a, b in batches_of(texts) for x in of.encode(texts[a:b])]
+        ids = [np.concatenate([x, end]) for a, b in batches_of(texts) for x in of.encode(texts.slice(a, b - a))]
         d, start, length, sequence, offset = map(np.asarray, zip(*fill_windows(ids, window), strict=True))
         slices = [ids[i][a : a + n] for i, a, n in zip(d.tolist(), start.tolist(), length.tolist(), strict=True)]
         columns = {

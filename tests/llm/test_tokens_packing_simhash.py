@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -15,7 +16,7 @@ from rankloom.llm.encode import Encoder
 from rankloom.llm.queries import op3_token_files, op5_packing, op7_simhash_near_dedup, tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-AWKWARD = ["", None, "a  b", " x", "x ", "\n", "a\n\nb", "a\tb c", "<|endoftext|> a", "it's we'll 'q' 12,345", "naïve – déjà “vu”", "日本 語 x", "a b", "x\n y", "same text", "same text", "word " * 5000]
+AWKWARD = ["", None, "a  b", " x", "x ", "\n", "a\n\nb", "a\tb c", "<|endoftext|> a", "it's we'll 'q' 12,345", "naïve – déjà “vu”", "日本 語 x", "a b", "x\n y", "same text", "same text", "word " * 5000, "a\x1cb", "a\x85b", "Ünïcode ǅ ɏ ɐ text", "soft\u00adhyphen « quoted »"]
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +35,7 @@ def test_encoder_equals_library(library):
     want = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
     encoder = Encoder(tokenizer_file())
     for _ in range(2):
-        assert [x.tobytes() for x in encoder.encode(texts)] == want
+        assert [x.tobytes() for x in encoder.encode(pa.array(texts))] == want
 
 
 def expected_tokens(rows, library, end):
