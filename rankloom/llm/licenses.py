@@ -119,11 +119,11 @@ def _folder(path: Column) -> Column:
 
 
 def nearest(folders: DataFrame, licensed: DataFrame) -> DataFrame:
-    """__dir, inherited: for each folder the licence of its nearest ancestor (itself first) in licensed(__up, license)."""
+    """__dir, __inherited: for each folder the licence of its nearest ancestor (itself first) in licensed(__up, license)."""
     parts = F.split("__dir", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("up")))
     above = folders.select("__dir", F.explode(F.when(F.col("__dir") == "", F.slice(ups, 1, 1)).otherwise(ups)).alias("a")).select("__dir", "a.depth", F.col("a.up").alias("__up"))
-    return join_small(above, licensed, "__up", "inner").groupBy("__dir").agg(F.max_by("license", "depth").alias("inherited"))
+    return join_small(above, licensed, "__up", "inner").groupBy("__dir").agg(F.max_by("license", "depth").alias("__inherited"))
 
 
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, line_cosine: float = LINE_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
@@ -135,7 +135,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, line_cosine: f
     weights = Weights(*document_frequencies(files, templates), templates)
     near = materialize(cosines(keyed, weights, min(line_cosine, file_cosine)).filter(F.col("cosine") >= min(line_cosine, file_cosine)), "license-cosines")
     declared = near.filter((F.col("line") >= 0) & (F.col("cosine") >= line_cosine)).groupBy("__path", "__text").agg(_best().alias("b"))
-    declared = materialize(declared.select("__path", "__text", F.col("b.license").alias("declared"), (-F.col("b.less")).alias("cosine")), "license-declared")
+    declared = materialize(declared.select("__path", "__text", F.col("b.license").alias("__declared"), (-F.col("b.less")).alias("cosine")), "license-declared")
     named = F.substring("__path", 3, 1 << 30).rlike(NAMED)
     is_file = ((F.col("line") < 0) & (F.col("cosine") >= file_cosine)) | (named & (F.col("line") >= 0) & (F.col("cosine") >= line_cosine))
     sources = near.filter(is_file & F.col("__path").startswith("v:")).withColumn("p", F.substring("__path", 3, 1 << 30))
@@ -144,8 +144,8 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, line_cosine: f
     by_folder = nearest(folders, materialize(licensed, "license-folders"))
     narrow = keyed.join(declared, ["__path", "__text"], "left").withColumn("__dir", _folder(F.col("path")))
     found = join_small(narrow, materialize(by_folder, "license-inherited"), "__dir")
-    license = F.coalesce("declared", "inherited")
-    how = F.when(F.col("declared").isNotNull(), "declared").when(F.col("inherited").isNotNull(), "inherited")
+    license = F.coalesce("__declared", "__inherited")
+    how = F.when(F.col("__declared").isNotNull(), "declared").when(F.col("__inherited").isNotNull(), "inherited")
     return found.select(*files.columns, license.alias("license"), how.alias("found"), "cosine")
 
 

@@ -319,7 +319,7 @@ def test_license_inheritance(spark):
         ("LICENSE", mit), ("src/a.py", "code " * 50), ("src/b.py", f"# {gpl}\n" + "code " * 50), ("lib/COPYING.txt", f"{gpl}\n" + "more words here " * 40),
         ("lib/deep/er/c.py", "other"), ("lib/deep/notes", mit), ("lib/deep/x/d.py", None), ("library/e.py", ""), (None, "text"), (None, mit), ("src/a.py", "code " * 50),
     ]
-    rows = licenses.scan(spark.createDataFrame(files, "path string, text string").withColumn("found", F.lit(1))).collect()
+    rows = licenses.scan(spark.createDataFrame(files, "path string, text string").withColumns({"found": F.lit(1), "declared": F.lit(2), "inherited": F.lit(3), "line": F.lit(4)})).collect()
     got = sorted(((r.path or "", r.license, r.found) for r in rows), key=str)
     want = [
         ("LICENSE", "MIT", "declared"), ("src/a.py", "MIT", "inherited"), ("src/a.py", "MIT", "inherited"), ("src/b.py", "GPL-3.0", "declared"), ("lib/COPYING.txt", "GPL-3.0", "declared"),
