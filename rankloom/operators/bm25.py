@@ -43,16 +43,19 @@ def term_weight(f: Column, n: Column, df: Column, dl: Column, avgdl: Column, k1:
     return idf(n, df) * f * F.lit(k1 + 1.0) / (f + norm)
 
 
+def _postings(texts: DataFrame, key: list[str], tokens: Callable[[Column], Column], wanted: DataFrame, on: list[str]) -> DataFrame:
+    """(key, token, dl, f) of the wanted tokens alone: others are dropped before anything is counted or shuffled."""
+    rows = texts.select(*key, tokens(F.col("doc")).alias("t")).select(*key, F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("token"))
+    return rows.join(wanted.select(*on).distinct(), on, "left_semi").groupBy(*key, "token", "dl").agg(F.count("*").alias("f"))
+
+
 def search(queries: DataFrame, documents: DataFrame, tokens: Callable[[Column], Column] = whitespace_tokens, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, bm25) of queries(query_id, query) against documents(doc_id, doc), frequencies over all
     documents; only documents that share a term with the query, others score 0."""
-    counts = term_counts(documents, ["doc_id"], "doc", tokens)
     wanted = term_counts(queries, ["query_id"], "query", tokens).withColumnRenamed("f", "qf")
-    lengths = document_lengths(documents, ["doc_id"], "doc", tokens)
-    stats = statistics(lengths, [])
-    # only terms of queries reach the frequency count and the postings
-    posts = counts.join(wanted.select("token").distinct(), "token", "left_semi")
-    scored = posts.join(document_frequencies(posts, []), "token").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
+    posts = _postings(documents, ["doc_id"], tokens, wanted, ["token"])
+    stats = statistics(document_lengths(documents, ["doc_id"], "doc", tokens), [])
+    scored = posts.join(document_frequencies(posts, []), "token").crossJoin(F.broadcast(stats))
     scored = scored.select("token", "doc_id", term_weight(F.col("f"), F.col("n"), F.col("df"), F.col("dl"), F.col("avgdl"), k1, b).alias("w"))
     return wanted.join(scored, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("qf") * F.col("w")).alias("bm25"))
 
@@ -60,11 +63,10 @@ def search(queries: DataFrame, documents: DataFrame, tokens: Callable[[Column],
 def score_candidates(candidates: DataFrame, tokens: Callable[[Column], Column] = whitespace_tokens, k1: float = K1, b: float = B) -> DataFrame:
     """candidates(query_id, query, doc_id, doc, ...) with bm25: frequencies over each query's own candidates."""
     key = ["query_id", "doc_id"]
-    counts = term_counts(candidates, key, "doc", tokens)
-    lengths = document_lengths(candidates, key, "doc", tokens)
     wanted = term_counts(candidates.select("query_id", "query").distinct(), ["query_id"], "query", tokens).withColumnRenamed("f", "qf")
-    posts = counts.join(wanted, ["query_id", "token"])
-    scored = posts.join(document_frequencies(posts, ["query_id"]), ["query_id", "token"]).join(lengths, key).join(statistics(lengths, ["query_id"]), "query_id")
+    posts = _postings(candidates, key, tokens, wanted, ["query_id", "token"])
+    stats = statistics(document_lengths(candidates, key, "doc", tokens), ["query_id"])
+    scored = posts.join(wanted, ["query_id", "token"]).join(document_frequencies(posts, ["query_id"]), ["query_id", "token"]).join(stats, "query_id")
     w = term_weight(F.col("f"), F.col("n"), F.col("df"), F.col("dl"), F.col("avgdl"), k1, b)
     sums = scored.groupBy(*key).agg(F.sum(F.col("qf") * w).alias("bm25"))
     return candidates.join(sums, key, "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))

@@ -39,7 +39,7 @@ def staged(candidates: DataFrame, stages: list[Stage]) -> DataFrame:
         ranked = stage.ranker(rows).filter(F.col("rank") <= stage.top_k)
         if i + 1 == len(stages):
             return ranked.select(*columns, "pos", "score", "rank")
-        rows = staged_rows(ranked.select(*columns, F.col("rank").alias("pos")), f"stage-{stage.name}")
+        rows = staged_rows(ranked.select(*columns, F.col("rank").alias("pos")), f"stage-{stage.name}", "query_id", "doc_id")
     raise AssertionError
 
 
@@ -103,7 +103,7 @@ def confidence(ranked: DataFrame, metric: str = "top_margin") -> DataFrame:
 def cascade(candidates: DataFrame, primary: Callable[[DataFrame], DataFrame], fallback: Callable[[DataFrame], DataFrame], threshold: float, metric: str = "top_margin", mode: str = "low_confidence") -> DataFrame:
     """The primary ranking, but the fallback's for queries whose confidence is below the threshold (mode always or
     never: for all or none). The fallback is only computed for the queries routed to it."""
-    first = staged_rows(primary(candidates), "cascade-primary")
+    first = staged_rows(primary(candidates), "cascade-primary", "query_id")
     sure = confidence(first, metric)
     routed = {"low_confidence": F.round("confidence", 9) < threshold, "always": F.lit(True), "never": F.lit(False)}[mode]
     route = staged_rows(sure.withColumn("fallback_used", routed), "cascade-route")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import char_ngrams, contains_phrase, query_shape, unicode_tokens, whitespace_tokens
+from ..session import stage
 from .bm25 import max_normalized, score_candidates
 
 #: Fixed: weights of the static blend and of the router's profiles.
@@ -60,10 +61,16 @@ def token_features(query_tokens: Column, doc_tokens: Column) -> dict[str, Column
     }
 
 
+def candidate_vectors(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors (query_id, bucket, w) and (doc_id, bucket, w) of the distinct texts, staged."""
+    q = V.embed(candidates.select("query_id", "query").distinct(), "query_id", "query")
+    d = V.embed(candidates.select("doc_id", "doc").distinct(), "doc_id", "doc")
+    return stage(q, "query-vectors", "query_id"), stage(d, "document-vectors", "doc_id")
+
+
 def semantic(candidates: DataFrame) -> DataFrame:
     """Adds sem_score (unclipped) and vec_norm_diff."""
-    queries, docs = candidates.select("query_id", "query").distinct(), candidates.select("doc_id", "doc").distinct()
-    q, d = V.embed(queries, "query_id", "query"), V.embed(docs, "doc_id", "doc")
+    q, d = candidate_vectors(candidates)
     rows = V.dot(candidates, q, "query_id", d, "doc_id").withColumnRenamed("dot", "sem_score")
     some_q, some_d = q.select("query_id").distinct().withColumn("q2", F.lit(1.0)), d.select("doc_id").distinct().withColumn("d2", F.lit(1.0))
     rows = rows.join(some_q, "query_id", "left").join(some_d, "doc_id", "left").fillna(0.0, ["q2", "d2"])

@@ -18,7 +18,7 @@ from ..functions import vectors as V
 from ..functions.text import unicode_tokens
 from ..session import stage
 from .bm25 import rank
-from .features import STATIC_WEIGHTS, blend, features, pairwise_features, token_rows_of
+from .features import STATIC_WEIGHTS, blend, candidate_vectors, features, pairwise_features, token_rows_of
 
 Ranker = Callable[[DataFrame], DataFrame]
 FULL_TOURNAMENT = 50
@@ -42,13 +42,6 @@ def hybrid_with_model(candidates: DataFrame, model, mode: str = "static", weight
     return rank(model(rows).withColumn("score", (F.col("model_score") + F.col("blend")) / 2) if model else rows.withColumn("score", F.col("blend")), "score")
 
 
-def candidate_vectors(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Unit vectors (query_id, bucket, w) and (doc_id, bucket, w) of the distinct texts, staged."""
-    q = V.embed(candidates.select("query_id", "query").distinct(), "query_id", "query")
-    d = V.embed(candidates.select("doc_id", "doc").distinct(), "doc_id", "doc")
-    return stage(q, "query-vectors"), stage(d, "document-vectors")
-
-
 def document_pairs(candidates: DataFrame) -> DataFrame:
     """All pairs i < j (by pos) of a query's candidates with the seven pairwise features. The products of documents
     are counted once for each pair of documents that some query has."""
@@ -56,12 +49,12 @@ def document_pairs(candidates: DataFrame) -> DataFrame:
     semantic = V.dot(candidates.select("query_id", "doc_id", "pos"), q, "query_id", d, "doc_id")
     length = candidates.select("doc_id", "doc").distinct().select("doc_id", F.size(unicode_tokens(F.col("doc"))).alias("len"))
     norm = d.groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("n2"))
-    side = stage(semantic.join(length, "doc_id").join(norm, "doc_id", "left").fillna(0.0, ["n2"]), "pair-sides")
+    side = stage(semantic.join(length, "doc_id").join(norm, "doc_id", "left").fillna(0.0, ["n2"]), "pair-sides", "query_id")
     a = side.select("query_id", F.col("doc_id").alias("a"), F.col("pos").alias("pos_a"), F.col("dot").alias("qa"), F.col("n2").alias("a2"), F.col("len").alias("la"))
     b = side.select("query_id", F.col("doc_id").alias("b"), F.col("pos").alias("pos_b"), F.col("dot").alias("qb"), F.col("n2").alias("b2"), F.col("len").alias("lb"))
     pairs = a.join(b, "query_id").filter("pos_a < pos_b")
     products = V.dot(pairs.select("a", "b").distinct(), d.withColumnRenamed("doc_id", "a"), "a", d.withColumnRenamed("doc_id", "b"), "b")
-    return stage(pairwise_features(pairs.join(products.withColumnRenamed("dot", "ab"), ["a", "b"])), "pairs")
+    return stage(pairwise_features(pairs.join(products.withColumnRenamed("dot", "ab"), ["a", "b"])), "pairs", "query_id", "a")
 
 
 def tournament(pairs: DataFrame, candidates: DataFrame, probability: Column) -> DataFrame:

@@ -35,7 +35,7 @@ def candidates(spark: SparkSession, sf: str, k: int = RETRIEVED) -> DataFrame:
     """(query_id, query, doc_id, doc, pos), ordered as retrieved; staged, since rankers use it many times."""
     found = retrieved(spark, sf, k).select("query_id", "doc_id", "pos")
     rows = found.join(corpus(spark, sf), "doc_id").join(questions(spark, sf), "query_id").select("query_id", "query", "doc_id", "doc", "pos")
-    return stage(rows, "candidates")
+    return stage(rows, "candidates", "query_id", "doc_id")
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:

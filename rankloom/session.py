@@ -37,10 +37,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again.
+def stage(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df to the shared folder and read it again, dealt by these columns.
 
-    For relations that a plan uses many times: they are computed once, and lost executors don't recompute them."""
+    For relations that a plan uses many times: they are computed once, and lost executors don't recompute them. Small
+    relations that much work hangs on would else be written, and then read, by one task."""
+    if by:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
