@@ -25,8 +25,8 @@ from .encode import batches_of, encoder
 
 WINDOW = 1024
 END_ID = 0
-SHARD_BYTES = 4 << 20
-SHARD_DOCS = 2048
+SHARD_BYTES = 8 << 20
+SHARD_DOCS = 4096
 QUERY_TERMS = 24
 LOOK_AT = 32
 K1, B = 1.2, 0.75
@@ -74,6 +74,7 @@ def fill_windows(documents: list[np.ndarray], window: int = WINDOW) -> list[tupl
         rest[d] = len(ids) % window
     total = np.fromiter(map(len, documents), np.int64, len(documents))
     index = Bm25Index(documents)
+    earlier = np.arange(len(documents)) * 1e-9  # of equal scores, the earlier document's counts as greater
     while (seed := int(rest.argmax())) >= 0 and rest[seed]:
         used = 0
 
@@ -85,16 +86,15 @@ def fill_windows(documents: list[np.ndarray], window: int = WINDOW) -> list[tupl
 
         take(seed, int(rest[seed]))
         if used < window and rest.any():
-            scores = np.where(rest > 0, index.scores(seed), -1)
-            near = np.argsort(-scores, kind="stable")
-            for d in near[:LOOK_AT].tolist():
+            scores = np.where(rest > 0, index.scores(seed), -1) - earlier
+            near = np.argpartition(-scores, LOOK_AT)[:LOOK_AT] if len(scores) > LOOK_AT else np.arange(len(scores))
+            near = near[np.argsort(-scores[near], kind="stable")].tolist()
+            for d in near:
                 if 0 < rest[d] <= window - used:
                     take(d, int(rest[d]))
-            for d in near.tolist():
-                if used == window:
-                    break
-                if rest[d] > 0:
-                    take(d, int(min(rest[d], window - used)))
+            while used < window and rest.any():
+                d = next((d for d in near if rest[d] > 0), int((rest > 0).argmax()))
+                take(d, int(min(rest[d], window - used)))
         sequence += 1
     return pieces
 
