@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import mixing, packing, quality_classifier, quality_rules, simhash
+from rankloom.llm import mixing, packing, quality_classifier, quality_rules, similar
 from rankloom.llm.common import load, materialize
 from rankloom.llm.queries import tokenizer_file
 from rankloom.session import ship
@@ -28,7 +28,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.drop_near_duplicates(docs)
+    return similar.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
