@@ -2,9 +2,10 @@
 
 Documents are dealt by a hash of doc_id to shards of a bounded size, so a hot source or a group of copies is
 spread evenly. A shard holds a BM25 inverted index of its documents' token ids. Whole windows are cut from long
-documents first. Then the longest unused rest is a seed: its rarest terms query the index, unused neighbours that
-fit are appended in order of score, and the best neighbour left is cut to fill the window exactly; what remains of
-it stays unused. Only a shard's last window can be short.
+documents first. Then the longest unused rest is a seed: all its terms that another document has query the index, unused
+neighbours that fit are appended in order of score, as far down the ranking as the window has room, and the best
+neighbour left is cut to fill the window exactly; what remains of it stays unused. Documents that share no term with
+the seed come after all that do. Only a shard's last window can be short.
 
 Defined cases: a null or empty text is a document of the end id alone; repeated rows and copies are documents of
 their own, ordered by doc_id and text; equal scores go to the earlier document; a null doc_id is kept; other
@@ -14,6 +15,7 @@ columns are not looked at; an empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,6 @@ WINDOW = 1024
 END_ID = 0
 SHARD_BYTES = 8 << 20
 SHARD_DOCS = 4096
-QUERY_TERMS = 24
 LOOK_AT = 32
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -52,14 +53,24 @@ class Bm25Index:
         self.impact = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.owner])
 
     def scores(self, document: int) -> np.ndarray:
-        """BM25 of all documents against the rarest shared terms of one document."""
-        out = np.zeros(len(self.terms))
+        """BM25 of all documents against all shared terms of one document."""
         at = np.searchsorted(self.vocabulary, self.terms[document][0])
         at = at[self.df[at] > 1]
-        for t in at[np.argsort(-self.idf[at], kind="stable")[:QUERY_TERMS]].tolist():
-            run = slice(self.first[t], self.first[t] + self.df[t])
-            out[self.owner[run]] += self.impact[run]
-        return out
+        if not len(at):
+            return np.zeros(len(self.terms))
+        runs = [slice(a, a + n) for a, n in zip(self.first[at].tolist(), self.df[at].tolist(), strict=True)]
+        owners, impacts = np.concatenate([self.owner[r] for r in runs]), np.concatenate([self.impact[r] for r in runs])
+        return np.bincount(owners, impacts, len(self.terms))
+
+
+def ranking(scores: np.ndarray) -> Iterator[int]:
+    """Numbers by descending score, LOOK_AT at first, then the rest sorted fully; negative scores are left out."""
+    if len(scores) > 4 * LOOK_AT:
+        near = np.argpartition(-scores, LOOK_AT)[:LOOK_AT]
+        yield from (d for d in near[np.argsort(-scores[near], kind="stable")].tolist() if scores[d] >= 0)
+        scores[near] = -1
+    rest = np.flatnonzero(scores >= 0)
+    yield from rest[np.argsort(-scores[rest], kind="stable")].tolist()
 
 
 def fill_windows(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -86,14 +97,18 @@ def fill_windows(documents: list[np.ndarray], window: int = WINDOW) -> list[tupl
 
         take(seed, int(rest[seed]))
         if used < window and rest.any():
-            scores = np.where(rest > 0, index.scores(seed), -1) - earlier
-            near = np.argpartition(-scores, LOOK_AT)[:LOOK_AT] if len(scores) > LOOK_AT else np.arange(len(scores))
-            near = near[np.argsort(-scores[near], kind="stable")].tolist()
-            for d in near:
-                if 0 < rest[d] <= window - used:
+            scores = index.scores(seed)
+            scores = np.where((rest > 0) & (scores > 0), np.maximum(scores - earlier, 0), -1)
+            smallest, cut = int(rest[rest > 0].min()), None
+            for d in ranking(scores):
+                if rest[d] <= window - used:
                     take(d, int(rest[d]))
+                elif cut is None:
+                    cut = d
+                if used == window or (cut is not None and window - used < smallest):
+                    break
             while used < window and rest.any():
-                d = next((d for d in near if rest[d] > 0), int((rest > 0).argmax()))
+                d = cut if cut is not None else int((rest > 0).argmax())
                 take(d, int(min(rest[d], window - used)))
         sequence += 1
     return pieces
