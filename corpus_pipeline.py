@@ -2,6 +2,17 @@
 
 Quality classifier and quality rules drop what they reject; near-duplicates leave one document of each group; mixing
 repeats documents to the target weights of their sources, globally shuffled; packing returns the pieces of sequences.
+
+The near-duplicate stage is SimHash on five-word shingles at a similarity of 0.8 or more (llm/similar): wide
+fingerprints compared by tiles, links checked on the shingles.
+
+Defined cases, in order of the stages: a null or empty text has no words and fails the base rules; documents without
+labels are judged like others, and without any labels the classifier keeps all and only the base rules act; of the
+rows of a near-duplicate group one stays, whatever their doc_ids: the smallest doc_id, null after all others, then by
+hashes of text and row, and one of wholly equal rows; rows with equal doc_id in one source are repeated alike; a null
+source is a source of its own. Further columns of documents pass through all stages but the last, whatever their names
+(packing returns pieces); names beginning with two underscores and mix_ are the operators'. Empty documents give an
+empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import mixing, packing, quality_classifier, quality_rules, similar
+from rankloom.llm import mixing, packing, quality_classifier, quality_rules, simhash
 from rankloom.llm.common import load, materialize
 from rankloom.llm.queries import tokenizer_file
 from rankloom.session import ship
@@ -28,7 +39,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return similar.drop_near_duplicates(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

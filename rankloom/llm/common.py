@@ -1,8 +1,7 @@
-"""What the training-data operators share: shared storage, checked broadcasts, row identity."""
+"""What the training-data operators share: shared storage, checked broadcasts, hot keys, ranges, row identity."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,10 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if a count has shown at most this many (narrow) rows.
 BROADCAST_ROWS = 10_000
 SALTS = 32
+#: A key with more rows than this, and than one in BROADCAST_ROWS of all rows, is hot.
+HOT_ROWS = 256
+#: Quantiles that make one expression; more partitions are dealt by Spark's own range partitioner, in the same order.
+MOST_BOUNDS = 512
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,11 +21,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) a local one is made."""
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="rankloom-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -35,7 +37,16 @@ def materialize(df: DataFrame, name: str, **options: object) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that materialize wrote and nothing reads any more. What a lazy result reads must stay."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -51,6 +62,44 @@ def join_small(left: DataFrame, small: DataFrame, key: str, how: str = "left") -
     return left.withColumn("__salt", (F.rand(7) * SALTS).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of left, of about total rows, with right, which has one row for each key and in column n the number
+    of left's rows with that key. Rows of a hot key stay where they are: their right side is broadcast, and there are at
+    most BROADCAST_ROWS hot keys, since each has more than total / BROADCAST_ROWS of the rows. All other keys are
+    shuffled, none of them with a large share. left is read twice, so it should be a staged table."""
+    hot = F.col("n") > max(HOT_ROWS, total // BROADCAST_ROWS)
+    broad = F.broadcast(right.filter(hot))
+    spread = left.join(broad.select(key), key, "left_anti").join(right.filter(~hot).hint("merge"), key)
+    return left.join(broad, key).unionByName(spread)
+
+
+def by_range(rows: DataFrame, key: str, tie: Column, n: int) -> DataFrame:
+    """rows in n partitions by ascending (key, tie), nulls first, sorted inside. tie is a hash: a key with more rows
+    than a partition should have is cut at equal steps of it. Bounds are quantiles of the key column alone; Spark's own
+    range partitioner would read all columns once more, and takes over where the bounds would make too large an
+    expression."""
+    rows = rows.withColumn("__tie", tie)
+    k = F.coalesce(F.col(key), F.lit(-(1 << 63)))
+    bounds = sorted(rows.agg(F.percentile_approx(k, [i / n for i in range(1, n)], 10_000)).first()[0] or []) if 1 < n <= MOST_BOUNDS else []
+    if not bounds:
+        return rows.repartitionByRange(n, key, "__tie").sortWithinPartitions(key, "__tie").drop("__tie")
+    distinct = sorted(set(bounds))
+    first = [bounds.index(b) for b in distinct]
+    unit = (F.shiftrightunsigned("__tie", 12) / F.lit(float(1 << 52)) + 0.5) % 1  # ascending as the signed hash is
+
+    def part(low: int, high: int) -> Column:
+        """The partition of keys above distinct[low - 1] and up to distinct[high], or beyond all."""
+        if low == high:
+            slices = bounds.count(distinct[low]) if low < len(distinct) else 0
+            if slices < 2:
+                return F.lit(first[low] if slices else len(bounds))
+            return F.when(k == distinct[low], first[low] + F.floor(unit * slices).cast("int")).otherwise(first[low])
+        middle = (low + high) // 2
+        return F.when(k <= distinct[middle], part(low, middle)).otherwise(part(middle + 1, high))
+
+    return rows.repartitionById(n, part(0, len(distinct))).sortWithinPartitions(key, "__tie").drop("__tie")
+
+
 def text_key(column: str) -> Column:
     """A never-null string for a nullable key: null and the empty string stay apart."""
     c = F.col(column).cast("string")

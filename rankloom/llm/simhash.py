@@ -2,12 +2,15 @@
 
 Fingerprints are reduced to distinct values first, so that exact copies never meet each other. Two
 fingerprints at distance <= radius agree on at least one of radius + 1 bit blocks, so each distinct value
-is dealt to one group for each block; nothing within the radius is lost. A group is cut by hash into tiles
-of a bounded size and every pair of tiles of one group is a row of work of its own, whatever the group's
-size. A task sorts its tiles by population count, compares strips with numpy exclusive-or and bit counts,
+is dealt to one group for each block; nothing within the radius is lost. Groups are compared by tiles (see
+tiles): a task sorts its tiles by population count, compares strips with numpy exclusive-or and bit counts,
 skips strips whose population counts differ by more than the radius (their distance must exceed it), and
-emits a spanning forest of the links that it found: no pair list ever exists. Components come from
-alternating star contraction on those links, checkpointed each round.
+emits a spanning forest of the links that it found. Components come from alternating star contraction on
+those links, checkpointed each round. A fingerprint or component with a large share of all rows is joined
+by a broadcast whose size is bounded (common.join_counted).
+
+near_duplicates links fingerprints at a radius. drop_near_duplicates, for texts, uses wide fingerprints of the
+distinct shingles and checks their links on the shingles themselves (see similar).
 
 Defined cases: null or empty text (no word) has fingerprint zero, linked like any other; fewer words than
 the shingle make one shingle; repeated shingles count repeatedly; repeated rows with one doc_id all get
@@ -17,15 +20,15 @@ component, or null if there is none; other columns are not looked at. An empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from . import tiles
+from .common import join_counted, materialize
 
 SEED = 42
 SHINGLE = 4
@@ -35,29 +38,33 @@ TILE = 4096
 STRIP = 512
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of one whole text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the shingles of the lower-cased words, in order."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = len(words) - shingle + 1
-    spans = zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
-    return _majority(hashes)
+    n = max(len(words) - shingle + 1, 1)
+    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+
+
+def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of one whole text."""
+    return majority(shingle_hashes(text, shingle))
 
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     """Bits set in over half the hashes; each of the eight bytes by a histogram of its 256 values."""
+    if len(hashes) < 2:
+        return int(hashes.sum())
     columns = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     out = 0
     if len(hashes) < 200:
@@ -86,103 +93,72 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _root(parent: dict[int, int], x: int) -> int:
-    while (p := parent.setdefault(x, x)) != x:
-        parent[x] = parent[p]
-        x = parent[x]
-    return x
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of all rows of a (rows, words) with all rows of b."""
+    out = np.zeros((len(a), len(b)), np.uint16 if a.shape[1] > 3 else np.uint8)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return out
 
 
-def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (child, root) that connect all values of the two tiles (one tile with itself: right is None) at distance <= radius."""
-    values = left if right is None else np.concatenate([left, right])
-    pop = np.bitwise_count(values).astype(np.int64)
-    halves = [np.arange(len(left))] if right is None else [np.arange(len(left)), np.arange(len(left), len(values))]
+def spanning_links(values: np.ndarray, split: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (child, root), by numbers, that connect all fingerprints (rows, words) at distance <= radius. Those from
+    split on are a second tile, compared with the first only; a split of all compares one tile with itself."""
+    alone = split == len(values)
+    pop = np.bitwise_count(values).sum(1, dtype=np.int64)
+    halves = [np.arange(split)] if alone else [np.arange(split), np.arange(split, len(values))]
     halves = [h[np.argsort(pop[h], kind="stable")] for h in halves]
     a_side, b_side = halves[0], halves[-1]
     label = np.arange(len(values))
     for i in range(0, len(a_side), STRIP):
         a = a_side[i : i + STRIP]
-        for j in range(i if right is None else 0, len(b_side), STRIP):
+        for j in range(i if alone else 0, len(b_side), STRIP):
             b = b_side[j : j + STRIP]
             if pop[b[0]] - pop[a[-1]] > radius or pop[a[0]] - pop[b[-1]] > radius:
                 continue
-            x, y = np.nonzero(np.bitwise_count(values[a][:, None] ^ values[b][None, :]) <= radius)
+            x, y = np.nonzero(distances(values[a], values[b]) <= radius)
             x, y = label[a[x]], label[b[y]]
             if not (apart := x != y).any():
                 continue
             pairs = np.unique(np.stack([np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])]), axis=1)
             parent: dict[int, int] = {}
             for p, q in pairs.T.tolist():
-                p, q = _root(parent, p), _root(parent, q)
+                p, q = tiles.root(parent, p), tiles.root(parent, q)
                 if p != q:
                     parent[max(p, q)] = min(p, q)
             to = np.arange(len(values))
             for p in list(parent):
-                to[p] = _root(parent, p)
+                to[p] = tiles.root(parent, p)
             label = to[label]
     child = np.flatnonzero(label != np.arange(len(values)))
-    return values[child], values[label[child]]
+    return child, label[child]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b): a spanning set of the links between the distinct fingerprints of column fp."""
-    runs = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", first).bitwiseAND((1 << n) - 1).alias("bits")) for k, (first, n) in enumerate(_blocks(radius))]
-    rows = distinct.select("fp", F.explode(F.array(*runs)).alias("run")).select("fp", "run.block", "run.bits")
-    sizes = rows.groupBy("block", "bits").agg(F.count("*").alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    dealt = rows.join(sizes, ["block", "bits"]).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    tiles = materialize(dealt.groupBy("block", "bits", "tiles", "tile").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
-    alone = tiles.select("fps", F.lit(None).cast("array<bigint>").alias("others"))
-    left = tiles.filter("tiles > 1").select("block", "bits", "tile", "fps")
-    right = left.select("block", "bits", F.col("tile").alias("other"), F.col("fps").alias("others"))
-    pairs = left.join(right, ["block", "bits"]).filter("tile < other").select("fps", "others")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [spanning_links(np.asarray(a, np.int64).view(np.uint64), None if b is None else np.asarray(b, np.int64).view(np.uint64), radius) for a, b in zip(batch["fps"], batch["others"], strict=True)]
-            yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]).view(np.int64), "b": np.concatenate([y for _, y in found]).view(np.int64)} if found else {"a": [], "b": []})
-
-    work = alone.unionByName(pairs)
-    return materialize(work.mapInPandas(compare, "a long, b long").distinct(), "simhash-links")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): connected components by alternating large-star and small-star steps (root: the smallest node).
-
-    Every step is a hash aggregation and an equi-join on nodes; each round is written to shared storage."""
-    star = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    star = materialize(star, "star")
-    before = None
-    while True:
-        both = star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        star = materialize(small, "star")
-        now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if tuple(now) == before and now[0] == now[2]:
-            return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = tuple(now)
+    runs = [F.xxhash64(F.lit(k), F.shiftrightunsigned("fp", first).bitwiseAND((1 << n) - 1)) for k, (first, n) in enumerate(_blocks(radius))]
+    rows = materialize(distinct.select(F.col("fp").alias("key"), F.explode(F.array(*runs)).alias("grp")), "simhash-blocks")
+    members = tiles.dealt(rows, rows.count(), F.ceil(F.count("*") / tile)).withColumn("value", F.col("key"))
+
+    def compare(values: pa.Array, split: int) -> tuple[np.ndarray, np.ndarray]:
+        return spanning_links(values.to_numpy().view(np.uint64)[:, None], split, radius)
+
+    return tiles.forests(members, compare, "simhash")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, fingerprint (hex), component_id for every row of docs(doc_id, text)."""
     prints = materialize(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "simhash")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(classes.select("fp"), radius))
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Rows without a doc_id stay."""
-    found = materialize(near_duplicates(docs, radius, shingle).select("doc_id", "component_id"), "simhash-classes")
-    keep = found.filter("doc_id = component_id").select("doc_id")
-    repeated = keep.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    stay = docs.join(keep.distinct(), "doc_id", "left_semi")
-    if repeated:
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "simhash-classes")
+    rows, total = classes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    found = tiles.components(links(classes.select("fp"), radius))
+    known = tiles.named(classes.withColumnRenamed("fp", "key"), found, total, F.min("least").alias("component_id"))
+    known = materialize(known.select(F.col("key").alias("fp"), F.col("size").alias("n"), "component_id"), "simhash-named")
+    return join_counted(prints, known, "fp", rows).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each group of texts so similar: SimHash with wide fingerprints, and an exact check."""
+    from . import similar
+
+    return similar.drop_near_duplicates(docs, shingle, least)

@@ -1,20 +1,22 @@
-"""Near-duplicates by word shingles: one document of each group of texts whose Jaccard similarity is 0.8 or more.
-
-Candidates come from MinHash: 128 permutations in 32 bands of 4, so two texts at 0.8 share no band with a chance
-of 5e-8. Texts of one band key are cut into tiles of a bounded size, and every pair of tiles is a row of work of its
-own. A tile compares byte sketches of the signatures and emits a spanning forest of the pairs whose estimate is
-LEAST - MARGIN (over four standard deviations below LEAST) or more. The components of these forests are groups that
-hold every candidate pair; within a group, again by tiles, all pairs are compared by their whole shingle sets, and a
-spanning forest of the true links is emitted. So clean texts stay, and no list of pairs ever exists.
-
-Defined cases: null or empty text (no word) is one class; fewer words than the shingle make one shingle; repeated
-shingles count once; otherwise as in simhash.
+"""One document of each group of texts whose word shingles have a Jaccard similarity of 0.8 or more, by SimHash.
+
+Fingerprints of 64 bits can't tell such pairs from others: at 0.8 they differ in 10 bits on average, in 18 at times, as
+do too many unrelated texts. So a text's fingerprint has WIDTH words here, from its distinct shingles, and its radius is
+that below which nearly all pairs at 0.8 fall (a pair at exactly 0.8 exceeds it with a chance of 4e-6; computed for
+independent bits). No such radius leaves bit blocks that two texts must share, so texts are dealt to groups by the
+minima of their shingles under random permutations: BANDS groups of ROWS minima each, of which a pair at 0.8 shares none
+with a chance of 3e-5. Inside the groups fingerprints are compared by SimHash's tiles. Components of the links found hold
+every candidate pair; in them, by tiles again, all pairs are compared by their whole shingle sets, so that clean texts
+stay, and the links that remain make the final components.
+
+Defined cases: null or empty text (no word) is one class; texts with equal words are one class; fewer words than the
+shingle make one shingle; repeated shingles count once. Of a component the row with the smallest doc_id stays, of equal
+ones that with the smallest text hash, then row hash, and one of wholly equal rows; null doc_ids come after all others.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,15 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
-from .simhash import SEED, _root, components
+from . import tiles
+from .common import join_counted, materialize
+from .simhash import BITS, SEED, TILE, majority, shingle_hashes, spanning_links
 
 SHINGLE = 5
 LEAST = 0.8
-MARGIN = 0.15
-BANDS, ROWS = 32, 4
-TILE = 2048
-SET_TILE = 256
+WIDTH = 4
+BANDS, ROWS = 20, 4
+#: Texts of a tile of the exact check, and their bytes (one text at least).
+SET_TILE, SET_BYTES = 256, 4 << 20
 STRIP = 128
 COLUMNS = 4096
 _RNG = np.random.default_rng(SEED)
@@ -38,64 +41,59 @@ _TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
 _PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
+def radius_for(least: float, bits: int = WIDTH * BITS) -> int:
+    """Differing bits that a pair at this similarity exceeds by 4.5 standard deviations at most."""
+    p = np.arccos(2 * least / (1 + least)) / np.pi
+    return int(np.ceil(bits * p + 4.5 * np.sqrt(bits * p * (1 - p))))
+
+
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct 64-bit hashes of the lower-cased text's word shingles."""
-    from xxhash import xxh64_intdigest
+    """Distinct hashes of the text's shingles, ascending."""
+    return np.unique(shingle_hashes(text, shingle))
+
 
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(len(words) - shingle + 1, 1)
-    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n))
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """WIDTH words of 64 bits: the SimHash of the hashes, and of further mixtures of them."""
+    out = []
+    for k in range(WIDTH):
+        h = hashes + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
+        if k:
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+        out.append(majority(h))
+    return np.asarray(out, "<u8").tobytes()
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray) -> np.ndarray:
     out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 2048):
         out = np.minimum(out, (hashes[i : i + 2048, None] * _TIMES + _PLUS).min(0))
     return out
 
 
-def _signatures(text: Column, shingle: int) -> Column:
-    """Keys of the bands, and the sketch: the low byte of each minimum."""
+def _prints(text: Column, shingle: int) -> Column:
+    """key: a hash of the words; fp: the wide fingerprint; groups: the bands' hashes."""
 
-    @F.pandas_udf(T.StructType().add("bands", T.ArrayType(T.LongType())).add("sketch", T.BinaryType()))
-    def sign(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(T.StructType().add("key", T.LongType()).add("fp", T.BinaryType()).add("groups", T.ArrayType(T.LongType())))
+    def prints(texts: pd.Series) -> pd.DataFrame:
         from xxhash import xxh64_intdigest
 
-        bands, sketches = [], []
+        keys, fps, groups = [], [], []
         for t in texts:
-            s = signature(shingles(t, shingle))
-            keys = [xxh64_intdigest(s[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-            bands.append(np.asarray(keys, np.uint64).view(np.int64))
-            sketches.append(s.astype(np.uint8).tobytes())
-        return pd.DataFrame({"bands": bands, "sketch": sketches})
-
-    return sign(text)
+            keys.append(xxh64_intdigest(b" ".join((t or "").encode().lower().split()), SEED))
+            h = shingles(t, shingle)
+            fps.append(wide_fingerprint(h))
+            least = minima(h)
+            groups.append(np.asarray([xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64))
+        return pd.DataFrame({"key": np.asarray(keys, np.uint64).view(np.int64), "fp": fps, "groups": groups})
 
+    return prints.asNondeterministic()(text)
 
-def _sets(text: Column, shingle: int) -> Column:
-    """The shingle hashes, eight bytes each."""
 
-    @F.pandas_udf(T.BinaryType())
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, shingle).tobytes() for t in texts], dtype=object)
-
-    return sets(text)
-
-
-def _alike(sketches: list[bytes], least: float, a: slice, b: slice) -> np.ndarray:
-    rows = [np.frombuffer(b"".join(sketches[s]), np.uint8).reshape(-1, BANDS * ROWS) for s in (a, b)]
-    return (rows[0][:, None, :] == rows[1][None, :, :]).mean(2, dtype=np.float32) >= least
-
-
-def _similar(sets: list[bytes], least: float, a: slice, b: slice) -> np.ndarray:
+def similar_sets(sets: list[np.ndarray], least: float, a: slice, b: slice) -> np.ndarray:
     """Which pairs have a Jaccard similarity of least or more; counts of shared shingles by products of 0/1 blocks."""
-    sides = [[np.frombuffer(x, np.uint64) for x in sets[s]] for s in (a, b)]
+    sides = [sets[s] for s in (a, b)]
     sizes = [np.fromiter(map(len, side), np.int64, len(side)) for side in sides]
     flat = [np.concatenate(side) for side in sides]
     owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
@@ -118,79 +116,79 @@ def _similar(sets: list[bytes], least: float, a: slice, b: slice) -> np.ndarray:
     return (either == 0) | (shared >= least * either - 1e-6)
 
 
-def spanning_pairs(values: list[bytes], split: int, near: Callable[..., np.ndarray], least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the near pairs, by numbers. Values from split on are a second tile, compared with the first
-    only; a split of all values compares one tile with itself."""
-    n, alone = len(values), split == len(values)
+def spanning_sets(sets: list[np.ndarray], split: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links, by numbers, that connect all sets at least so similar; split as in simhash.spanning_links."""
+    n, alone = len(sets), split == len(sets)
     parent: dict[int, int] = {}
-    out = []
+    found = []
     for i in range(0, split, STRIP):
         for j in range(i if alone else split, n, STRIP):
             a, b = slice(i, min(i + STRIP, split)), slice(j, min(j + STRIP, n))
-            if len({_root(parent, x) for s in (a, b) for x in range(s.start, s.stop)}) == 1:
+            if len({tiles.root(parent, x) for s in (a, b) for x in range(s.start, s.stop)}) == 1:
                 continue
-            x, y = np.nonzero(near(values, least, a, b))
+            x, y = np.nonzero(similar_sets(sets, least, a, b))
             for p, q in zip((x + i).tolist(), (y + j).tolist(), strict=True):
-                v, w = _root(parent, p), _root(parent, q)
+                v, w = tiles.root(parent, p), tiles.root(parent, q)
                 if v != w:
                     parent[max(v, w)] = min(v, w)
-                    out.append((p, q))
-    return out
+                    found.append((p, q))
+    return tuple(np.asarray(found, np.int64).reshape(-1, 2).T)
 
 
-def _forests(rows: DataFrame, near: Callable[..., np.ndarray], least: float, name: str) -> DataFrame:
-    """(a, b): spanning forests of the near pairs of each group of rows(grp, tiles, tile, key, value)."""
-    tiles = materialize(rows.groupBy("grp", "tiles", "tile").agg(F.collect_list(F.struct("key", "value")).alias("m")), f"{name}-tiles")
-    alone = tiles.select("m", F.lit(None).cast(tiles.schema["m"].dataType).alias("others"))
-    left = tiles.filter("tiles > 1").select("grp", "tile", "m")
-    right = left.select("grp", F.col("tile").alias("other"), F.col("m").alias("others"))
-    work = alone.unionByName(left.join(right, "grp").filter("tile < other").select("m", "others"))
+def candidates(classes: DataFrame, total: int, radius: int, tile: int) -> DataFrame:
+    """(key, grp, bytes): components of the classes whose fingerprints lie within the radius."""
+    rows = materialize(classes.select("key", F.explode("groups").alias("grp")), "similar-bands")
+    values = classes.select("key", F.col("fp").alias("value"))
+    members = tiles.dealt(rows, BANDS * total, F.ceil(F.count("*") / tile)).join(values.hint("merge"), "key")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for k in range(batch.num_rows):
-                m, others = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                both = [*m, *(others or [])]
-                pairs = spanning_pairs([r["value"] for r in both], len(m), near, least)
-                found += [sorted((both[p]["key"], both[q]["key"])) for p, q in pairs]
-            a, b = zip(*found, strict=True) if found else ((), ())
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def compare(values: pa.Array, split: int) -> tuple[np.ndarray, np.ndarray]:
+        prints = np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(len(values), WIDTH)
+        return spanning_links(prints, split, radius)
 
-    return materialize(work.mapInArrow(compare, "a long, b long").distinct(), name)
+    tree = tiles.components(tiles.forests(members, compare, "similar-candidates"))
+    both = tree.select(F.col("node").alias("key"), F.col("root").alias("grp")).unionByName(tree.select(F.col("root").alias("key"), F.col("root").alias("grp")).distinct())
+    return materialize(both.join(classes.select("key", "bytes").hint("merge"), "key"), "similar-groups")
 
 
-def _dealt(rows: DataFrame, tile: int) -> DataFrame:
-    """rows(grp, key, ...) of the groups of more than one row, with tiles and tile."""
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    return rows.join(sizes, "grp").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(c) for c in docs.columns]).alias("__row")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, tile: int = TILE) -> DataFrame:
-    """doc_id, component_id for every row of docs(doc_id, text)."""
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text", "doc_id")
-    prints = materialize(texts.select("key", "doc_id", _signatures(F.col("text"), shingle).alias("s")).select("key", "doc_id", "s.*"), "similar-prints")
-    classes = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "similar-classes")
-    bands = _dealt(classes.select("key", F.explode("bands").alias("grp")).repartition("grp"), tile)
-    tried = _forests(bands.join(classes.select("key", F.col("sketch").alias("value")), "key"), _alike, least - MARGIN, "similar-candidates")
-    groups = components(tried).select(F.col("node").alias("key"), F.col("root").alias("grp"))
-    groups = materialize(groups.unionByName(groups.select(F.col("grp").alias("key"), "grp")).distinct(), "similar-groups")
-    some = texts.select("key", "text").join(groups.hint("merge"), "key").dropDuplicates(["key"])
-    sets = some.select("key", _sets(F.col("text"), shingle).alias("value"))
-    links = _forests(_dealt(groups, min(tile, SET_TILE)).join(sets, "key"), _similar, least, "similar-links")
-    found = components(links)
-    rooted = classes.select("key", "least").join(found.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("key", "component_id")
-    return prints.select("key", "doc_id").join(named, "key").select("doc_id", "component_id")
+    """One row for each distinct row of docs(doc_id, text, ...): __row, a hash of its columns; copies, how often it is
+    there; doc_id; key, a hash of its words; and root, its component."""
+    texts = docs.select(_row(docs), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    prints = texts.select("__row", "doc_id", F.octet_length("text").cast("long").alias("bytes"), _prints(F.col("text"), shingle).alias("p"))
+    prints = materialize(prints.select("__row", "doc_id", "bytes", "p.*"), "similar-prints")
+    rows = materialize(prints.groupBy("__row").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.count("*").alias("copies")), "similar-rows")
+    classes = prints.groupBy("key").agg(F.max("bytes").alias("bytes"), F.min("fp").alias("fp"), F.min("groups").alias("groups"))
+    classes = materialize(classes, "similar-classes")
+    total, n_rows = classes.count(), rows.count()
+    groups = candidates(classes, total, radius_for(least), tile)
+    set_tiles = F.greatest(F.ceil(F.count("*") / min(tile, SET_TILE)), F.ceil(F.sum("bytes") / SET_BYTES))
+    members = tiles.dealt(groups, total, set_tiles).select("key", "grp", "tiles", "tile")
+    # the row with the smallest hash brings its class's text
+    members = members.join(rows.groupBy("key").agg(F.min("__row").alias("__row")).hint("merge"), "key")
+    bearers = materialize(rows.select("__row", F.col("copies").alias("n")).join(members.hint("merge"), "__row", "left"), "similar-bearers")
+    some = join_counted(texts.select("__row", F.col("text").alias("value")), bearers, "__row", n_rows).filter("key IS NOT NULL")
+    some = some.dropDuplicates(["key"]) if rows.filter("copies > 1").limit(1).count() else some
+
+    def compare(values: pa.Array, split: int) -> tuple[np.ndarray, np.ndarray]:
+        return spanning_sets([shingles(t, shingle) for t in values.to_pylist()], split, least)
+
+    found = tiles.components(tiles.forests(some, compare, "similar"))
+    known = tiles.named(classes.select("key"), found, total).select("key", "root")
+    known = materialize(known.join(rows.groupBy("key").agg(F.count("*").alias("n")).hint("merge"), "key"), "similar-named")
+    return join_counted(rows, known, "key", n_rows).select("__row", "copies", "doc_id", "key", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Rows without a doc_id stay."""
+    """docs with one row of each component."""
     found = materialize(near_duplicates(docs, shingle, least), "similar-found")
-    keep = found.filter("doc_id = component_id").select("doc_id")
-    repeated = keep.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    stay = docs.join(keep.distinct(), "doc_id", "left_semi")
-    if repeated:
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "__row")).alias("first")
+    keep = found.groupBy("root").agg(first).select(F.col("first.__row").alias("__row"), F.lit(True).alias("keep"))
+    marks = materialize(found.select("__row", F.col("copies").alias("n")).join(keep.hint("merge"), "__row", "left"), "similar-marks")
+    hashed = docs.withColumn("__row", _row(docs))
+    rows, repeated = marks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n") > 1, F.lit(False))).first()
+    kept = join_counted(hashed, marks, "__row", rows).filter("keep")
+    return (kept.dropDuplicates(["__row"]) if repeated else kept).select(docs.columns)

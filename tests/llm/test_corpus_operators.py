@@ -354,9 +354,9 @@ def test_pipeline_stages(spark, sf):
 
 
 def test_pipeline_equals_plain_steps(spark, sf):
-    """The chain's survivors by plain Python, given the classifier's scores and the certified cutoffs."""
+    """The chain's survivors by plain Python, given the classifier's scores and the rules' verdicts."""
     import corpus_pipeline
-    from test_tokens_packing_simhash import brute_components, brute_fingerprint
+    from test_similar import brute
 
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     kept = {r.doc_id for r in quality_classifier.judge(docs, labels).filter("kept").collect()}
@@ -364,10 +364,31 @@ def test_pipeline_equals_plain_steps(spark, sf):
     kept = {r.doc_id for r in quality_rules.judge(rest, labels).filter("kept").collect()}
     texts = {r.doc_id: r.text for r in rest.collect() if r.doc_id in kept}
     ids = sorted(texts)
-    roots = brute_components([brute_fingerprint(texts[i]) for i in ids])
-    first = {ids[k] for k in set(roots)}
+    first = {ids[k] for k in brute([texts[i] for i in ids])}
     stages = dict(corpus_pipeline.STAGES)
     out = docs
     for name in ("quality_classifier", "quality_rules", "simhash_near_dedup"):
         out = stages[name](spark, out, sf)
     assert {r.doc_id for r in out.collect()} == first
+
+
+def test_pipeline_awkward(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing names and ids through all five stages; empty tables."""
+    import corpus_pipeline
+
+    long = [" ".join(f"w{(i * k) % 997}" for i in range(120)) for k in (1, 2, 3)]
+    rows = [(1, long[0], "en", "s1"), (1, long[0], "en", "s1"), (1, long[1], "en", "s1"), (None, long[2], None, None), (None, long[2], None, None), (2, None, "en", "s1"), (3, "", None, "s1"), (4, "short text", "en", None)]
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, lang string, source string, kept long, stratum long, label string")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        columns = out.columns
+        out = stage(spark, out, str(tmp_path))
+        if name == "simhash_near_dedup":
+            assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, long[0]), (1, long[1]), (None, long[2])], key=str)
+        if name != "packing":
+            assert out.columns == columns
+    assert out.count() > 0
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
