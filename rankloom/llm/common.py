@@ -73,14 +73,14 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> Dat
     return left.join(broad, key).unionByName(spread)
 
 
-def by_range(rows: DataFrame, key: str, tie: Column, n: int) -> DataFrame:
+def by_range(rows: DataFrame, key: str, tie: Column, n: int, keys: DataFrame | None = None) -> DataFrame:
     """rows in n partitions by ascending (key, tie), nulls first, sorted inside. tie is a hash: a key with more rows
     than a partition should have is cut at equal steps of it. Bounds are quantiles of the key column alone; Spark's own
     range partitioner would read all columns once more, and takes over where the bounds would make too large an
-    expression."""
+    expression. keys: a narrow table of the key column, if rows are costly to compute."""
     rows = rows.withColumn("__tie", tie)
     k = F.coalesce(F.col(key), F.lit(-(1 << 63)))
-    bounds = sorted(rows.agg(F.percentile_approx(k, [i / n for i in range(1, n)], 10_000)).first()[0] or []) if 1 < n <= MOST_BOUNDS else []
+    bounds = sorted((rows if keys is None else keys).agg(F.percentile_approx(k, [i / n for i in range(1, n)], 10_000)).first()[0] or []) if 1 < n <= MOST_BOUNDS else []
     if not bounds:
         return rows.repartitionByRange(n, key, "__tie").sortWithinPartitions(key, "__tie").drop("__tie")
     distinct = sorted(set(bounds))

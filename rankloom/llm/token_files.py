@@ -5,8 +5,8 @@ format version 2, all delta-encoded (about 17 bits an id for a 50k vocabulary; w
 dictionary). Row groups and pages have fixed target sizes, and page indexes are written, so that
 a reader of a range of doc_ids touches only the pages of that range, and a reader of metadata never touches ids.
 
-Documents are range-partitioned and sorted by doc_id before they are encoded, at quantiles that are read from the
-doc_id column alone; a document's place among all ids
+Documents are range-partitioned and sorted by doc_id and a hash of the text before they are encoded, at quantiles that
+are read from the doc_id column alone (a repeated or null doc_id is cut at steps of the hash); a document's place among all ids
 is its place in its part file plus the ids of the parts before, of which there is one row per part.
 
 Defined cases: a null or empty text has only the end id; documents with equal doc_id are ordered by a hash of
@@ -20,18 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import join_small, partitions
+from .common import by_range, join_small, partitions
 from .encode import batches_of, encoder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Text that a task encodes at a time; its ids and their arrays are about ten times as large.
 BATCH_BYTES = 6_000_000
-MOST_BOUNDS = 512
 SCHEMA = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
 
 
@@ -45,27 +44,10 @@ def parquet_options(row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PA
     }
 
 
-def by_range(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """rows in n partitions by ascending key, nulls first. Spark's own range partitioning would read all columns once
-    more to sample the key; it takes over where so many bounds would make too large an expression."""
-    bounds = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] if 1 < n <= MOST_BOUNDS else None
-    if not bounds:
-        return rows.repartitionByRange(n, key)
-    bounds = sorted(set(bounds))
-
-    def part(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col(key) < bounds[middle], part(low, middle)).otherwise(part(middle + 1, high))
-
-    return rows.repartitionById(n, F.when(F.col(key).isNull(), F.lit(0)).otherwise(part(0, len(bounds))))
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
     """Encode docs(doc_id, text) and write the token files to path."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = by_range(texts, "doc_id", partitions(docs.sparkSession)).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = by_range(texts, "doc_id", F.xxhash64("text"), partitions(docs.sparkSession))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, start = encoder(tokenizer_file), 0
