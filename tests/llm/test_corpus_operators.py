@@ -160,14 +160,77 @@ def test_binomial_is_exact():
         assert math.exp(quality_rules.log_binomial_cdf(k, n, p)) == pytest.approx(want)
 
 
-def test_certified_cutoffs():
-    good = np.zeros(quality_rules.BINS + 1, np.int64)
-    good[0] = 100
-    assert quality_rules.certified_cutoff(good, 0.004, 0.0025) == quality_rules.BINS + 1  # too few
-    good[0] = 5000
-    good[50] = 200
-    assert quality_rules.certified_cutoff(good, 0.004, 0.0025) == 51
-    assert quality_rules.certified_cutoff(good * 0, 0.004, 0.0025) == quality_rules.BINS + 1
+def test_certified_steps():
+    level = 0.05 / 4
+    least = quality_rules.fewest(level)
+    assert 0.98**least <= level < 0.98 ** (least - 1)
+    assert quality_rules.certified_steps(np.asarray([0, 0]), least - 1, level) == 0
+    assert quality_rules.certified_steps(np.asarray([0, 1, 1]), least, level) == 1
+    assert quality_rules.certified_steps(np.asarray([0, 5, 900]), 5000, level) == 2
+    assert quality_rules.certified_steps(np.asarray([0]), 0, level) == 0
+    assert quality_rules.strata_of({"a": 500, "b": 20, "c": 30}) == {"a": "a", "b": "pool", "c": "pool"}
+
+
+def brute_kept(docs, labels):
+    """kept of each row, by plain Python over all rows."""
+    bins = [r.asDict() for r in docs.select("doc_id", "text", "lang", quality_rules.measures(F.col("text")).alias("m")).select("doc_id", "text", "lang", "m.*").withColumn("base_failed", quality_rules.base_failed()).select("*", *quality_rules.bins()).collect()]
+    rules, said, good = list(quality_rules.RULES), defaultdict(list), {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            said[r.doc_id].append(r.quality == 1)
+    for r in bins:
+        if not r["base_failed"] and r["doc_id"] in said:
+            held = good.setdefault((r["lang"], r["text"]), [True, r])
+            held[0] &= all(said[r["doc_id"]])
+    trials = defaultdict(list)
+    for (lang, _), (fine, r) in good.items():
+        if fine:
+            trials[lang].append(r)
+    small = {s for s in trials if 0.98 ** len(trials[s]) > 0.05 / len(trials)}
+    groups = [{s} for s in trials if s not in small] + ([small] if small else [])
+    kept = {}
+    for group in groups:
+        passed = [r for r in bins if r["lang"] in group and not r["base_failed"]]
+        free = [r for r in passed if r["doc_id"] not in said]
+        bad = [r for r in passed if r["doc_id"] in said and not all(said[r["doc_id"]])]
+        tried = [r for s in group for r in trials[s]]
+        rate = len(bad) / (len(bad) + len(tried))
+
+        def loss(rule, c):
+            above = lambda rows: sum(x[f"bin_{rule}"] >= c for x in rows) / max(len(rows), 1)
+            return above(free) - rate * above(bad)
+
+        losses = {r: [loss(r, c) for c in range(202)] for r in rules}
+        best = None
+        for share in quality_rules.STEPS:
+            cuts = {r: next(c for c in range(1, 202) if max(losses[r][c:]) <= share + 1e-12) for r in rules}
+            lost = sum(any(x[f"bin_{r}"] >= cuts[r] for r in rules) for x in tried)
+            n = len(tried)
+            if sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(lost + 1)) > 0.05 / len(groups):
+                break
+            best = cuts
+        for s in group:
+            kept[s] = best
+    return [(r["doc_id"], not r["base_failed"] and not (kept.get(r["lang"]) and any(r[f"bin_{k}"] >= kept[r["lang"]][k] for k in rules))) for r in bins]
+
+
+def test_kept_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    labels = labels.unionByName(labels.filter("doc_id % 11 = 0").withColumn("quality", F.lit(0).cast(labels.schema["quality"].dataType)))
+    got = quality_rules.judge(docs, labels).collect()
+    assert Counter((r.doc_id, r.kept) for r in got) == Counter(brute_kept(docs, labels))
+    assert any(not r.kept and not r.base_failed for r in got)
+
+
+def test_false_rejections_on_unseen_labels(spark):
+    """Cutoffs from half of the labels turn away few good documents of the other half."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    got = quality_rules.judge(docs, labels.filter("doc_id % 2 = 0")).filter("NOT base_failed")
+    rows = got.join(labels.filter("doc_id % 2 = 1"), "doc_id").select("quality", "kept").collect()
+    assert np.mean([not r.kept for r in rows if r.quality == 1]) <= 0.02
+    assert np.mean([not r.kept for r in rows if r.quality == 0]) > 0.05
 
 
 def test_rules_keep_good_documents(spark):
@@ -179,11 +242,12 @@ def test_rules_keep_good_documents(spark):
         if i % 10 == 0:
             words = [w + "###" for w in words]
         rows.append((i, " ".join(words), "en" if i % 2 else None))
-        labels.append((i, 0 if i % 10 == 0 else 1))
+        if i < 2000:
+            labels.append((i, 0 if i % 10 == 0 else 1))
     docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
     got = {r.doc_id: r.kept for r in quality_rules.judge(docs, known).collect()}
     assert np.mean([got[i] for i in range(4000) if i % 10]) > 0.98
-    assert not any(got[i] for i in range(0, 4000, 10) if i % 2)
+    assert not any(got[i] for i in range(0, 4000, 10))
     kept = quality_rules.keep_good(docs, known)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
 
