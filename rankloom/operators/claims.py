@@ -183,8 +183,13 @@ def raw_contradictions(claims: DataFrame, similarity: float = SIMILARITY, tolera
     rows = claims.filter("attribute = 'raw_text'").withColumn("label", F.concat_ws(" ", "entity", "attribute"))
     labels = rows.select("label").distinct().withColumn("text", F.col("label"))
     v = V.embed(labels, "label", "text")
-    products = v.join(v.select(F.col("label").alias("other"), "bucket", F.col("w").alias("v")), "bucket").groupBy("label", "other").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    aligned = products.filter(F.round("dot", 9) >= similarity).select("label", "other")
+    # Without its most common buckets, of less than similarity in length, a unit vector still shares a bucket with any
+    # vector that it aligns with; so only the rest of one side is joined.
+    common = W.Window.partitionBy("label").orderBy(F.desc("n"), "bucket").rowsBetween(W.Window.unboundedPreceding, 0)
+    counted = v.join(v.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    rare = counted.withColumn("norm", F.sum(F.col("w") * F.col("w")).over(common)).filter(F.col("norm") >= similarity * similarity - 1e-9)
+    tried = rare.select("label", "bucket").join(v.select(F.col("label").alias("other"), "bucket"), "bucket").select("label", "other").distinct()
+    aligned = V.dot(tried, v, "label", v.withColumnRenamed("label", "other"), "other").filter(F.round("dot", 9) >= similarity).select("label", "other")
     a = rows.select("label", *[F.col(c).alias(f"{c}_a") for c in ("claim_id", "doc_id", "value")])
     b = rows.select(F.col("label").alias("other"), *[F.col(c).alias(f"{c}_b") for c in ("claim_id", "doc_id", "value")])
     both = a.join(aligned, "label").join(b, "other").filter("claim_id_a < claim_id_b AND doc_id_a <> doc_id_b")

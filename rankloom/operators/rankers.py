@@ -5,8 +5,11 @@ Every strategy is a lazy plan over all queries at once. Equal scores (to 6 place
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,31 +79,31 @@ def merge_tournament(pairs: DataFrame, candidates: DataFrame, probability: Colum
     lists = candidates.select("query_id", "doc_id", "pos")
     schema = T.StructType([lists.schema["query_id"], lists.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
-    def merge(key: tuple, docs: pd.DataFrame, won: pd.DataFrame) -> pd.DataFrame:
-        prob = {(a, b): x for a, b, x in zip(won["a"], won["b"], won["p"], strict=True)}
-        better = lambda x, y: prob[x, y] if (x, y) in prob else 1.0 - prob[y, x]
-
-        def sort(items: list) -> list:
-            if len(items) < 2:
-                return [[i, 0.0] for i in items]
-            left, right, out = sort(items[: len(items) // 2]), sort(items[len(items) // 2 :]), []
-            i = j = 0
-            while i < len(left) and j < len(right):
-                x = better(left[i][0], right[j][0])
-                if x >= 0.5:
-                    out.append([left[i][0], left[i][1] + x])
-                    right[j][1] += 1.0 - x
-                    i += 1
-                else:
-                    out.append([right[j][0], right[j][1] + 1.0 - x])
-                    left[i][1] += x
-                    j += 1
-            return out + left[i:] + right[j:]
-
-        ordered = sort(list(docs.sort_values("pos")["doc_id"]))
-        return pd.DataFrame([(key[0], d, s + len(ordered) - n) for n, (d, s) in enumerate(ordered)], columns=["query_id", "doc_id", "score"])
-
-    scored = lists.groupBy("query_id").cogroup(p.groupBy("query_id")).applyInPandas(merge, schema)
+    def ranked(key: tuple, docs: pd.DataFrame, won: pd.DataFrame) -> pd.DataFrame:
+        chance = {(a, b): x for a, b, x in zip(won["a"], won["b"], won["p"], strict=True)}
+        chance |= {(b, a): 1.0 - x for (a, b), x in chance.items()}
+        items = docs.sort_values("pos")["doc_id"].tolist()
+        credit = dict.fromkeys(items, 0.0)
+        # runs by their first place, joined level by level: the cuts halve the list until every run is one document
+        runs = {i: deque([d]) for i, d in enumerate(items)}
+        levels = [[0, len(items)]]
+        while max(np.diff(levels[-1]), default=0) > 1:
+            levels.append(sorted({*levels[-1], *((a + b) // 2 for a, b in pairwise(levels[-1]))}))
+        for cuts, finer in zip(levels[-2::-1], levels[:0:-1], strict=True):
+            for start in cuts[:-1]:
+                middle = finer[finer.index(start) + 1]
+                if middle not in cuts:
+                    left, right, out = runs[start], runs.pop(middle), deque()
+                    while left and right:
+                        x = chance[left[0], right[0]]
+                        credit[left[0]] += x
+                        credit[right[0]] += 1.0 - x
+                        out.append((left if x >= 0.5 else right).popleft())
+                    runs[start] = out + left + right
+        order = runs[0] if items else []
+        return pd.DataFrame([(key[0], d, credit[d] + len(items) - n) for n, d in enumerate(order)], columns=["query_id", "doc_id", "score"])
+
+    scored = lists.groupBy("query_id").cogroup(p.groupBy("query_id")).applyInPandas(ranked, schema)
     return rank(candidates.join(scored, ["query_id", "doc_id"]), "score")
 
 

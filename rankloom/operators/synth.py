@@ -11,7 +11,7 @@ SEED = 42
 #: Subjects of generated contradictions, with a field and two values.
 SUBJECTS = [
     ("Model2Vec Potion-8M", "latency_ms", "2", "7"),
-    ("HybridFusionReranker", "best_metric", "NDCG@10", "MRR"),
+    ("Fusion Ranker", "best_metric", "NDCG@10", "MRR"),
     ("Project Atlas", "release_year", "2025", "2026"),
     ("Northwind Clinic", "screening_status", "approved", "pending"),
     ("Potion-32M Embedder", "embedding_dim", "256", "512"),

@@ -112,13 +112,13 @@ def f06_fuzzy_contradictions(spark, sf):
     return C.fuzzy_contradictions(_event_claims(spark, sf)).select("claim_id_a", "claim_id_b", "attribute", "other")
 
 
-_RAWS = "rw AS (SELECT event_id AS claim_id, event_id AS doc_id, 'user ' || user_id || ' raw_text' AS label, CAST(CAST(round(value, 0) AS BIGINT) AS VARCHAR) AS value FROM events WHERE event_type = 'purchase')"
+_RAWS = "rw AS (SELECT event_id AS claim_id, event_id AS doc_id, 'user ' || user_id || ' raw_text' AS label, CAST(CAST(round(value, 0) AS BIGINT) AS VARCHAR) AS value FROM events)"
 
 
 @query(f"WITH {_RAWS}, nm AS (SELECT DISTINCT label, label AS text FROM rw), {R.sql_embedding('nm', 'label', 'text', 'e')}, pr AS (SELECT a.label, b.label AS other FROM e a JOIN e b ON a.bucket = b.bucket GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.95e0) SELECT a.claim_id AS claim_id_a, b.claim_id AS claim_id_b FROM rw a JOIN pr USING (label) JOIN rw b ON b.label = pr.other AND a.claim_id < b.claim_id WHERE abs(CAST(a.value AS DOUBLE) - CAST(b.value AS DOUBLE)) > 0.01e0")
 def f07_raw_contradictions(spark, sf):
     """raw-text claims whose labels align."""
-    e = R.table(spark, sf, "events").filter("event_type = 'purchase'")
+    e = R.table(spark, sf, "events")
     claims = e.select(F.col("event_id").alias("claim_id"), F.col("event_id").alias("doc_id"), F.concat(F.lit("user "), F.col("user_id")).alias("entity"), F.lit("raw_text").alias("attribute"), F.round("value", 0).cast("bigint").cast("string").alias("value"))
     return C.raw_contradictions(claims).select("claim_id_a", "claim_id_b")
 

@@ -176,7 +176,7 @@ def c14_compression(spark, sf):
     return size.select(F.explode(F.array(*modes)).alias("m")).select("m.*")
 
 
-_PERM = 16
+_PERM = 128
 _GRAMS = f"g AS (SELECT DISTINCT id, unnest({R.sql_grams('text')}) AS gram FROM t), h AS (SELECT gram, p AS perm, substr(sha256(gram || '|' || p), 1, 16) AS h FROM (SELECT DISTINCT gram FROM g), range(0, {_PERM}) AS r(p)), s AS (SELECT id, perm, least(min(h), '{V.SENTINEL}') AS h FROM g JOIN h USING (gram) GROUP BY ALL)"
 
 

@@ -27,8 +27,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def retrieved(spark: SparkSession, sf: str, k: int = RETRIEVED) -> DataFrame:
     """(query_id, doc_id, bm25, pos): each query's first k documents by BM25 over the whole corpus."""
-    scores = bm25.search(questions(spark, sf), corpus(spark, sf))
-    return bm25.rank(scores, "bm25", "doc_id", k).withColumnRenamed("rank", "pos")
+    return bm25.top(questions(spark, sf), corpus(spark, sf), k).withColumnRenamed("rank", "pos")
 
 
 def candidates(spark: SparkSession, sf: str, k: int = RETRIEVED) -> DataFrame:

@@ -25,7 +25,7 @@ def test_extraction(spark):
     got = found(spark, "For Project Atlas, release-year remains 2026; latency_ms for Model2Vec Potion-8M is 7.")
     assert ("Project Atlas", "release_year", "2026") in got and ("Model2Vec Potion-8M", "latency", "7") in got
     assert ("Project Atlas", "release_year", "2025") in found(spark, "Project Atlas is set to release in 2025.")
-    assert ("HybridFusionReranker", "best_metric", "NDCG@10") in found(spark, "The best metric for the HybridFusionReranker is NDCG@10.")
+    assert ("Fusion Ranker", "best_metric", "NDCG@10") in found(spark, "The best metric for the Fusion Ranker is NDCG@10.")
     assert found(spark, "nothing stated here") == {("0", "raw_text", "nothing stated here")}
     assert found(spark, None) == {("0", "raw_text", "")}
 
