@@ -8,12 +8,15 @@ probabilities of all known words and the unknown word sum to 1, and the model's
 word counts stay distributed, whatever the vocabulary.
 
 Steps: (1) each task cuts its documents into blocks of a bounded size, numbers a block's words, and writes the
-documents as word numbers and classes, and the block's vocabulary with its training counts; (2) one shuffle on words
-gives every vocabulary row its corpus count; (3) states start from a short fit on a bounded sample of training
-documents and are then trained on all of them, on segments of at most SEGMENT tokens: each task sums expected
-counts, which are added up by class across tasks; (4) documents meet their block's vocabulary and get the exact
+documents as word numbers and classes, and the block's vocabulary with its training counts; (2) counts are summed by
+word (in each task first) and joined back to the vocabularies, those of words in many blocks by a broadcast of bounded
+size; (3) states are trained on all training documents by ROUNDS rounds of Baum-Welch over whole texts: each task sums
+expected counts, which are added up by class across tasks; (4) documents meet their block's vocabulary and get the exact
 likelihood of their whole text by the scaled forward recursion.
 
+A task runs its documents in step. Memory is bounded whatever the length of a text: forward messages are kept at every
+STRETCH_TOKENS tokens only, and computed again stretch by stretch while the backward messages are carried from the end.
+
 Defined cases: a null or empty text is the end token alone; a null doc_id is in the training part; repeated rows
 count and are scored each; other columns are not looked at; if nothing is in the training part every word is
 unknown and both scores are those of the unknown word alone; an empty table gives no rows.
@@ -30,19 +33,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from .common import hash_sample, materialize
+from .common import join_counted, materialize
 
 STATES = 8
 CLASSES = 8192
 ENDING = 4
 LONGEST_OWN = 6
-ROUNDS = 4
-WARM_DOCS = 1000
-WARM_ROUNDS = 20
-SEGMENT = 256
-BATCH_TOKENS = 500_000
+ROUNDS = 6
+BATCH_TOKENS = 1_500_000
+STRETCH_TOKENS = 1_500_000
 BLOCK_BYTES = 10 << 20
 PRIOR = 100.0
 SCHEMA = "kind int, block bigint, doc_id bigint, held_out boolean, ids binary, classes binary, word binary, number int, class int, train_count bigint"
@@ -128,54 +128,61 @@ class Hmm:
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def segments(sequences: list[np.ndarray], most: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols in one array; starts and lengths of segments, longest first; whether each begins its text."""
-    flat = np.concatenate(sequences)
-    starts, sizes, heads, at = [], [], [], 0
-    for s in sequences:
-        for i in range(0, len(s), most):
-            starts.append(at + i)
-            sizes.append(min(most, len(s) - i))
-            heads.append(i == 0)
-        at += len(s)
-    sizes = np.asarray(sizes)
-    order = np.argsort(-sizes, kind="stable")
-    return flat, np.asarray(starts)[order], sizes[order], np.asarray(heads)[order]
+def _stretches(alive: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs (first, last + 1) of steps with at most most tokens together (one step at least)."""
+    ends, out, start = np.cumsum(alive), [], 0
+    while start < len(alive):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        out.append((start, stop))
+        start = stop
+    return out
 
 
-def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of starts, moves and emissions over the sequences' segments, all segments in step."""
-    flat, starts, sizes, heads = segments(sequences)
+def expected_counts(model: Hmm, sequences: list[np.ndarray], stretch: int = STRETCH_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts of starts, moves and emissions over whole sequences, all of them in step."""
+    sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    order = np.argsort(-sizes, kind="stable")
+    sizes, flat = sizes[order], np.concatenate([sequences[i] for i in order.tolist()])
+    starts = np.cumsum(sizes) - sizes
     move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
-    states = len(move)
-    anywhere = np.full(states, 1 / states, np.float32)
-    longest = int(sizes[0])
-    alive = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")  # segments longer than t
-    forward = np.empty((len(flat), states), np.float32)
-    scale = np.empty(len(flat), np.float32)
-    a = np.where(heads[:, None], model.start.astype(np.float32), anywhere)
-    for t in range(longest):
-        at = starts[: alive[t]] + t
-        a = (a[: alive[t]] if t == 0 else a[: alive[t]] @ move) * emit[flat[at]]
-        c = a.sum(1)
-        a /= c[:, None]
-        forward[at], scale[at] = a, c
-    moves = np.zeros((states, states))
-    b = np.ones((0, states), np.float32)
-    for t in range(longest - 1, -1, -1):
-        at = starts[: alive[t]] + t
-        if t < longest - 1:
-            later = at[: alive[t + 1]] + 1
-            x = emit[flat[later]] * b / scale[later][:, None]
-            moves += forward[at[: alive[t + 1]]].T @ x
-            b = np.concatenate([x @ move.T, np.ones((alive[t] - alive[t + 1], states), np.float32)])
-        else:
-            b = np.ones((alive[t], states), np.float32)
-        if t == 0:
-            begun = (forward[at] * b)[heads].sum(0, dtype=np.float64)
-        forward[at] *= b  # from here on the state's probability at that token
-    emitted = np.stack([np.bincount(flat, forward[:, k], len(emit)) for k in range(states)], axis=1)
-    return begun, moves * move, emitted
+    states, longest = len(move), int(sizes[0])
+    alive = np.searchsorted(-sizes, -np.arange(1, longest + 2), side="right")  # sequences longer than t
+    steps = _stretches(alive[:-1], stretch)
+
+    def forward(a: np.ndarray, first: int, stop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The symbols, states' probabilities and scale of each step, from the probabilities a of the step before."""
+        for t in range(first, stop):
+            n = alive[t]
+            symbols = flat[starts[:n] + t]
+            a = (a[:n] @ move if t else a) * emit[symbols]
+            c = a.sum(1, keepdims=True)
+            a = a / c
+            yield symbols, a, c
+
+    saved = [np.tile(model.start.astype(np.float32), (len(sizes), 1))]
+    for first, stop in steps[:-1]:
+        for _, a, _ in forward(saved[-1], first, stop):
+            pass
+        saved.append(a)
+    moves, emitted = np.zeros((states, states)), np.zeros((len(emit), states))
+    b, later = np.ones((0, states), np.float32), None
+    for (first, stop), a in zip(reversed(steps), reversed(saved), strict=True):
+        held = list(forward(a, first, stop))
+        seen = []
+        for t in range(stop - 1, first - 1, -1):
+            symbols, a, c = held[t - first]
+            if later is not None and alive[t + 1]:
+                x = emit[later[0]] * b / later[1]
+                moves += a[: alive[t + 1]].T @ x
+                b = x @ move.T
+            b = np.concatenate([b, np.ones((alive[t] - len(b), states), np.float32)])
+            later = (symbols, c)
+            seen.append((symbols, a * b))
+        which, weight = np.concatenate([s for s, _ in seen]), np.concatenate([w for _, w in seen])
+        for k in range(states):
+            emitted[:, k] += np.bincount(which, weight[:, k], len(emit))
+    return seen[-1][1].sum(0, dtype=np.float64), moves * move, emitted
 
 
 def log_likelihoods(model: Hmm, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -235,13 +242,10 @@ def baum_welch(train: DataFrame, model: Hmm, frequency: np.ndarray) -> Hmm:
 
 def fit(documents: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS) -> Hmm:
     """documents(doc_id, held_out, classes) of all blocks; frequency: the classes' shares of the training tokens."""
-    train = documents.filter("NOT held_out").select("doc_id", "classes")
-    warm = [np.frombuffer(r[0], np.uint16) for r in hash_sample(train, "doc_id", WARM_DOCS, train.count()).select("classes").collect()]
+    train = documents.filter("NOT held_out").select("classes")
     model = Hmm.first(frequency)
-    for _ in range(WARM_ROUNDS if warm else 0):
-        model = Hmm.of_counts(*expected_counts(model, warm), frequency)
     for _ in range(rounds):
-        model = baum_welch(train.select("classes"), model, frequency)
+        model = baum_welch(train, model, frequency)
     return model
 
 
@@ -250,10 +254,11 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     blocks = materialize(texts.mapInArrow(_blocks, SCHEMA), "lm-blocks", compression="zstd")
     documents = blocks.filter("kind = 0")
-    by_word = W.Window.partitionBy("word")
-    words = blocks.filter("kind = 1").select("block", "number", "class", F.sum("train_count").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
-    words = materialize(words, "lm-words")
-    seen = words.filter("first AND c > 0").groupBy("class").agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("int")), F.sum((F.col("c") == 2).cast("int")))
+    listed = blocks.filter("kind = 1").select("word", "block", "number", "class", "train_count")
+    counts = materialize(listed.groupBy("word", "class").agg(F.sum("train_count").alias("c"), F.count("*").alias("n")), "lm-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = join_counted(listed.drop("class"), counts, "word", total).select("block", "number", "class", "c")
+    seen = counts.filter("c > 0").groupBy("class").agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("int")), F.sum((F.col("c") == 2).cast("int")))
     in_class, kinds, once, twice = np.zeros((4, CLASSES))
     for k, *figures in seen.collect():
         in_class[k], kinds[k], once[k], twice[k] = figures
@@ -281,6 +286,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         found = log_likelihoods(hmm, symbol[flat], starts, sizes) / np.log(10) + per_text(share)
         return pa.table([texts.column("doc_id"), texts.column("held_out"), pa.array(sizes), pa.array(per_text(known.astype(np.int64))), pa.array(np.full(len(ids), n, np.int64)), pa.array(per_text(base)), pa.array(found)], names=[x.split()[0] for x in OUTPUT.split(", ")])
 
+    words = materialize(words, "lm-words")
     left = documents.select("block", "doc_id", "held_out", "ids").groupBy("block")
     right = words.select("block", "number", "class", "c").groupBy("block")
     return left.cogroup(right).applyInArrow(score_block, OUTPUT)

@@ -335,6 +335,67 @@ def test_forward_recursion_equals_all_paths():
     assert sum(language_model.log_likelihoods(better, flat, np.cumsum(sizes) - sizes, sizes)) > before
 
 
+def plain_counts(model, texts):
+    """Forward-backward by its textbook recursions, unscaled, one text at a time."""
+    k = len(model.start)
+    start, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
+    for text in texts:
+        alpha = [model.start * model.emit[text[0]]]
+        for x in text[1:]:
+            alpha.append((alpha[-1] @ model.move) * model.emit[x])
+        beta = [np.ones(k)]
+        for x in reversed(text[1:]):
+            beta.append(model.move @ (model.emit[x] * beta[-1]))
+        beta, p = beta[::-1], alpha[-1].sum()
+        start += alpha[0] * beta[0] / p
+        for t, x in enumerate(text):
+            emitted[x] += alpha[t] * beta[t] / p
+            if t:
+                moves += alpha[t - 1][:, None] * model.move * (model.emit[x] * beta[t])[None] / p
+    return start, moves, emitted
+
+
+@pytest.mark.parametrize("stretch", [10**6, 7, 1])
+def test_expected_counts_equal_brute_force(stretch):
+    rng = np.random.default_rng(4)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    model = language_model.Hmm(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((6, 3)), 0))
+    texts = [rng.integers(0, 6, n).astype(np.uint16) for n in (1, 40, 3, 3, 17)]
+    for got, want in zip(language_model.expected_counts(model, texts, stretch), plain_counts(model, texts)):
+        assert got == pytest.approx(want, rel=1e-3, abs=1e-4)
+
+
+def test_score_end_to_end(spark):
+    """score of every text by plain Python: counts, classes, all rounds of Baum-Welch and the forward recursion."""
+    rng = np.random.default_rng(9)
+    words = [f"{a}{b}" for a in ("run", "sit", "go", "think", "wander") for b in ("", "s", "ing", "ed")]
+    docs = [(i, " ".join(rng.choice(words, rng.integers(0, 30))) or None) for i in range(40)] + [(40, "zebra Run RUNS"), (None, "go go")]
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    tokens = {i: [*(t or "").lower().encode().split(), b""] for i, t in docs}
+    counts = Counter(x for i, ts in tokens.items() if not held[i] for x in ts)
+    n, v = sum(counts.values()), len(counts)
+    of = language_model.class_of
+    size, kinds = np.zeros(language_model.CLASSES), np.zeros(language_model.CLASSES)
+    for w, c in counts.items():
+        size[of(w)] += c
+        kinds[of(w)] += 1
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+    model = language_model.Hmm.first(size / n)
+    train = [[of(w) for w in tokens[i]] for i in tokens if not held[i]]
+    for _ in range(language_model.ROUNDS):
+        model = language_model.Hmm.of_counts(*plain_counts(model, train), size / n)
+    unknown = (model.emit * (d * kinds / np.maximum(size, 1))[:, None]).sum(0)
+    rows = {r.doc_id: r for r in language_model.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, ts in tokens.items():
+        a, p = model.start, 0.0
+        for t, w in enumerate(ts):
+            e = model.emit[of(w)] * (counts[w] - d) / size[of(w)] if w in counts else unknown
+            a = (a if t == 0 else a @ model.move) * e
+            p, a = p + math.log10(a.sum()), a / a.sum()
+        assert rows[i].score == pytest.approx(p, rel=1e-4) and rows[i].n_known == sum(w in counts for w in ts)
+
+
 def test_model_is_a_distribution(spark):
     docs = spark.createDataFrame([(i, "a b a c d e f g") for i in range(30)] + [(100 + i, w) for i, w in enumerate(["a", "b", "c", "d", "e", "f", "g", "zzz"])], "doc_id long, text string")
     rows = {r.doc_id: r for r in language_model.score(docs).collect()}
