@@ -73,6 +73,12 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> Dat
     return left.join(broad, key).unionByName(spread)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """join_counted with the counts taken from left, a staged table; right has one row for each key, and no column n."""
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    return join_counted(left, right.join(counts.hint("merge"), key), key, left.count()).drop("n")
+
+
 def by_range(rows: DataFrame, key: str, tie: Column, n: int, keys: DataFrame | None = None) -> DataFrame:
     """rows in n partitions by ascending (key, tie), nulls first, sorted inside. tie is a hash: a key with more rows
     than a partition should have is cut at equal steps of it. Bounds are quantiles of the key column alone; Spark's own

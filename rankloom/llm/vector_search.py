@@ -3,48 +3,53 @@
 Vectors are integers, floor(256 * x). They are dealt by hash to blocks; a block's approximation file has, for each
 dimension, a grid of CELLS equal cells between the block's own least and greatest value, and one byte a component: the
 cell. A query's inner product with any point of a cell box lies within sums of products with the boxes' middles and
-half widths, so scanning one block gives every candidate an upper and a lower bound. A candidate survives its block if
-its upper bound reaches the k-th greatest lower bound there, and survives altogether if it reaches that of all blocks.
-Exact vectors are then read in order of the upper bounds: first READ_FIRST a query; then only those whose upper bound
-still reaches the k-th exact score found, after which the result is certain.
+half widths, so scanning one block gives every candidate an upper and a lower bound. Files are scanned in groups; a
+candidate survives its group if its upper bound reaches the k-th greatest lower bound there, and survives altogether if
+it reaches that of all groups. Exact vectors are then read in order of the upper bounds: first READ_FIRST a query; then
+only those whose upper bound still reaches the k-th exact score found, after which the result is certain.
 
-Queries are taken in blocks against the blocks of all candidates; both sides of that work are dealt by pairs of block
-numbers, and neither is gathered or broadcast.
+A unit of work is a group of files, of up to GROUP_BYTES, against a part of up to QUERY_PART queries. Files are copied
+once for each part of the queries, a fiftieth of the rows by the contract, and queries once for each group; both sides are
+dealt by these numbers, and neither is gathered or broadcast. Survivors of one query are never brought together: the first
+ones are picked with partial limits, and a query's bounds are joined to its survivors where they are if they are many.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without vec_id, take no part;
+neither do vectors whose integer form has a length of 2^31 or more, whose scores a 64-bit integer couldn't hold;
 rows with one vec_id are one vector (the smallest in array order); vectors meet those of equal length only; equal
-scores go to the smaller vec_id; fewer than k candidates are all returned; other columns are not looked at; an empty
-table gives no rows. Scores are exact below 2^53.
+scores go to the smaller vec_id; fewer than k candidates are all returned; other columns are not looked at; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialize
+from .common import join_hot, materialize, partitions
 
 K = 5
 SCALE = 256
 CELLS = 64
 BLOCK = 4096
-QUERY_BLOCK = 512
-QUERY_GROUP = 8
+GROUP_BYTES, GROUP_BLOCKS = 32 << 20, 64
+QUERY_PART = 8192
+#: Queries that are scanned at a time.
+QUERY_STEP = 512
 READ_FIRST = 12
+LONGEST = float(1 << 31)
 
 
 def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     """id, v (array<bigint>), dim, from rows(vec_id, embedding)."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~bad)
-    v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint"))
-    return good.select(F.col("vec_id").cast("bigint").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
+    square = F.aggregate(whole, F.lit(0.0), lambda s, x: s + x * x)
+    good = good.select(F.col("vec_id").cast("bigint").alias("id"), F.when(square < LONGEST * LONGEST, whole).alias("v")).filter("v IS NOT NULL")
+    return good.select("id", F.transform("v", lambda x: x.cast("bigint")).alias("v")).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +70,8 @@ def _approximate(table: pa.Table) -> pa.Table:
 
 def _exact(table: pa.Table) -> pa.Table:
     ids, v = _matrix(table)
-    one = {"dim": table.column("dim")[0].as_py(), "query_block": table.column("query_block")[0].as_py(), "query_ids": ids.tobytes(), "queries": v.astype(np.int64).tobytes()}
-    return pa.Table.from_pylist([one], pa.schema([("dim", pa.int32()), ("query_block", pa.int32()), ("query_ids", pa.binary()), ("queries", pa.binary())]))
+    one = {"dim": table.column("dim")[0].as_py(), "part": table.column("part")[0].as_py(), "query_ids": ids.tobytes(), "queries": v.astype(np.int32).tobytes()}
+    return pa.Table.from_pylist([one], pa.schema([("dim", pa.int32()), ("part", pa.int32()), ("query_ids", pa.binary()), ("queries", pa.binary())]))
 
 
 def bounds(queries: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,53 +82,77 @@ def bounds(queries: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.nd
 
 
 def _scan(k: int):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                ids, query_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.query_ids, np.int64)
-                cells = np.frombuffer(r.cells, np.uint8).reshape(len(ids), r.dim)
-                queries = np.frombuffer(r.queries, np.int64).reshape(len(query_ids), r.dim).astype(np.float64)
-                lower, upper = bounds(queries, np.frombuffer(r.low), np.frombuffer(r.width), cells)
-                own = query_ids[:, None] == ids[None, :]
-                lower[own], upper[own] = -np.inf, -np.inf
-                kth = np.partition(lower, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(query_ids), -np.inf)
-                q, c = np.nonzero((upper >= kth[:, None]) & ~own)
-                yield pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[c], "lower": lower[q, c], "upper": upper[q, c]})
+    def scan(files: pa.Table, asked: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2]
+        for r in asked.to_pylist():
+            query_ids = np.frombuffer(r["query_ids"], np.int64)
+            queries = np.frombuffer(r["queries"], np.int32).reshape(len(query_ids), r["dim"])
+            for first in range(0, len(query_ids), QUERY_STEP):
+                found.append(_survivors(files, query_ids[first : first + QUERY_STEP], queries[first : first + QUERY_STEP].astype(np.float64), k))
+        return pa.table([np.concatenate(x) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "lower", "upper"])
 
     return scan
 
 
+def _survivors(files: pa.Table, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """query_id, vec_id, lower, upper of candidates that reach the k-th greatest lower bound of all these files."""
+    best = np.full((len(query_ids), k), -np.inf)  # the k greatest lower bounds so far
+    found = []
+    for i in range(files.num_rows):
+        ids, cells, low, width = (np.frombuffer(files.column(c)[i].as_py(), t) for c, t in (("ids", np.int64), ("cells", np.uint8), ("low", np.float64), ("width", np.float64)))
+        lower, upper = bounds(queries, low, width, cells.reshape(len(ids), -1))
+        own = query_ids[:, None] == ids[None, :]
+        lower[own], upper[own] = -np.inf, -np.inf
+        both = np.concatenate([best, lower], axis=1)
+        best = -np.partition(-both, k - 1, axis=1)[:, :k]
+        q, c = np.nonzero((upper >= best.min(1)[:, None]) & ~own)
+        found.append((q, ids[c], lower[q, c], upper[q, c]))
+    q, c, lower, upper = (np.concatenate(x) for x in zip(*found, strict=True))
+    alive = upper >= best.min(1)[q]
+    return query_ids[q[alive]], c[alive], lower[alive], upper[alive]
+
+
 def _scores(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    named = pairs.join(vectors.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    """pairs, a staged table, with score."""
+    named = materialize(join_hot(pairs, vectors.select(F.col("id").alias("vec_id"), "v"), "vec_id"), "va-named")
+    named = join_hot(named, queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return named.select("query_id", "vec_id", "upper", product.alias("score"))
 
 
+def _first(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """The first n rows of each query, with their place; the limit acts in each task before the shuffle."""
+    order = W.Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id")
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+
+
 def top_k(rows: DataFrame, is_query: str, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a condition on vec_id (named id there)."""
     vectors = materialize(integer_vectors(rows, scale), "vectors")
     queries = vectors.filter(is_query)
     n, m = vectors.count(), queries.count()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    groups = max(1, -(-blocks // QUERY_GROUP))
+    dim = vectors.agg(F.coalesce(F.max("dim"), F.lit(1))).first()[0]
+    blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_PART))
+    fewest = -(-2 * partitions(rows.sparkSession) // parts)  # groups that keep all tasks busy
+    together = max(1, min(GROUP_BLOCKS, GROUP_BYTES // (BLOCK * max(dim, 1)), blocks // fewest))
+    groups = -(-blocks // together)
     files = vectors.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(_approximate, "dim int, block int, ids binary, low binary, width binary, cells binary")
-    asked = queries.withColumn("query_block", F.pmod(F.xxhash64("id", F.lit("query")), F.lit(query_blocks)).cast("int")).groupBy("dim", "query_block").applyInArrow(_exact, "dim int, query_block int, query_ids binary, queries binary")
-    files = materialize(files, "va-files").withColumn("group", F.col("block") % groups).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = materialize(asked, "va-queries").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    work = files.join(asked, ["dim", "query_block", "group"])
-    alive = materialize(work.mapInPandas(_scan(k), "query_id long, vec_id long, lower double, upper double"), "va-alive")
-    by_lower = W.Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id")
-    kth = alive.withColumn("n", F.row_number().over(by_lower)).filter(F.col("n") == k).select("query_id", F.col("lower").alias("kth"))
-    alive = alive.join(kth, "query_id", "left").filter(F.col("kth").isNull() | (F.col("upper") >= F.col("kth")))
-    by_upper = W.Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
-    alive = materialize(alive.select("query_id", "vec_id", "upper", F.row_number().over(by_upper).alias("n")), "va-survivors")
-    by_score = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    read = materialize(_scores(alive.filter(F.col("n") <= max(READ_FIRST, k)), vectors, queries), "va-read")
-    kth = read.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") == k).select("query_id", F.col("score").alias("kth"))
-    rest = alive.filter(F.col("n") > max(READ_FIRST, k)).join(kth, "query_id").filter(F.col("upper") >= F.col("kth"))
-    scored = read.unionByName(_scores(rest.select("query_id", "vec_id", "upper"), vectors, queries))
-    ranked = scored.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    asked = queries.withColumn("part", F.pmod(F.xxhash64("id", F.lit("query")), F.lit(parts)).cast("int")).groupBy("dim", "part").applyInArrow(_exact, "dim int, part int, query_ids binary, queries binary")
+    files = materialize(files, "va-files").withColumn("grp", F.col("block") % groups).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = materialize(asked, "va-queries").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    work = files.groupBy("dim", "part", "grp").cogroup(asked.groupBy("dim", "part", "grp"))
+    alive = materialize(work.applyInArrow(_scan(k), "query_id long, vec_id long, lower double, upper double"), "va-alive")
+    kth = _first(alive, "lower", k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).otherwise(F.lit(float("-inf"))).alias("kth"))
+    alive = materialize(join_hot(alive, kth, "query_id").filter("upper >= kth").select("query_id", "vec_id", "upper"), "va-survivors")
+    first = materialize(_first(alive, "upper", max(READ_FIRST, k)), "va-first")
+    read = materialize(_scores(first.select("query_id", "vec_id", "upper"), vectors, queries), "va-read")
+    kth = _first(read, "score", k).groupBy("query_id").agg(F.min("score").alias("kth"))
+    last = first.groupBy("query_id").agg(F.max_by(F.struct("upper", "vec_id"), "place").alias("last"))
+    unread = (F.col("upper") < F.col("last.upper")) | ((F.col("upper") == F.col("last.upper")) & (F.col("vec_id") > F.col("last.vec_id")))
+    rest = join_hot(alive, kth.join(last, "query_id"), "query_id").filter(unread & (F.col("upper") >= F.col("kth")))
+    rest = materialize(rest.select("query_id", "vec_id", "upper"), "va-rest")
+    scored = read.unionByName(_scores(rest, vectors, queries))
+    return _first(scored, "score", k).select("query_id", F.col("place").alias("rank"), "vec_id", "score")
 
 
 ORACLE_SQL = f"""

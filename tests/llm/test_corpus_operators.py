@@ -421,9 +421,11 @@ def test_vector_search_awkward(spark):
     rows += [(1000, None), (1050, [1.0, None] + [0.0] * 6), (1100, [float("nan")] + [0.0] * 7), (1150, [float("inf")] + [0.0] * 7), (None, [0.0] * 8)]
     rows += [(2000 + i, [0.5, -0.5]) for i in range(3)] + [(2050, [1.0, 1.0])] + [(301, rows[7][1])] * 2 + [(302, [1e6] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0))
+    rows += [(400, [1e18] + [0.0] * 7), (401, [-3e38] * 8), (402, [8e6] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0))
     vectors = {}
     for i, e in rows:
-        if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
+        if i not in (400, 401) and i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
             vectors[i] = [math.floor(256 * float(np.float32(x))) for x in e]
     want = set()
     for q, a in vectors.items():
