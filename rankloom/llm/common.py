@@ -62,12 +62,17 @@ def join_small(left: DataFrame, small: DataFrame, key: str, how: str = "left") -
     return left.withColumn("__salt", (F.rand(7) * SALTS).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
 
 
+def hot_from(total: int) -> int:
+    """A key with more rows than this, of total rows, is hot; at most BROADCAST_ROWS keys are."""
+    return max(HOT_ROWS, total // BROADCAST_ROWS)
+
+
 def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of left, of about total rows, with right, which has one row for each key and in column n the number
     of left's rows with that key. Rows of a hot key stay where they are: their right side is broadcast, and there are at
     most BROADCAST_ROWS hot keys, since each has more than total / BROADCAST_ROWS of the rows. All other keys are
     shuffled, none of them with a large share. left is read twice, so it should be a staged table."""
-    hot = F.col("n") > max(HOT_ROWS, total // BROADCAST_ROWS)
+    hot = F.col("n") > hot_from(total)
     broad = F.broadcast(right.filter(hot))
     spread = left.join(broad.select(key), key, "left_anti").join(right.filter(~hot).hint("merge"), key)
     return left.join(broad, key).unionByName(spread)
@@ -76,7 +81,10 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> Dat
 def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """join_counted with the counts taken from left, a staged table; right has one row for each key, and no column n."""
     counts = left.groupBy(key).agg(F.count("*").alias("n"))
-    return join_counted(left, right.join(counts.hint("merge"), key), key, left.count()).drop("n")
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most <= hot_from(total):
+        return left.join(right, key)
+    return join_counted(left, right.join(counts.hint("merge"), key), key, total).drop("n")
 
 
 def by_range(rows: DataFrame, key: str, tie: Column, n: int, keys: DataFrame | None = None) -> DataFrame:

@@ -1,16 +1,18 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-Every line of every file is compared with every template, and so is the file as a whole. Words are runs of ASCII
-letters and digits of the lower-cased text; a word's inverse document frequency is counted over all files; words in no
-template share one weight, the mean of the templates' words. Only lines that could reach the threshold are exploded:
-a line without any of a template's heavier words, which are left when its lightest words with less than threshold
-squared of its squared norm are set aside, cannot. So the filter loses nothing.
-
-A file declares the licence of its best line from LINE_COSINE on. A licence file is one whose whole text reaches
-FILE_COSINE, by whatever name, or whose name says so and one of whose lines does. A directory has the licence of its
-best licence file (then the smallest path); a file that declares nothing inherits from its nearest ancestor directory
-that has one. Directories, not files, are joined with their ancestors; files then get their directory's answer by a
-counted broadcast, salted beyond its bound, so a directory with a third of all files stays spread.
+A file's parts are its lines, its blocks (runs of lines up to one without a letter or digit, so a wrapped header, or a
+paragraph of a licence, is one) and the whole file; each is compared with every template, of which a licence has several
+(see license_texts). Words are runs of ASCII letters and digits of the lower-cased text; a word's inverse document
+frequency is counted over all files; words in no template share one weight, the mean of the templates' words. Only parts
+that could reach the threshold are exploded: one without any of a template's heavier words, which are left when its
+lightest words with less than threshold squared of its squared norm are set aside, cannot. So the filter loses nothing.
+
+A file declares the licence of its best line or block from PART_COSINE on, or of its whole text from FILE_COSINE on. It is
+a licence file if its name says so and it declares a licence, or if its whole text, of FILE_WORDS words or more, reaches
+FILE_COSINE, that is if it holds little else. A directory has the licence of its best licence file (then the smallest
+path); a file that declares nothing inherits from its nearest ancestor directory that has one. Directories, not files, are
+joined with their ancestors; files then get their directory's answer by a counted broadcast, salted beyond its bound, so a
+directory with a third of all files stays spread.
 
 Defined cases: a null or empty text declares nothing; a null path lies in no directory and inherits nothing; files with
 the same path and text count as one file in their own scan and each keep their row; equal cosines go to the smaller
@@ -20,30 +22,25 @@ output are replaced.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_small, materialize, text_key
+from .license_texts import TEMPLATES
 
-LINE_COSINE = 0.8
-FILE_COSINE = 0.5
+PART_COSINE = 0.8
+FILE_COSINE = 0.9
+FILE_WORDS = 20
 WORD = "[a-z0-9]+"
+#: Lines without a letter or digit, between blocks.
+GAP = r"\n(?:[^A-Za-z0-9\n]*\n)+"
 NAMED = r"(?i)(^|/)(un)?(licen[sc]e|copying|notice)[^/]*$"
-
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+Templates = dict[str, list[str]]
 
 
 def words(text: str) -> list[str]:
@@ -54,9 +51,9 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
-def document_frequencies(files: DataFrame, templates: dict[str, str]) -> tuple[int, dict[str, int]]:
+def document_frequencies(files: DataFrame, templates: Templates) -> tuple[int, dict[str, int]]:
     """Files, and for each word of the templates the files that hold it."""
-    vocabulary = sorted({w for t in templates.values() for w in words(t)})
+    vocabulary = sorted({w for variants in templates.values() for t in variants for w in words(t)})
     found = F.array_intersect(_words(F.col("text")), F.array(*map(F.lit, vocabulary)))
     counts = files.filter("text IS NOT NULL").select(F.explode(found).alias("word")).groupBy("word").count().collect()
     return files.count(), {w: 0 for w in vocabulary} | {r[0]: r[1] for r in counts}
@@ -65,14 +62,15 @@ def document_frequencies(files: DataFrame, templates: dict[str, str]) -> tuple[i
 class Weights:
     """Inverse document frequencies, and the templates as unit vectors."""
 
-    def __init__(self, n: int, df: dict[str, int], templates: dict[str, str]) -> None:
+    def __init__(self, n: int, df: dict[str, int], templates: Templates) -> None:
         self.idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in df.items()}
         self.other = sum(self.idf.values()) / max(len(self.idf), 1)
-        self.templates: dict[str, dict[str, float]] = {}
-        for name, text in sorted(templates.items()):
-            weight = {w: c * self.idf[w] for w, c in Counter(words(text)).items()}
-            norm = math.sqrt(sum(x * x for x in weight.values()))
-            self.templates[name] = {w: x / norm for w, x in weight.items()}
+        self.templates: dict[tuple[str, int], dict[str, float]] = {}
+        for name, variants in sorted(templates.items()):
+            for i, text in enumerate(variants):
+                weight = {w: c * self.idf[w] for w, c in Counter(words(text)).items()}
+                norm = math.sqrt(sum(x * x for x in weight.values()))
+                self.templates[name, i] = {w: x / norm for w, x in weight.items()}
 
     def needed(self, cosine: float) -> list[str]:
         """Words of which a text must hold one to reach this cosine with some template."""
@@ -90,23 +88,39 @@ def _holds(text: Column, some: list[str]) -> Column:
     return F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(some)})(?![a-z0-9])")
 
 
-def cosines(files: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """__path, __text, line, license, cosine for whole texts (line -1) and lines that could reach least. The templates'
-    words, a bounded parameter, are broadcast."""
-    some = weights.needed(least)
+def parts_of(files: DataFrame, some: list[str]) -> DataFrame:
+    """__path, __text, kind ('line', 'block', 'file'), at and part, of parts that hold one of some words."""
     texts = files.filter("text IS NOT NULL").filter(_holds(F.col("text"), some)).select("__path", F.xxhash64("text").alias("__text"), "text")
-    lines = texts.select("__path", "__text", F.posexplode(F.split("text", "\n")).alias("line", "part")).filter(_holds(F.col("part"), some))
-    parts = lines.unionByName(texts.select("__path", "__text", F.lit(-1).alias("line"), F.col("text").alias("part")))
-    key = ["__path", "__text", "line"]
-    terms = parts.select(*key, F.explode(_words(F.col("part"))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("tf"))
+
+    def pieces(kind: str, cut: str) -> DataFrame:
+        found = texts.select("__path", "__text", F.lit(kind).alias("kind"), F.posexplode(F.split("text", cut)).alias("at", "part"))
+        return found.filter(_holds(F.col("part"), some))
+
+    blocks = pieces("block", GAP).filter(F.col("part").contains("\n"))
+    return pieces("line", "\n").unionByName(blocks).unionByName(texts.select("__path", "__text", F.lit("file").alias("kind"), F.lit(0).alias("at"), F.col("text").alias("part")))
+
+
+def _table(spark: SparkSession, rows: list[tuple], types: dict[str, str]) -> DataFrame:
+    """A few rows, a bounded parameter, read from one literal: no task of another kind makes them."""
+    text = json.dumps([dict(zip(types, r, strict=True)) for r in rows])
+    schema = f"array<struct<{', '.join(f'{n}: {t}' for n, t in types.items())}>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), schema)).alias("r")).select("r.*")
+
+
+def cosines(files: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """__path, __text, kind, license, cosine, n_words for parts that could reach least, of their best template of each
+    licence. The templates' words, a bounded parameter, are broadcast."""
+    key = ["__path", "__text", "kind", "at"]
+    terms = parts_of(files, weights.needed(least)).select(*key, F.explode(_words(F.col("part"))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("tf"))
     spark = files.sparkSession
-    idf = spark.createDataFrame(sorted(weights.idf.items()), "word string, idf double")
-    entries = [(w, n, x) for n, weight in weights.templates.items() for w, x in weight.items()]
-    templates = spark.createDataFrame(entries, "word string, license string, x double")
-    weighted = materialize(terms.join(F.broadcast(idf), "word", "left").select(*key, "word", (F.col("tf") * F.coalesce("idf", F.lit(weights.other))).alias("w")), "license-terms")
-    norms = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(F.broadcast(templates), "word").groupBy(*key, "license").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    return dots.join(norms, key).select(*key, "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
+    idf = _table(spark, sorted(weights.idf.items()), {"word": "string", "idf": "double"})
+    entries = [(w, n, i, x) for (n, i), weight in weights.templates.items() for w, x in weight.items()]
+    templates = _table(spark, entries, {"word": "string", "license": "string", "variant": "int", "x": "double"})
+    weighted = materialize(terms.join(F.broadcast(idf), "word", "left").select(*key, "word", "tf", (F.col("tf") * F.coalesce("idf", F.lit(weights.other))).alias("w")), "license-terms")
+    norms = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("n_words"))
+    dots = weighted.join(F.broadcast(templates), "word").groupBy(*key, "license", "variant").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    best = dots.groupBy(*key, "license").agg(F.max("dot").alias("dot"))
+    return best.join(norms, key).select(*key, "license", "n_words", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
 
 
 def _best(cosine: str = "cosine") -> Column:
@@ -126,19 +140,20 @@ def nearest(folders: DataFrame, licensed: DataFrame) -> DataFrame:
     return join_small(above, licensed, "__up", "inner").groupBy("__dir").agg(F.max_by("license", "depth").alias("__inherited"))
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, line_cosine: float = LINE_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
-    """files(path, text, ...) with license, found ('declared', 'inherited' or null) and cosine (of the best line)."""
+def scan(files: DataFrame, templates: Templates = TEMPLATES, part_cosine: float = PART_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
+    """files(path, text, ...) with license, found ('declared', 'inherited' or null) and cosine (of the best part)."""
     files = files.drop("license", "found", "cosine")
     if not templates:
         return files.select("*", F.lit(None).cast("string").alias("license"), F.lit(None).cast("string").alias("found"), F.lit(None).cast("double").alias("cosine"))
     keyed = files.withColumn("__path", text_key("path")).withColumn("__text", F.xxhash64("text"))
     weights = Weights(*document_frequencies(files, templates), templates)
-    near = materialize(cosines(keyed, weights, min(line_cosine, file_cosine)).filter(F.col("cosine") >= min(line_cosine, file_cosine)), "license-cosines")
-    declared = near.filter((F.col("line") >= 0) & (F.col("cosine") >= line_cosine)).groupBy("__path", "__text").agg(_best().alias("b"))
+    whole = F.col("kind") == "file"
+    enough = (~whole & (F.col("cosine") >= part_cosine)) | (whole & (F.col("cosine") >= file_cosine))
+    near = materialize(cosines(keyed, weights, min(part_cosine, file_cosine)).filter(enough), "license-cosines")
+    declared = near.groupBy("__path", "__text").agg(_best().alias("b"))
     declared = materialize(declared.select("__path", "__text", F.col("b.license").alias("__declared"), (-F.col("b.less")).alias("cosine")), "license-declared")
     named = F.substring("__path", 3, 1 << 30).rlike(NAMED)
-    is_file = ((F.col("line") < 0) & (F.col("cosine") >= file_cosine)) | (named & (F.col("line") >= 0) & (F.col("cosine") >= line_cosine))
-    sources = near.filter(is_file & F.col("__path").startswith("v:")).withColumn("p", F.substring("__path", 3, 1 << 30))
+    sources = near.filter((named | (whole & (F.col("n_words") >= FILE_WORDS))) & F.col("__path").startswith("v:")).withColumn("p", F.substring("__path", 3, 1 << 30))
     licensed = sources.groupBy(_folder(F.col("p")).alias("__up")).agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("p"), F.col("license"))).alias("b")).select("__up", F.col("b.license").alias("license"))
     folders = keyed.filter("path IS NOT NULL").select(_folder(F.col("path")).alias("__dir")).distinct()
     by_folder = nearest(folders, materialize(licensed, "license-folders"))
@@ -150,28 +165,30 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, line_cosine: f
 
 
 def _oracle() -> str:
-    values = ", ".join(f"('{n}', '{t.lower()}')" for n, t in TEMPLATES.items())
+    values = ", ".join(f"('{n}', {i}, '{t.lower()}')" for n, variants in TEMPLATES.items() for i, t in enumerate(variants))
     return f"""
-WITH t AS (SELECT license, unnest(regexp_extract_all(txt, '{WORD}')) AS word FROM (VALUES {values}) AS x(license, txt)),
-ttf AS (SELECT license, word, count(*) AS tf FROM t GROUP BY ALL),
+WITH t AS (SELECT license, variant, unnest(regexp_extract_all(txt, '{WORD}')) AS word FROM (VALUES {values}) AS x(license, variant, txt)),
+ttf AS (SELECT license, variant, word, count(*) AS tf FROM t GROUP BY ALL),
 docs AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS path, source || '/' || lang AS dir, source, text FROM documents),
 seen AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM docs),
 idf AS (SELECT v.word, ln((1 + (SELECT count(*) FROM docs)) / (1e0 + count(s.doc_id))) + 1 AS idf
   FROM (SELECT DISTINCT word FROM ttf) v LEFT JOIN seen s USING (word) GROUP BY v.word),
 other AS (SELECT avg(idf) AS idf FROM idf),
-tw AS (SELECT license, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS w FROM ttf JOIN idf USING (word)),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, unnest(range(len(string_split(text, chr(10))))) AS line FROM docs
-  UNION ALL SELECT doc_id, text, -1 FROM docs),
-lw AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(part), '{WORD}')) AS word FROM lines),
-ltf AS (SELECT doc_id, line, word, count(*) AS tf FROM lw GROUP BY ALL),
-lv AS (SELECT doc_id, line, word, tf * coalesce(idf.idf, other.idf) AS w FROM ltf LEFT JOIN idf USING (word) CROSS JOIN other),
-norms AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM lv GROUP BY ALL),
-cosines AS (SELECT doc_id, line, license, round(sum(lv.w * tw.w) / any_value(norm), 9) AS cosine
-  FROM lv JOIN tw USING (word) JOIN norms USING (doc_id, line) GROUP BY doc_id, line, license),
+tw AS (SELECT license, variant, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license, variant)) AS w FROM ttf JOIN idf USING (word)),
+blocks AS (SELECT doc_id, unnest(string_split_regex(text, '{GAP}')) AS part, unnest(range(len(string_split_regex(text, '{GAP}')))) AS line FROM docs),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, unnest(range(len(string_split(text, chr(10))))) AS line, 0 AS kind FROM docs
+  UNION ALL SELECT doc_id, part, line, 1 FROM blocks WHERE contains(part, chr(10)) UNION ALL SELECT doc_id, text, 0, 2 FROM docs),
+lw AS (SELECT doc_id, kind, line, unnest(regexp_extract_all(lower(part), '{WORD}')) AS word FROM lines),
+ltf AS (SELECT doc_id, kind, line, word, count(*) AS tf FROM lw GROUP BY ALL),
+lv AS (SELECT doc_id, kind, line, word, tf, tf * coalesce(idf.idf, other.idf) AS w FROM ltf LEFT JOIN idf USING (word) CROSS JOIN other),
+norms AS (SELECT doc_id, kind, line, sqrt(sum(w * w)) AS norm, sum(tf) AS n_words FROM lv GROUP BY ALL),
+cosines AS (SELECT doc_id, kind, line, license, variant, round(sum(lv.w * tw.w) / any_value(norm), 9) AS cosine, any_value(n_words) AS n_words
+  FROM lv JOIN tw USING (word) JOIN norms USING (doc_id, kind, line) GROUP BY doc_id, kind, line, license, variant
+  HAVING cosine >= CASE WHEN kind = 2 THEN {FILE_COSINE} ELSE {PART_COSINE} END),
 declared AS (SELECT doc_id, license, cosine FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS n FROM cosines WHERE line >= 0 AND cosine >= {LINE_COSINE}) WHERE n = 1),
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS n FROM cosines) WHERE n = 1),
 dirs AS (SELECT dir, license FROM (
-  SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path, license) AS n FROM cosines JOIN docs USING (doc_id) WHERE line < 0 AND cosine >= {FILE_COSINE}) WHERE n = 1)
+  SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path, license) AS n FROM cosines JOIN docs USING (doc_id) WHERE kind = 2 AND n_words >= {FILE_WORDS}) WHERE n = 1)
 SELECT doc_id, path, coalesce(d.license, i.license) AS license,
   CASE WHEN d.license IS NOT NULL THEN 'declared' WHEN i.license IS NOT NULL THEN 'inherited' END AS found, d.cosine
 FROM docs LEFT JOIN declared d USING (doc_id) LEFT JOIN dirs i USING (dir)

@@ -440,23 +440,42 @@ def test_vector_search_awkward(spark):
 # licences
 
 
+def wrapped(text, mark="# ", width=60):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
 def test_license_inheritance(spark):
     mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
+    full = f"MIT License\n\nCopyright (c) 2020 Some One\n\n{wrapped(mit[4], '', 76)}\n"
+    apache, code = licenses.TEMPLATES["Apache-2.0"][3], "\n\ndef f(x):\n    return x + 1\n" * 20
     files = [
-        ("LICENSE", mit), ("src/a.py", "code " * 50), ("src/b.py", f"# {gpl}\n" + "code " * 50), ("lib/COPYING.txt", f"{gpl}\n" + "more words here " * 40),
-        ("lib/deep/er/c.py", "other"), ("lib/deep/notes", mit), ("lib/deep/x/d.py", None), ("library/e.py", ""), (None, "text"), (None, mit), ("src/a.py", "code " * 50),
+        ("LICENSE", full), ("src/a.py", "code " * 50), ("src/b.py", f"# {gpl[0]}\n" + "code " * 50), ("lib/COPYING.txt", f"{gpl[0]}\n" + "more words here " * 40),
+        ("lib/deep/er/c.py", "other"), ("lib/deep/notes", full), ("lib/deep/x/d.py", None), ("library/e.py", ""), (None, "text"), (None, mit[0]), ("src/a.py", "code " * 50),
+        ("src/page", mit[0]), ("src/g.py", "x"), ("vendor/h.c", "/*\n" + wrapped(apache, " * ") + "\n */" + code), ("vendor/i.c", code),
+        ("vendor/j.py", wrapped(gpl[1]) + code), ("vendor/k.py", "# SPDX-License-Identifier: ISC" + code), ("vendor/l/LICENSE.md", wrapped(licenses.TEMPLATES["BSD-3-Clause"][3], "", 70)), ("vendor/l/m.c", code),
     ]
-    rows = licenses.scan(spark.createDataFrame(files, "path string, text string").withColumns({"found": F.lit(1), "declared": F.lit(2), "inherited": F.lit(3), "line": F.lit(4)})).collect()
+    rows = licenses.scan(spark.createDataFrame(files, "path string, text string").withColumns({"found": F.lit(1), "declared": F.lit(2), "inherited": F.lit(3), "kind": F.lit(4)})).collect()
     got = sorted(((r.path or "", r.license, r.found) for r in rows), key=str)
     want = [
         ("LICENSE", "MIT", "declared"), ("src/a.py", "MIT", "inherited"), ("src/a.py", "MIT", "inherited"), ("src/b.py", "GPL-3.0", "declared"), ("lib/COPYING.txt", "GPL-3.0", "declared"),
         ("lib/deep/er/c.py", "MIT", "inherited"), ("lib/deep/notes", "MIT", "declared"), ("lib/deep/x/d.py", "MIT", "inherited"), ("library/e.py", "MIT", "inherited"), ("", None, None), ("", "MIT", "declared"),
+        ("src/page", "MIT", "declared"), ("src/g.py", "MIT", "inherited"), ("vendor/h.c", "Apache-2.0", "declared"), ("vendor/i.c", "MIT", "inherited"),
+        ("vendor/j.py", "GPL-3.0", "declared"), ("vendor/k.py", "ISC", "declared"), ("vendor/l/LICENSE.md", "BSD-3-Clause", "declared"), ("vendor/l/m.c", "BSD-3-Clause", "inherited"),
     ]
     assert got == sorted(want, key=str)
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
     assert licenses.scan(spark.createDataFrame(files, "path string, text string"), {}).filter("license IS NOT NULL").count() == 0
 
 
+def test_a_notice_in_a_page_is_not_inherited(spark):
+    """Only a file that says so by its name, or holds little but a licence, gives its directory one."""
+    rows = [("d/page.txt", licenses.TEMPLATES["MIT"][0]), ("d/other.txt", "some words"), ("d/e/LICENSE", licenses.TEMPLATES["MIT"][0]), ("d/e/f/g.txt", "words")]
+    got = {r.path: r.found for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"d/page.txt": "declared", "d/other.txt": None, "d/e/LICENSE": "declared", "d/e/f/g.txt": "inherited"}
+
+
 # pipeline
 
 
