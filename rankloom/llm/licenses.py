@@ -22,15 +22,14 @@ output are replaced.
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, text_key
+from .common import join_small, literal_table, materialize, text_key
 from .license_texts import TEMPLATES
 
 PART_COSINE = 0.8
@@ -100,22 +99,15 @@ def parts_of(files: DataFrame, some: list[str]) -> DataFrame:
     return pieces("line", "\n").unionByName(blocks).unionByName(texts.select("__path", "__text", F.lit("file").alias("kind"), F.lit(0).alias("at"), F.col("text").alias("part")))
 
 
-def _table(spark: SparkSession, rows: list[tuple], types: dict[str, str]) -> DataFrame:
-    """A few rows, a bounded parameter, read from one literal: no task of another kind makes them."""
-    text = json.dumps([dict(zip(types, r, strict=True)) for r in rows])
-    schema = f"array<struct<{', '.join(f'{n}: {t}' for n, t in types.items())}>>"
-    return spark.range(1).select(F.explode(F.from_json(F.lit(text), schema)).alias("r")).select("r.*")
-
-
 def cosines(files: DataFrame, weights: Weights, least: float) -> DataFrame:
     """__path, __text, kind, license, cosine, n_words for parts that could reach least, of their best template of each
     licence. The templates' words, a bounded parameter, are broadcast."""
     key = ["__path", "__text", "kind", "at"]
     terms = parts_of(files, weights.needed(least)).select(*key, F.explode(_words(F.col("part"))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("tf"))
     spark = files.sparkSession
-    idf = _table(spark, sorted(weights.idf.items()), {"word": "string", "idf": "double"})
+    idf = literal_table(spark, sorted(weights.idf.items()), {"word": "string", "idf": "double"})
     entries = [(w, n, i, x) for (n, i), weight in weights.templates.items() for w, x in weight.items()]
-    templates = _table(spark, entries, {"word": "string", "license": "string", "variant": "int", "x": "double"})
+    templates = literal_table(spark, entries, {"word": "string", "license": "string", "variant": "int", "x": "double"})
     weighted = materialize(terms.join(F.broadcast(idf), "word", "left").select(*key, "word", "tf", (F.col("tf") * F.coalesce("idf", F.lit(weights.other))).alias("w")), "license-terms")
     norms = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("n_words"))
     dots = weighted.join(F.broadcast(templates), "word").groupBy(*key, "license", "variant").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))

@@ -2,7 +2,9 @@
 
 A source's rate is the mean number of times that each of its documents is to appear. The number for one document
 is the inverse of the Poisson distribution with that mean at a uniform number hashed from the seed and doc_id, so
-it needs no state, no order and no second pass, and a rerun gives the same copies. Copies are exploded and dealt
+it needs no state, no order and no second pass, and a rerun gives the same copies. A rate above MOST_RATE, as of a source
+of a few documents in a large corpus, is the sum of as many draws of equal rates below it, so tables stay short: sums of
+Poisson numbers are Poisson numbers. Copies are exploded and dealt
 over all partitions by a hashed position, whose order is the global shuffle.
 
 Sizes are aggregated map-side to one row per source; those rows are joined back by a counted broadcast (salted
@@ -25,6 +27,7 @@ SEED = 17
 TEMPERATURE = 0.5
 EPOCHS = 1.0
 UNIT = 1 << 52
+MOST_RATE = 64
 
 
 def source_rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS) -> DataFrame:
@@ -44,14 +47,17 @@ def source_rates(docs: DataFrame, source: str = "source", weights: dict[str, flo
 
 
 def poisson_tables(rates: DataFrame) -> DataFrame:
-    """Adds __cdf: the cumulative Poisson probabilities of 0, 1, 2, ... up to beyond any hashed number."""
-    last = F.ceil(F.col("mix_rate") + 12 * F.sqrt("mix_rate") + 24).cast("int")
+    """Adds __draws, and __cdf: the cumulative Poisson probabilities of 0, 1, 2, ... copies by one draw, up to beyond any
+    hashed number."""
+    rates = rates.withColumn("__draws", F.greatest(F.ceil(F.col("mix_rate") / MOST_RATE), F.lit(1)).cast("int"))
+    rates = rates.withColumn("rate", F.col("mix_rate") / F.col("__draws"))
+    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24).cast("int")
     k = rates.filter("mix_rate > 0").withColumn("k", F.explode(F.sequence(F.lit(0), last)))
     up_to = W.Window.partitionBy("__key").orderBy("k").rowsBetween(W.Window.unboundedPreceding, 0)
     log_factorial = F.sum(F.when(F.col("k") > 0, F.log("k")).otherwise(F.lit(0.0))).over(up_to)
-    k = k.withColumn("p", F.exp(-F.col("mix_rate") + F.col("k") * F.log("mix_rate") - log_factorial))
+    k = k.withColumn("p", F.exp(-F.col("rate") + F.col("k") * F.log("rate") - log_factorial))
     k = k.withColumn("c", F.sum("p").over(up_to))
-    return k.groupBy("__key", "mix_rate").agg(F.sort_array(F.collect_list("c")).alias("__cdf"))
+    return k.groupBy("__key", "mix_rate", "__draws").agg(F.sort_array(F.collect_list("c")).alias("__cdf"))
 
 
 def uniform(purpose: str, seed: int, *parts: Column) -> Column:
@@ -63,8 +69,10 @@ def mix(docs: DataFrame, source: str = "source", weights: dict[str, float] | Non
     docs = docs.drop("mix_rate", "mix_copy", "mix_position")
     tables = poisson_tables(source_rates(docs, source, weights, temperature, epochs))
     joined = join_small(docs.withColumn("__key", text_key(source)), tables, "__key", "inner")
-    draw = uniform("count", seed, text_key("doc_id")) / F.lit(float(UNIT))
-    counted = joined.withColumn("__u", draw).withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).filter("__n > 0").drop("__cdf", "__u", "__key")
+    below = lambda u: F.size(F.filter("__cdf", lambda c: c <= u / F.lit(float(UNIT))))
+    once = below(uniform("count", seed, text_key("doc_id")))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("__draws")), once, lambda n, i: n + below(uniform("count", seed, text_key("doc_id"), i.cast("string"))))
+    counted = joined.withColumn("__n", F.when(F.col("__draws") == 1, once).otherwise(more)).filter("__n > 0").drop("__cdf", "__draws", "__key")
     copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
     placed = copies.withColumn("mix_position", uniform("place", seed, text_key("doc_id"), F.col("mix_copy").cast("string")))
     n = partitions(docs.sparkSession)
@@ -77,15 +85,19 @@ WITH sized AS (
   SELECT source, CAST(sum(coalesce(strlen(text), 0) + 1) AS DOUBLE) AS size FROM documents GROUP BY source),
 rates AS (
   SELECT source, {EPOCHS}e0 * sum(size) OVER () * pow(size, {TEMPERATURE}e0) / sum(pow(size, {TEMPERATURE}e0)) OVER () / size AS rate FROM sized),
+draws AS (
+  SELECT *, rate / draws AS part FROM (SELECT *, greatest(ceil(rate / {MOST_RATE}e0), 1) AS draws FROM rates)),
 cdf AS (
-  SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
-  FROM rates, range(0, 1000) AS t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 24)),
+  SELECT source, k, sum(exp(-part + k * ln(part) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM draws, range(0, {3 * MOST_RATE}) AS t(k) WHERE k <= ceil(part + 12 * sqrt(part) + 24)),
+each AS (
+  SELECT d.doc_id, d.source, unnest(range(1, CAST(r.draws AS BIGINT) + 1)) AS i FROM documents d JOIN draws r ON r.source IS NOT DISTINCT FROM d.source),
 drawn AS (
-  SELECT d.*, CAST('0x' || substr(md5('count:{SEED}:v:' || doc_id), 1, 13) AS BIGINT) / {UNIT}e0 AS u FROM documents d),
+  SELECT *, CAST('0x' || substr(md5('count:{SEED}:v:' || doc_id || CASE WHEN i > 1 THEN ':' || i ELSE '' END), 1, 13) AS BIGINT) / {UNIT}e0 AS u FROM each),
 counted AS (
-  SELECT d.doc_id, count(*) AS n FROM drawn d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u GROUP BY d.doc_id)
+  SELECT d.doc_id, count(*) AS n FROM drawn d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u GROUP BY d.doc_id),
+copies AS (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM counted)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, round(r.rate, 9) AS mix_rate, CAST(t.copy AS INTEGER) AS mix_copy,
   CAST('0x' || substr(md5('place:{SEED}:v:' || d.doc_id || ':' || t.copy), 1, 13) AS BIGINT) AS mix_position
-FROM documents d JOIN counted c USING (doc_id) JOIN rates r ON r.source IS NOT DISTINCT FROM d.source
-  JOIN range(1, 1000) AS t(copy) ON t.copy <= c.n
+FROM documents d JOIN copies t USING (doc_id) JOIN rates r ON r.source IS NOT DISTINCT FROM d.source
 """

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, literal_table, materialize
 
 SHARDS = 16
 KEY_BITS = 60
@@ -100,10 +100,10 @@ class Profile:
         keep = [r for i, r in enumerate(self.ranges) if i not in self.looked_at]
         for shift in sorted({r.shift for r in split}, reverse=True):
             prefixes = [(r.prefix,) for r in split if r.shift == shift]
-            assert len(prefixes) <= BROADCAST_ROWS
-            wanted = self.groups.sparkSession.createDataFrame(prefixes, "wanted long")
-            part = self.groups.join(F.broadcast(wanted), F.shiftright("k", shift) == F.col("wanted"), "left_semi")
-            keep += self._sums(part, max(0, shift - SPLIT_BITS))
+            for i in range(0, len(prefixes), BROADCAST_ROWS):
+                wanted = literal_table(self.groups.sparkSession, prefixes[i : i + BROADCAST_ROWS], {"wanted": "bigint"})
+                part = self.groups.join(F.broadcast(wanted), F.shiftright("k", shift) == F.col("wanted"), "left_semi")
+                keep += self._sums(part, max(0, shift - SPLIT_BITS))
         self.ranges, self.looked_at = keep, set()
         self._index()
         return True
@@ -162,13 +162,14 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def shard_table(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: where each row lies.
 
-    Slots number each shard's rows by cells of (shard, hash of doc_id), so that no task numbers a whole shard."""
+    Slots number each shard's rows by cells of (shard, hash of place), so that no task numbers a whole shard, nor a
+    third of all rows if they are alike."""
     text = F.coalesce("text", F.lit(""))
-    narrow = assign_shards(docs.select("doc_id", "text"), shards).select("doc_id", row_size(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", group_key(F.col("text")).alias("k"))
+    narrow = assign_shards(docs.select("doc_id", "text"), shards).select("doc_id", row_size(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", F.monotonically_increasing_id().alias("place"))
     narrow = materialize(narrow, "shards")
     cells = max(4, -(-narrow.count() // SLOT_ROWS))
-    narrow = narrow.withColumn("cell", F.pmod(F.xxhash64("doc_id", "k"), F.lit(cells)).cast("int"))
+    narrow = narrow.withColumn("cell", F.pmod(F.xxhash64("place"), F.lit(cells)).cast("int"))
     before = W.Window.partitionBy("shard").orderBy("cell").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = narrow.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(W.Window.partitionBy("shard", "cell").orderBy("doc_id", "k")) - 1
+    inside = F.row_number().over(W.Window.partitionBy("shard", "cell").orderBy("place")) - 1
     return narrow.withColumn("inside", inside).join(offsets, ["shard", "cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("inside")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

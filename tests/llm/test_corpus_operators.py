@@ -31,14 +31,17 @@ def awkward(spark):
 
 
 def draws(rate, key, seed=mixing.SEED):
-    u = int(hashlib.md5(f"count:{seed}:{key}".encode()).hexdigest()[:13], 16) / 2**52
-    n, p = 0, math.exp(-rate)
-    c = p
-    while c <= u:
-        n += 1
-        p *= rate / n
-        c += p
-    return n
+    total, parts = 0, max(1, math.ceil(rate / mixing.MOST_RATE))
+    for i in range(parts):
+        u = int(hashlib.md5((f"count:{seed}:{key}" + (f":{i + 1}" if i else "")).encode()).hexdigest()[:13], 16) / 2**52
+        n, p = 0, math.exp(-rate / parts)
+        c = p
+        while c <= u:
+            n += 1
+            p *= rate / parts / n
+            c += p
+        total += n
+    return total
 
 
 def test_mixing_equals_brute_force(spark, awkward):
@@ -61,6 +64,12 @@ def test_mixing_equals_brute_force(spark, awkward):
     assert mixing.mix(awkward.limit(0)).count() == 0
 
 
+def test_large_rates_equal_brute_force(spark):
+    rows = spark.createDataFrame([(i, "xyz", "s") for i in range(5)], "doc_id long, text string, source string")
+    got = Counter(r.doc_id for r in mixing.mix(rows, epochs=1000.0).select("doc_id").collect())
+    assert got == {i: draws(1000.0, f"v:{i}") for i in range(5)}
+
+
 def test_mixing_meets_its_targets(spark):
     rows = spark.range(20_000).select("id", F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"), F.when(F.col("id") < 15_000, "big").otherwise("small").alias("source"))
     got = Counter(r.source for r in mixing.mix(rows, weights={"big": 0.25, "small": 0.75}, epochs=2.0).select("source").collect())
