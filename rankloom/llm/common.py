@@ -131,11 +131,3 @@ def text_key(column: str) -> Column:
 def unit52(*parts: Column) -> Column:
     """52 hash bits of the parts as a bigint: the first 13 hex digits of their md5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("bigint")
-
-
-def hash_sample(rows: DataFrame, key: str, n: int, total: int) -> DataFrame:
-    """About n of total rows: those whose hashed key falls in the first n / total of all hashes. Nothing is sorted
-    or gathered; the limit acts only if one key has very many rows."""
-    if total <= n:
-        return rows
-    return rows.filter(F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 12) < int(n / total * (1 << 52))).limit(2 * n)

@@ -2,46 +2,54 @@
 
 The text view sees hashed words and word endings; the metadata view sees language, source and the page's layout
 (lengths, line shapes, shares of capitals, digits and symbols, repetition). Each is a sparse logistic regression.
-In each round either view hands its most confident pseudo-labels of unlabelled documents to the other, in the
-proportion of the classes. A labelled fold that neither view trains on calibrates each view (Platt scaling), weighs
-the two calibrated views against each other and sets the cutoff: one half, or less if that would turn away more than
-the share MOST_LOST of the fold's good documents. A good document is one labelled quality 1.
+In each round either view scores every document without a label and hands its PER_ROUND most confident pseudo-labels to
+the other, in the proportion of the classes. Labels are split by a hash of doc_id into folds, of which no two serve one
+purpose: one calibrates each view (Platt scaling), one weighs the two calibrated views against each other, one sets the
+cutoff, and the rest train. The cutoff is one half, or less if that would turn away more than the share MOST_LOST of the
+good documents of all labels in its fold. A good document is one labelled quality 1.
 
-Fitting uses a bounded sample: about LABELLED labelled and at most POOL unlabelled documents, chosen by a hash of their
-doc_id; of these only sparse features reach the driver. Every document is scored, on its whole text.
+All documents are turned into features once, which are staged. A model is fitted on a bounded sample: about LABELLED
+labelled documents, chosen by a hash of their doc_id, and the pseudo-labelled ones, 2 * ROUNDS * PER_ROUND at most; only
+these reach the driver. Pseudo-labels come from all unlabelled documents and the cutoff from all labels of its fold, by
+distributed scoring. Every document is scored, on its whole text.
 
 Defined cases: a null or empty text has no words and is judged by its layout; null lang or source are values of
 their own, and absent columns count as null; labels that are null or of unknown documents are not used; a document
-labelled twice is good only if each label says so; repeated rows score alike; with labels of one class or none every
-score is 0.5 and all are kept; an empty table gives no rows. Input columns named like an output are replaced.
+labelled twice is good only if each label says so; rows that share a labelled doc_id stand for it by the one with the
+smallest hash; rows of equal text, lang and source are one pseudo-label; doc_ids may be of any type; repeated rows score
+alike; with labels of one class or none every score is 0.5 and all are kept; an empty table gives no rows. Input columns
+named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
-from .common import hash_sample
+from .common import join_hot, materialize
 
 LABELLED = 4000
-POOL = 4000
 ROUNDS = 4
 PER_ROUND = 400
 CONFIDENT = 0.95
-FOLD = 4
+FOLDS = 8
+SCALE_FOLD, JOINT_FOLD, CUTOFF_FOLD = 0, 1, 2
 MOST_LOST = 0.01
 TEXT_BITS = 16
 META_SIZE = 1024
 REMEMBERED = 200_000
 SYMBOLS = "#*$%&|<>"
-#: Little-endian 32-bit integers, floats and integers.
-FEATURES = T.StructType([T.StructField(n, T.BinaryType()) for n in ("text_ids", "text_values", "meta_ids")])
+MOST_COUNT = 255
+#: Little-endian 16-bit integers, bytes, and 16-bit integers.
+FEATURES = T.StructType([T.StructField(n, T.BinaryType()) for n in ("text_ids", "text_counts", "meta_ids")])
+LOGITS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("text", "meta")])
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("text_score", "meta_score", "score")])
 
 
@@ -60,11 +68,10 @@ _WORD_IDS = _WordIds()
 
 
 def text_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature numbers and log counts, scaled to length 1."""
+    """Distinct feature numbers and their counts, at most MOST_COUNT."""
     both = np.fromiter(map(_WORD_IDS.__getitem__, words), np.int64, len(words))
     ids, counts = np.unique(np.concatenate([both & ((1 << TEXT_BITS) - 1), both >> TEXT_BITS]), return_counts=True)
-    values = np.log1p(counts)
-    return ids, values / max(np.sqrt(values @ values), 1e-9)
+    return ids.astype("<u2"), np.minimum(counts, MOST_COUNT).astype(np.uint8)
 
 
 def meta_features(text: str, words: list[bytes], lang: str | None, source: str | None) -> np.ndarray:
@@ -91,17 +98,24 @@ def meta_features(text: str, words: list[bytes], lang: str | None, source: str |
     return np.asarray([zlib.crc32(x.encode()) % META_SIZE for x in names])
 
 
+def features_of(text: str | None, lang: str | None, source: str | None) -> tuple[bytes, bytes, bytes]:
+    words = (text or "").encode().lower().split()
+    ids, counts = text_features(words)
+    return ids.tobytes(), counts.tobytes(), meta_features(text or "", words, lang, source).astype("<u2").tobytes()
+
+
 def features(text: Column, lang: Column, source: Column) -> Column:
     @F.pandas_udf(FEATURES)
     def view_features(texts: pd.Series, langs: pd.Series, sources: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, la, so in zip(texts, langs, sources, strict=True):
-            words = (t or "").encode().lower().split()
-            ids, values = text_features(words)
-            rows.append((ids.astype("<i4").tobytes(), values.astype("<f4").tobytes(), meta_features(t or "", words, la, so).astype("<i4").tobytes()))
-        return pd.DataFrame(rows, columns=["text_ids", "text_values", "meta_ids"])
+        return pd.DataFrame(map(features_of, texts, langs, sources), columns=FEATURES.names, dtype=object)
+
+    return view_features.asNondeterministic()(text, lang, source)
+
 
-    return view_features(text, lang, source)
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the runs of values between the bounds."""
+    sums = np.concatenate(([0.0], np.cumsum(values)))
+    return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
 @dataclass
@@ -112,18 +126,24 @@ class View:
     values: np.ndarray
     bounds: np.ndarray
     size: int
-    weights: np.ndarray = field(init=False)
 
     @classmethod
-    def of(cls, ids: list, values: list, size: int) -> View:
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
-        return cls(np.concatenate(ids), np.concatenate(values), bounds, size)
+    def of_text(cls, ids: list[bytes], counts: list[bytes]) -> View:
+        """Values are log counts, scaled to length 1."""
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in counts], dtype=np.int64)))
+        values = np.log1p(np.frombuffer(b"".join(counts), np.uint8).astype(float))
+        length = np.sqrt(np.maximum(_sums(values * values, bounds), 1e-18))
+        return cls(np.frombuffer(b"".join(ids), "<u2").astype(np.int64), values / np.repeat(length, np.diff(bounds)), bounds, 1 << TEXT_BITS)
 
-    def logits(self) -> np.ndarray:
-        sums = np.concatenate(([0.0], np.cumsum(self.weights[self.ids] * self.values)))
-        return sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.weights[-1]
+    @classmethod
+    def of_meta(cls, ids: list[bytes]) -> View:
+        bounds = np.concatenate(([0], np.cumsum([len(x) // 2 for x in ids], dtype=np.int64)))
+        return cls(np.frombuffer(b"".join(ids), "<u2").astype(np.int64), np.ones(int(bounds[-1])), bounds, META_SIZE)
+
+    def logits(self, weights: np.ndarray) -> np.ndarray:
+        return _sums(weights[self.ids] * self.values, self.bounds) + weights[-1]
 
-    def fit(self, rows: np.ndarray, labels: np.ndarray, steps: int = 80, rate: float = 0.5, decay: float = 1e-4) -> None:
+    def fit(self, rows: np.ndarray, labels: np.ndarray, steps: int = 80, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
         """Full-batch logistic regression with adaptive steps; both classes weigh the same."""
         take = np.concatenate([np.arange(self.bounds[r], self.bounds[r + 1]) for r in rows])
         ids, values = self.ids[take], self.values[take]
@@ -139,7 +159,7 @@ class View:
             g[:-1] += decay * w[:-1] / len(rows)
             seen += g * g
             w -= rate * g / np.sqrt(seen)
-        self.weights = w
+        return w
 
 
 def logistic(columns: np.ndarray, labels: np.ndarray, steps: int = 50, ridge: float = 1.0) -> np.ndarray:
@@ -161,7 +181,7 @@ class Model:
     text_scale: np.ndarray
     meta_scale: np.ndarray
     joint: np.ndarray
-    cutoff: float
+    cutoff: float = 0.5
 
     def calibrated(self, text_logit: np.ndarray, meta_logit: np.ndarray) -> np.ndarray:
         a = text_logit * self.text_scale[0] + self.text_scale[1]
@@ -173,89 +193,169 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def co_train(text: View, meta: View, labels: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
-    """labels: 1, 0 or -1 (unlabelled); fold: rows kept for calibration."""
-    train, pool = np.flatnonzero((labels >= 0) & ~fold), np.flatnonzero(labels < 0)
-    held = np.flatnonzero((labels >= 0) & fold)
-    if len(np.unique(labels[train])) < 2 or len(np.unique(labels[held])) < 2:
-        return None
-    share = labels[train].mean()
-    taught = {id(text): {}, id(meta): {}}  # pseudo-labels that each view was given
-    for k in range(rounds + 1):
-        for view in (text, meta):
-            given = taught[id(view)]
-            rows = np.concatenate([train, np.fromiter(given, np.int64, len(given))])
-            view.fit(rows, np.concatenate([labels[train], np.fromiter(given.values(), np.float64, len(given))]))
-        if k == rounds:
-            break
-        for view, other in ((text, meta), (meta, text)):
-            scale = logistic(view.logits()[held][:, None], labels[held])
-            p = _sigmoid(view.logits()[pool] * scale[0] + scale[1])
-            for label, sure, n in ((1, p, round(per_round * share)), (0, 1 - p, round(per_round * (1 - share)))):
-                order = [r for r in np.argsort(-sure, kind="stable") if sure[r] >= CONFIDENT and pool[r] not in taught[id(other)]]
-                taught[id(other)].update((int(pool[r]), label) for r in order[: max(n, 1)])
-    y = labels[held].astype(float)
-    text_scale, meta_scale = (logistic(v.logits()[held][:, None], y) for v in (text, meta))
-    model = Model(text.weights, meta.weights, text_scale, meta_scale, np.zeros(3), 0.5)
-    model.joint = logistic(model.calibrated(text.logits()[held], meta.logits()[held])[:, :2], y)
-    scores = _sigmoid(model.calibrated(text.logits()[held], meta.logits()[held])[:, 2])
-    model.cutoff = float(min(0.5, np.quantile(scores[y == 1], MOST_LOST)))
-    return model
-
-
 def _column(docs: DataFrame, name: str) -> Column:
     return F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
+def stage_features(docs: DataFrame) -> DataFrame:
+    """doc_id, id (a hash of what a document is judged by) and the features of every row, staged."""
+    lang, source, text = _column(docs, "lang"), _column(docs, "source"), F.coalesce("text", F.lit(""))
+    one = F.xxhash64(text, F.coalesce(lang, F.lit("")), lang.isNull(), F.coalesce(source, F.lit("")), source.isNull())
+    rows = docs.select("doc_id", one.alias("id"), features(F.col("text"), lang, source).alias("f"))
+    return materialize(rows.select("doc_id", "id", "f.*"), "quality-features")
+
+
+def logits(rows: DataFrame, text: np.ndarray, meta: np.ndarray) -> Column:
+    """A struct of both views' logits of staged features."""
+    shared = rows.sparkSession.sparkContext.broadcast((text, meta))
+
+    @F.pandas_udf(LOGITS)
+    def view_logits(ids: pd.Series, counts: pd.Series, metas: pd.Series) -> pd.DataFrame:
+        w_text, w_meta = shared.value
+        return pd.DataFrame({"text": View.of_text(list(ids), list(counts)).logits(w_text), "meta": View.of_meta(list(metas)).logits(w_meta)})
+
+    return view_logits.asNondeterministic()("text_ids", "text_counts", "meta_ids")
+
+
+def fold_of(doc_id: object) -> int:
+    return zlib.crc32(str(doc_id).encode()) % FOLDS
+
+
+def _fold(doc_id: str) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
+
+
+@dataclass
+class Trainer:
+    """Fits both views on labelled rows and on what each was taught; rows are kept by id."""
+
+    rows: dict[int, tuple[bytes, bytes, bytes]]
+    labelled: list[tuple[int, int, int]]  # id, label, fold
+
+    def views(self, ids: list[int]) -> tuple[View, View]:
+        found = [self.rows[i] for i in ids]
+        return View.of_text([x[0] for x in found], [x[1] for x in found]), View.of_meta([x[2] for x in found])
+
+    def fold(self, *folds: int) -> tuple[list[int], np.ndarray]:
+        some = [(i, y) for i, y, f in self.labelled if f in folds]
+        return [i for i, _ in some], np.asarray([y for _, y in some], float)
+
+    def fit(self, taught: tuple[dict[int, int], dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the text and the metadata view."""
+        ids, labels = self.fold(*(set(range(FOLDS)) - {SCALE_FOLD, JOINT_FOLD, CUTOFF_FOLD}))
+        out = []
+        for k, given in enumerate(taught):
+            view = self.views(ids + list(given))[k]
+            out.append(view.fit(np.arange(len(ids) + len(given)), np.concatenate([labels, np.fromiter(given.values(), float, len(given))])))
+        return out[0], out[1]
+
+    def scales(self, weights: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        ids, labels = self.fold(SCALE_FOLD)
+        return [logistic(v.logits(w)[:, None], labels) for v, w in zip(self.views(ids), weights, strict=True)]
+
+    def model(self, weights: tuple[np.ndarray, np.ndarray]) -> Model:
+        model = Model(*weights, *self.scales(weights), np.zeros(3))
+        ids, labels = self.fold(JOINT_FOLD)
+        text, meta = (v.logits(w) for v, w in zip(self.views(ids), weights, strict=True))
+        model.joint = logistic(model.calibrated(text, meta)[:, :2], labels)
+        return model
+
+    @property
+    def usable(self) -> bool:
+        folds = [self.fold(*(set(range(FOLDS)) - {SCALE_FOLD, JOINT_FOLD, CUTOFF_FOLD})), self.fold(SCALE_FOLD), self.fold(JOINT_FOLD)]
+        return all(len(np.unique(y)) == 2 for _, y in folds)
+
+
+def _fetch(staged: DataFrame, ids: list[int]) -> dict[int, tuple[bytes, bytes, bytes]]:
+    """Features of a bounded number of rows."""
+    if not ids:
+        return {}
+    wanted = staged.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+    found = staged.join(F.broadcast(wanted), "id").select("id", *FEATURES.names).dropDuplicates(["id"])
+    return {r[0]: (bytes(r[1]), bytes(r[2]), bytes(r[3])) for r in found.collect()}
+
+
+def pseudo_labels(staged: DataFrame, pool: DataFrame, weights: tuple[np.ndarray, np.ndarray], scales: list[np.ndarray], taught: tuple[dict[int, int], dict[int, int]], share: float, per_round: int) -> list[tuple[int, int, int]]:
+    """(view that is taught, id, label): each view's most confident ones of the whole pool, by confidence, then id."""
+    z = staged.select("id", logits(staged, *weights).alias("z")).dropDuplicates(["id"]).join(pool, "id", "left_semi")
+    p = [1 / (1 + F.exp(-(F.col(f"z.{name}") * float(s[0]) + float(s[1])))) for name, s in zip(LOGITS.names, scales, strict=True)]
+    wanted = {1: max(round(per_round * share), 1), 0: max(round(per_round * (1 - share)), 1)}
+    kinds = [F.struct(F.lit(1 - k).alias("view"), F.lit(y).alias("label"), (p[k] if y else 1 - p[k]).alias("sure"), F.lit(wanted[y]).alias("n")) for k in (0, 1) for y in (1, 0)]
+    rows = z.select("id", F.explode(F.array(*kinds)).alias("k")).select("id", "k.*").filter(F.col("sure") >= CONFIDENT)
+    for k in (0, 1):
+        if taught[k]:
+            rows = rows.filter((F.col("view") != k) | ~F.col("id").isin(list(taught[k])))
+    order = W.Window.partitionBy("view", "label").orderBy(F.desc("sure"), "id")
+    first = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(wanted.values())).filter("place <= n")
+    return [tuple(r) for r in first.orderBy("view", "label", "place").select("view", "id", "label").collect()]
+
+
+def fit(staged: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
+    """A model from staged features and labels(doc_id, quality)."""
     good = F.min((F.col("quality") == 1).cast("int"))
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(good.alias("label"))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    known = [tuple(r) for r in hash_sample(known, "doc_id", labelled, known.count()).collect()]
-    named = docs.filter("doc_id IS NOT NULL").select("doc_id")
-    ids = {i for i, _ in known}
-    more = {i for (i,) in hash_sample(named, "doc_id", labelled + pool, named.count()).collect()} - ids
-    sample = known + [(i, -1) for i in sorted(more, key=lambda i: zlib.crc32(f"pool {i}".encode()))[:pool]]
-    if not sample:
+    rows = materialize(join_hot(staged.select("doc_id", "id"), known, "doc_id"), "quality-labelled")
+    here = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("id").alias("id"))
+    part = labelled / max(here.count(), 1)
+    if part < 1:
+        here = here.filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 12) < int(part * (1 << 52)))
+    sample = sorted((r.id, r.label, fold_of(r.doc_id)) for r in here.collect())
+    trainer = Trainer(_fetch(staged, sorted({i for i, _, _ in sample})), sample)
+    if not trainer.usable:
         return None
-    chosen = docs.sparkSession.createDataFrame(sample, "doc_id long, label int")
-    rows = docs.select("doc_id", "text", _column(docs, "lang").alias("lang"), _column(docs, "source").alias("source")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.limit(2 * (labelled + pool)).select("doc_id", "label", features(F.col("text"), F.col("lang"), F.col("source")).alias("f"))
-    found = {r[0]: r for r in rows.select("doc_id", "label", "f.*").collect()}
-    table = [found[i] for i in sorted(found)]
-    text = View.of([np.frombuffer(r[2], "<i4") for r in table], [np.frombuffer(r[3], "<f4") for r in table], 1 << TEXT_BITS)
-    meta = View.of([np.frombuffer(r[4], "<i4") for r in table], [np.ones(len(r[4]) // 4, "<f4") for r in table], META_SIZE)
-    fold = np.asarray([zlib.crc32(str(i).encode()) % FOLD == 0 for i in sorted(found)])
-    return co_train(text, meta, np.asarray([r[1] for r in table]), fold)
-
-
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with quality: a struct of text_score, meta_score and score, and kept."""
+    pool = materialize(staged.select("id").distinct().join(rows.select("id").distinct(), "id", "left_anti"), "quality-pool")
+    taught: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    share = float(np.mean([y for _, y, _ in sample]))
+    weights = trainer.fit(taught)
+    for _ in range(rounds):
+        chosen = pseudo_labels(staged, pool, weights, trainer.scales(weights), taught, share, per_round)
+        trainer.rows |= _fetch(staged, sorted({i for _, i, _ in chosen} - trainer.rows.keys()))
+        for view, i, label in chosen:
+            taught[view][i] = label
+        weights = trainer.fit(taught)
+    model = trainer.model(weights)
+    scored = materialize(score(staged, model).select("doc_id", F.col("quality.score").alias("score")), "quality-scores")
+    held = join_hot(scored, known.filter((_fold("doc_id") == CUTOFF_FOLD) & (F.col("label") == 1)), "doc_id")
+    lowest = held.agg(F.percentile_approx("score", F.lit(MOST_LOST), F.lit(100_000))).first()[0]
+    model.cutoff = 0.5 if lowest is None else min(0.5, lowest)
+    return model
+
+
+def score(rows: DataFrame, model: Model | None) -> DataFrame:
+    """rows of staged features, or documents, with quality: a struct of text_score, meta_score and score; and kept."""
     if model is None:
         none = [F.lit(0.5).alias(f.name) for f in SCORES.fields]
-        return docs.withColumn("quality", F.struct(*none)).withColumn("kept", F.lit(True))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        return rows.withColumn("quality", F.struct(*none)).withColumn("kept", F.lit(True))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def scores(m: Model, ids: list[bytes], counts: list[bytes], metas: list[bytes]) -> pd.DataFrame:
+        return pd.DataFrame(_sigmoid(m.calibrated(View.of_text(ids, counts).logits(m.text), View.of_meta(metas).logits(m.meta))), columns=SCORES.names)
+
+    @F.pandas_udf(SCORES)
+    def of_features(ids: pd.Series, counts: pd.Series, metas: pd.Series) -> pd.DataFrame:
+        return scores(shared.value, list(ids), list(counts), list(metas))
 
     @F.pandas_udf(SCORES)
-    def quality_scores(texts: pd.Series, langs: pd.Series, sources: pd.Series) -> pd.DataFrame:
-        m, logits = shared.value, np.zeros((len(texts), 2))
-        for i, (t, la, so) in enumerate(zip(texts, langs, sources, strict=True)):
-            words = (t or "").encode().lower().split()
-            ids, values = text_features(words)
-            logits[i] = m.text[ids] @ values + m.text[-1], m.meta[meta_features(t or "", words, la, so)].sum() + m.meta[-1]
-        return pd.DataFrame(_sigmoid(m.calibrated(logits[:, 0], logits[:, 1])), columns=SCORES.names)
+    def of_documents(texts: pd.Series, langs: pd.Series, sources: pd.Series) -> pd.DataFrame:
+        found = list(map(features_of, texts, langs, sources))
+        return scores(shared.value, *([x[k] for x in found] for k in range(3)))
 
-    scored = docs.withColumn("quality", quality_scores.asNondeterministic()(F.col("text"), _column(docs, "lang"), _column(docs, "source")))
-    return scored.withColumn("kept", F.col("quality.score") >= F.lit(model.cutoff))
+    if set(FEATURES.names) <= set(rows.columns):
+        quality = of_features.asNondeterministic()(*FEATURES.names)
+    else:
+        quality = of_documents.asNondeterministic()(F.col("text"), _column(rows, "lang"), _column(rows, "source"))
+    return rows.withColumn("quality", quality).withColumn("kept", F.col("quality.score") >= F.lit(model.cutoff))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_score, meta_score, score and kept of every document."""
-    return score(docs, fit(docs, labels)).select("doc_id", "quality.*", "kept")
+    staged = stage_features(docs)
+    return score(staged, fit(staged, labels)).select("doc_id", "quality.*", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns of docs."""
+    """The documents that are kept, with the columns of docs. They are turned into features once more, which is cheaper
+    than shuffling whole texts to join a verdict."""
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
     slim = docs.select(whole, "text", _column(docs, "lang").alias("lang"), _column(docs, "source").alias("source"))
-    return score(slim, fit(docs, labels)).filter("kept").select("__row.*")
+    return score(slim, fit(stage_features(docs), labels)).filter("kept").select("__row.*")

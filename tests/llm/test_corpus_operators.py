@@ -274,7 +274,7 @@ def test_rules_awkward(spark, awkward):
 
 def test_classifier_on_held_out_labels(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
-    model = quality_classifier.fit(docs, labels.filter("doc_id % 3 <> 0"))
+    model = quality_classifier.fit(quality_classifier.stage_features(docs), labels.filter("doc_id % 3 <> 0"))
     held = labels.filter("doc_id % 3 = 0").select("doc_id", F.col("quality").alias("truth"))
     rows = quality_classifier.score(docs, model).join(held, "doc_id").select("truth", "quality.score", "kept").collect()
     good, bad = [r.score for r in rows if r.truth], [r.score for r in rows if not r.truth]
@@ -287,7 +287,9 @@ def test_classifier_on_held_out_labels(spark):
 def test_classifier_awkward(spark, sf, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {(r.score, r.kept) for r in quality_classifier.judge(awkward, none).collect()} == {(0.5, True)}
-    model = quality_classifier.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    sf = "/root/testdata/sf0.01"
+    model = quality_classifier.fit(quality_classifier.stage_features(table(spark, sf, "documents")), table(spark, sf, "labels"))
+    assert model is not None
     rows = quality_classifier.score(awkward, model)
     assert rows.count() == awkward.count() and rows.filter("quality.score IS NULL").count() == 0
     bare = awkward.select("doc_id", "text")
@@ -295,6 +297,63 @@ def test_classifier_awkward(spark, sf, awkward):
     assert quality_classifier.keep_good(awkward.limit(0), none).count() == 0
 
 
+def test_rounds_equal_brute_force(spark):
+    """Every round by plain Python over all documents at once: folds, pseudo-labels, calibration, cutoff and verdicts."""
+    Q4 = quality_classifier
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    said = {r.doc_id: int(r.quality == 1) for r in labels.collect()}
+    rows = {r.doc_id: (r.text, r.lang, r.source) for r in docs.collect()}
+    found = {key: Q4.features_of(*key) for key in set(rows.values())}
+    view = lambda k, keys: Q4.View.of_text([found[x][0] for x in keys], [found[x][1] for x in keys]) if k == 0 else Q4.View.of_meta([found[x][2] for x in keys])
+    fold = defaultdict(list)
+    for i, y in sorted(said.items()):
+        fold[zlib.crc32(str(i).encode()) % 8].append((rows[i], y))
+    train = [x for f in (3, 4, 5, 6, 7) for x in fold[f]]
+    pool = sorted(set(rows.values()) - {rows[i] for i in said})
+    share = np.mean(list(said.values()))
+    taught = [{}, {}]
+
+    def fitted():
+        both = [train + list(t.items()) for t in taught]
+        return [view(k, [x for x, _ in b]).fit(np.arange(len(b)), np.asarray([y for _, y in b], float)) for k, b in enumerate(both)]
+
+    def scaled(w):
+        y = np.asarray([y for _, y in fold[0]], float)
+        return [Q4.logistic(view(k, [x for x, _ in fold[0]]).logits(w[k])[:, None], y) for k in (0, 1)]
+
+    w = fitted()
+    for _ in range(Q4.ROUNDS):
+        scale, new = scaled(w), [{}, {}]
+        for k in (0, 1):
+            p = 1 / (1 + np.exp(-(view(k, pool).logits(w[k]) * scale[k][0] + scale[k][1])))
+            for label, sure in ((1, p), (0, 1 - p)):
+                n = max(round(Q4.PER_ROUND * (share if label else 1 - share)), 1)
+                ordered = [j for j in np.argsort(-sure, kind="stable") if sure[j] >= Q4.CONFIDENT and pool[j] not in taught[1 - k]]
+                new[1 - k] |= {pool[j]: label for j in ordered[:n]}
+        for k in (0, 1):
+            taught[k] |= new[k]
+        w = fitted()
+    model = Q4.Model(*w, *scaled(w), np.zeros(3))
+    z = lambda keys: model.calibrated(view(0, keys).logits(w[0]), view(1, keys).logits(w[1]))
+    model.joint = Q4.logistic(z([x for x, _ in fold[1]])[:, :2], np.asarray([y for _, y in fold[1]], float))
+    score = lambda keys: 1 / (1 + np.exp(-np.clip(z(keys)[:, 2], -30, 30)))
+    held = sorted(score([x for x, y in fold[2] if y]))
+    cutoff = min(0.5, held[max(math.ceil(0.01 * len(held)) - 1, 0)])
+    assert len(taught[0]) > 50 and len(taught[1]) > 50
+    want = dict(zip(rows, score(list(rows.values())), strict=True))
+    for r in Q4.judge(docs, labels).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-4, abs=1e-6)
+        assert r.kept == (want[r.doc_id] >= cutoff) or abs(want[r.doc_id] - cutoff) < 1e-6
+
+
+def test_classifier_takes_any_ids(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = table(spark, "/root/testdata/sf0.01", "labels").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    rows = quality_classifier.judge(docs.unionByName(docs.filter("doc_id LIKE '%7'")), labels.unionByName(labels.filter("doc_id LIKE '%3'"))).collect()
+    assert len(rows) > docs.count() and len({r.score for r in rows}) > 100
+
+
 # language model
 
 
