@@ -34,6 +34,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         splitter = str(self.tokenizer.pre_tokenizer)
         self.cuts = "ByteLevel" in splitter and "add_prefix_space=False" in splitter and self.tokenizer.normalizer is None

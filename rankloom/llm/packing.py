@@ -37,10 +37,12 @@ WINDOW = 1024
 END_ID = 0
 SHARD_TOKENS = 1 << 19
 SHARD_DOCS = 1024
-KEYS, KEY_BITS = 3, 20
+KEYS, KEY_BITS = 2, 24
+#: Tokens whose keys are drawn in one step.
+TOGETHER = 250_000
 #: Neighbours that are sorted at first; the rest of the ranking is sorted when a window has room for more.
 SORT_FIRST = 32
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -54,7 +56,7 @@ class Statistics:
         rate = np.where(df > 1, self.idf, 0)
         draws = np.random.default_rng(7).exponential(size=(KEYS, len(df)))
         with np.errstate(divide="ignore"):
-            self.draws = np.where(rate > 0, draws / rate, np.inf)
+            self.draws = np.where(rate > 0, draws / rate, np.inf).astype(np.float32)
 
     @classmethod
     def of(cls, documents: list[np.ndarray]) -> Statistics:
@@ -64,12 +66,19 @@ class Statistics:
     def keys(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """One number for each document, ids[bounds[i]:bounds[i + 1]]: its keys, most significant first."""
         out = np.zeros(len(bounds) - 1, np.int64)
-        for draws in self.draws:
-            drawn = draws[ids]
-            least = np.minimum.reduceat(drawn, bounds[:-1])
-            owner = np.repeat(np.arange(len(least)), np.diff(bounds))
-            term = np.minimum.reduceat(np.where(drawn == least[owner], ids, (1 << KEY_BITS) - 1), bounds[:-1])
-            out = out << KEY_BITS | np.where(np.isinf(least), 0, term)
+        first = 0
+        while first < len(out):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + TOGETHER, side="right")) - 1)
+            some, starts = ids[bounds[first] : bounds[last]], bounds[first:last] - bounds[first]
+            size = np.diff(bounds[first : last + 1])
+            for draws in self.draws:
+                drawn = draws[some]
+                least = np.minimum.reduceat(drawn, starts)
+                at = np.flatnonzero(drawn == np.repeat(least, size))
+                term = np.zeros(last - first, np.int64)
+                term[np.searchsorted(starts, at, side="right") - 1] = some[at]  # terms with one draw are the same term
+                out[first:last] = out[first:last] << KEY_BITS | np.where(np.isinf(least), 0, term)
+            first = last
         return out
 
 
@@ -165,13 +174,25 @@ def fill_windows(documents: list[np.ndarray], corpus: Statistics | None = None,
     return pieces
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _lists(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids and bounds of a column of binary ids, without a copy."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
-    return np.frombuffer(column.buffers()[2], "<u4")[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return flat.view(dtype), ((offsets - offsets[0]) // np.dtype(dtype).itemsize).astype(np.int64)
 
 
-def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int) -> tuple[DataFrame, Statistics]:
+def _held_by(ids: np.ndarray, n: np.ndarray, width: int, docs: int = 64) -> np.ndarray:
+    """For each term the number of documents that hold it; n: their lengths."""
+    out, ends = np.zeros(width, np.int64), np.concatenate(([0], np.cumsum(n)))
+    for i in range(0, len(n), docs):
+        some = n[i : i + docs]
+        held = np.zeros((len(some), width), bool)
+        held[np.repeat(np.arange(len(some)), some), ids[ends[i] : ends[i + len(some)]]] = True
+        out += held.sum(0)
+    return out
+
+
+def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str) -> tuple[DataFrame, Statistics]:
     """(doc_id, h, n, ids) of each document, staged, and the corpus's statistics."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +204,10 @@ def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int) -> tuple[DataFra
                 ids = [np.concatenate([x, end]) for x in of.encode(text.slice(a, b - a))]
                 flat = np.concatenate(ids)
                 n, width = np.fromiter(map(len, ids), np.int64, len(ids)), int(flat.max()) + 1
-                offsets = np.concatenate(([0], 4 * np.cumsum(n))).astype(np.int32)
-                seen = np.unique(np.repeat(np.arange(len(ids)), n) * width + flat) % width
                 df = np.pad(df, (0, max(0, width - len(df))))
-                df[:width] += np.bincount(seen, minlength=width)
+                df[:width] += _held_by(flat, n, width)
+                flat = flat.astype(dtype)
+                offsets = np.concatenate(([0], flat.itemsize * np.cumsum(n))).astype(np.int32)
                 none = pa.nulls(b - a, pa.int64())
                 yield pa.RecordBatch.from_arrays([doc_id.slice(a, b - a), h.slice(a, b - a), pa.array(n), pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]), none, none], names)
         terms = np.flatnonzero(df)
@@ -207,14 +228,15 @@ def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int) -> tuple[DataFra
 
 def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of sequences of at most window ids; with_ids adds each piece's ids (array<int>)."""
-    staged, corpus = _encoded(docs, tokenizer_file, end_id)
+    dtype = "<u2" if max(encoder(tokenizer_file).size - 1, end_id) < 1 << 16 else "<u4"
+    staged, corpus = _encoded(docs, tokenizer_file, end_id, dtype)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(corpus)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                k = shared.value.keys(*_lists(batch.column(3)))
+                k = shared.value.keys(*_lists(batch.column(3), dtype))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k)], [*batch.schema.names, "k"])
 
     keyed = staged.mapInArrow(key, "doc_id bigint, h bigint, n bigint, ids binary, k bigint")
@@ -245,7 +267,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
 
     def pack_shard(held: list[pa.RecordBatch], first: int) -> tuple[pa.RecordBatch, int]:
         doc_ids = pa.concat_arrays([b.column(0) for b in held])
-        ids = [x for b in held for flat, bounds in [_lists(b.column(3))] for x in np.split(flat, bounds[1:-1])]
+        ids = [x.astype("<u4") for b in held for flat, bounds in [_lists(b.column(3), dtype)] for x in np.split(flat, bounds[1:-1])]
         d, start, length, sequence, offset = map(np.asarray, zip(*fill_windows(ids, shared.value, window), strict=True))
         slices = [ids[i][a : a + n] for i, a, n in zip(d.tolist(), start.tolist(), length.tolist(), strict=True)]
         columns = {
