@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +42,44 @@ def materialize(df: DataFrame, name: str, **options: object) -> DataFrame:
     df.write.options(**options).parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_path = path
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(path)
     return staged
 
 
+_TEMPORARY: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete tables that materialize wrote and nothing reads any more. What a lazy result reads must stay."""
     for df in staged:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.staged_path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that materialize writes inside are deleted at the end, but for those given to the function that this
+    yields: what a lazy result reads."""
+    paths: list[str] = []
+    _TEMPORARY.append(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(df.staged_path)
+        if len(_TEMPORARY) > 1:
+            _TEMPORARY[-2].append(df.staged_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _TEMPORARY.pop()
+        for path in paths:
+            _delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

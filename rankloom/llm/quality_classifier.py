@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import join_hot, materialize
+from .common import join_hot, materialize, temporary
 
 LABELLED = 4000
 ROUNDS = 4
@@ -47,6 +47,8 @@ META_SIZE = 1024
 REMEMBERED = 200_000
 SYMBOLS = "#*$%&|<>"
 MOST_COUNT = 255
+#: Documents that are scored in one step.
+TOGETHER = 256
 #: Little-endian 16-bit integers, bytes, and 16-bit integers.
 FEATURES = T.StructType([T.StructField(n, T.BinaryType()) for n in ("text_ids", "text_counts", "meta_ids")])
 LOGITS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("text", "meta")])
@@ -205,14 +207,23 @@ def stage_features(docs: DataFrame) -> DataFrame:
     return materialize(rows.select("doc_id", "id", "f.*"), "quality-features")
 
 
+def _logits(text: np.ndarray, meta: np.ndarray, ids: list[bytes], counts: list[bytes], metas: list[bytes]) -> np.ndarray:
+    """Both views' logits, a few documents at a time: their arrays are many times as large as the features."""
+    out = np.zeros((len(ids), 2))
+    for i in range(0, len(ids), TOGETHER):
+        some = slice(i, i + TOGETHER)
+        out[some, 0] = View.of_text(ids[some], counts[some]).logits(text)
+        out[some, 1] = View.of_meta(metas[some]).logits(meta)
+    return out
+
+
 def logits(rows: DataFrame, text: np.ndarray, meta: np.ndarray) -> Column:
     """A struct of both views' logits of staged features."""
     shared = rows.sparkSession.sparkContext.broadcast((text, meta))
 
     @F.pandas_udf(LOGITS)
     def view_logits(ids: pd.Series, counts: pd.Series, metas: pd.Series) -> pd.DataFrame:
-        w_text, w_meta = shared.value
-        return pd.DataFrame({"text": View.of_text(list(ids), list(counts)).logits(w_text), "meta": View.of_meta(list(metas)).logits(w_meta)})
+        return pd.DataFrame(_logits(*shared.value, list(ids), list(counts), list(metas)), columns=LOGITS.names)
 
     return view_logits.asNondeterministic()("text_ids", "text_counts", "meta_ids")
 
@@ -329,7 +340,8 @@ def score(rows: DataFrame, model: Model | None) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def scores(m: Model, ids: list[bytes], counts: list[bytes], metas: list[bytes]) -> pd.DataFrame:
-        return pd.DataFrame(_sigmoid(m.calibrated(View.of_text(ids, counts).logits(m.text), View.of_meta(metas).logits(m.meta))), columns=SCORES.names)
+        z = _logits(m.text, m.meta, ids, counts, metas)
+        return pd.DataFrame(_sigmoid(m.calibrated(z[:, 0], z[:, 1])), columns=SCORES.names)
 
     @F.pandas_udf(SCORES)
     def of_features(ids: pd.Series, counts: pd.Series, metas: pd.Series) -> pd.DataFrame:
@@ -358,4 +370,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     than shuffling whole texts to join a verdict."""
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
     slim = docs.select(whole, "text", _column(docs, "lang").alias("lang"), _column(docs, "source").alias("source"))
-    return score(slim, fit(stage_features(docs), labels)).filter("kept").select("__row.*")
+    with temporary(docs.sparkSession):
+        model = fit(stage_features(docs), labels)
+    return score(slim, model).filter("kept").select("__row.*")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, materialize, text_key
+from .common import join_small, materialize, temporary, text_key
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -203,7 +203,7 @@ def thresholds(judged: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta
 
 def verdict(judged: DataFrame, cuts: DataFrame) -> DataFrame:
     """Adds kept: neither failed the base rules nor reached a certified cutoff of its stratum."""
-    joined = join_small(judged, materialize(cuts, "rule-cuts"), "stratum")
+    joined = join_small(judged, cuts, "stratum")
     hit = F.lit(False)
     for r in RULES:
         hit = hit | (F.col(f"bin_{r}") >= F.coalesce(F.col(f"cut_{r}"), F.lit(BINS + 1)))
@@ -219,13 +219,17 @@ def _measured(docs: DataFrame, stratum: str, carry: list[str]) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """doc_id, the measures, base_failed and kept of every document. The measures are taken once and written."""
     judged = materialize(_measured(docs, stratum, ["doc_id"]), "rule-measures")
-    return verdict(judged, thresholds(judged, labels)).select("doc_id", *MEASURES, "base_failed", "kept")
+    with temporary(docs.sparkSession) as keep:
+        cuts = keep(materialize(thresholds(judged, labels), "rule-cuts"))
+    return verdict(judged, cuts).select("doc_id", *MEASURES, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The documents that are kept, with the columns of docs. Texts are measured once to find the cutoffs and once
     more to apply them, which is cheaper than shuffling whole texts to join a verdict."""
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
-    narrow = materialize(_measured(docs, stratum, ["doc_id"]).drop(*MEASURES), "rule-measures")
+    with temporary(docs.sparkSession) as keep:
+        narrow = materialize(_measured(docs, stratum, ["doc_id"]).drop(*MEASURES), "rule-measures")
+        cuts = keep(materialize(thresholds(narrow, labels), "rule-cuts"))
     rows = _measured(docs.select(whole, "text", F.col(stratum).alias("__stratum")), "__stratum", ["__row"])
-    return verdict(rows, thresholds(narrow, labels)).filter("kept").select("__row.*")
+    return verdict(rows, cuts).filter("kept").select("__row.*")

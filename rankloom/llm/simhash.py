@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tiles
-from .common import join_counted, materialize
+from .common import join_counted, materialize, temporary
 
 SEED = 42
 SHINGLE = 4
@@ -149,11 +149,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, fingerprint (hex), component_id for every row of docs(doc_id, text)."""
     prints = materialize(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "simhash")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "simhash-classes")
-    rows, total = classes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    found = tiles.components(links(classes.select("fp"), radius))
-    known = tiles.named(classes.withColumnRenamed("fp", "key"), found, total, F.min("least").alias("component_id"))
-    known = materialize(known.select(F.col("key").alias("fp"), F.col("size").alias("n"), "component_id"), "simhash-named")
+    with temporary(docs.sparkSession) as keep:
+        classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "simhash-classes")
+        rows, total = classes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+        found = tiles.components(links(classes.select("fp"), radius))
+        known = tiles.named(classes.withColumnRenamed("fp", "key"), found, total, F.min("least").alias("component_id"))
+        known = keep(materialize(known.select(F.col("key").alias("fp"), F.col("size").alias("n"), "component_id"), "simhash-named"))
     return join_counted(prints, known, "fp", rows).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tiles
-from .common import join_counted, materialize
+from .common import join_counted, materialize, temporary
 from .simhash import BITS, SEED, TILE, majority, shingle_hashes, spanning_links
 
 SHINGLE = 5
@@ -184,10 +184,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAS
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """docs with one row of each component."""
-    found = materialize(near_duplicates(docs, shingle, least), "similar-found")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "__row")).alias("first")
-    keep = found.groupBy("root").agg(first).select(F.col("first.__row").alias("__row"), F.lit(True).alias("keep"))
-    marks = materialize(found.select("__row", F.col("copies").alias("n")).join(keep.hint("merge"), "__row", "left"), "similar-marks")
+    with temporary(docs.sparkSession) as keep_table:
+        found = materialize(near_duplicates(docs, shingle, least), "similar-found")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "__row")).alias("first")
+        keep = found.groupBy("root").agg(first).select(F.col("first.__row").alias("__row"), F.lit(True).alias("keep"))
+        marks = keep_table(materialize(found.select("__row", F.col("copies").alias("n")).join(keep.hint("merge"), "__row", "left"), "similar-marks"))
     hashed = docs.withColumn("__row", _row(docs))
     rows, repeated = marks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n") > 1, F.lit(False))).first()
     kept = join_counted(hashed, marks, "__row", rows).filter("keep")
