@@ -186,9 +186,9 @@ def _held_by(ids: np.ndarray, n: np.ndarray, width: int, docs: int = 64) -> np.n
     out, ends = np.zeros(width, np.int64), np.concatenate(([0], np.cumsum(n)))
     for i in range(0, len(n), docs):
         some = n[i : i + docs]
-        held = np.zeros((len(some), width), bool)
-        held[np.repeat(np.arange(len(some)), some), ids[ends[i] : ends[i + len(some)]]] = True
-        out += held.sum(0)
+        held = np.zeros((len(some), width), np.uint8)
+        held[np.repeat(np.arange(len(some)), some), ids[ends[i] : ends[i + len(some)]]] = 1
+        out += held.sum(0, dtype=np.uint8)
     return out
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import join_hot, materialize, temporary
+from .common import SALTS, join_hot, materialize, temporary
 
 LABELLED = 4000
 ROUNDS = 4
@@ -296,8 +296,12 @@ def pseudo_labels(staged: DataFrame, pool: DataFrame, weights: tuple[np.ndarray,
     for k in (0, 1):
         if taught[k]:
             rows = rows.filter((F.col("view") != k) | ~F.col("id").isin(list(taught[k])))
-    order = W.Window.partitionBy("view", "label").orderBy(F.desc("sure"), "id")
-    first = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(wanted.values())).filter("place <= n")
+    # the first of each of SALTS parts, then of all: no task meets more than SALTS times as many as are wanted
+    rows, first = rows.withColumn("salt", F.pmod("id", F.lit(SALTS))), None
+    for by in (["view", "label", "salt"], ["view", "label"]):
+        order = W.Window.partitionBy(*by).orderBy(F.desc("sure"), "id")
+        first = (rows if first is None else first).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(wanted.values()))
+    first = first.filter("place <= n")
     return [tuple(r) for r in first.orderBy("view", "label", "place").select("view", "id", "label").collect()]
 
 
