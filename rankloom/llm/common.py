@@ -100,11 +100,14 @@ def hot_from(total: int) -> int:
     return max(HOT_ROWS, total // BROADCAST_ROWS)
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, most: int | None = None) -> DataFrame:
     """Inner join of left, of about total rows, with right, which has one row for each key and in column n the number
     of left's rows with that key. Rows of a hot key stay where they are: their right side is broadcast, and there are at
     most BROADCAST_ROWS hot keys, since each has more than total / BROADCAST_ROWS of the rows. All other keys are
-    shuffled, none of them with a large share. left is read twice, so it should be a staged table."""
+    shuffled, none of them with a large share. left is read twice, so it should be a staged table; once, if most, the
+    greatest n, shows that no key is hot."""
+    if most is not None and most <= hot_from(total):
+        return left.join(right.hint("merge"), key)
     hot = F.col("n") > hot_from(total)
     broad = F.broadcast(right.filter(hot))
     spread = left.join(broad.select(key), key, "left_anti").join(right.filter(~hot).hint("merge"), key)

@@ -41,8 +41,8 @@ CLASSES = 8192
 ENDING = 4
 LONGEST_OWN = 6
 ROUNDS = 6
-BATCH_TOKENS = 1_500_000
-STRETCH_TOKENS = 1_500_000
+BATCH_TOKENS = 3_000_000
+STRETCH_TOKENS = 3_000_000
 BLOCK_BYTES = 10 << 20
 PRIOR = 100.0
 SCHEMA = "kind int, block bigint, doc_id bigint, held_out boolean, ids binary, classes binary, word binary, number int, class int, train_count bigint"
@@ -171,7 +171,7 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray], stretch: int = STRE
         held = list(forward(a, first, stop))
         seen = []
         for t in range(stop - 1, first - 1, -1):
-            symbols, a, c = held[t - first]
+            symbols, a, c = held.pop()
             if later is not None and alive[t + 1]:
                 x = emit[later[0]] * b / later[1]
                 moves += a[: alive[t + 1]].T @ x
@@ -179,10 +179,11 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray], stretch: int = STRE
             b = np.concatenate([b, np.ones((alive[t] - len(b), states), np.float32)])
             later = (symbols, c)
             seen.append((symbols, a * b))
-        which, weight = np.concatenate([s for s, _ in seen]), np.concatenate([w for _, w in seen])
+        begun = seen[-1][1].sum(0, dtype=np.float64)
+        which = np.concatenate([s for s, _ in seen])
         for k in range(states):
-            emitted[:, k] += np.bincount(which, weight[:, k], len(emit))
-    return seen[-1][1].sum(0, dtype=np.float64), moves * move, emitted
+            emitted[:, k] += np.bincount(which, np.concatenate([w[:, k] for _, w in seen]), len(emit))
+    return begun, moves * move, emitted
 
 
 def log_likelihoods(model: Hmm, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -256,8 +257,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     documents = blocks.filter("kind = 0")
     listed = blocks.filter("kind = 1").select("word", "block", "number", "class", "train_count")
     counts = materialize(listed.groupBy("word", "class").agg(F.sum("train_count").alias("c"), F.count("*").alias("n")), "lm-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = join_counted(listed.drop("class"), counts, "word", total).select("block", "number", "class", "c")
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    words = join_counted(listed.drop("class"), counts, "word", total, most).select("block", "number", "class", "c")
     seen = counts.filter("c > 0").groupBy("class").agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("int")), F.sum((F.col("c") == 2).cast("int")))
     in_class, kinds, once, twice = np.zeros((4, CLASSES))
     for k, *figures in seen.collect():
