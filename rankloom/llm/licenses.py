@@ -4,8 +4,9 @@ A file's parts are its lines, its blocks (runs of lines up to one without a lett
 paragraph of a licence, is one) and the whole file; each is compared with every template, of which a licence has several
 (see license_texts). Words are runs of ASCII letters and digits of the lower-cased text; a word's inverse document
 frequency is counted over all files; words in no template share one weight, the mean of the templates' words. Only parts
-that could reach the threshold are exploded: one without any of a template's heavier words, which are left when its
-lightest words with less than threshold squared of its squared norm are set aside, cannot. So the filter loses nothing.
+that could reach the threshold are exploded: one without any of a template's rarer words, which are left when its
+commonest words with less than threshold squared of its squared norm are set aside, cannot, nor one whose shared words
+have less than that of it. So the filters lose nothing.
 
 A file declares the licence of its best line or block from PART_COSINE on, or of its whole text from FILE_COSINE on. It is
 a licence file if its name says so and it declares a licence, or if its whole text, of FILE_WORDS words or more, reaches
@@ -22,6 +23,7 @@ output are replaced.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -72,38 +74,54 @@ class Weights:
                 self.templates[name, i] = {w: x / norm for w, x in weight.items()}
 
     def needed(self, cosine: float) -> list[str]:
-        """Words of which a text must hold one to reach this cosine with some template."""
+        """Words of which a text must hold one to reach this cosine with some template: those that are left when the
+        words in most files, with less than the cosine squared of the template's squared norm, are set aside."""
         out: set[str] = set()
         for weight in self.templates.values():
             left = cosine * cosine * (1 - 1e-9)
-            for w, x in sorted(weight.items(), key=lambda p: (p[1], p[0])):
-                left -= x * x
-                if left <= 0:
+            for w, x in sorted(weight.items(), key=lambda p: (self.idf[p[0]], p[0])):
+                if x * x < left:
+                    left -= x * x
+                else:
                     out.add(w)
         return sorted(out)
 
 
-def _holds(text: Column, some: list[str]) -> Column:
-    return F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(some)})(?![a-z0-9])")
+def _could(part: Column, weights: Weights, cosine: float) -> Column:
+    """Whether the words that a part shares with some template have enough of the template's norm for this cosine."""
+    vocabulary = F.array(*map(F.lit, sorted(weights.idf)))
+    squares = json.dumps([[{"w": w, "x": x * x} for w, x in t.items()] for t in weights.templates.values()])
+    templates = F.from_json(F.lit(squares), "array<array<struct<w: string, x: double>>>")
+    enough = cosine * cosine * (1 - 1e-9)
 
+    needed = F.array(*map(F.lit, weights.needed(cosine)))
 
-def parts_of(files: DataFrame, some: list[str]) -> DataFrame:
-    """__path, __text, kind ('line', 'block', 'file'), at and part, of parts that hold one of some words."""
-    texts = files.filter("text IS NOT NULL").filter(_holds(F.col("text"), some)).select("__path", F.xxhash64("text").alias("__text"), "text")
+    def reaches(present: Column) -> Column:
+        shared = lambda t: F.aggregate(t, F.lit(0.0), lambda s, e: s + F.when(F.array_contains(present, e["w"]), e["x"]).otherwise(F.lit(0.0)))
+        return F.arrays_overlap(present, needed) & F.exists(templates, lambda t: shared(t) >= enough)
+
+    return F.exists(F.array(F.array_intersect(_words(part), vocabulary)), reaches)  # bound once, not for each template
+
+
+def parts_of(files: DataFrame, weights: Weights, least: float, file_least: float) -> DataFrame:
+    """__path, __text, kind ('line', 'block', 'file'), at and part, of parts that could reach least, and of
+    whole files that could reach file_least."""
+    texts = files.filter("text IS NOT NULL").filter(_could(F.col("text"), weights, least)).select("__path", F.xxhash64("text").alias("__text"), "text")
 
     def pieces(kind: str, cut: str) -> DataFrame:
         found = texts.select("__path", "__text", F.lit(kind).alias("kind"), F.posexplode(F.split("text", cut)).alias("at", "part"))
-        return found.filter(_holds(F.col("part"), some))
+        return found.filter(_could(F.col("part"), weights, least))
 
     blocks = pieces("block", GAP).filter(F.col("part").contains("\n"))
-    return pieces("line", "\n").unionByName(blocks).unionByName(texts.select("__path", "__text", F.lit("file").alias("kind"), F.lit(0).alias("at"), F.col("text").alias("part")))
+    whole = texts.filter(_could(F.col("text"), weights, file_least))
+    return pieces("line", "\n").unionByName(blocks).unionByName(whole.select("__path", "__text", F.lit("file").alias("kind"), F.lit(0).alias("at"), F.col("text").alias("part")))
 
 
-def cosines(files: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """__path, __text, kind, license, cosine, n_words for parts that could reach least, of their best template of each
+def cosines(files: DataFrame, weights: Weights, least: float, file_least: float) -> DataFrame:
+    """__path, __text, kind, license, cosine, n_words for parts and files that could reach these, of their best template of each
     licence. The templates' words, a bounded parameter, are broadcast."""
     key = ["__path", "__text", "kind", "at"]
-    terms = parts_of(files, weights.needed(least)).select(*key, F.explode(_words(F.col("part"))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("tf"))
+    terms = parts_of(files, weights, least, file_least).select(*key, F.explode(_words(F.col("part"))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("tf"))
     spark = files.sparkSession
     idf = literal_table(spark, sorted(weights.idf.items()), {"word": "string", "idf": "double"})
     entries = [(w, n, i, x) for (n, i), weight in weights.templates.items() for w, x in weight.items()]
@@ -141,7 +159,7 @@ def scan(files: DataFrame, templates: Templates = TEMPLATES, part_cosine: float
     weights = Weights(*document_frequencies(files, templates), templates)
     whole = F.col("kind") == "file"
     enough = (~whole & (F.col("cosine") >= part_cosine)) | (whole & (F.col("cosine") >= file_cosine))
-    near = materialize(cosines(keyed, weights, min(part_cosine, file_cosine)).filter(enough), "license-cosines")
+    near = materialize(cosines(keyed, weights, min(part_cosine, file_cosine), file_cosine).filter(enough), "license-cosines")
     declared = near.groupBy("__path", "__text").agg(_best().alias("b"))
     declared = materialize(declared.select("__path", "__text", F.col("b.license").alias("__declared"), (-F.col("b.less")).alias("cosine")), "license-declared")
     named = F.substring("__path", 3, 1 << 30).rlike(NAMED)
