@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import claim_patterns as P
 from ..operators import claims as C
-from ..operators import metrics, synth
+from ..operators import metrics
 from . import relations as R
 from .registry import query
 
@@ -152,11 +152,41 @@ def f01_structured_claims(spark, sf):
     return C.structured_claims(part.select(F.col("p_partkey").alias("doc_id"), text.alias("doc"))).drop("n")
 
 
-@query()
+#: Pairs of documents for each outcome: what a and b say of a part's size class (or of its weight), whether the pair is
+#: given as a contradiction, and what the diagnosis should find.
+_DIAGNOSED = [
+    ("Nothing here.", "Nothing there.", True, 0, 0, "no_structured_claims_extracted"),
+    ("Nothing here.", "{e} reports size class as {v}.", True, 0, 1, "no_claims_from_doc_a"),
+    ("{e} reports size class as {v}.", "Nothing there.", True, 1, 0, "no_claims_from_doc_b"),
+    ("{e} reports size class as {v}.", "{e} reports unit weight as {v}.", True, 1, 1, "no_matching_attributes_between_docs"),
+    ("{e} reports size class as {v}.", "{e} reports size class as {v}.", True, 1, 1, "values_did_not_conflict({v} vs {v})"),
+    ("{e} reports size class as {v}.", "{e} reports size class as {w}.", False, 1, 1, "false_positive_detected"),
+    ("{e} reports size class as {v}.", "{e} reports size class as {w}.", True, 1, 1, None),
+    ("{e} reports size class as {v}.", "{e} reports size class as {v}.", False, 1, 1, None),
+]
+
+
+def _sql_said(text: str) -> str:
+    for k, v in (("{e}", "Part ' || id || '"), ("{v}", "' || v || '"), ("{w}", "' || (v + 7) || '")):
+        text = text.replace(k, v)
+    return f"'{text}'"
+
+
+_CASES = " UNION ALL ".join(
+    f"SELECT id, {_sql_said(a)} AS doc_a, {_sql_said(b)} AS doc_b, {bad} AS is_contradiction, {na} AS claims_a, {nb} AS claims_b, {reason == 'false_positive_detected'} AS was_detected, {_sql_said(reason)} AS miss_reason FROM pt WHERE k = {k}"
+    for k, (a, b, bad, na, nb, reason) in enumerate(_DIAGNOSED)
+    if reason
+)
+
+
+@query(f"WITH pt AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_size AS v, p_partkey % {len(_DIAGNOSED)} AS k FROM part) SELECT id, doc_a, doc_b, is_contradiction, CAST(claims_a AS BIGINT) AS claims_a, CAST(claims_b AS BIGINT) AS claims_b, was_detected, miss_reason FROM ({_CASES})")
 def f08_diagnose(spark, sf):
-    """what the generated contradictions and controls show the detection to miss."""
-    rows = synth.contradictions(spark, 60, 30).withColumn("id", F.col("idx").cast("string"))
-    return C.diagnose(rows.select("id", "subject", "doc_a", "doc_b", "is_contradiction", "contradicted_field"))
+    """why statements on each part's size were missed, or found where none should be; one case of each kind in turn."""
+    part = R.table(spark, sf, "part")
+    said = lambda t: F.format_string(t.replace("{e}", "Part %1$s").replace("{v}", "%2$s").replace("{w}", "%3$s"), F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), (F.col("p_size") + 7).cast("string"))
+    of = lambda i, f: F.element_at(F.array(*[f(c[i]) for c in _DIAGNOSED]), (F.col("p_partkey") % len(_DIAGNOSED) + 1).cast("int"))
+    rows = part.select(F.col("p_partkey").cast("string").alias("id"), of(0, said).alias("doc_a"), of(1, said).alias("doc_b"), of(2, F.lit).alias("is_contradiction"))
+    return C.diagnose(rows)
 
 
 @query("WITH s AS (SELECT sum((quality = 0 AND toxic = 1)::INTEGER) AS tp, sum((quality = 1 AND toxic = 1)::INTEGER) AS fp, sum((quality = 0 AND toxic = 0)::INTEGER) AS fn, sum((quality = 1 AND toxic = 0)::INTEGER) AS tn FROM labels) SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fp), 6) AS precision, round(fp / (fp + tn), 6) AS fpr, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM s")

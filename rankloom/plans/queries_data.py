@@ -16,6 +16,7 @@ from .registry import query
 
 _KEYS = ["query_id", "doc_id"]
 
+_TAUGHT = f"{S.features('cand', 'f')}, fs AS (SELECT query_id, doc_id, pos, round({S.blend()}, 6) AS label FROM f)"
 _CONTESTED = f"{R.SQL_CANDIDATES}, {S.bm25_local('cand', 'b')}, {S.semantic('b', 'm')}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_norm, 6) DESC, pos) AS br, row_number() OVER (PARTITION BY query_id ORDER BY round(sem_score, 6) DESC, pos) AS sr, count(*) OVER (PARTITION BY query_id) AS n FROM m)"
 
 
@@ -35,7 +36,7 @@ def i03_diverse(spark, sf):
     return mining.diverse(R.candidates(spark, sf)).select("cluster", *_KEYS)
 
 
-@query()
+@query(f"WITH {_CONTESTED}, {_TAUGHT}, nt AS (SELECT query_id, doc_id, min(round_no) AS found FROM rk, range(0, 3) AS g(round_no) WHERE n >= 2 AND abs(br - sr) > (50 - 20 * round_no) * least(n, 100) // 100 GROUP BY ALL), rn AS (SELECT found, count(*) AS c FROM nt GROUP BY ALL) SELECT query_id, doc_id, label FROM nt JOIN fs USING (query_id, doc_id) WHERE found <= (SELECT min(g.r) FROM range(0, 4) AS g(r) WHERE g.r NOT IN (SELECT found FROM rn))")
 def i05_active_loop(spark, sf):
     """Contested pairs, then uncertain ones, labelled by the stand-in teacher, no pair twice."""
     candidates = R.candidates(spark, sf)
@@ -73,13 +74,23 @@ def i06_hard_negatives(spark, sf):
     return mining.hard_negatives(asked, docs, stage(qrels, "qrels"), per_query=30)
 
 
-@query("WITH k AS (SELECT DISTINCT source || '/' || lang AS key FROM documents), o AS (SELECT key, row_number() OVER (ORDER BY sha256('42:' || key), key) - 1 AS i, count(*) OVER () AS n FROM k), c AS (SELECT *, CASE WHEN greatest(1, round_even(n * 0.7e0, 0)) >= n AND n > 1 THEN n - 1 ELSE greatest(1, round_even(n * 0.7e0, 0)) END AS tr, round_even(n * 0.15e0, 0) AS v0 FROM o), e AS (SELECT *, CASE WHEN tr + v0 >= n AND n > 2 THEN greatest(1, n - tr - 1) ELSE v0 END AS va FROM c) SELECT doc_id, CASE WHEN i = n - 1 AND tr + va >= n THEN 'test' WHEN i < tr THEN 'train' WHEN i < tr + va THEN 'validation' ELSE 'test' END AS split FROM documents JOIN e ON e.key = source || '/' || lang")
+def _sql_split(rows: str, key: str) -> str:
+    """CTEs ending in e(key, split): the split of each key, keys in hash order."""
+    share = lambda r: f"round_even(n * {r}e0, 0)"
+    return f"""k AS (SELECT DISTINCT {key} AS key FROM {rows}),
+o AS (SELECT key, row_number() OVER (ORDER BY sha256('42:' || key), key) - 1 AS i, count(*) OVER () AS n FROM k),
+c AS (SELECT *, least(greatest({share(0.7)}, 1), greatest(n - 1, 1)) AS tr FROM o),
+v AS (SELECT *, least({share(0.15)}, greatest(n - tr - 1, 1)) AS va FROM c),
+e AS (SELECT key, CASE WHEN i = n - 1 AND tr + va >= n THEN 'test' WHEN i < tr THEN 'train' WHEN i < tr + va THEN 'validation' ELSE 'test' END AS split FROM v)"""
+
+
+@query(f"WITH {_sql_split('documents', "source || '/' || lang")} SELECT doc_id, split FROM documents JOIN e ON e.key = source || '/' || lang")
 def i07_group_split(spark, sf):
     """Documents split by source and language, groups whole."""
     return mining.split(R.table(spark, sf, "documents"), F.concat_ws("/", "source", "lang")).select("doc_id", "split")
 
 
-@query()
+@query(f"WITH r AS (SELECT labels.*, source FROM labels JOIN documents USING (doc_id)), {_sql_split('r', 'source')}, t AS (SELECT r.* FROM r JOIN e ON e.key = source WHERE split = 'train'), m AS (SELECT count(*) > 1 AS mixed FROM (SELECT DISTINCT quality FROM t)) SELECT t.* FROM t, m WHERE mixed UNION ALL SELECT r.* FROM r, m WHERE NOT mixed")
 def i08_train_rows(spark, sf):
     """Labels of the training groups, or all labels if those are of one class."""
     rows = R.table(spark, sf, "labels").join(R.table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
@@ -106,7 +117,7 @@ def i09_cross_domain(spark, sf):
     return mining.cross_domain(_topics(spark, sf))
 
 
-_TEACHER = f"{R.SQL_CANDIDATES}, {S.features('cand', 'f')}, fs AS (SELECT query_id, doc_id, pos, round({S.blend()}, 6) AS label FROM f)"
+_TEACHER = f"{R.SQL_CANDIDATES}, {_TAUGHT}"
 
 
 @query(f"WITH {_TEACHER}, pp AS (SELECT a.query_id, a.doc_id AS a, b.doc_id AS b, CASE WHEN a.label > b.label THEN 'A' ELSE 'B' END AS preferred, row_number() OVER (PARTITION BY a.query_id ORDER BY a.pos, b.pos) AS n FROM fs a JOIN fs b ON a.query_id = b.query_id AND a.pos < b.pos WHERE abs(a.label - b.label) >= 1e-9 QUALIFY n <= 1000) SELECT query_id, a, b, preferred, CAST(n AS INTEGER) AS n FROM pp")
@@ -120,7 +131,17 @@ def _examples(spark, sf):
     return R.judged(spark, sf).select("query_id", "query", "doc", F.col("rel").alias("score"), "pos")
 
 
-@query()
+_OFF = "42 AS generation_seed, 'offline' AS generation_mode, CAST(NULL AS VARCHAR) AS teacher_model"
+_DRAWN = "CAST('0x' || substr(sha256('42:{}:' || idx), 1, 12) AS BIGINT) % {}"
+_SUFFIX = "[" + ", ".join(f"'{x}'" for x in synth.SUFFIXES) + "]"
+
+
+@query(f"""WITH {R.SQL_EXCHANGES}, sd AS (SELECT query_id, query, doc AS positive, coalesce(lead(doc) OVER (ORDER BY query_id), '') AS negative FROM ex),
+od AS (SELECT *, row_number() OVER (ORDER BY sha256('42:' || query_id)) - 1 AS i FROM sd), sz AS (SELECT count(*) AS n FROM sd),
+pl AS (SELECT 2 * i + side AS idx, query, CASE side WHEN 0 THEN positive ELSE negative END AS doc, CASE side WHEN 0 THEN 3 ELSE 0 END AS score, CASE side WHEN 0 THEN 'Directly addresses the query with the relevant concept.' ELSE 'Discusses a different topic from the query.' END AS rationale FROM od, range(0, 2) AS s(side)),
+mo AS (SELECT idx, idx % 4 AS score, {_DRAWN.format("seed", "n")} AS i, {_SUFFIX}[{_DRAWN.format("suffix", len(synth.SUFFIXES))} + 1] AS suffix FROM sz, range(0, 1000) AS g(idx) WHERE idx >= 2 * n AND n > 0),
+al AS (SELECT * FROM pl WHERE idx < 1000 UNION ALL SELECT idx, query, CASE WHEN score >= 2 THEN positive ELSE negative END || ' ' || suffix, score, 'Offline synthetic label generated from seeded examples.' FROM mo JOIN od USING (i))
+SELECT CAST(idx AS INTEGER) AS idx, query, doc, CAST(score AS INTEGER) AS score, rationale, {_OFF} FROM al""")
 def j01_pairs(spark, sf):
     """Graded pairs from the exchanges, each with the next exchange's answer as its negative."""
     ex = R.exchanges(spark, sf)
@@ -128,7 +149,6 @@ def j01_pairs(spark, sf):
     return synth.pairs(stage(seeds, "seeds"), 1000)
 
 
-_OFF = "42 AS generation_seed, 'offline' AS generation_mode, CAST(NULL AS VARCHAR) AS teacher_model"
 _BEST = f"{R.SQL_JUDGED}, bw AS (SELECT query_id, query, arg_max(doc, rel * 1000 + pos) AS doc_a, arg_min(doc, rel * 1000 + pos) AS doc_b FROM judged GROUP BY ALL HAVING count(*) >= 2)"
 
 
@@ -137,7 +157,8 @@ def j02_best_and_worst(spark, sf):
     return synth.best_and_worst(_examples(spark, sf))
 
 
-@query()
+@query(f"""WITH {R.SQL_JUDGED}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST('0x' || substr(sha256('42:' || query_id || ':' || pos), 1, 12) AS BIGINT)) AS k FROM judged)
+SELECT a.query_id, CAST((a.k + 1) // 2 AS INTEGER) AS pair, a.query, a.doc AS doc_a, b.doc AS doc_b, CASE WHEN a.rel >= b.rel THEN 'A' ELSE 'B' END AS preferred, round(least(1e0, 0.55e0 + abs(a.rel - b.rel) * 0.15e0), 2) AS confidence, {_OFF} FROM k a JOIN k b ON a.query_id = b.query_id AND b.k = a.k + 1 WHERE a.k % 2 = 1 AND a.k <= 6""")
 def j02_random_preferences(spark, sf):
     return synth.random_preferences(_examples(spark, sf), per_query=3)
 
@@ -275,7 +296,21 @@ def g04_router(spark, sf):
     return training.Router().fit(stage(known, "router")).predict(asked)
 
 
-@query()
+def _sql_sweep(rankers: dict[str, str]) -> str:
+    """Metrics of ranked relations, by strategy, over the judged candidates."""
+    lists = " UNION ALL ".join(f"SELECT '{name}' AS strategy, query_id, doc_id, rank FROM {relation}" for name, relation in rankers.items())
+    gain = "(pow(2e0, rel) - 1) / log2({} + 1e0)"
+    return f"""al AS ({lists}), ju AS (SELECT strategy, query_id, rank, rel FROM al JOIN judged USING (query_id, doc_id)),
+od AS (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY rel DESC, rank) AS best, sum((rel > 0)::INTEGER) OVER (PARTITION BY strategy, query_id ORDER BY rank) AS so_far FROM ju),
+pq AS (SELECT strategy, query_id, coalesce(sum(CASE WHEN rank <= 10 THEN {gain.format("rank")} END), 0) AS dcg, coalesce(sum(CASE WHEN best <= 10 THEN {gain.format("best")} END), 0) AS ideal, coalesce(1e0 / min(CASE WHEN rel > 0 THEN rank END), 0) AS rr, coalesce(avg(CASE WHEN rel > 0 THEN so_far / CAST(rank AS DOUBLE) END), 0) AS ap, avg(CASE WHEN rank <= 1 THEN (rel > 0)::INTEGER END) AS p1 FROM od GROUP BY ALL)
+SELECT strategy, count(*) AS queries, round(avg(CASE WHEN ideal = 0 THEN 0 ELSE dcg / ideal END), 6) AS ndcg, round(avg(rr), 6) AS mrr, round(avg(ap), 6) AS map, round(avg(p1), 6) AS p_at_1 FROM pq GROUP BY ALL"""
+
+
+_SWEPT = f"""{R.SQL_JUDGED}, {S.bm25_local('cand', 'b', R.sql_words)}, bs AS (SELECT *, bm25_norm AS score FROM b), {S.ranked('bs', 'r1')},
+{S.features('cand', 'f')}, fs AS (SELECT *, {S.blend()} AS score FROM f), {S.ranked('fs', 'r2')}, {S.binary('cand', 'bi')}, {S.ranked('bi', 'r3')}, {S.late('cand', 'la')}, {S.ranked('la', 'r4')}, {S.sparse('cand', 'sp')}, {S.ranked('sp', 'r5')}"""
+
+
+@query(f"WITH {_SWEPT}, {_sql_sweep({'bm25': 'r1', 'hybrid': 'r2', 'binary': 'r3', 'late_interaction': 'r4', 'sparse': 'r5'})}")
 def l12_sweep(spark, sf):
     """Several strategies evaluated on the same judged candidates."""
     judged = R.judge(R.candidates(spark, sf))
@@ -284,7 +319,7 @@ def l12_sweep(spark, sf):
     out = None
     for name, ranker in strategies.items():
         ranked = stage(ranker(judged.drop("rel")).select("query_id", "doc_id", "rank"), f"ranked-{name}").join(rel, _KEYS)
-        one = metrics.evaluate(ranked).select(F.lit(name).alias("strategy"), "*")
+        one = metrics.evaluate(ranked).select(F.lit(name).alias("strategy"), "queries", *[F.round(c, 6).alias(c) for c in ("ndcg", "mrr", "map", "p_at_1")])
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -341,7 +376,7 @@ def a14_model_round_trip(spark, sf):
     return tables["weights"]
 
 
-@query()
+@query(f"WITH {_BEST}, {_CONTRA} SELECT 'preferences' AS dataset, count(*) AS records, sum((query IS NOT NULL AND doc_a IS NOT NULL AND doc_b IS NOT NULL)::INTEGER)::BIGINT AS valid FROM bw UNION ALL SELECT 'contradictions', count(*), sum((subject IS NOT NULL AND value_b IS NOT NULL)::INTEGER)::BIGINT FROM ct UNION ALL SELECT 'query_expansions', count(DISTINCT text), count(DISTINCT text) FROM benchmark")
 def a15_materialized_datasets(spark, sf):
     """Generated records written as files of bounded size, and the manifest of their counts."""
     root, out = scratch(spark, "generated"), None

@@ -100,7 +100,7 @@ def e04_pairwise_tournament(spark, sf):
     return _scores(rankers.tournament(rankers.document_pairs(candidates), candidates, rankers.logistic(_WEIGHTS, _CONSTANT)))
 
 
-@query()
+@query(_sql_scores(f"RECURSIVE {_PAIRS}, pp AS (SELECT query_id, a, b, 1 / (1 + exp(-({_LOGIT}))) AS p FROM pr), {S.merge_sort('pp', 'cand', 'mt')}, {S.ranked('mt', 'r')}", "r"))
 def e05_merge_tournament(spark, sf):
     """Merge-sort tournament, as for candidate lists too long for the full one."""
     candidates = R.candidates(spark, sf)
@@ -163,13 +163,7 @@ def e10_late_interaction_ternary(spark, sf):
     return _scores(rankers.late_interaction_quantized(R.candidates(spark, sf), "ternary"))
 
 
-def _sql_terms(key: str, text: str, out: str) -> str:
-    return f"""{out}_t AS (SELECT {key}, unnest({R.sql_tokens(text)}) AS term FROM (SELECT DISTINCT {key}, {text} FROM cand)),
-{out}_w AS (SELECT {key}, term, ln(1 + count(*)) AS w FROM {out}_t GROUP BY ALL),
-{out} AS (SELECT * FROM {out}_w QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY round(w, 6) DESC, term) <= 128)"""
-
-
-@query(_sql_scores(f"{R.SQL_CANDIDATES}, {_sql_terms('query_id', 'query', 'tq')}, {_sql_terms('doc_id', 'doc', 'td')}, sc AS (SELECT c.query_id, c.doc_id, sum(least(tq.w, td.w)) AS score FROM cand c JOIN tq ON tq.query_id = c.query_id JOIN td ON td.doc_id = c.doc_id AND td.term = tq.term GROUP BY ALL), sr AS (SELECT c.query_id, c.doc_id, pos, coalesce(score, 0) AS score FROM cand c LEFT JOIN sc USING (query_id, doc_id)), {S.ranked('sr', 'r')}", "r"))
+@query(_sql_scores(f"{R.SQL_CANDIDATES}, {S.sparse('cand', 'sp')}, {S.ranked('sp', 'r')}", "r"))
 def e11_sparse(spark, sf):
     """Least common weight over shared terms, with term-frequency weights for the encoder's."""
     return _scores(rankers.sparse(R.candidates(spark, sf)))

@@ -101,3 +101,40 @@ def late(rel: str, out: str) -> str:
 {p}x AS (SELECT r.query_id, r.doc_id, q.bucket, q.sign, q.qf, max(CASE WHEN d.bucket = q.bucket THEN q.sign * d.sign ELSE 0 END) AS best FROM {rel} r JOIN {p}q q USING (query_id) JOIN {p}d d ON d.doc_id = r.doc_id GROUP BY ALL),
 {p}y AS (SELECT query_id, doc_id, CAST(sum(qf * best) AS DOUBLE) AS score FROM {p}x GROUP BY ALL),
 {out} AS (SELECT r.*, coalesce(score, 0) AS score FROM {rel} r LEFT JOIN {p}y USING (query_id, doc_id))"""
+
+
+def _terms(rel: str, key: str, text: str, out: str) -> str:
+    return f"""{out}_t AS (SELECT {key}, unnest({sql_tokens(text)}) AS term FROM (SELECT DISTINCT {key}, {text} FROM {rel})),
+{out}_w AS (SELECT {key}, term, ln(1 + count(*)) AS w FROM {out}_t GROUP BY ALL),
+{out} AS (SELECT * FROM {out}_w QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY round(w, 6) DESC, term) <= 128)"""
+
+
+def sparse(rel: str, out: str) -> str:
+    p = f"{out}_"
+    return f"""{_terms(rel, "query_id", "query", p + "q")}, {_terms(rel, "doc_id", "doc", p + "d")},
+{p}s AS (SELECT r.query_id, r.doc_id, sum(least(a.w, b.w)) AS score FROM {rel} r JOIN {p}q a ON a.query_id = r.query_id JOIN {p}d b ON b.doc_id = r.doc_id AND b.term = a.term GROUP BY ALL),
+{out} AS (SELECT r.*, coalesce(score, 0) AS score FROM {rel} r LEFT JOIN {p}s USING (query_id, doc_id))"""
+
+
+def merge_sort(pairs: str, rel: str, out: str, levels: int = 6) -> str:
+    """<out>: query_id, doc_id, pos and score of a merge-sort tournament over pairs(query_id, a, b, p) of up to
+    2 ** levels documents. Each level is a recursive merge of two runs; every step is one comparison."""
+    p = f"{out}_"
+    parts = [
+        f"{p}c AS (SELECT query_id, a, b, p FROM {pairs} UNION ALL SELECT query_id, b, a, 1 - p FROM {pairs})",
+        f"{p}l AS (SELECT query_id, list(doc_id ORDER BY pos) AS docs, count(*) AS n FROM {rel} GROUP BY ALL)",
+        f"{p}g0 AS (SELECT query_id, CAST(0 AS BIGINT) AS lo, CAST(n AS BIGINT) AS hi FROM {p}l)",
+    ]
+    for k in range(levels):
+        parts.append(f"{p}g{k + 1} AS (SELECT query_id, lo, (lo + hi) // 2 AS hi FROM {p}g{k} WHERE hi - lo > 1 UNION ALL SELECT query_id, (lo + hi) // 2, hi FROM {p}g{k} WHERE hi - lo > 1)")
+    parts.append(f"{p}m{levels} AS (SELECT g.query_id, lo, hi, [docs[lo + 1]] AS run FROM {p}g{levels} g JOIN {p}l USING (query_id))")
+    for k in range(levels - 1, -1, -1):
+        step = f"SELECT s.query_id, lo, hi, CASE WHEN c.p >= 0.5e0 THEN x[2:] ELSE x END, CASE WHEN c.p >= 0.5e0 THEN y ELSE y[2:] END, list_append(run, CASE WHEN c.p >= 0.5e0 THEN x[1] ELSE y[1] END), x[1], y[1], c.p FROM {p}w{k} s JOIN {p}c c ON c.query_id = s.query_id AND c.a = x[1] AND c.b = y[1] WHERE len(x) > 0 AND len(y) > 0"
+        start = f"SELECT g.query_id, g.lo, g.hi, a.run AS x, b.run AS y, CAST([] AS BIGINT[]) AS run, CAST(NULL AS BIGINT) AS first, CAST(NULL AS BIGINT) AS second, CAST(NULL AS DOUBLE) AS p FROM {p}g{k} g JOIN {p}m{k + 1} a ON a.query_id = g.query_id AND a.lo = g.lo JOIN {p}m{k + 1} b ON b.query_id = g.query_id AND b.hi = g.hi AND b.lo = a.hi WHERE g.hi - g.lo > 1"
+        parts.append(f"{p}w{k} AS ({start} UNION ALL {step})")
+        parts.append(f"{p}m{k} AS (SELECT query_id, lo, hi, run || x || y AS run FROM {p}w{k} WHERE len(x) = 0 OR len(y) = 0 UNION ALL SELECT g.query_id, lo, hi, [docs[lo + 1]] FROM {p}g{k} g JOIN {p}l USING (query_id) WHERE hi - lo = 1)")
+    won = " UNION ALL ".join(f"SELECT query_id, first AS doc_id, p AS credit FROM {p}w{k} WHERE p IS NOT NULL UNION ALL SELECT query_id, second, 1 - p FROM {p}w{k} WHERE p IS NOT NULL" for k in range(levels))
+    parts.append(f"{p}t AS (SELECT query_id, doc_id, sum(credit) AS credit FROM ({won}) GROUP BY ALL)")
+    parts.append(f"{p}o AS (SELECT query_id, unnest(run) AS doc_id, len(run) - unnest(range(len(run))) AS bonus FROM {p}m0)")
+    parts.append(f"{out} AS (SELECT r.query_id, r.doc_id, r.pos, bonus + coalesce(credit, 0) AS score FROM {rel} r JOIN {p}o USING (query_id, doc_id) LEFT JOIN {p}t USING (query_id, doc_id))")
+    return ", ".join(parts)
