@@ -122,6 +122,14 @@ def from_environment(prefix: str = "RANKLOOM_", environment: Mapping[str, str] |
     return with_overrides(Settings(), nested)
 
 
+def from_yaml(path: str, settings: Settings | None = None) -> Settings:
+    """The settings with those of a YAML file; an empty file changes nothing."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return with_overrides(settings or Settings(), yaml.safe_load(f) or {})
+
+
 def sweep(base: Settings, variants: Mapping[str, Mapping[str, Any]]) -> dict[str, Settings]:
     """Named variants of the settings."""
     return {name: with_overrides(base, over) for name, over in variants.items()}

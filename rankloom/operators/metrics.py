@@ -47,15 +47,21 @@ def accuracy(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:
     return pairs.agg(F.coalesce(F.avg((F.col(truth) == F.col(predicted)).cast("double")), F.lit(0.0)).alias("accuracy"))
 
 
-def evaluate(ranked: DataFrame, k: int = 10, only_with_relevant: bool = False, precision_above: float = 0) -> DataFrame:
-    """One row: queries and the means of ndcg, mrr, map and precision at 1. With only_with_relevant the means, but not
-    the count, leave out queries without a relevant document."""
+def per_query(ranked: DataFrame, k: int = 10, precision_above: float = 0) -> DataFrame:
+    """(query_id, ndcg, rr, ap, precision, some): each query's metrics, and whether it has a relevant document."""
     per = ndcg(ranked, k).select("query_id", "ndcg").join(reciprocal_rank(ranked), "query_id").join(average_precision(ranked), "query_id").join(precision_at(ranked, 1, precision_above), "query_id")
     some = ranked.groupBy("query_id").agg(F.max((F.col("rel") > 0).cast("int")).alias("some"))
-    per = per.join(some, "query_id")
+    return per.join(some, "query_id")
+
+
+def evaluate(ranked: DataFrame, k: int = 10, only_with_relevant: bool = False, precision_above: float = 0, by: Column | None = None) -> DataFrame:
+    """One row, or one for each value of by (an expression of query_id, as variant): queries and the means of ndcg, mrr,
+    map and precision at 1. With only_with_relevant the means, but not the count, leave out queries without a relevant
+    document."""
+    per = per_query(ranked, k, precision_above)
     use = F.col("some") == 1 if only_with_relevant else F.lit(True)
     mean = lambda c: F.coalesce(F.avg(F.when(use, F.col(c))), F.lit(0.0))
-    return per.agg(F.count("*").alias("queries"), mean("ndcg").alias("ndcg"), mean("rr").alias("mrr"), mean("ap").alias("map"), mean("precision").alias("p_at_1"))
+    return per.groupBy(*([by.alias("variant")] if by is not None else [])).agg(F.count("*").alias("queries"), mean("ndcg").alias("ndcg"), mean("rr").alias("mrr"), mean("ap").alias("map"), mean("precision").alias("p_at_1"))
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:

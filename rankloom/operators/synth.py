@@ -108,6 +108,22 @@ def contradictions(spark: SparkSession, count: int, controls: int, seed: int = S
     return rows.select(F.col("id").alias("idx"), "subject", doc_a.alias("doc_a"), doc_b.alias("doc_b"), F.col("field").alias("contradicted_field"), F.col("a").alias("value_a"), value_b.alias("value_b"), "is_contradiction", *_offline(seed))
 
 
+def expanded_contradictions(templates: DataFrame, controls: DataFrame, count: int = 1000, control_count: int = 400, seed: int = SEED) -> DataFrame:
+    """templates(subject, field, value_a, value_b) and controls(subject, field, value), each copied so that all of a
+    kind make about as many records as asked for (one each at least); count + control_count of them in a hash order."""
+
+    def copies(rows: DataFrame, total: int) -> DataFrame:
+        each = rows.count()
+        return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, total // max(each, 1))))))
+
+    s, f = F.col("subject"), F.col("field")
+    a = copies(templates, count).select("subject", F.format_string("%s states %s is %s.", s, f, "value_a").alias("doc_a"), F.format_string("%s specifies %s as %s.", s, f, "value_b").alias("doc_b"), f.alias("contradicted_field"), "value_a", "value_b", F.lit(True).alias("is_contradiction"), "copy")
+    b = copies(controls, control_count).select("subject", F.format_string("%s confirms %s %s.", s, f, "value").alias("doc_a"), F.format_string("%s states %s %s.", s, f, "value").alias("doc_b"), f.alias("contradicted_field"), F.col("value").alias("value_a"), F.col("value").alias("value_b"), F.lit(False).alias("is_contradiction"), "copy")
+    key = F.concat_ws(":", F.lit(str(seed)), "subject", "contradicted_field", "is_contradiction", "copy")
+    rows = a.unionByName(b).withColumn("__h", F.sha2(key, 256)).orderBy("__h", "value_a", "value_b").limit(count + control_count)
+    return rows.drop("__h", "copy")
+
+
 def stabilize(records: DataFrame) -> DataFrame:
     """records(subject, field_name, value_a, value_b, is_contradiction, doc_a, doc_b, said_b): documents that don't
     state their values as they should are written anew."""

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions import vectors as V
 from .combine import profile_weights
@@ -92,6 +93,52 @@ def bilinear_weights(candidates: DataFrame, label: str, dimension: int = V.DIMEN
     return spark.createDataFrame([(i, abs(float(w))) for i, w in enumerate(model.coefficients)], "bucket int, weight double")
 
 
+def listwise_weights(rows: DataFrame, label: str, names: list[str] = HYBRID_FEATURES, loss: str = "listwise", steps: int = 30, rate: float = 0.5) -> dict[str, float]:
+    """Weights of a linear scorer, by gradient ascent over whole lists: listwise raises the likelihood of the order by
+    label (equal labels: by pos), lambdaloss weighs each pair's logistic loss by what its exchange changes in NDCG.
+    rows(query_id, pos, label and features); each step is one aggregation, only sums come to the driver. Features are
+    scaled to a deviation of one; a constant feature and rows without a list of two get no weight."""
+    from ..session import stage
+
+    if loss not in ("listwise", "lambdaloss"):
+        raise ValueError(f"unknown loss: {loss}")
+    rows = rows.fillna(0.0, names).withColumn("__y", F.col(label).cast("double"))
+    spread = rows.agg(*[F.coalesce(F.stddev_pop(n), F.lit(0.0)).alias(n) for n in names]).first()
+    scale = {n: 1.0 / spread[n] if spread[n] > 1e-12 else 0.0 for n in names}
+    xs = [f"x{i}" for i in range(len(names))]
+    data = stage(rows.select("query_id", "pos", "__y", *[(F.col(n) * scale[n]).alias(x) for n, x in zip(names, xs, strict=True)]), "lists", "query_id")
+    lists = max(data.agg(F.count_distinct("query_id")).first()[0], 1)
+    weights = [0.0] * len(names)
+    for _ in range(steps):
+        scored = data.withColumn("__s", sum((F.lit(w) * F.col(x) for w, x in zip(weights, xs, strict=True)), F.lit(0.0)))
+        pulled = _likelihood_pull(scored) if loss == "listwise" else _exchange_pull(scored, xs)
+        sums = pulled.agg(*[F.coalesce(F.sum(F.col("__g") * F.col(x)), F.lit(0.0)).alias(x) for x in xs]).first()
+        weights = [w + rate * sums[x] / lists for w, x in zip(weights, xs, strict=True)]
+    return {n: w * scale[n] for n, w in zip(names, weights, strict=True)}
+
+
+def _likelihood_pull(scored: DataFrame) -> DataFrame:
+    """Adds __g: the derivative of the log-likelihood of each list's order by its row's score, per row of the list."""
+    by = W.Window.partitionBy("query_id")
+    order = by.orderBy(F.desc("__y"), "pos")
+    rows = scored.withColumn("__e", F.exp(F.col("__s") - F.max("__s").over(by))).withColumn("__n", F.count("*").over(by))
+    rows = rows.withColumn("__z", F.sum("__e").over(order.rowsBetween(0, W.Window.unboundedFollowing)))
+    passed = F.sum(1.0 / F.col("__z")).over(order.rowsBetween(W.Window.unboundedPreceding, 0))
+    return rows.withColumn("__g", (1.0 - F.col("__e") * passed) / F.col("__n"))
+
+
+def _exchange_pull(scored: DataFrame, xs: list[str]) -> DataFrame:
+    """Pairs with different labels: __g, how far the better is to be pulled up, and the differences of features."""
+    by = W.Window.partitionBy("query_id")
+    place = lambda c: F.row_number().over(by.orderBy(F.desc(F.round(c, 9)), "pos"))
+    rows = scored.withColumns({"__r": place("__s"), "__b": place("__y"), "__v": F.pow(F.lit(2.0), "__y") - 1}).withColumn("__d", 1.0 / F.log2(F.col("__r") + 1.0))
+    rows = rows.withColumn("__i", F.sum(F.col("__v") / F.log2(F.col("__b") + 1.0)).over(by))
+    b = rows.select("query_id", F.col("__y").alias("__yb"), F.col("__s").alias("__sb"), F.col("__v").alias("__vb"), F.col("__d").alias("__db"), *[F.col(x).alias(f"{x}_b") for x in xs])
+    pairs = rows.join(b, "query_id").filter("__y > __yb")
+    change = (F.col("__v") - F.col("__vb")) * F.abs(F.col("__d") - F.col("__db")) / F.col("__i")
+    return pairs.select((change / (1.0 + F.exp(F.col("__s") - F.col("__sb")))).alias("__g"), *[(F.col(x) - F.col(f"{x}_b")).alias(x) for x in xs])
+
+
 class Router:
     """Sends a query to a weight profile by its shape; unfitted it takes the balanced one."""
 

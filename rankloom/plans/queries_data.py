@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.text import json_object
-from ..operators import bm25, combine, metrics, mining, rankers, synth, training
+from ..operators import bm25, combine, metrics, mining, rankers, strategies, synth, teacher, training
 from ..operators import features as X
 from ..session import scratch, stage
 from ..sources import readers, store
@@ -324,6 +324,72 @@ def l12_sweep(spark, sf):
     return out
 
 
+_ABLATED = {"all": X.STATIC_WEIGHTS} | {n: X.STATIC_WEIGHTS | {n: 0.0} for n in X.STATIC_WEIGHTS}
+_VARIANTS = ", ".join(f"v{i} AS (SELECT *, {S.blend(w)} AS score FROM f), {S.ranked(f'v{i}', f'w{i}')}" for i, w in enumerate(_ABLATED.values()))
+
+
+@query(f"WITH {R.SQL_JUDGED}, {S.features('cand', 'f')}, {_VARIANTS}, {_sql_sweep({n: f'w{i}' for i, n in enumerate(_ABLATED)}).replace('SELECT strategy, count', 'SELECT strategy AS variant, count')}")
+def l11_ablation(spark, sf):
+    """The static fusion without each of its features in turn."""
+    return _rounded(strategies.ablation(R.judged(spark, sf)))
+
+
+_SIZES = (20, 50, 100, 200)
+_SIZED = f"{R.SQL_JUDGED}, sz AS (SELECT CAST(s.size AS BIGINT) * 1000000000 + query_id AS query_id, query, doc_id, doc, pos FROM cand, (VALUES {', '.join(f'({n})' for n in _SIZES)}) AS s(size) WHERE pos <= s.size), {S.bm25_local('sz', 'b', R.sql_words)}, bs AS (SELECT *, bm25_norm AS score FROM b), {S.ranked('bs', 'r1')}, " + ", ".join(f"z{n} AS (SELECT query_id % 1000000000 AS query_id, doc_id, rank FROM r1 WHERE query_id // 1000000000 = {n})" for n in _SIZES)
+
+
+@query(f"WITH {_SIZED}, {_sql_sweep({str(n): f'z{n}' for n in _SIZES}).replace('SELECT strategy, count', 'SELECT CAST(strategy AS INTEGER) AS variant, count')}".replace(f"pos <= {R.RETRIEVED})", f"pos <= {max(_SIZES)})"))
+def l11_scaling(spark, sf):
+    """BM25 over lists of 20 to 200 documents."""
+    return _rounded(strategies.scaling(R.judge(R.candidates(spark, sf, max(_SIZES))), bm25.rerank, _SIZES))
+
+
+def _rounded(report):
+    return report.select("variant", "queries", *[F.round(c, 6).alias(c) for c in ("ndcg", "mrr", "map", "p_at_1")])
+
+
+@query()
+def e07_listwise_scores(spark, sf):
+    """Linear scorers fitted by both losses over whole lists, and how they rank the judged candidates."""
+    judged, rows = _trained(spark, sf)
+    out = None
+    for loss in ("listwise", "lambdaloss"):
+        weights = training.listwise_weights(rows, "label", loss=loss)
+        scored = rows.withColumn("score", sum((F.lit(w) * F.coalesce(n, F.lit(0.0)) for n, w in weights.items()), F.lit(0.0)))
+        one = bm25.rank(scored, "score").select(F.lit(loss).alias("loss"), *_KEYS, F.round("score", 4).alias("score"), "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_REGIONS = "tm AS (SELECT n_name AS subject, 'region' AS field, r_name AS value_a, coalesce(o.name, 'NOWHERE') AS value_b FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN (SELECT r_regionkey - 1 AS k, r_name AS name FROM region) o ON o.k = n_regionkey), cn AS (SELECT n_name AS subject, 'key' AS field, CAST(n_nationkey AS VARCHAR) AS value FROM nation)"
+
+
+@query(f"""WITH {_REGIONS}, al AS (SELECT subject, subject || ' states ' || field || ' is ' || value_a || '.' AS doc_a, subject || ' specifies ' || field || ' as ' || value_b || '.' AS doc_b, field AS contradicted_field, value_a, value_b, true AS is_contradiction, copy FROM tm, range(1, 1 + greatest(1, 1000 // (SELECT count(*) FROM tm))) AS g(copy)
+UNION ALL SELECT subject, subject || ' confirms ' || field || ' ' || value || '.', subject || ' states ' || field || ' ' || value || '.', field, value, value, false, copy FROM cn, range(1, 1 + greatest(1, 400 // (SELECT count(*) FROM cn))) AS g(copy))
+SELECT * EXCLUDE (copy) FROM al ORDER BY sha256('42:' || subject || ':' || contradicted_field || ':' || is_contradiction || ':' || copy), value_a, value_b LIMIT 1400""")
+def j09_expanded_contradictions(spark, sf):
+    """Nations with two regions each as templates, with their keys as controls."""
+    nation, region = R.table(spark, sf, "nation"), R.table(spark, sf, "region")
+    after = region.select((F.col("r_regionkey") - 1).alias("n_regionkey"), F.col("r_name").alias("other"))
+    rows = nation.join(region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey").join(after, "n_regionkey", "left")
+    templates = rows.select(F.col("n_name").alias("subject"), F.lit("region").alias("field"), F.col("r_name").alias("value_a"), F.coalesce("other", F.lit("NOWHERE")).alias("value_b"))
+    controls = nation.select(F.col("n_name").alias("subject"), F.lit("key").alias("field"), F.col("n_nationkey").cast("string").alias("value"))
+    return synth.expanded_contradictions(templates, controls)
+
+
+def _graded(batch):
+    """A stand-in teacher that answers at most seven rows at a time."""
+    if len(batch) > 7:
+        raise ValueError("too many rows")
+    return [int(n) % 4 for n in batch["n_chars"]]
+
+
+@query("SELECT doc_id, CAST(n_chars % 4 AS INTEGER) AS score FROM documents")
+def j13_teacher_batches(spark, sf):
+    """All documents graded in batches that fail until they are halved."""
+    return teacher.label_batches(R.table(spark, sf, "documents").select("doc_id", "n_chars"), _graded, "int", name="score").select("doc_id", "score")
+
+
 @query("SELECT item_id, 3 AS score, text AS rationale FROM benchmark")
 def b14_json_salvage(spark, sf):
     """Records read back from fenced, bare and talkative answers."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import json
+import zipfile
+from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +50,18 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def plain(value: object) -> object:
+    """Data classes, models with model_dump, mappings and sequences as what JSON can hold, at any depth."""
+    if dataclasses.is_dataclass(value) and not isinstance(value, type):
+        return plain({f.name: getattr(value, f.name) for f in dataclasses.fields(value)})
+    if isinstance(value, Mapping):
+        return {k: plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [plain(v) for v in value]
+    dump = getattr(value, "model_dump", None)
+    return dump() if dump else value
+
+
 def write_json(path: str | Path, value: object) -> None:
     """Driver-side metadata: sorted keys, ASCII."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
@@ -102,6 +117,44 @@ def beir_comprehensive(spark: SparkSession, folder: str) -> dict[str, DataFrame]
     return {"corpus": one("corpus").toDF("doc_id", "doc"), "queries": one("queries").toDF("query_id", "query"), "qrels": read_qrels(spark, qrels)}
 
 
+def _tsv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.split(F.trim("value"), "\t").alias("c"))
+
+
+def trec_covid(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Documents from qrels/collectionandqueries/docs.tsv (id, title, text; both go into the document) or else
+    collectionandqueries/collection.tsv (id, text); queries from queries.tsv there; only positive judgements of four
+    columns. What isn't there has no rows."""
+    docs, plain_docs = f"{folder}/qrels/collectionandqueries/docs.tsv", f"{folder}/collectionandqueries/collection.tsv"
+    c = F.col("c")
+    if path_exists(spark, docs):
+        corpus = _tsv(spark, docs).filter(F.size("c") >= 3).select(c[0].alias("doc_id"), F.concat_ws(" ", c[1], c[2]).alias("doc"))
+    elif path_exists(spark, plain_docs):
+        corpus = _tsv(spark, plain_docs).filter(F.size("c") >= 2).select(c[0].alias("doc_id"), c[1].alias("doc"))
+    else:
+        corpus = spark.createDataFrame([], "doc_id string, doc string")
+    asked = f"{folder}/collectionandqueries/queries.tsv"
+    queries = _tsv(spark, asked).filter(F.size("c") >= 2).select(c[0].alias("query_id"), c[1].alias("query")) if path_exists(spark, asked) else spark.createDataFrame([], "query_id string, query string")
+    return {"corpus": corpus, "queries": queries, "qrels": _four_columns(spark, f"{folder}/qrels/test.tsv")}
+
+
+def _four_columns(spark: SparkSession, path: str) -> DataFrame:
+    if not path_exists(spark, path):
+        return read_qrels(spark, [])
+    rows = _tsv(spark, path).filter(F.size("c") >= 4)
+    return rows.select(F.col("c")[0].alias("query_id"), F.col("c")[2].alias("doc_id"), F.col("c")[3].try_cast("int").alias("rel")).filter("rel > 0")
+
+
+def nfcorpus(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """nfcorpus/corpus.jsonl (a document is its text), queries of its test and train files, where train's stand for an
+    id in both, and only positive judgements of four columns."""
+    root = f"{folder}/nfcorpus"
+    corpus = read_jsonl(spark, f"{root}/corpus.jsonl", CORPUS).select(F.col("_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("doc"))
+    sides = [read_jsonl(spark, f"{root}/{s}.queries.jsonl", QUERIES).select("_id", "text", F.lit(i).alias("side")) for i, s in enumerate(("test", "train"))]
+    queries = sides[0].unionByName(sides[1]).groupBy(F.col("_id").alias("query_id")).agg(F.max_by("text", "side").alias("query"))
+    return {"corpus": corpus, "queries": queries, "qrels": _four_columns(spark, f"{root}/qrels/test.tsv")}
+
+
 def custom_beir(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """One JSON file of queries {id: text}, corpus {id: text or {title, text}} and qrels {query: {document: score}}."""
     whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "queries map<string,string>, corpus map<string,string>, qrels map<string,map<string,int>>").alias("j")).select("j.*")
@@ -135,3 +188,16 @@ def checksum(path: str | Path) -> str:
         while part := f.read(1 << 20):
             h.update(part)
     return h.hexdigest()
+
+
+def unpack(archive: str | Path, folder: str | Path, expected: str | None = None) -> Path:
+    """A downloaded archive's files in a folder, if its SHA-256 is the expected one (or none is given) and no entry
+    would land outside of the folder; nothing is written otherwise."""
+    if expected is not None and checksum(archive) != expected.lower():
+        raise ValueError(f"checksum of {archive} is not {expected}")
+    root = Path(folder).resolve()
+    with zipfile.ZipFile(archive) as z:
+        if outside := [n for n in z.namelist() if not (root / n).resolve().is_relative_to(root)]:
+            raise ValueError(f"entries outside of the folder: {', '.join(outside)}")
+        z.extractall(root)
+    return root
