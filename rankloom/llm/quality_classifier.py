@@ -24,6 +24,7 @@ named like an output are replaced.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import SALTS, join_hot, materialize, temporary
+from .common import SALTS, give_back, join_hot, materialize, temporary
 
 LABELLED = 4000
 ROUNDS = 4
@@ -108,8 +109,11 @@ def features_of(text: str | None, lang: str | None, source: str | None) -> tuple
 
 def features(text: Column, lang: Column, source: Column) -> Column:
     @F.pandas_udf(FEATURES)
-    def view_features(texts: pd.Series, langs: pd.Series, sources: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(map(features_of, texts, langs, sources), columns=FEATURES.names, dtype=object)
+    def view_features(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, langs, sources in batches:
+            yield pd.DataFrame(map(features_of, texts, langs, sources), columns=FEATURES.names, dtype=object)
+        _WORD_IDS.clear()
+        give_back()
 
     return view_features.asNondeterministic()(text, lang, source)
 
@@ -352,9 +356,12 @@ def score(rows: DataFrame, model: Model | None) -> DataFrame:
         return scores(shared.value, list(ids), list(counts), list(metas))
 
     @F.pandas_udf(SCORES)
-    def of_documents(texts: pd.Series, langs: pd.Series, sources: pd.Series) -> pd.DataFrame:
-        found = list(map(features_of, texts, langs, sources))
-        return scores(shared.value, *([x[k] for x in found] for k in range(3)))
+    def of_documents(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, langs, sources in batches:
+            found = list(map(features_of, texts, langs, sources))
+            yield scores(shared.value, *([x[k] for x in found] for k in range(3)))
+        _WORD_IDS.clear()
+        give_back()
 
     if set(FEATURES.names) <= set(rows.columns):
         quality = of_features.asNondeterministic()(*FEATURES.names)

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, materialize, temporary, text_key
+from .common import give_back, join_small, materialize, temporary, text_key
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -99,8 +99,10 @@ def measures(text: Column) -> Column:
     """A struct of MEASURES of the whole texts."""
 
     @F.pandas_udf(SCHEMA)
-    def quality_measures(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t) for t in texts], columns=MEASURES, dtype="int64")
+    def quality_measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([measure(t) for t in texts], columns=MEASURES, dtype="int64")
+        give_back()
 
     return quality_measures.asNondeterministic()(text)
 

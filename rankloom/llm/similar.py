@@ -17,6 +17,8 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tiles
-from .common import join_counted, materialize, temporary
+from .common import give_back, join_counted, materialize, temporary
 from .simhash import BITS, SEED, TILE, majority, shingle_hashes, spanning_links
 
 SHINGLE = 5
@@ -76,17 +78,19 @@ def _prints(text: Column, shingle: int) -> Column:
     """key: a hash of the words; fp: the wide fingerprint; groups: the bands' hashes."""
 
     @F.pandas_udf(T.StructType().add("key", T.LongType()).add("fp", T.BinaryType()).add("groups", T.ArrayType(T.LongType())))
-    def prints(texts: pd.Series) -> pd.DataFrame:
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh64_intdigest
 
-        keys, fps, groups = [], [], []
-        for t in texts:
-            keys.append(xxh64_intdigest(b" ".join((t or "").encode().lower().split()), SEED))
-            h = shingles(t, shingle)
-            fps.append(wide_fingerprint(h))
-            least = minima(h)
-            groups.append(np.asarray([xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64))
-        return pd.DataFrame({"key": np.asarray(keys, np.uint64).view(np.int64), "fp": fps, "groups": groups})
+        for texts in batches:
+            keys, fps, groups = [], [], []
+            for t in texts:
+                keys.append(xxh64_intdigest(b" ".join((t or "").encode().lower().split()), SEED))
+                h = shingles(t, shingle)
+                fps.append(wide_fingerprint(h))
+                least = minima(h)
+                groups.append(np.asarray([xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64))
+            yield pd.DataFrame({"key": np.asarray(keys, np.uint64).view(np.int64), "fp": fps, "groups": groups})
+        give_back()
 
     return prints.asNondeterministic()(text)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_counted, materialize, partitions
+from .common import discard, give_back, join_counted, materialize, partitions
 
 #: (values of one or two tiles, size of the first) to links between their numbers.
 Compare = Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray]]
@@ -58,6 +58,7 @@ def forests(members: DataFrame, compare: Compare, name: str) -> DataFrame:
                 keys = members.field("key").to_numpy(zero_copy_only=False)
                 low, high = np.minimum(keys[a], keys[b]), np.maximum(keys[a], keys[b])
                 yield pa.record_batch([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
+        give_back()
 
     found = materialize(work.mapInArrow(links, "a long, b long").distinct(), f"{name}-links")
     discard(tiles)
