@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, licenses, mixing, packing, quality_classifier, quality_rules, sharding, simhash, token_files, vector_search
+from . import itemsets, language_model, licenses, mixing, packing, quality_classifier, quality_rules, sharding, simhash, token_files, vector_search
 from .common import load, shared_path
 
 
@@ -63,6 +63,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files).drop("text")
 
 
+def op12_basket_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itemsets.digest(itemsets.mine(load(spark, sf_dir, "sale_lines")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -74,10 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_search": op8_vector_search,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op12_basket_itemsets": op12_basket_itemsets,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op8_vector_search": vector_search.ORACLE_SQL,
     "op10_license_scan": licenses.ORACLE_SQL,
+    "op12_basket_itemsets": itemsets.ORACLE_SQL,
 }
