@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import itemsets, language_model, licenses, mixing, packing, quality_classifier, quality_rules, sharding, simhash, token_files, vector_search
+from . import alignment, itemsets, language_id, language_model, licenses, mixing, packing, quality_classifier, quality_rules, sharding, simhash, token_files, vector_search
 from .common import load, shared_path
 
 
@@ -63,10 +63,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files).drop("text")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(load(spark, sf_dir, "documents"))
+
+
 def op12_basket_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.digest(itemsets.mine(load(spark, sf_dir, "sale_lines")))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    return alignment.link_statistics(load(spark, sf_dir, "documents"), *files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -78,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_search": op8_vector_search,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_language_id": op11_language_id,
     "op12_basket_itemsets": op12_basket_itemsets,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
