@@ -17,9 +17,9 @@ Baskets: the distinct items of each basket. A set's items are ordered by support
 rare items and hot items never lead. The few largest baskets - fewer than half of the least support, MOST_LARGE at most,
 so every frequent set occurs in others, often enough - never emit pairs: a candidate found in other baskets is looked up
 in the lists of the large baskets that hold its items. All other steps are groupings with partial sums by basket, item
-or set. What is broadcast: the list of large baskets (MOST_LARGE at most), and frequent items and sets up to a counted
-FEW rows. A frequent item takes part in one of `share` baskets, so there are at most 2 * share times the items of a mean basket of
-them, whatever the size of the input; above FEW the join shuffles by salted keys.
+or set. What is broadcast: frequent items and sets, up to a counted FEW rows. A frequent item is in one of `share` baskets,
+so there are at most 2 * share times the items of a mean basket of them, whatever the size of the input; above FEW the
+join shuffles by salted keys.
 
 Defined cases: rows whose basket or item is null are skipped; repeated rows count once; a basket of one item counts as
 a basket; other columns are not looked at; an empty table gives no itemsets. Ids are 64-bit integers.
@@ -75,22 +75,22 @@ def _join_few(left: DataFrame, right: DataFrame, keys: list[str], salt: Column,
 
 
 def _split_large(lines: DataFrame, b: Bounds) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary baskets, and distinct (number, item) of the large ones, which are numbered from 0."""
+    """Rows of ordinary baskets, and distinct rows of the large ones, whose ids, MOST_LARGE at most, are literals."""
     if not b.n_large:
         return lines, None
-    large = lines.groupBy("basket").agg(F.count("*").alias("n")).filter(F.col("n") > b.large).select("basket")
-    named = materialize(large.groupBy().agg(F.sort_array(F.collect_list("basket")).alias("all")).select(F.posexplode("all").alias("number", "basket")), "itemset-large")
-    return lines.join(F.broadcast(named.select("basket")), "basket", "left_anti"), lines.join(F.broadcast(named), "basket").select("number", "item").distinct()
+    sizes = lines.groupBy("basket").agg(F.count("*").alias("n"))
+    large = F.col("basket").isin([r.basket for r in sizes.filter(F.col("n") > b.large).collect()])
+    return lines.filter(~large), lines.filter(large).distinct()
 
 
 def _frequent_items(ordinary: DataFrame, large: DataFrame | None, b: Bounds) -> DataFrame:
-    """item, s (its support), big (the numbers of the large baskets that hold it); staged."""
+    """item, s (its support), big (the large baskets that hold it); staged."""
     counts = ordinary.distinct().groupBy("item").agg(F.count("*").alias("n"))
     if large is None:
-        found = counts.select("item", F.col("n").alias("s"), F.array().cast("array<int>").alias("big"))
+        found = counts.select("item", F.col("n").alias("s"), F.array().cast("array<bigint>").alias("big"))
     else:
-        held = large.groupBy("item").agg(F.sort_array(F.collect_list("number")).alias("big"))
-        found = counts.join(held.hint("merge"), "item", "left").select("item", (F.col("n") + F.coalesce(F.size("big"), F.lit(0))).alias("s"), F.coalesce("big", F.array().cast("array<int>")).alias("big"))
+        held = large.groupBy("item").agg(F.sort_array(F.collect_list("basket")).alias("big"))
+        found = counts.join(held.hint("merge"), "item", "left").select("item", (F.col("n") + F.coalesce(F.size("big"), F.lit(0))).alias("s"), F.coalesce("big", F.array().cast("array<bigint>")).alias("big"))
     return materialize(found.filter(F.col("s") >= b.least), "itemset-items")
 
 
