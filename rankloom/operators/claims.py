@@ -177,10 +177,9 @@ def fuzzy_contradictions(claims: DataFrame, similarity: float = SIMILARITY, tole
     return both.filter(values_conflict(F.col("value_a"), F.col("value_b"), tolerance))
 
 
-def raw_contradictions(claims: DataFrame, similarity: float = SIMILARITY, tolerance: float = TOLERANCE) -> DataFrame:
-    """Pairs of raw-text claims of different documents with aligned "entity attribute" texts and conflicting values.
-    Distinct texts are compared by a join on shared buckets; equal texts align without a comparison."""
-    rows = claims.filter("attribute = 'raw_text'").withColumn("label", F.concat_ws(" ", "entity", "attribute"))
+def aligned_labels(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(label, other): pairs of distinct labels whose embeddings have this cosine, each both ways and with itself. Found by
+    a join on shared buckets."""
     labels = rows.select("label").distinct().withColumn("text", F.col("label"))
     v = V.embed(labels, "label", "text")
     # Without its most common buckets, of less than similarity in length, a unit vector still shares a bucket with any
@@ -189,7 +188,13 @@ def raw_contradictions(claims: DataFrame, similarity: float = SIMILARITY, tolera
     counted = v.join(v.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
     rare = counted.withColumn("norm", F.sum(F.col("w") * F.col("w")).over(common)).filter(F.col("norm") >= similarity * similarity - 1e-9)
     tried = rare.select("label", "bucket").join(v.select(F.col("label").alias("other"), "bucket"), "bucket").select("label", "other").distinct()
-    aligned = V.dot(tried, v, "label", v.withColumnRenamed("label", "other"), "other").filter(F.round("dot", 9) >= similarity).select("label", "other")
+    return V.dot(tried, v, "label", v.withColumnRenamed("label", "other"), "other").filter(F.round("dot", 9) >= similarity).select("label", "other")
+
+
+def raw_contradictions(claims: DataFrame, similarity: float = SIMILARITY, tolerance: float = TOLERANCE) -> DataFrame:
+    """Pairs of raw-text claims of different documents with aligned "entity attribute" texts and conflicting values."""
+    rows = claims.filter("attribute = 'raw_text'").withColumn("label", F.concat_ws(" ", "entity", "attribute"))
+    aligned = aligned_labels(rows, similarity)
     a = rows.select("label", *[F.col(c).alias(f"{c}_a") for c in ("claim_id", "doc_id", "value")])
     b = rows.select(F.col("label").alias("other"), *[F.col(c).alias(f"{c}_b") for c in ("claim_id", "doc_id", "value")])
     both = a.join(aligned, "label").join(b, "other").filter("claim_id_a < claim_id_b AND doc_id_a <> doc_id_b")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import claim_patterns as P
 from ..operators import claims as C
-from ..operators import metrics
+from ..operators import conflicts, metrics
 from . import relations as R
 from .registry import query
 
@@ -118,9 +118,39 @@ _RAWS = "rw AS (SELECT event_id AS claim_id, event_id AS doc_id, 'user ' || user
 @query(f"WITH {_RAWS}, nm AS (SELECT DISTINCT label, label AS text FROM rw), {R.sql_embedding('nm', 'label', 'text', 'e')}, pr AS (SELECT a.label, b.label AS other FROM e a JOIN e b ON a.bucket = b.bucket GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.95e0) SELECT a.claim_id AS claim_id_a, b.claim_id AS claim_id_b FROM rw a JOIN pr USING (label) JOIN rw b ON b.label = pr.other AND a.claim_id < b.claim_id WHERE abs(CAST(a.value AS DOUBLE) - CAST(b.value AS DOUBLE)) > 0.01e0")
 def f07_raw_contradictions(spark, sf):
     """raw-text claims whose labels align."""
+    return C.raw_contradictions(_raw_claims(spark, sf)).select("claim_id_a", "claim_id_b")
+
+
+def _raw_claims(spark, sf):
     e = R.table(spark, sf, "events")
-    claims = e.select(F.col("event_id").alias("claim_id"), F.col("event_id").alias("doc_id"), F.concat(F.lit("user "), F.col("user_id")).alias("entity"), F.lit("raw_text").alias("attribute"), F.round("value", 0).cast("bigint").cast("string").alias("value"))
-    return C.raw_contradictions(claims).select("claim_id_a", "claim_id_b")
+    return e.select(F.col("event_id").alias("claim_id"), F.col("event_id").alias("doc_id"), F.concat(F.lit("user "), F.col("user_id")).alias("entity"), F.lit("raw_text").alias("attribute"), F.round("value", 0).cast("bigint").cast("string").alias("value"))
+
+
+_CLASSES = "pa AS (SELECT claim_id_a AS claim_id FROM co UNION ALL SELECT claim_id_b FROM co), li AS (SELECT claim_id, count(*) AS links FROM pa GROUP BY ALL)"
+
+
+_PRICES = "cl AS (SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_orderkey AS doc_id, 'part ' || l_partkey AS entity_key, 'price_' || lower(l_returnflag) AS attribute, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS value FROM lineitem), nr AS (SELECT *, row_number() OVER () AS nr FROM cl)"
+
+
+@query(f"WITH {_PRICES}, co AS (SELECT a.nr AS claim_id_a, b.nr AS claim_id_b FROM nr a JOIN nr b ON a.entity_key = b.entity_key AND a.attribute = b.attribute AND a.claim_id < b.claim_id AND a.doc_id <> b.doc_id WHERE abs(CAST(a.value AS DOUBLE) - CAST(b.value AS DOUBLE)) > 0.01e0), {_CLASSES} SELECT entity_key, attribute, value, min(nr.claim_id) AS class_id, count(*) AS n_claims, CAST(coalesce(sum(links), 0) AS BIGINT) AS n_links FROM nr LEFT JOIN li ON li.claim_id = nr.nr GROUP BY ALL")
+def f05_contradiction_classes(spark, sf):
+    """classes of equal prices with their contradictions counted, in work linear in the claims."""
+    lines = R.table(spark, sf, "lineitem")
+    price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    claims = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("doc_id"), F.concat(F.lit(" Part "), F.col("l_partkey")).alias("entity"), F.concat_ws("_", F.lit("price"), F.lower("l_returnflag")).alias("attribute"), price.alias("value"))
+    return conflicts.contradiction_classes(claims)
+
+
+@query(f"WITH {_EVENTS}, nm AS (SELECT DISTINCT attribute, attribute AS text FROM ev), {R.sql_embedding('nm', 'attribute', 'text', 'e')}, pr AS (SELECT a.attribute, b.attribute AS other FROM e a JOIN e b ON a.bucket = b.bucket AND a.attribute < b.attribute GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.95e0), co AS (SELECT a.claim_id AS claim_id_a, b.claim_id AS claim_id_b FROM ev a JOIN pr USING (attribute) JOIN ev b ON b.attribute = pr.other AND a.entity = b.entity AND a.doc_id <> b.doc_id WHERE abs(CAST(a.value AS DOUBLE) - CAST(b.value AS DOUBLE)) > 0.01e0), {_CLASSES}, si AS (SELECT attribute FROM pr UNION SELECT other FROM pr) SELECT entity AS entity_key, attribute, value, min(claim_id) AS class_id, count(*) AS n_claims, CAST(coalesce(sum(links), 0) AS BIGINT) AS n_links FROM ev JOIN si USING (attribute) LEFT JOIN li USING (claim_id) GROUP BY ALL")
+def f06_fuzzy_classes(spark, sf):
+    """the same between an entity's attributes whose embeddings align."""
+    return conflicts.fuzzy_classes(_event_claims(spark, sf))
+
+
+@query(f"WITH {_RAWS}, nm AS (SELECT DISTINCT label, label AS text FROM rw), {R.sql_embedding('nm', 'label', 'text', 'e')}, pr AS (SELECT a.label, b.label AS other FROM e a JOIN e b ON a.bucket = b.bucket GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.95e0), co AS (SELECT a.claim_id AS claim_id_a, b.claim_id AS claim_id_b FROM rw a JOIN pr USING (label) JOIN rw b ON b.label = pr.other AND a.claim_id < b.claim_id WHERE abs(CAST(a.value AS DOUBLE) - CAST(b.value AS DOUBLE)) > 0.01e0), {_CLASSES} SELECT label, value, min(claim_id) AS class_id, count(*) AS n_claims, CAST(coalesce(sum(links), 0) AS BIGINT) AS n_links FROM rw LEFT JOIN li USING (claim_id) GROUP BY ALL")
+def f07_raw_classes(spark, sf):
+    """the same between raw-text claims whose labels align."""
+    return conflicts.raw_classes(_raw_claims(spark, sf))
 
 
 _PENALTY = f"{_LINES}, co AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM cl a JOIN cl b ON a.entity_key = b.entity_key AND a.attribute = b.attribute AND a.claim_id < b.claim_id AND a.doc_id <> b.doc_id WHERE abs(CAST(a.value AS DOUBLE) - CAST(b.value AS DOUBLE)) > 0.01e0), pe AS (SELECT doc_id, CAST(count(*) AS DOUBLE) AS penalty FROM (SELECT doc_a AS doc_id FROM co UNION ALL SELECT doc_b FROM co) GROUP BY ALL)"
@@ -130,7 +160,7 @@ _PENALTY = f"{_LINES}, co AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM c
 def e12_consistency_rank(spark, sf):
     """Each customer's orders, those with the fewest contradicted statements first."""
     orders = R.table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("pos"))
-    penalty = C.penalties(C.contradictions(_order_claims(spark, sf)))
+    penalty = conflicts.penalties(_order_claims(spark, sf))
     return C.consistency_rank(orders, penalty).select("query_id", "doc_id", (F.col("score") + 0.0).alias("score"), "rank")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.text import json_object
-from ..operators import bm25, combine, metrics, mining, rankers, strategies, synth, teacher, training
+from ..operators import bm25, boosting, combine, metrics, mining, phrases, rankers, strategies, synth, teacher, training
 from ..operators import features as X
 from ..session import scratch, stage
 from ..sources import readers, store
@@ -70,7 +70,7 @@ pl AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER B
 def i06_hard_negatives(spark, sf):
     """Relevant documents found, hard negatives and hash-ordered others, 30 a query."""
     docs, asked = R.corpus(spark, sf), R.questions(spark, sf)
-    qrels = docs.join(asked, F.contains(F.col("doc"), F.col("query"))).select("query_id", "doc_id", F.lit(3).alias("rel"))
+    qrels = phrases.containing(docs, asked).select("query_id", "doc_id", F.lit(3).alias("rel"))
     return mining.hard_negatives(asked, docs, stage(qrels, "qrels"), per_query=30)
 
 
@@ -361,6 +361,18 @@ def e07_listwise_scores(spark, sf):
     return out
 
 
+@query()
+def e07_boosted_lists(spark, sf):
+    """Boosted trees fitted by both losses over whole lists, and how they rank the judged candidates."""
+    _, rows = _trained(spark, sf)
+    out = None
+    for loss in ("listwise", "lambdaloss"):
+        scored = boosting.fit(rows, "label", training.HYBRID_FEATURES, loss).score(rows)
+        one = bm25.rank(scored.withColumn("score", F.round("model_score", 6)), "score").select(F.lit(loss).alias("loss"), *_KEYS, "score", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _REGIONS = "tm AS (SELECT n_name AS subject, 'region' AS field, r_name AS value_a, coalesce(o.name, 'NOWHERE') AS value_b FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN (SELECT r_regionkey - 1 AS k, r_name AS name FROM region) o ON o.k = n_regionkey), cn AS (SELECT n_name AS subject, 'key' AS field, CAST(n_nationkey AS VARCHAR) AS value FROM nation)"
 
 
@@ -416,7 +428,7 @@ def a05_retrieval_dataset(spark, sf):
     docs, asked = R.corpus(spark, sf), R.questions(spark, sf)
     docs.select(F.col("doc_id").cast("string").alias("_id"), F.lit("").alias("title"), F.col("doc").alias("text")).write.json(f"{folder}/corpus.jsonl")
     asked.select(F.col("query_id").cast("string").alias("_id"), F.col("query").alias("text")).write.json(f"{folder}/queries.jsonl")
-    docs.join(asked, F.contains(F.col("doc"), F.col("query"))).select(F.col("query_id").alias("query-id"), F.col("doc_id").alias("corpus-id"), F.lit(3).alias("score")).write.option("sep", "\t").option("header", True).csv(f"{folder}/qrels/test.tsv")
+    phrases.containing(docs, asked).select(F.col("query_id").alias("query-id"), F.col("doc_id").alias("corpus-id"), F.lit(3).alias("score")).write.option("sep", "\t").option("header", True).csv(f"{folder}/qrels/test.tsv")
     data = readers.beir_simple(spark, folder)
     return readers.judged_rows(data["qrels"], data["queries"], data["corpus"]).select("query_id", "query", "doc_id", "doc", "rel")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import quantize as Z
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import phrases
 from . import relations as R
 from .registry import query
 
@@ -34,10 +35,10 @@ def b04_char_ngrams(spark, sf):
 
 @query("SELECT item_id, doc_id, CAST(contains(lower(d.text), lower(b.text)) AS DOUBLE) AS exact_phrase_match FROM benchmark b, documents d WHERE contains(lower(d.text), lower(b.text))")
 def b05_phrase_containment(spark, sf):
-    """Benchmark passages against whole documents: the few passages are a stated query set against all rows."""
-    items = R.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    both = _docs(spark, sf).select("doc_id", "text").join(items, T.contains_phrase(F.col("passage"), F.col("text")) == 1.0)
-    return both.select("item_id", "doc_id", T.contains_phrase(F.col("passage"), F.col("text")).alias("exact_phrase_match"))
+    """Benchmark passages in whole documents, whatever the case, by an anchor index."""
+    items = R.questions(spark, sf).select("query_id", F.lower("query").alias("query"))
+    docs = R.corpus(spark, sf).select("doc_id", F.lower("doc").alias("doc"))
+    return phrases.containing(docs, items).select(F.col("query_id").alias("item_id"), "doc_id", F.lit(1.0).alias("exact_phrase_match"))
 
 
 _MARK = "chr(9246)"

@@ -48,7 +48,16 @@ def stage(df: DataFrame, name: str, *by: str) -> DataFrame:
         df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that stage wrote and nothing reads any more. What a lazy result reads must stay."""
+    for df in staged:
+        found = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        found.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
