@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import vectors as V
+from . import newton
 from .combine import profile_weights
 from .features import BASE_FEATURES, features
 
@@ -67,30 +68,28 @@ def pointwise_hybrid(rows: DataFrame, label: str, names: list[str] = HYBRID_FEAT
     return _probability(GBTClassifier(featuresCol="__x", labelCol="label", **(TREES | options)).fit(data), names)
 
 
-def logistic_pairs(pairs: DataFrame, c: float = 1.0, iterations: int = 500) -> tuple[list[float], float] | float:
-    """(weights, intercept) of a logistic comparison on the seven pairwise features; a constant for one class. The
-    penalty is rescaled to the mean loss."""
+def logistic_pairs(pairs: DataFrame, c: float = 1.0, steps: int = newton.MOST_STEPS) -> tuple[list[float], float] | float:
+    """(weights, intercept) of a logistic comparison on the seven pairwise features, at its optimum, with a ridge of
+    1 / c; a constant for one class."""
     classes = _classes(pairs, "label")
     if len(classes) < 2:
         return float(classes[0]) if classes else 0.0
-    model = LogisticRegression(featuresCol="__x", labelCol="label", maxIter=iterations, elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * pairs.count())).fit(_assembled(pairs, PAIR_FEATURES))
-    return [float(x) for x in model.coefficients], float(model.intercept)
+    numbers = F.array(*[F.lit(i) for i in range(len(PAIR_FEATURES))])
+    return newton.logistic(pairs.select("label", numbers.alias("i"), F.array(*PAIR_FEATURES).alias("x")), len(PAIR_FEATURES), 1.0 / c, steps)
 
 
-def bilinear_weights(candidates: DataFrame, label: str, dimension: int = V.DIMENSION, iterations: int = 500) -> DataFrame:
-    """(bucket, weight): absolute logistic coefficients on products of query and document vectors; all ones for one class."""
-    from pyspark.ml.functions import array_to_vector
-
+def bilinear_weights(candidates: DataFrame, label: str, dimension: int = V.DIMENSION, steps: int = newton.MOST_STEPS) -> DataFrame:
+    """(bucket, weight): absolute logistic coefficients, at their optimum, on products of query and document vectors; all
+    ones for one class."""
     spark = candidates.sparkSession
     if len(_classes(candidates, label)) < 2:
         return spark.range(dimension).select(F.col("id").cast("int").alias("bucket"), F.lit(1.0).alias("weight"))
     q = V.embed(candidates.select("query_id", "query").distinct(), "query_id", "query", dimension)
     d = V.embed(candidates.select("doc_id", "doc").distinct(), "doc_id", "doc", dimension).withColumnRenamed("w", "v")
-    products = candidates.select("query_id", "doc_id").join(q, "query_id").join(d, ["doc_id", "bucket"]).groupBy("query_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("w") * F.col("v")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    rows = candidates.join(products, ["query_id", "doc_id"], "left").select(F.col(label).cast("double").alias("label"), array_to_vector(F.coalesce(dense, F.array_repeat(F.lit(0.0), dimension))).alias("x"))
-    model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=iterations, elasticNetParam=0.0, standardization=False, regParam=1.0 / max(rows.count(), 1)).fit(rows)
-    return spark.createDataFrame([(i, abs(float(w))) for i, w in enumerate(model.coefficients)], "bucket int, weight double")
+    products = candidates.select("query_id", "doc_id").join(q, "query_id").join(d, ["doc_id", "bucket"]).groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("bucket", (F.col("w") * F.col("v")).alias("x")))).alias("m"))
+    rows = candidates.join(products, ["query_id", "doc_id"], "left").withColumn("m", F.coalesce("m", F.array().cast(products.schema["m"].dataType)))
+    weights, _ = newton.logistic(rows.select(F.col(label).cast("double").alias("label"), F.col("m.bucket").alias("i"), F.col("m.x").alias("x")), dimension, 1.0, steps)
+    return spark.createDataFrame([(i, abs(w)) for i, w in enumerate(weights)], "bucket int, weight double")
 
 
 def listwise_weights(rows: DataFrame, label: str, names: list[str] = HYBRID_FEATURES, loss: str = "listwise", steps: int = 30, rate: float = 0.5) -> dict[str, float]:

@@ -275,7 +275,7 @@ def h03_learned_tournament(spark, sf):
     pairs = rankers.document_pairs(judged)
     rel = judged.select("query_id", "doc_id", "rel")
     known = pairs.join(rel.toDF("query_id", "a", "ra"), ["query_id", "a"]).join(rel.toDF("query_id", "b", "rb"), ["query_id", "b"]).filter("ra <> rb").withColumn("label", (F.col("ra") > F.col("rb")).cast("double"))
-    fitted = training.logistic_pairs(stage(known, "known-pairs"), iterations=50)
+    fitted = training.logistic_pairs(stage(known, "known-pairs"))
     probability = rankers.logistic(*fitted) if isinstance(fitted, tuple) else F.lit(fitted)
     return rankers.tournament(pairs, judged, probability).select(*_KEYS, F.round("score", 4).alias("score"), "rank")
 
@@ -284,7 +284,7 @@ def h03_learned_tournament(spark, sf):
 def h04_bilinear(spark, sf):
     """Weights fitted on products of vectors, then the binary ranking with them."""
     judged = R.judge(R.candidates(spark, sf)).withColumn("label", (F.col("rel") >= 2).cast("int"))
-    weights = training.bilinear_weights(judged, "label", iterations=50)
+    weights = training.bilinear_weights(judged, "label")
     return rankers.binary_quantized(judged, bilinear_top_k=10, weights=weights).select(*_KEYS, F.round("score", 4).alias("score"), "rank")
 
 

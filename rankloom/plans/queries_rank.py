@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import bm25, combine, metrics, rankers
 from ..operators import features as X
-from ..session import stage
+from ..operators.late_index import LateIndex
+from ..session import scratch, stage
 from . import relations as R
 from . import sql_rank as S
 from .registry import query
@@ -132,6 +133,18 @@ def e09_late_interaction(spark, sf):
     return _scores(rankers.late_interaction(R.candidates(spark, sf)))
 
 
+@query(_sql_scores(_LATE, "r"))
+def h05_appended_index(spark, sf):
+    """Documents added to a stored index in two batches, some of them twice, rank as in an index built at once."""
+    candidates = R.candidates(spark, sf)
+    docs = candidates.select("doc_id", "doc").distinct()
+    index = LateIndex(spark, scratch(spark, "late-index"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    index.add(docs.filter(half == 0).unionByName(docs.filter(half == 1).select("doc_id", F.substring("doc", 1, 40).alias("doc"))), "batch-1")
+    index.add(docs.filter(half == 1), "batch-2")
+    return _scores(index.rank(candidates))
+
+
 def _sql_late_quantized(mode: str) -> str:
     one = "CAST(1 AS FLOAT)"
     if mode == "4bit":

@@ -81,7 +81,7 @@ def _judged(spark):
 
 def test_strategies_by_name(spark):
     judged = _judged(spark)
-    built = strategies.build(judged, {"bm25": {}, "listwise": {"steps": 3}, "distilled": {"iterations": 10}, "binary": {"iterations": 5}, "hybrid": {"maxIter": 2, "mode": "learned"}})
+    built = strategies.build(judged, {"bm25": {}, "listwise": {"steps": 3}, "distilled": {"steps": 10}, "binary": {"steps": 5}, "hybrid": {"maxIter": 2, "mode": "learned"}})
     for ranker in built.values():
         assert ranker(judged.drop("rel")).groupBy("query_id").agg(F.max("rank").alias("n")).filter("n = 4").count() == 4
     best = built["listwise"](judged.drop("rel")).filter("rank = 1").join(judged.select("query_id", "doc_id", "rel"), ["query_id", "doc_id"])
