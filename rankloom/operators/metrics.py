@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..session import discard, stage
+
+#: Ranges that one pass of a selection counts, and states of groups, counted, up to which they are broadcast.
+BINS = 1024
+BROADCAST_GROUPS = 10_000
+
 
 def gain(rel: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), rel) - 1) / F.log2(rank + F.lit(1.0))
@@ -75,12 +81,51 @@ def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return sums.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def nearest_samples(samples: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, share and x: for each share p the sample at place round(p * (n - 1)) of the group's n in order, halves to even.
+
+    By selection: each pass counts the samples of the range that holds the place in BINS ranges of equal width, and
+    goes on with the one that the place falls into, from its smallest to its largest sample, until they are equal. A
+    pass is one grouping with partial sums, at most BINS rows for each group and share; samples are never sorted. Samples
+    that are null or not finite are left out."""
+    by, x = by or [], F.col(value).cast("double")
+    groups = [F.col(c) for c in by] or [F.lit(0).alias("__one")]
+    names = by or ["__one"]
+    data = stage(samples.select(*groups, x.alias("x")).filter("abs(x) < double('infinity')"), "samples")
+    sizes = data.groupBy(*names).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    place = F.bround((F.col("n") - 1) * F.col("share")).cast("bigint")
+    state = stage(sizes.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).select(*names, "share", place.alias("place"), "low", "high"), "selection")
+    while not state.filter("low < high").isEmpty():
+        open_state = state.filter("low < high")
+        # halves first, so that the width of the widest range is finite
+        unit = (F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        inside = _on(data, open_state, names).filter("x BETWEEN low AND high").withColumn("bin", F.least(F.floor(unit * BINS), F.lit(BINS - 1)))
+        bins = inside.groupBy(*names, "share", "place", "bin").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        upto = F.sum("n").over(W.Window.partitionBy(*names, "share").orderBy("bin"))
+        found = bins.withColumn("upto", upto).filter("place < upto AND place >= upto - n")
+        done = state.filter("low >= high").select(*names, "share", "place", "low", "high")
+        after = stage(found.select(*names, "share", (F.col("place") - F.col("upto") + F.col("n")).alias("place"), "low", "high").unionByName(done), "selection")
+        discard(state)
+        state = after
+    return state.select(*by, "share", F.col("low").alias("x"))
+
+
+def _on(data: DataFrame, state: DataFrame, names: list[str]) -> DataFrame:
+    """Samples with their groups' states, which are counted before they are broadcast. Groups may be null."""
+    few = F.broadcast(state) if state.count() <= BROADCAST_GROUPS else state
+    on = [data[c].eqNullSafe(few[c]) for c in names]
+    return data.join(few, on).select(*[data[c] for c in names], "share", "place", "low", "high", "x")
+
+
 def latency(samples: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """p50 and p99 as the nearest sample, and the mean."""
-    order = W.Window.partitionBy(*(by or [F.lit(1)])).orderBy(value)
-    rows = samples.withColumn("__n", F.row_number().over(order) - 1).withColumn("__of", F.count("*").over(W.Window.partitionBy(*(by or [F.lit(1)]))))
-    at = lambda p: F.max(F.when(F.col("__n") == F.bround((F.col("__of") - 1) * F.lit(p)), F.col(value)))
-    return rows.groupBy(*(by or [])).agg(at(0.5).alias("p50"), at(0.99).alias("p99"), F.avg(value).alias("mean"))
+    """p50 and p99 as the nearest sample, and the mean, of all samples or of each group."""
+    by = by or []
+    near = nearest_samples(samples, value, [0.5, 0.99], by)
+    at = lambda p: F.max(F.when(F.col("share") == p, F.col("x")))
+    picked = near.groupBy(*by).agg(at(0.5).alias("p50"), at(0.99).alias("p99"))
+    means = samples.groupBy(*by).agg(F.avg(value).alias("mean"))
+    on = [picked[c].eqNullSafe(means[c]) for c in by] if by else F.lit(True)
+    return means.join(picked, on, "left").select(*[means[c] for c in by], "p50", "p99", "mean")
 
 
 def summary(rows: DataFrame, value: str, by: list[str]) -> DataFrame:

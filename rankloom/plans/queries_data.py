@@ -170,17 +170,28 @@ def j03_swapped_preferences(spark, sf):
 
 
 _SUBJECTS = ", ".join(f"({i}, '{s}', '{f}', '{a}', '{b}')" for i, (s, f, a, b) in enumerate(synth.SUBJECTS))
-_CONTRA = f"su AS (SELECT * FROM (VALUES {_SUBJECTS}) AS v(i, subject, field, a, b)), rg AS (SELECT r.idx, r.idx < 60 AS bad, CASE WHEN r.idx < 60 THEN r.idx ELSE r.idx - 60 END % {len(synth.SUBJECTS)} AS i FROM range(0, 90) AS r(idx)), ct AS (SELECT idx, subject, CASE WHEN bad THEN subject || ' reports ' || field || ' as ' || a || '. The rest of the setup is unchanged.' ELSE subject || ' lists ' || field || ' as ' || a || '. Supporting context is similar.' END AS doc_a, CASE WHEN bad THEN subject || ' reports ' || field || ' as ' || b || '. The rest of the setup is unchanged.' ELSE subject || ' again lists ' || field || ' as ' || a || '. Supporting context is similar.' END AS doc_b, field AS contradicted_field, a AS value_a, CASE WHEN bad THEN b ELSE a END AS value_b, bad AS is_contradiction FROM rg JOIN su USING (i))"
+def _sql_contradictions(count: str, controls: str) -> str:
+    return f"su AS (SELECT * FROM (VALUES {_SUBJECTS}) AS v(i, subject, field, a, b)), rg AS (SELECT r.idx, r.idx < {count} AS bad, CASE WHEN r.idx < {count} THEN r.idx ELSE r.idx - {count} END % {len(synth.SUBJECTS)} AS i FROM range(0, {count} + {controls}) AS r(idx)), ct AS (SELECT idx, subject, CASE WHEN bad THEN subject || ' reports ' || field || ' as ' || a || '. The rest of the setup is unchanged.' ELSE subject || ' lists ' || field || ' as ' || a || '. Supporting context is similar.' END AS doc_a, CASE WHEN bad THEN subject || ' reports ' || field || ' as ' || b || '. The rest of the setup is unchanged.' ELSE subject || ' again lists ' || field || ' as ' || a || '. Supporting context is similar.' END AS doc_b, field AS contradicted_field, a AS value_a, CASE WHEN bad THEN b ELSE a END AS value_b, bad AS is_contradiction FROM rg JOIN su USING (i))"
+
+
+#: As many records as there are documents, and a control for each second one.
+_CONTRA = _sql_contradictions("(SELECT count(*) FROM documents)", "(SELECT count(*) // 2 FROM documents)")
+
+
+def _contradictions(spark, sf):
+    n = R.table(spark, sf, "documents").count()
+    return synth.contradictions(spark, n, n // 2)
 
 
 @query(f"WITH {_CONTRA} SELECT *, {_OFF} FROM ct")
 def j04_contradictions(spark, sf):
-    return synth.contradictions(spark, 60, 30)
+    """Contradicting and agreeing records, as many as the corpus asks for."""
+    return _contradictions(spark, sf)
 
 
 @query(f"WITH {_CONTRA}, br AS (SELECT idx, subject, contradicted_field AS field_name, value_a, value_b, is_contradiction, CASE WHEN idx % 3 = 0 THEN 'Nothing is said.' ELSE doc_a END AS doc_a, doc_b, CASE WHEN idx % 4 = 0 THEN 'other' ELSE value_b END AS said_b FROM ct), fx AS (SELECT *, CASE WHEN is_contradiction THEN lower(trim(value_a)) = lower(trim(value_b)) OR NOT contains(lower(doc_a), lower(trim(value_a))) OR NOT contains(lower(doc_b), lower(trim(value_b))) ELSE lower(trim(value_a)) <> lower(trim(said_b)) OR NOT contains(lower(doc_a), lower(trim(value_a))) OR NOT contains(lower(doc_b), lower(trim(value_a))) END AS wrong FROM br) SELECT idx, CASE WHEN wrong THEN subject || ' reports ' || replace(field_name, '_', ' ') || ' as ' || value_a || '. Supporting context remains stable.' ELSE doc_a END AS doc_a, CASE WHEN wrong THEN subject || CASE WHEN is_contradiction THEN ' reports ' ELSE ' again reports ' END || replace(field_name, '_', ' ') || ' as ' || CASE WHEN is_contradiction THEN value_b ELSE value_a END || '. Supporting context remains stable.' ELSE doc_b END AS doc_b FROM fx")
 def j05_stabilize(spark, sf):
-    rows = synth.contradictions(spark, 60, 30).withColumnRenamed("contradicted_field", "field_name")
+    rows = _contradictions(spark, sf).withColumnRenamed("contradicted_field", "field_name")
     rows = rows.withColumns({"doc_a": F.when(F.col("idx") % 3 == 0, "Nothing is said.").otherwise(F.col("doc_a")), "said_b": F.when(F.col("idx") % 4 == 0, "other").otherwise(F.col("value_b"))})
     return synth.stabilize(rows).select("idx", "doc_a", "doc_b")
 
@@ -444,12 +455,44 @@ def a12_cached_term_counts(spark, sf):
     return bm25.document_frequencies(counts, [])
 
 
-@query("SELECT CAST(i AS INTEGER) AS bucket, 1e0 / (i + 1) AS weight FROM range(0, 256) AS r(i)")
+@query(f"WITH {R.SQL_RETRIEVED} SELECT token, df FROM df")
+def a13_rebuilt_store(spark, sf):
+    """Term counts in a store, one of whose files is damaged; what is read then has been built anew."""
+    docs, root = R.corpus(spark, sf), scratch(spark, "store")
+    build = lambda: bm25.document_frequencies(bm25.term_counts(docs, ["doc_id"], "doc"), [])
+    cache = store.TableStore(spark, root)
+    cache.get_or_build("df", build)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(cache.path("df"))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    damaged = files.create(part, True)
+    damaged.writeBytes("PAR1 no longer a table")
+    damaged.close()
+    return store.TableStore(spark, root).get_or_build("df", build)
+
+
+def _metered(batch, n):
+    """A stand-in teacher of single documents that fails at first by a rule of their length."""
+    chars = int(batch["n_chars"].iloc[0])
+    if n <= chars % 3:
+        raise teacher.Retry("too many requests")
+    return teacher.Answer([chars % 4], "stand-in", chars, 1, (chars + 1) / 1e6)
+
+
+@query("WITH c AS (SELECT doc_id, n_chars, unnest(range(1, n_chars % 3 + 2)) AS n FROM documents) SELECT CASE WHEN n <= n_chars % 3 THEN 'again' ELSE 'answered' END AS outcome, count(*) AS calls, count(*) AS n_rows, CAST(sum(CASE WHEN n > n_chars % 3 THEN n_chars ELSE 0 END) AS BIGINT) AS input_tokens, CAST(sum((n > n_chars % 3)::INTEGER) AS BIGINT) AS output_tokens, CAST(sum(CASE WHEN n > n_chars % 3 THEN n_chars + 1 ELSE 0 END) AS BIGINT) AS total_tokens, round(sum(CASE WHEN n > n_chars % 3 THEN n_chars + 1 ELSE 0 END) / 1e6, 6) AS cost_usd FROM c GROUP BY ALL")
+def j14_cost_log(spark, sf):
+    """All documents graded by a teacher whose calls fail and are made again, and what its log sums to."""
+    docs = R.table(spark, sf, "documents").select("doc_id", "n_chars")
+    _, log = teacher.label_with_log(docs, "doc_id", _metered, "int", size=1, name="score", wait=(0.0, 0.0))
+    return teacher.cost_totals(log, "outcome").withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+@query("SELECT CAST(dim - 1 AS INTEGER) AS bucket, round(avg(x), 6) AS weight FROM (SELECT unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS dim FROM embeddings) GROUP BY ALL")
 def a14_model_round_trip(spark, sf):
-    """A model's tables and settings saved, checked and loaded."""
+    """A model's tables and settings, here mean embeddings, saved, checked and loaded."""
     path = scratch(spark, "model")
-    weights = spark.range(256).select(F.col("id").cast("int").alias("bucket"), (1.0 / (F.col("id") + 1)).alias("weight"))
-    store.save_model(spark, path, "bilinear", {"dimension": "256"}, {"weights": weights})
+    weights = R.dense(spark, sf).groupBy(F.col("dim").alias("bucket")).agg(F.round(F.avg("x"), 6).alias("weight"))
+    store.save_model(spark, path, "bilinear", {"source": "embeddings"}, {"weights": weights})
     _, tables = store.load_model(spark, path, "bilinear")
     return tables["weights"]
 
@@ -458,7 +501,7 @@ def a14_model_round_trip(spark, sf):
 def a15_materialized_datasets(spark, sf):
     """Generated records written as files of bounded size, and the manifest of their counts."""
     root, out = scratch(spark, "generated"), None
-    made = {"preferences": synth.best_and_worst(_examples(spark, sf)).drop("query_id"), "contradictions": synth.contradictions(spark, 60, 30).drop("idx"), "query_expansions": synth.expansions(R.questions(spark, sf))}
+    made = {"preferences": synth.best_and_worst(_examples(spark, sf)).drop("query_id"), "contradictions": _contradictions(spark, sf).drop("idx"), "query_expansions": synth.expansions(R.questions(spark, sf))}
     for name, rows in made.items():
         readers.write_jsonl(rows, f"{root}/{name}", 1000)
         back = synth.validate(readers.read_jsonl(spark, f"{root}/{name}", synth.SCHEMAS[name]), name)

@@ -227,6 +227,13 @@ def g01_stage_counts(spark, sf):
     return combine.stage_counts(R.retrieved(spark, sf), _STAGES)
 
 
+@query(f"WITH {R.SQL_RETRIEVED}, n AS (SELECT query_id, count(*) AS n FROM ret GROUP BY ALL) SELECT CAST(s AS INTEGER) AS stage, name, count(*) AS queries, CAST(sum(least(n, before)) AS BIGINT) AS n_in, CAST(sum(least(n, k)) AS BIGINT) AS n_out, true AS timed FROM n, (VALUES (0, 'bm25', 20, 1000), (1, 'binary', 10, 20), (2, 'late', 5, 10)) AS v(s, name, k, before) GROUP BY ALL")
+def g01_measured_stages(spark, sf):
+    """Counts and latency of each stage, observed while it is written."""
+    _, report = combine.staged_measured(R.candidates(spark, sf), _STAGES)
+    return report.withColumn("timed", F.col("seconds") > 0).drop("seconds")
+
+
 _CONF = "SELECT query_id, max(score) AS mx, min(score) AS mn, max(CASE WHEN k = 2 THEN score END) AS sec, var_samp(score) AS v FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS k FROM r) GROUP BY query_id"
 
 

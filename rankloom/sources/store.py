@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,25 +25,50 @@ def label_key(dataset: str, teachers: list[str]) -> str:
     return hashlib.sha256(f"{dataset}:{','.join(sorted(teachers))}".encode()).hexdigest()[:16]
 
 
+def checksums(table: DataFrame) -> dict[str, tuple[int, int]]:
+    """Of each file of a stored table its rows and the sum of their hashes, whatever their order; read from the data."""
+    name = F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("file")
+    row = F.xxhash64(F.to_json(F.struct(*table.columns))).cast("decimal(38,0)")
+    found = table.select(name, row.alias("h")).groupBy("file").agg(F.count("*").alias("n"), F.sum("h").alias("h"))
+    return {r.file: (r.n, int(r.h)) for r in found.collect()}
+
+
 class TableStore:
-    """Parquet tables below one folder, each built at most once."""
+    """Parquet tables below one folder, each built at most once, with a manifest of the rows and checksum of each file.
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    The manifest is written after the table and marks it complete. A table whose files are missing, damaged or not those
+    of the manifest is built anew; each get reads it once to tell, unless verify is False."""
+
+    def __init__(self, spark: SparkSession, root: str, verify: bool = True) -> None:
+        self.spark, self.root, self.verify = spark, root.rstrip("/"), verify
 
     def path(self, key: str) -> str:
         return f"{self.root}/{key}"
 
+    def _manifest(self, key: str) -> str:
+        return f"{self.root}/_manifest-{key}"
+
+    def _sound(self, key: str) -> bool:
+        """Whether the table under the key is complete and as it was written. Any failure to read it says no."""
+        if not path_exists(self.spark, f"{self._manifest(key)}/_SUCCESS"):
+            return False
+        if not self.verify:
+            return True
+        try:
+            rows = self.spark.read.schema("file string, n bigint, h string").json(self._manifest(key)).collect()
+            return checksums(self.spark.read.parquet(self.path(key))) == {r.file: (r.n, int(r.h)) for r in rows if r.file}
+        except (PySparkException, Py4JError):
+            return False
+
     def get_or_build(self, key: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-        """The table under the key; built if it is missing, unreadable or forced."""
-        path = self.path(key)
-        if not force and path_exists(self.spark, f"{path}/_SUCCESS"):
-            try:
-                return self.spark.read.parquet(path)
-            except AnalysisException:
-                pass
-        build().write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        """The table under the key; built if it is missing, unsound or forced."""
+        if force or not self._sound(key):
+            manifest = self.spark._jvm.org.apache.hadoop.fs.Path(self._manifest(key))
+            manifest.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(manifest, True)
+            build().write.mode("overwrite").parquet(self.path(key))
+            rows = [(f, n, str(h)) for f, (n, h) in checksums(self.spark.read.parquet(self.path(key))).items()]
+            self.spark.createDataFrame(rows, "file string, n bigint, h string").coalesce(1).write.mode("overwrite").json(self._manifest(key))
+        return self.spark.read.parquet(self.path(key))
 
 
 def save_model(spark: SparkSession, path: str, kind: str, settings: dict[str, str], tables: dict[str, DataFrame]) -> None:
