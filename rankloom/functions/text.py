@@ -68,9 +68,17 @@ def query_shape(query: Column) -> dict[str, Column]:
 
 
 def json_object(text: Column, schema: str) -> Column:
-    """The first JSON object in a model's answer: in a fenced block, bare, or amid prose. Null if none parses."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    """The first JSON object in a model's answer: in a fenced block, bare, or amid prose; or written as a literal with single quotes and
+    True, False or None for values. Null if none parses."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:\w+)?\s*(\{.*?\})\s*```", 1)
     amid = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    parse = lambda c: F.from_json(F.when(c != "", c), schema, {"mode": "PERMISSIVE"})
+    parse = lambda c: F.from_json(F.when(c != "", c), schema, {"mode": "PERMISSIVE", "allowSingleQuotes": "true"})
     some = lambda c: F.when(F.to_json(parse(c)) != "{}", parse(c))
-    return F.coalesce(some(text), some(fenced), some(amid))
+
+    def plain(c: Column) -> Column:
+        """With JSON's words where a value stands by itself between its neighbours."""
+        for word, json_word in (("True", "true"), ("False", "false"), ("None", "null")):
+            c = F.regexp_replace(c, rf"(?<=[:\[,]\s{{0,20}}){word}(?=\s*[,}}\]])", json_word)
+        return c
+
+    return F.coalesce(*[some(c) for c in (text, fenced, amid)], *[some(plain(c)) for c in (fenced, amid)])

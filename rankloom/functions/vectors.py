@@ -18,10 +18,15 @@ def _byte(hexes: Column, i: int) -> Column:
     return F.conv(F.substring(hexes, 2 * i + 1, 2), 16, 10).cast("bigint")
 
 
-def token_bucket(token: Column, dimension: int = DIMENSION) -> Column:
-    """The first four bytes of SHA-256, little-endian, modulo the dimension."""
+def token_hash(token: Column) -> Column:
+    """The first four bytes of SHA-256, little-endian."""
     h = F.sha2(token, 256)
-    return ((_byte(h, 0) + _byte(h, 1) * 256 + _byte(h, 2) * 65536 + _byte(h, 3) * 16777216) % dimension).cast("int")
+    return _byte(h, 0) + _byte(h, 1) * 256 + _byte(h, 2) * 65536 + _byte(h, 3) * 16777216
+
+
+def token_bucket(token: Column, dimension: int = DIMENSION) -> Column:
+    """The hash modulo the dimension."""
+    return (token_hash(token) % dimension).cast("int")
 
 
 def token_sign(token: Column) -> Column:
@@ -48,6 +53,18 @@ def embed(texts: DataFrame, key: str, text: str, dimension: int = DIMENSION, nor
     return unit(counts.select(key, "bucket", F.col("n").cast("double").alias("w")), key)
 
 
+def embed_grid(texts: DataFrame, key: str, text: str, dimensions: list[int]) -> DataFrame:
+    """(dimension, key, bucket, w): unit vectors of several dimensions, from one pass over the tokens. Every distinct token is
+    hashed once; sums of the whole hash are folded into each dimension's buckets."""
+    rows = token_rows(texts, key, text)
+    hashed = rows.select("token").distinct().select("token", token_hash(F.col("token")).alias("h"), token_sign(F.col("token")).alias("sign"))
+    whole = rows.join(hashed, "token").groupBy(key, "h").agg(F.sum(F.col("tf") * F.col("sign")).alias("n"))
+    each = whole.withColumn("dimension", F.explode(F.array(*map(F.lit, dimensions))))
+    counts = each.groupBy("dimension", key, (F.col("h") % F.col("dimension")).cast("int").alias("bucket")).agg(F.sum("n").cast("double").alias("n")).filter("n <> 0")
+    norms = counts.groupBy("dimension", key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return counts.join(norms, ["dimension", key]).select("dimension", key, "bucket", (F.col("n") / F.col("norm")).alias("w"))
+
+
 def unit(vectors: DataFrame, key: str) -> DataFrame:
     norms = vectors.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return vectors.join(norms, key).select(key, "bucket", (F.col("w") / F.col("norm")).alias("w"))

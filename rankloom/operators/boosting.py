@@ -118,9 +118,9 @@ def _gain(g: float, h: float, ridge: float) -> float:
     return g * g / (h + ridge)
 
 
-def best_cut(cells: dict[tuple[int, int], tuple[float, float, int]], n_features: int, ridge: float = RIDGE, least: int = LEAST_ROWS) -> tuple[int, int] | None:
-    """(feature, bin) whose cut above the bin gains most, from sums of g, h and rows by feature and bin; None if no cut
-    gains. Sums are rounded, so that their order decides nothing."""
+def best_cut(cells: dict[tuple[int, int], tuple[float, float, int]], n_features: int, ridge: float = RIDGE, least: int = LEAST_ROWS) -> tuple[int, int, list[float], list[float]] | None:
+    """(feature, bin, sums below, sums above) of the cut above a bin that gains most, from sums of g, h and rows by
+    feature and bin; None if no cut gains. Sums are rounded, so that their order decides nothing."""
     best, found = 1e-9, None
     for f in range(n_features):
         bins = sorted(b for k, b in cells if k == f)
@@ -133,45 +133,57 @@ def best_cut(cells: dict[tuple[int, int], tuple[float, float, int]], n_features:
                 continue
             gain = round(_gain(low[0], low[1], ridge) + _gain(high[0], high[1], ridge) - _gain(total[0], total[1], ridge), 9)
             if gain > best:
-                best, found = gain, (f, b)
+                best, found = gain, (f, b, low, high)
     return found
 
 
-def _grow(rows: DataFrame, names: list[str], cuts: dict[str, list[float]], depth: int, rate: float) -> Node:
-    """A tree for rows(g, h, bins): each level is one aggregation."""
+def _literals(values: dict[int, float], size: int, empty: float) -> Column:
+    """values by number as one array. Trees stand in arrays, not in expressions, so all rounds share their generated code."""
+    return F.array(*[F.lit(values.get(i, empty)) for i in range(size)])
+
+
+def _node(splits: dict[int, tuple[int, int]], depth: int) -> Column:
+    """The number of a row's node after up to depth cuts: the children of n are 2n and 2n + 1."""
+    size = 2 ** (depth + 1)
+    feature, cut = _literals({n: f for n, (f, _) in splits.items()}, size, -1), _literals({n: b for n, (_, b) in splits.items()}, size, 0)
+    node = F.lit(1)
+    for _ in range(depth):
+        at = F.get(feature, node)
+        node = F.when(at < 0, node).otherwise(2 * node + (F.get("bins", at) > F.get(cut, node)).cast("int"))
+    return node
+
+
+def _grow(rows: DataFrame, names: list[str], cuts: dict[str, list[float]], depth: int, rate: float) -> tuple[Node, Column]:
+    """A tree for rows(g, h, bins), and its value of a row's bins; each level is one aggregation."""
     root = Node(0.0)
     open_nodes: dict[int, Node] = {1: root}
     splits: dict[int, tuple[int, int]] = {}
-
-    def place(number: int) -> Column:
-        """The number of a row's node: children of n are 2n and 2n + 1."""
-        if number not in splits:
-            return F.lit(number)
-        f, b = splits[number]
-        return F.when(F.col("bins")[f] <= b, place(2 * number)).otherwise(place(2 * number + 1))
-
-    for level in range(depth + 1):
-        placed = rows.select(place(1).alias("node"), "bins", "g", "h").filter(F.col("node").isin(list(open_nodes)))
+    values: dict[int, float] = {}
+    for level in range(max(depth, 1)):
+        is_open = F.get(_literals(dict.fromkeys(open_nodes, True), 2 ** (level + 1), False), F.col("node"))
+        placed = rows.select(_node(splits, level).alias("node"), "bins", "g", "h").filter(is_open)
         each = placed.select("node", "g", "h", F.posexplode("bins").alias("feature", "bin"))
         sums = each.groupBy("node", "feature", "bin").agg(F.round(F.sum("g"), 9), F.round(F.sum("h"), 9), F.count("*")).collect()
         found: dict[int, dict[tuple[int, int], tuple[float, float, int]]] = {}
         for node, f, b, g, h, n in sums:
             found.setdefault(node, {})[f, b] = (g, h, n)
+        if level == 0:
+            g, h = (sum(v[i] for (f, _), v in found.get(1, {}).items() if f == 0) for i in (0, 1))
+            root.value = values[1] = rate * g / (h + RIDGE)
         after: dict[int, Node] = {}
         for number, node in open_nodes.items():
-            cells = found.get(number, {})
-            g, h = (sum(v[i] for (f, _), v in cells.items() if f == 0) for i in (0, 1))
-            node.value = rate * g / (h + RIDGE)
-            cut = best_cut(cells, len(names)) if level < depth else None
+            cut = best_cut(found.get(number, {}), len(names)) if depth else None
             if cut is not None:
-                splits[number] = cut
-                node.feature, node.cut = names[cut[0]], cuts[names[cut[0]]][cut[1]]
-                node.children = (Node(0.0), Node(0.0))
-                after[2 * number], after[2 * number + 1] = node.children
+                f, b, low, high = cut
+                splits[number] = f, b
+                node.feature, node.cut = names[f], cuts[names[f]][b]
+                node.children = (Node(rate * low[0] / (low[1] + RIDGE)), Node(rate * high[0] / (high[1] + RIDGE)))
+                for child, of in zip((2 * number, 2 * number + 1), node.children, strict=True):
+                    after[child], values[child] = of, of.value
         open_nodes = after
         if not open_nodes:
             break
-    return root
+    return root, F.get(_literals(values, 2 ** (depth + 1), 0.0), _node(splits, depth))
 
 
 def fit(rows: DataFrame, label: str, names: list[str], loss: str = "lambdaloss", rounds: int = ROUNDS, depth: int = DEPTH, bins: int = BINS, rate: float = RATE, top: int = TOP) -> Trees:
@@ -184,20 +196,12 @@ def fit(rows: DataFrame, label: str, names: list[str], loss: str = "lambdaloss",
     model = Trees(names)
     data = stage(plain.select("query_id", "pos", "y", F.array(*[_bin(n, cuts[n]) for n in names]).alias("bins"), F.lit(0.0).alias("s")), "binned", "query_id")
     discard(plain)
-    at = {n: {c: b for b, c in enumerate(cuts[n])} for n in names}
-
-    def on_bins(node: Node) -> Column:
-        if node.children is None:
-            return F.lit(node.value)
-        low, high = node.children
-        return F.when(F.col("bins")[names.index(node.feature)] <= at[node.feature][node.cut], on_bins(low)).otherwise(on_bins(high))
-
     for _ in range(rounds):
         pulled = stage(GRADIENTS[loss](data, top).select("query_id", "pos", "y", "bins", "s", "g", "h"), "pulled")
         discard(data)
-        tree = _grow(pulled, names, cuts, depth, rate)
+        tree, value = _grow(pulled, names, cuts, depth, rate)
         model.trees.append(tree)
-        data = pulled.withColumn("s", F.col("s") + on_bins(tree)).drop("g", "h")
+        data = pulled.withColumn("s", F.col("s") + value).drop("g", "h")
         data.staged_path = pulled.staged_path
         if tree.children is None and abs(tree.value) < 1e-12:
             break

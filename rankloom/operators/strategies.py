@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bm25, metrics, rankers, training
+from ..functions import vectors as V
+from ..session import stage
+from . import bm25, boosting, metrics, rankers, training
 from .features import STATIC_WEIGHTS, blend, features
 
 Ranker = Callable[[DataFrame], DataFrame]
@@ -43,8 +46,13 @@ def _listwise(judged: DataFrame, **options) -> Ranker:
     return lambda candidates: bm25.rank(features(candidates).withColumn("score", sum((F.lit(w) * F.coalesce(n, F.lit(0.0)) for n, w in weights.items()), F.lit(0.0))), "score")
 
 
+def _boosted(judged: DataFrame, **options) -> Ranker:
+    trees = boosting.fit(features(judged), "rel", training.HYBRID_FEATURES, **options)
+    return lambda candidates: bm25.rank(trees.score(features(candidates)).withColumnRenamed("model_score", "score"), "score")
+
+
 #: What takes judged(query_id, query, doc_id, doc, pos, rel) and options, and gives a ranker of candidates.
-FITTED: dict[str, Callable[..., Ranker]] = {"hybrid": _hybrid, "binary": _binary, "distilled": _distilled, "listwise": _listwise}
+FITTED: dict[str, Callable[..., Ranker]] = {"hybrid": _hybrid, "binary": _binary, "distilled": _distilled, "listwise": _listwise, "boosted": _boosted}
 #: Rankers that need no fitting.
 PLAIN: dict[str, Callable[..., DataFrame]] = {"bm25": bm25.rerank, "static_hybrid": rankers.hybrid, "late_interaction": rankers.late_interaction, "sparse": rankers.sparse}
 
@@ -74,3 +82,29 @@ def scaling(judged: DataFrame, ranker: Ranker, sizes: Iterable[int] = (20, 50, 1
     rows = judged.withColumn("__size", copies).filter(F.col("pos") <= F.col("__size")).withColumn("query_id", F.struct(F.col("__size").alias("size"), "query_id")).drop("__size")
     ranked = ranker(rows.drop("rel")).select("query_id", "doc_id", "rank").join(rows.select("query_id", "doc_id", "rel"), ["query_id", "doc_id"])
     return metrics.evaluate(ranked, by=F.col("query_id.size"))
+
+
+def dimensions(judged: DataFrame, sizes: list[int]) -> DataFrame:
+    """(variant, queries, ndcg, ...) of ranking each list by cosine of hashed embeddings, for each dimension. All vectors
+    are folded from one pass over the tokens, and all dimensions are ranked by one plan."""
+    q = V.embed_grid(judged.select("query_id", "query").distinct(), "query_id", "query", sizes)
+    d = V.embed_grid(judged.select("doc_id", "doc").distinct(), "doc_id", "doc", sizes).withColumnRenamed("w", "v")
+    pairs = judged.select("query_id", "doc_id").distinct()
+    dots = pairs.join(q, "query_id").join(d, ["dimension", "doc_id", "bucket"]).groupBy("dimension", "query_id", "doc_id").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
+    rows = judged.select("query_id", "doc_id", "pos", "rel").withColumn("dimension", F.explode(F.array(*map(F.lit, sizes))))
+    rows = rows.join(dots, ["dimension", "query_id", "doc_id"], "left").fillna(0.0, ["score"])
+    lists = rows.select(F.struct("dimension", "query_id").alias("query_id"), "doc_id", "pos", "rel", "score")
+    return metrics.evaluate(bm25.rank(lists, "score"), by=F.col("query_id.dimension"))
+
+
+def measured(judged: DataFrame, wanted: dict[str, dict]) -> DataFrame:
+    """(variant, queries, ndcg, mrr, map, p_at_1, seconds) of strategies by name: each ranks the judged lists once, written, and
+    seconds is the time to the end of that write, fitting left out."""
+    out, rel = None, judged.select("query_id", "doc_id", "rel")
+    for name, ranker in build(judged, wanted).items():
+        began = time.monotonic()
+        ranked = stage(ranker(judged.drop("rel")).select("query_id", "doc_id", "rank"), f"ranked-{name}")
+        seconds = time.monotonic() - began
+        one = metrics.evaluate(ranked.join(rel, ["query_id", "doc_id"])).select(F.lit(name).alias("variant"), "*", F.lit(seconds).alias("seconds"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -355,6 +355,33 @@ def l11_scaling(spark, sf):
     return _rounded(strategies.scaling(R.judge(R.candidates(spark, sf, max(_SIZES))), bm25.rerank, _SIZES))
 
 
+_DIMENSIONS = (64, 128, 256, 512)
+
+
+def _sql_folded(source: str, key: str, text: str, name: str) -> str:
+    hashed = R.sql_bucket("token").replace(" % 256 AS INTEGER)", " AS BIGINT)")
+    return f"""{name}t AS (SELECT {key}, unnest({R.sql_tokens(text)}) AS token FROM (SELECT DISTINCT {key}, {text} FROM {source})),
+{name}h AS (SELECT token, {hashed} AS h, {R.sql_sign("token")} AS sign FROM (SELECT DISTINCT token FROM {name}t)),
+{name}n AS (SELECT dim, {key}, h % dim AS bucket, CAST(sum(sign) AS DOUBLE) AS n FROM {name}t JOIN {name}h USING (token), (VALUES {", ".join(f"({x})" for x in _DIMENSIONS)}) AS g(dim) GROUP BY ALL HAVING sum(sign) <> 0),
+{name} AS (SELECT dim, {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY dim, {key})) AS w FROM {name}n)"""
+
+
+_FOLDED = f"{R.SQL_JUDGED}, {_sql_folded('cand', 'query_id', 'query', 'eq')}, {_sql_folded('cand', 'doc_id', 'doc', 'ed')}, dots AS (SELECT a.dim, a.query_id, b.doc_id, sum(a.w * b.w) AS s FROM cand c JOIN eq a ON a.query_id = c.query_id JOIN ed b ON b.doc_id = c.doc_id AND b.dim = a.dim AND b.bucket = a.bucket GROUP BY ALL), " + ", ".join(f"x{n} AS (SELECT c.query_id, c.doc_id, c.pos, coalesce(s, 0) AS score FROM cand c LEFT JOIN dots ON dots.query_id = c.query_id AND dots.doc_id = c.doc_id AND dim = {n}), {S.ranked(f'x{n}', f'y{n}')}" for n in _DIMENSIONS)
+
+
+@query(f"WITH {_FOLDED}, {_sql_sweep({str(n): f'y{n}' for n in _DIMENSIONS}).replace('SELECT strategy, count', 'SELECT CAST(strategy AS INTEGER) AS variant, count')}")
+def l11_dimensions(spark, sf):
+    """Ranking by hashed embeddings of several dimensions."""
+    return _rounded(strategies.dimensions(R.judge(R.candidates(spark, sf)), list(_DIMENSIONS)))
+
+
+@query(f"WITH {_SWEPT}, {_sql_sweep({'bm25': 'r1', 'late_interaction': 'r4', 'sparse': 'r5'}).replace('SELECT strategy, count', 'SELECT strategy AS variant, true AS timed, count')}")
+def l11_latency(spark, sf):
+    """Metrics and latency of strategies by name."""
+    report = strategies.measured(R.judge(R.candidates(spark, sf)), {"bm25": {}, "late_interaction": {}, "sparse": {}})
+    return _rounded(report).join(report.select("variant", (F.col("seconds") > 0).alias("timed")), "variant")
+
+
 def _rounded(report):
     return report.select("variant", "queries", *[F.round(c, 6).alias(c) for c in ("ndcg", "mrr", "map", "p_at_1")])
 

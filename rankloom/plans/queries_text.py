@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import quantize as Z
 from ..functions import text as T
 from ..functions import vectors as V
+from ..functions.vocabulary import vocabulary_ids
 from ..operators import phrases
 from . import relations as R
 from .registry import query
@@ -28,6 +29,14 @@ def b02_unicode_tokens(spark, sf):
     return _docs(spark, sf).select("doc_id", T.unicode_tokens(F.col("text")).alias("tokens"))
 
 
+@query()
+def b03_vocabulary_tokens(spark, sf):
+    """Ids of every document's words in a given vocabulary, by greedy longest match."""
+    import public_tokenizers
+
+    return vocabulary_ids(_docs(spark, sf), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query(f"SELECT conv_id, turn, list_sort({R.sql_grams('text')}) AS grams FROM conversations")
 def b04_char_ngrams(spark, sf):
     return R.table(spark, sf, "conversations").select("conv_id", "turn", F.sort_array(T.char_ngrams(F.col("text"))).alias("grams"))

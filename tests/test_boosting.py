@@ -121,9 +121,9 @@ def ndcg(scored):
 
 def test_trees_rank_better_than_a_linear_scorer(spark):
     df = frame(spark, lists(16)).cache()
-    weights = training.listwise_weights(df, "label", NAMES, "lambdaloss", steps=20)
+    weights = training.listwise_weights(df, "label", NAMES, "lambdaloss", steps=10)
     linear = ndcg(df.withColumn("score", sum(F.lit(w) * F.col(n) for n, w in weights.items())))
-    boosted = ndcg(boosting.fit(df, "label", NAMES, rounds=12, rate=0.3).score(df).withColumn("score", F.col("model_score")))
+    boosted = ndcg(boosting.fit(df, "label", NAMES, rounds=8, rate=0.4).score(df).withColumn("score", F.col("model_score")))
     assert boosted > linear + 0.1
 
 
