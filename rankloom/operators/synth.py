@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..session import few
+from .mining import numbered
+
 SEED = 42
 
 #: Subjects of generated contradictions, with a field and two values.
@@ -65,7 +68,8 @@ def pairs(seeds: DataFrame, target: int, seed: int = SEED) -> DataFrame:
     """seeds(seed_id, query, positive, negative): each seed's positive with 3 and negative with 0, then suffixed
     variants with scores in turn, target records in all."""
     n = seeds.count()
-    ordered = seeds.withColumn("i", F.row_number().over(W.Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("seed_id").cast("string")), 256))) - 1)
+    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("seed_id").cast("string")), 256)
+    ordered = seeds.join(numbered(seeds.select(F.col("seed_id").alias("doc_id"), order.alias("h"))).withColumnRenamed("doc_id", "seed_id"), "seed_id")
     plain = ordered.select("query", F.explode(F.array(F.struct(F.col("positive").alias("doc"), F.lit(3).alias("score"), F.lit("Directly addresses the query with the relevant concept.").alias("rationale"), (2 * F.col("i")).alias("idx")), F.struct(F.col("negative").alias("doc"), F.lit(0).alias("score"), F.lit("Discusses a different topic from the query.").alias("rationale"), (2 * F.col("i") + 1).alias("idx")))).alias("r")).select("query", "r.*")
     more = seeds.sparkSession.range(2 * n, max(target, 2 * n)).select(F.col("id").alias("idx")).withColumns({"i": F.pmod(_hash(seed, F.lit("seed"), F.col("idx")), F.lit(max(n, 1))).cast("int"), "score": (F.col("idx") % 4).cast("int")})
     suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.pmod(_hash(seed, F.lit("suffix"), F.col("idx")), F.lit(len(SUFFIXES))) + 1).cast("int"))
@@ -142,9 +146,9 @@ def stabilize(records: DataFrame) -> DataFrame:
 def hard_negatives(examples: DataFrame, pools: DataFrame, easy: list[str], default: str, seed: int = SEED) -> DataFrame:
     """examples(idx, query, positive, domain) with the hard negative at idx of their domain's pool(domain, place, text)
     and the easy one at idx of the list; a domain without a pool takes the default's."""
-    sizes = pools.groupBy("domain").agg(F.count("*").alias("size"))
-    rows = examples.join(F.broadcast(sizes), "domain", "left")
-    rows = rows.withColumn("domain", F.when(F.col("size").isNull(), F.lit(default)).otherwise(F.col("domain"))).drop("size").join(F.broadcast(sizes), "domain")
+    sizes = few(pools.groupBy("domain").agg(F.count("*").alias("size")))
+    rows = examples.join(sizes, "domain", "left")
+    rows = rows.withColumn("domain", F.when(F.col("size").isNull(), F.lit(default)).otherwise(F.col("domain"))).drop("size").join(sizes, "domain")
     rows = rows.withColumn("place", F.pmod("idx", "size")).join(pools.withColumnRenamed("text", "hard_negative"), ["domain", "place"])
     easy_one = F.element_at(F.array(*map(F.lit, easy)), (F.pmod(F.col("idx"), F.lit(len(easy))) + 1).cast("int"))
     return rows.select("idx", "query", "positive", "hard_negative", easy_one.alias("easy_negative"), *_offline(seed))

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -60,6 +61,11 @@ def discard(*staged: DataFrame) -> None:
         found.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df with the hint to broadcast it, if it is counted to have at most this many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores: an input of fewer splits than cores, as a file of one row group is, is dealt over them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
