@@ -98,12 +98,19 @@ def partitions(spark: SparkSession) -> int:
 
 
 def join_small(left: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join left with one row per key. The small side is counted; it is broadcast up to BROADCAST_ROWS,
-    else both sides are salted so that a key with a third of all rows is spread over SALTS tasks."""
+    """Join left with one row per key. The small side is counted; it is broadcast up to BROADCAST_ROWS. Beyond that
+    left's rows are counted by key, and those of a hot key meet a broadcast of the hot keys' rows, at most BROADCAST_ROWS,
+    where they are; rows without a key meet nothing and aren't shuffled. Nothing is dealt at random, so a task that is
+    run again deals its rows as before."""
     if small.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(small), key, how)
-    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("__salt", (F.rand(7) * SALTS).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = materialize(counts.filter(F.col("n") > hot_from(total)).select(key), "hot-keys")
+    broad = F.broadcast(small.join(F.broadcast(hot), key, "left_semi"))
+    spread = left.filter(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(small.hint("merge"), key, how)
+    joined = left.join(F.broadcast(hot), key, "left_semi").join(broad, key, how).unionByName(spread)
+    return joined if how == "inner" else joined.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def hot_from(total: int) -> int:

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Poisson replication, in native expressions only.
 
 A source's rate is the mean number of times that each of its documents is to appear. The number for one document
-is the inverse of the Poisson distribution with that mean at a uniform number hashed from the seed and doc_id, so
+is the inverse of the Poisson distribution with that mean at a uniform number hashed from the seed, doc_id and text, so
 it needs no state, no order and no second pass, and a rerun gives the same copies. A rate above MOST_RATE, as of a source
 of a few documents in a large corpus, is the sum of as many draws of equal rates below it, so tables stay short: sums of
 Poisson numbers are Poisson numbers. Copies are exploded and dealt
@@ -11,8 +11,9 @@ Sizes are aggregated map-side to one row per source; those rows are joined back
 beyond its bound), so a source with most of all rows stays spread as its files are.
 
 Defined cases: a null source is a source of its own; a null text has size 1 (every document counts its UTF-8 bytes
-plus 1); a null doc_id has one fixed draw per source; rows with equal doc_id in one source are drawn alike; a source
-without a weight has weight 0 and goes; an empty table gives no rows. Columns named mix_* are replaced.
+plus 1); doc_ids that are null or occur often are told apart by their texts, in counts as in positions; rows of one
+source with equal doc_id and text are drawn and placed alike; a source without a weight has weight 0 and goes; an
+empty table gives no rows. Columns named mix_* are replaced.
 """
 
 from __future__ import annotations
@@ -64,17 +65,23 @@ def uniform(purpose: str, seed: int, *parts: Column) -> Column:
     return unit52(F.lit(purpose), F.lit(str(seed)), *parts)
 
 
+def row_key() -> Column:
+    """Tells rows apart: doc_id and text."""
+    return F.concat_ws(":", text_key("doc_id"), F.md5(text_key("text")))
+
+
 def mix(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
     """docs repeated to the target weights, globally shuffled; adds mix_rate, mix_copy (from 1), mix_position."""
     docs = docs.drop("mix_rate", "mix_copy", "mix_position")
     tables = poisson_tables(source_rates(docs, source, weights, temperature, epochs))
-    joined = join_small(docs.withColumn("__key", text_key(source)), tables, "__key", "inner")
+    joined = join_small(docs.withColumn("__key", text_key(source)).withColumn("__one", row_key()), tables, "__key", "inner")
     below = lambda u: F.size(F.filter("__cdf", lambda c: c <= u / F.lit(float(UNIT))))
-    once = below(uniform("count", seed, text_key("doc_id")))
-    more = F.aggregate(F.sequence(F.lit(2), F.col("__draws")), once, lambda n, i: n + below(uniform("count", seed, text_key("doc_id"), i.cast("string"))))
+    one = F.col("__one")
+    once = below(uniform("count", seed, one))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("__draws")), once, lambda n, i: n + below(uniform("count", seed, one, i.cast("string"))))
     counted = joined.withColumn("__n", F.when(F.col("__draws") == 1, once).otherwise(more)).filter("__n > 0").drop("__cdf", "__draws", "__key")
     copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-    placed = copies.withColumn("mix_position", uniform("place", seed, text_key("doc_id"), F.col("mix_copy").cast("string")))
+    placed = copies.withColumn("mix_position", uniform("place", seed, one, F.col("mix_copy").cast("string")))
     n = partitions(docs.sparkSession)
     share = F.floor(F.col("mix_position") / F.lit(float(UNIT)) * n).cast("int")
     return placed.repartitionById(n, share).sortWithinPartitions("mix_position").select(*docs.columns, "mix_rate", "mix_copy", "mix_position")
@@ -90,14 +97,16 @@ draws AS (
 cdf AS (
   SELECT source, k, sum(exp(-part + k * ln(part) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
   FROM draws, range(0, {3 * MOST_RATE}) AS t(k) WHERE k <= ceil(part + 12 * sqrt(part) + 24)),
+named AS (
+  SELECT *, coalesce('v:' || doc_id, 'n') || ':' || md5(coalesce('v:' || text, 'n')) AS one FROM documents),
 each AS (
-  SELECT d.doc_id, d.source, unnest(range(1, CAST(r.draws AS BIGINT) + 1)) AS i FROM documents d JOIN draws r ON r.source IS NOT DISTINCT FROM d.source),
+  SELECT DISTINCT d.one, d.source, unnest(range(1, CAST(r.draws AS BIGINT) + 1)) AS i FROM named d JOIN draws r ON r.source IS NOT DISTINCT FROM d.source),
 drawn AS (
-  SELECT *, CAST('0x' || substr(md5('count:{SEED}:v:' || doc_id || CASE WHEN i > 1 THEN ':' || i ELSE '' END), 1, 13) AS BIGINT) / {UNIT}e0 AS u FROM each),
+  SELECT *, CAST('0x' || substr(md5('count:{SEED}:' || one || CASE WHEN i > 1 THEN ':' || i ELSE '' END), 1, 13) AS BIGINT) / {UNIT}e0 AS u FROM each),
 counted AS (
-  SELECT d.doc_id, count(*) AS n FROM drawn d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u GROUP BY d.doc_id),
-copies AS (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM counted)
+  SELECT d.one, d.source, count(*) AS n FROM drawn d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u GROUP BY ALL),
+copies AS (SELECT one, source, unnest(range(1, n + 1)) AS copy FROM counted)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, round(r.rate, 9) AS mix_rate, CAST(t.copy AS INTEGER) AS mix_copy,
-  CAST('0x' || substr(md5('place:{SEED}:v:' || d.doc_id || ':' || t.copy), 1, 13) AS BIGINT) AS mix_position
-FROM documents d JOIN copies t USING (doc_id) JOIN rates r ON r.source IS NOT DISTINCT FROM d.source
+  CAST('0x' || substr(md5('place:{SEED}:' || d.one || ':' || t.copy), 1, 13) AS BIGINT) AS mix_position
+FROM named d JOIN copies t ON t.one = d.one AND t.source IS NOT DISTINCT FROM d.source JOIN rates r ON r.source IS NOT DISTINCT FROM d.source
 """
