@@ -14,18 +14,23 @@ dealt by these numbers, and neither is gathered or broadcast. Survivors of one q
 ones are picked with partial limits, and a query's bounds are joined to its survivors where they are if they are many.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without vec_id, take no part;
-neither do vectors whose integer form has a length of 2^31 or more, whose scores a 64-bit integer couldn't hold;
+components beyond 2^200 in integer form count as 2^200, and scores that no 64-bit integer holds as the nearest one;
 rows with one vec_id are one vector (the smallest in array order); vectors meet those of equal length only; equal
-scores go to the smaller vec_id; fewer than k candidates are all returned; other columns are not looked at; an
+scores go to the smaller vec_id; long vectors (2^31 or more) lie in files of their own, lest they coarsen the cells of
+others, and their products are exact integers of any size; fewer than k candidates are all returned; other columns are not looked at; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .common import join_hot, materialize, partitions
@@ -39,17 +44,21 @@ QUERY_PART = 8192
 #: Queries that are scanned at a time.
 QUERY_STEP = 512
 READ_FIRST = 12
-LONGEST = float(1 << 31)
+LONG = float(1 << 31)
+GREATEST = float(1 << 200)
+LEAST_SCORE, MOST_SCORE = -(1 << 63), (1 << 63) - 1
 
 
 def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """id, v (array<bigint>), dim, from rows(vec_id, embedding)."""
+    """id, v (array<double>, of whole numbers), dim and long, from rows(vec_id, embedding)."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~bad)
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
-    square = F.aggregate(whole, F.lit(0.0), lambda s, x: s + x * x)
-    good = good.select(F.col("vec_id").cast("bigint").alias("id"), F.when(square < LONGEST * LONGEST, whole).alias("v")).filter("v IS NOT NULL")
-    return good.select("id", F.transform("v", lambda x: x.cast("bigint")).alias("v")).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    held = lambda x: F.greatest(F.lit(-GREATEST), F.least(F.lit(GREATEST), x))
+    floor = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)  # noqa: E731 - beyond, doubles are whole
+    whole = F.transform("embedding", lambda x: held(floor(F.lit(float(scale)) * x.cast("double"))))
+    good = good.select(F.col("vec_id").cast("bigint").alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    return good.withColumn("dim", F.size("v")).withColumn("long", square >= LONG * LONG)
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -70,15 +79,15 @@ def _approximate(table: pa.Table) -> pa.Table:
 
 def _exact(table: pa.Table) -> pa.Table:
     ids, v = _matrix(table)
-    one = {"dim": table.column("dim")[0].as_py(), "part": table.column("part")[0].as_py(), "query_ids": ids.tobytes(), "queries": v.astype(np.int32).tobytes()}
+    one = {"dim": table.column("dim")[0].as_py(), "part": table.column("part")[0].as_py(), "query_ids": ids.tobytes(), "queries": v.tobytes()}
     return pa.Table.from_pylist([one], pa.schema([("dim", pa.int32()), ("part", pa.int32()), ("query_ids", pa.binary()), ("queries", pa.binary())]))
 
 
-def bounds(queries: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bounds(queries: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> Iterator[np.ndarray]:
     """Lower and upper bounds of the inner products of all queries with all approximated vectors."""
     middle = queries @ (low + (cells + 0.5) * width).T
     slack = np.abs(queries) @ (width / 2) * (1 + 1e-9) + 1e-9 * (np.abs(queries) @ (np.abs(low) + CELLS * width)) + 1e-6
-    return middle - slack[:, None], middle + slack[:, None]
+    return (np.clip(x, float(LEAST_SCORE), float(MOST_SCORE)) for x in (middle - slack[:, None], middle + slack[:, None]))
 
 
 def _scan(k: int):
@@ -86,9 +95,9 @@ def _scan(k: int):
         found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2]
         for r in asked.to_pylist():
             query_ids = np.frombuffer(r["query_ids"], np.int64)
-            queries = np.frombuffer(r["queries"], np.int32).reshape(len(query_ids), r["dim"])
+            queries = np.frombuffer(r["queries"], np.float64).reshape(len(query_ids), r["dim"])
             for first in range(0, len(query_ids), QUERY_STEP):
-                found.append(_survivors(files, query_ids[first : first + QUERY_STEP], queries[first : first + QUERY_STEP].astype(np.float64), k))
+                found.append(_survivors(files, query_ids[first : first + QUERY_STEP], queries[first : first + QUERY_STEP], k))
         return pa.table([np.concatenate(x) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "lower", "upper"])
 
     return scan
@@ -112,11 +121,23 @@ def _survivors(files: pa.Table, query_ids: np.ndarray, queries: np.ndarray, k: i
     return query_ids[q[alive]], c[alive], lower[alive], upper[alive]
 
 
-def _scores(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """pairs, a staged table, with score."""
+@F.pandas_udf(T.LongType())
+def _whole_product(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Exact inner products of whole numbers of any size, held to 64 bits."""
+    exact = (sum(int(x) * int(y) for x, y in zip(v, w, strict=True)) for v, w in zip(a, b, strict=True))
+    return pd.Series([min(max(s, LEAST_SCORE), MOST_SCORE) for s in exact], dtype="int64")
+
+
+def _scores(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, rare: bool) -> DataFrame:
+    """pairs, a staged table, with score. rare: whether there are long vectors."""
     named = materialize(join_hot(pairs, vectors.select(F.col("id").alias("vec_id"), "v"), "vec_id"), "va-named")
     named = join_hot(named, queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("bigint") * b.cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    if rare:
+        # by Cauchy and Schwarz two vectors below LONG have a product, and partial sums, that a long holds
+        named = named.withColumn("__rare", F.exists(F.array("q", "v"), lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y) >= LONG * LONG))
+        split = [named.filter("__rare").withColumn("score", _whole_product("q", "v")), named.filter("NOT __rare").withColumn("score", product)]
+        return split[0].unionByName(split[1]).select("query_id", "vec_id", "upper", "score")
     return named.select("query_id", "vec_id", "upper", product.alias("score"))
 
 
@@ -131,12 +152,12 @@ def top_k(rows: DataFrame, is_query: str, k: int = K, scale: int = SCALE) -> Dat
     vectors = materialize(integer_vectors(rows, scale), "vectors")
     queries = vectors.filter(is_query)
     n, m = vectors.count(), queries.count()
-    dim = vectors.agg(F.coalesce(F.max("dim"), F.lit(1))).first()[0]
+    dim, rare = vectors.agg(F.coalesce(F.max("dim"), F.lit(1)), F.coalesce(F.max("long"), F.lit(False))).first()
     blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_PART))
     fewest = -(-2 * partitions(rows.sparkSession) // parts)  # groups that keep all tasks busy
     together = max(1, min(GROUP_BLOCKS, GROUP_BYTES // (BLOCK * max(dim, 1)), blocks // fewest))
     groups = -(-blocks // together)
-    files = vectors.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(_approximate, "dim int, block int, ids binary, low binary, width binary, cells binary")
+    files = vectors.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")).groupBy("dim", "long", "block").applyInArrow(_approximate, "dim int, block int, ids binary, low binary, width binary, cells binary")
     asked = queries.withColumn("part", F.pmod(F.xxhash64("id", F.lit("query")), F.lit(parts)).cast("int")).groupBy("dim", "part").applyInArrow(_exact, "dim int, part int, query_ids binary, queries binary")
     files = materialize(files, "va-files").withColumn("grp", F.col("block") % groups).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     asked = materialize(asked, "va-queries").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -145,13 +166,13 @@ def top_k(rows: DataFrame, is_query: str, k: int = K, scale: int = SCALE) -> Dat
     kth = _first(alive, "lower", k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).otherwise(F.lit(float("-inf"))).alias("kth"))
     alive = materialize(join_hot(alive, kth, "query_id").filter("upper >= kth").select("query_id", "vec_id", "upper"), "va-survivors")
     first = materialize(_first(alive, "upper", max(READ_FIRST, k)), "va-first")
-    read = materialize(_scores(first.select("query_id", "vec_id", "upper"), vectors, queries), "va-read")
+    read = materialize(_scores(first.select("query_id", "vec_id", "upper"), vectors, queries, rare), "va-read")
     kth = _first(read, "score", k).groupBy("query_id").agg(F.min("score").alias("kth"))
     last = first.groupBy("query_id").agg(F.max_by(F.struct("upper", "vec_id"), "place").alias("last"))
     unread = (F.col("upper") < F.col("last.upper")) | ((F.col("upper") == F.col("last.upper")) & (F.col("vec_id") > F.col("last.vec_id")))
     rest = join_hot(alive, kth.join(last, "query_id"), "query_id").filter(unread & (F.col("upper") >= F.col("kth")))
     rest = materialize(rest.select("query_id", "vec_id", "upper"), "va-rest")
-    scored = read.unionByName(_scores(rest, vectors, queries))
+    scored = read.unionByName(_scores(rest, vectors, queries, rare))
     return _first(scored, "score", k).select("query_id", F.col("place").alias("rank"), "vec_id", "score")
 
 
