@@ -3,8 +3,8 @@
 Every rule rejects a document whose measure reaches a cutoff; the rules act together. A stratum (language) has one path
 of STEPS steps, from lenient to strict: at a step each rule's cutoff is the lowest from which on it is estimated to turn
 away at most that step's share of good documents; the estimate is the share of documents without a label that it turns
-away, less that of documents labelled bad at their rate among labels. So the path depends on the labelled good documents
-by their number alone. On all labelled good documents of the stratum that pass the base rules, the steps are tested in order: a step is certified while the exact
+away, less that of documents labelled bad at their rate among labels. Unlabelled copies of a labelled good text are left
+out of it, so the path depends on the labelled good documents by their number alone. On all labelled good documents of the stratum that pass the base rules, the steps are tested in order: a step is certified while the exact
 binomial test rejects "the rules together turn away more than a share ALPHA of good documents" at the stratum's level.
 The strictest certified step holds. Testing in this fixed order needs no correction among steps, and testing the rules
 together none among rules; DELTA is divided by the number of strata. So with probability 1 - DELTA at most ALPHA of the
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, join_small, materialize, temporary, text_key
+from .common import give_back, join_hot, join_small, materialize, temporary, text_key
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -163,8 +163,10 @@ def thresholds(judged: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta
     spark = judged.sparkSession
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min((F.col("quality") == 1).cast("int")).alias("good"))
     passed = judged.filter("NOT base_failed")
-    trials = passed.join(known, "doc_id").groupBy("stratum", "text_hash").agg(F.min("good").alias("good"), *[F.min(f"bin_{r}").alias(f"bin_{r}") for r in RULES]).filter("good = 1")
-    trials = materialize(trials, "rule-trials")
+    each_bin = [F.min(f"bin_{r}").alias(f"bin_{r}") for r in RULES]
+    said = join_hot(passed, known, "doc_id").groupBy("stratum", "text_hash").agg(F.min("good").alias("good"), F.count("*").alias("labelled"), F.sum(1 - F.col("good")).alias("bad"), *each_bin)
+    said = materialize(said, "rule-labelled")
+    trials = said.filter("good = 1").drop("good", "labelled", "bad")
     names = [f"cut_{r}" for r in RULES]
     schema = ", ".join(["stratum string", *(f"{n} int" for n in names)])
     good = {r[0]: r[1] for r in trials.groupBy("stratum").count().collect()}  # one row for each stratum
@@ -174,8 +176,13 @@ def thresholds(judged: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta
     level = delta / len(set(merged.values()))
     group = join_small(spark.createDataFrame(sorted(merged.items()), "stratum string, grp string"), judged.select("stratum").distinct(), "stratum", "inner")
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"bin_{r}").alias("bin")) for r in RULES])).alias("p")
-    others = passed.join(known, "doc_id", "left").filter("good IS NULL OR good = 0")
-    counts = join_small(others.select("stratum", "good", pairs).groupBy("stratum", "good", "p.rule", "p.bin").agg(F.count("*").alias("n")), group, "stratum", "inner")
+    # copies of a text are counted before they are shuffled; a text that is a trial counts for nothing here
+    texts = passed.groupBy("stratum", "text_hash").agg(F.count("*").alias("rows"), *each_bin)
+    texts = texts.join(said.select("stratum", "text_hash", "good", "labelled", "bad").hint("merge"), ["stratum", "text_hash"], "left").filter("good IS NULL OR good = 0")
+    free = texts.select("stratum", pairs, F.lit(None).cast("int").alias("good"), (F.col("rows") - F.coalesce("labelled", F.lit(0))).alias("n"))
+    bad = texts.select("stratum", pairs, F.lit(0).alias("good"), F.coalesce("bad", F.lit(0)).alias("n"))
+    others = free.unionByName(bad).filter("n > 0")
+    counts = join_small(others.groupBy("stratum", "good", "p.rule", "p.bin").agg(F.sum("n").alias("n")), group, "stratum", "inner")
     counts = materialize(counts, "rule-counts")
     n_good = {s: sum(n for t, n in good.items() if merged[t] == s) for s in set(merged.values())}
 
