@@ -47,10 +47,9 @@ TEXT_BITS = 16
 META_SIZE = 1024
 REMEMBERED = 200_000
 SYMBOLS = "#*$%&|<>"
-MOST_COUNT = 255
 #: Documents that are scored in one step.
 TOGETHER = 256
-#: Little-endian 16-bit integers, bytes, and 16-bit integers.
+#: Little-endian 16-bit, 32-bit and 16-bit integers.
 FEATURES = T.StructType([T.StructField(n, T.BinaryType()) for n in ("text_ids", "text_counts", "meta_ids")])
 LOGITS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("text", "meta")])
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("text_score", "meta_score", "score")])
@@ -71,10 +70,10 @@ _WORD_IDS = _WordIds()
 
 
 def text_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature numbers and their counts, at most MOST_COUNT."""
+    """Distinct feature numbers and their counts."""
     both = np.fromiter(map(_WORD_IDS.__getitem__, words), np.int64, len(words))
     ids, counts = np.unique(np.concatenate([both & ((1 << TEXT_BITS) - 1), both >> TEXT_BITS]), return_counts=True)
-    return ids.astype("<u2"), np.minimum(counts, MOST_COUNT).astype(np.uint8)
+    return ids.astype("<u2"), counts.astype("<u4")
 
 
 def meta_features(text: str, words: list[bytes], lang: str | None, source: str | None) -> np.ndarray:
@@ -136,8 +135,8 @@ class View:
     @classmethod
     def of_text(cls, ids: list[bytes], counts: list[bytes]) -> View:
         """Values are log counts, scaled to length 1."""
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in counts], dtype=np.int64)))
-        values = np.log1p(np.frombuffer(b"".join(counts), np.uint8).astype(float))
+        bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in counts], dtype=np.int64)))
+        values = np.log1p(np.frombuffer(b"".join(counts), "<u4").astype(float))
         length = np.sqrt(np.maximum(_sums(values * values, bounds), 1e-18))
         return cls(np.frombuffer(b"".join(ids), "<u2").astype(np.int64), values / np.repeat(length, np.diff(bounds)), bounds, 1 << TEXT_BITS)
 
