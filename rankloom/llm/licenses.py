@@ -6,7 +6,8 @@ paragraph of a licence, is one) and the whole file; each is compared with every
 frequency is counted over all files; words in no template share one weight, the mean of the templates' words. Only parts
 that could reach the threshold are exploded: one without any of a template's rarer words, which are left when its
 commonest words with less than threshold squared of its squared norm are set aside, cannot, nor one whose shared words
-have less than that of it. So the filters lose nothing.
+have less than that of it, nor one whose own norm, with all its other distinct words counted once, is too great for its
+inner product with any template. So the filters lose nothing.
 
 A file declares the licence of its best line or block from PART_COSINE on, or of its whole text from FILE_COSINE on. It is
 a licence file if its name says so and it declares a licence, or if its whole text, of FILE_WORDS words or more, reaches
@@ -41,9 +42,20 @@ WORD = "[a-z0-9]+"
 #: Lines without a letter or digit, between blocks.
 GAP = r"\n(?:[^A-Za-z0-9\n]*\n)+"
 NAMED = r"(?i)(^|/)(un)?(licen[sc]e|copying|notice)[^/]*$"
+#: A text that ends on a line about a licence.
+LAST_LINE = r"(?i)licen[sc]e[^\n]*\n*\z"
 Templates = dict[str, list[str]]
 
 
+def tree_path(doc_id: str = "doc_id") -> Column:
+    """A path for documents that have none: source, language, and folders of 250 and of 50 ids. A document that ends on a
+    notice is its folder of 250's NOTICE file, so the others below inherit from it."""
+    noticed = F.coalesce(F.col("text").rlike(LAST_LINE), F.lit(False))
+    name = F.concat(F.when(noticed, "NOTICE-").otherwise(""), F.col(doc_id).cast("string"), F.lit(".txt"))
+    part = lambda n: F.floor(F.col(doc_id) / n).cast("string")
+    return F.concat_ws("/", "source", "lang", part(250), F.when(~noticed, part(50)), name)
+
+
 def words(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
@@ -87,26 +99,44 @@ class Weights:
         return sorted(out)
 
 
-def _could(part: Column, weights: Weights, cosine: float) -> Column:
-    """Whether the words that a part shares with some template have enough of the template's norm for this cosine."""
+def _could(part: Column, weights: Weights, cosine: float, own: bool = True) -> Column:
+    """Whether the words that a part shares with some template have enough of the template's norm for this cosine, and
+    (own) whether the part's other words leave enough of its own."""
     vocabulary = F.array(*map(F.lit, sorted(weights.idf)))
-    squares = json.dumps([[{"w": w, "x": x * x} for w, x in t.items()] for t in weights.templates.values()])
-    templates = F.from_json(F.lit(squares), "array<array<struct<w: string, x: double>>>")
-    enough = cosine * cosine * (1 - 1e-9)
+    entries = json.dumps([[{"w": w, "x": x} for w, x in t.items()] for t in weights.templates.values()])
+    templates = F.from_json(F.lit(entries), "array<array<struct<w: string, x: double>>>")
+    idf = F.from_json(F.lit(json.dumps(weights.idf)), "map<string, double>")
+    enough = (cosine - 1e-8) ** 2  # cosines are rounded to nine digits
 
     needed = F.array(*map(F.lit, weights.needed(cosine)))
 
-    def reaches(present: Column) -> Column:
-        shared = lambda t: F.aggregate(t, F.lit(0.0), lambda s, e: s + F.when(F.array_contains(present, e["w"]), e["x"]).otherwise(F.lit(0.0)))
-        return F.arrays_overlap(present, needed) & F.exists(templates, lambda t: shared(t) >= enough)
+    once = lambda value, use: F.exists(F.array(value), use)  # noqa: E731 - value is found once, not at each of its uses
+    total = lambda items, of: F.aggregate(items, F.lit(0.0), lambda s, e: s + of(e))
+
+    def near(found: Column, present: Column) -> Column:
+        """Whether the part's inner product with some template reaches the cosine at the least norm that it can have."""
+        weight = lambda w: F.struct(w.alias("w"), (idf[w] * F.size(F.filter(found, lambda x: x == w))).alias("y"))
+        others = F.size(F.array_distinct(found)) - F.size(present)
+
+        def close(mine: Column) -> Column:
+            dot = lambda t: total(mine, lambda m: m["y"] * total(F.filter(t, lambda e: e["w"] == m["w"]), lambda e: e["x"]))
+            norm = total(mine, lambda m: m["y"] * m["y"]) + others * F.lit(weights.other**2)
+            return once(norm, lambda n: F.exists(templates, lambda t: F.pow(dot(t), F.lit(2.0)) >= n * enough))
+
+        return once(F.transform(present, weight), close)
+
+    def reaches(found: Column, present: Column) -> Column:
+        shared = lambda t: total(t, lambda e: F.when(F.array_contains(present, e["w"]), e["x"] * e["x"]).otherwise(F.lit(0.0)))
+        could = F.arrays_overlap(present, needed) & F.exists(templates, lambda t: shared(t) >= enough)
+        return could & near(found, present) if own else could
 
-    return F.exists(F.array(F.array_intersect(_words(part), vocabulary)), reaches)  # bound once, not for each template
+    return once(_words(part), lambda found: once(F.array_intersect(found, vocabulary), lambda present: reaches(found, present)))
 
 
 def parts_of(files: DataFrame, weights: Weights, least: float, file_least: float) -> DataFrame:
     """__path, __text, kind ('line', 'block', 'file'), at and part, of parts that could reach least, and of
     whole files that could reach file_least."""
-    texts = files.filter("text IS NOT NULL").filter(_could(F.col("text"), weights, least)).select("__path", F.xxhash64("text").alias("__text"), "text")
+    texts = files.filter("text IS NOT NULL").filter(_could(F.col("text"), weights, least, own=False)).select("__path", F.xxhash64("text").alias("__text"), "text")
 
     def pieces(kind: str, cut: str) -> DataFrame:
         found = texts.select("__path", "__text", F.lit(kind).alias("kind"), F.posexplode(F.split("text", cut)).alias("at", "part"))
@@ -179,7 +209,9 @@ def _oracle() -> str:
     return f"""
 WITH t AS (SELECT license, variant, unnest(regexp_extract_all(txt, '{WORD}')) AS word FROM (VALUES {values}) AS x(license, variant, txt)),
 ttf AS (SELECT license, variant, word, count(*) AS tf FROM t GROUP BY ALL),
-docs AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS path, source || '/' || lang AS dir, source, text FROM documents),
+placed AS (SELECT *, coalesce(regexp_matches(text, '{LAST_LINE}'), false) AS noticed FROM documents),
+paths AS (SELECT *, concat_ws('/', source, lang, doc_id // 250, CASE WHEN NOT noticed THEN doc_id // 50 END, CASE WHEN noticed THEN 'NOTICE-' ELSE '' END || doc_id || '.txt') AS path FROM placed),
+docs AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, text FROM paths),
 seen AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM docs),
 idf AS (SELECT v.word, ln((1 + (SELECT count(*) FROM docs)) / (1e0 + count(s.doc_id))) + 1 AS idf
   FROM (SELECT DISTINCT word FROM ttf) v LEFT JOIN seen s USING (word) GROUP BY v.word),
@@ -198,10 +230,14 @@ cosines AS (SELECT doc_id, kind, line, license, variant, round(sum(lv.w * tw.w)
 declared AS (SELECT doc_id, license, cosine FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS n FROM cosines) WHERE n = 1),
 dirs AS (SELECT dir, license FROM (
-  SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path, license) AS n FROM cosines JOIN docs USING (doc_id) WHERE kind = 2 AND n_words >= {FILE_WORDS}) WHERE n = 1)
+  SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path, license) AS n FROM cosines JOIN docs USING (doc_id)
+  WHERE regexp_matches(path, '{NAMED}') OR (kind = 2 AND n_words >= {FILE_WORDS})) WHERE n = 1),
+above AS (SELECT DISTINCT dir FROM docs),
+nearest AS (SELECT above.dir, max_by(dirs.license, length(dirs.dir)) AS license FROM above JOIN dirs
+  ON above.dir = dirs.dir OR starts_with(above.dir, dirs.dir || '/') GROUP BY above.dir)
 SELECT doc_id, path, coalesce(d.license, i.license) AS license,
   CASE WHEN d.license IS NOT NULL THEN 'declared' WHEN i.license IS NOT NULL THEN 'inherited' END AS found, d.cosine
-FROM docs LEFT JOIN declared d USING (doc_id) LEFT JOIN dirs i USING (dir)
+FROM docs LEFT JOIN declared d USING (doc_id) LEFT JOIN nearest i USING (dir)
 """
 
 

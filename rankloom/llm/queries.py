@@ -58,8 +58,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt")))
-    files = load(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    files = load(spark, sf_dir, "documents").select("doc_id", licenses.tree_path().alias("path"), "text")
     return licenses.scan(files).drop("text")
 
 
