@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm import language_model, licenses, mixing, quality_classifier, quality_rules, sharding, vector_search
+from rankloom.llm import common, language_model, licenses, mixing, quality_classifier, quality_rules, sharding, vector_search
 from rankloom.llm import queries as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,6 +44,32 @@ def draws(rate, key, seed=mixing.SEED):
     return total
 
 
+def one_key(doc_id, text):
+    keys = ["n" if x is None else f"v:{x}" for x in (doc_id, text)]
+    return keys[0] + ":" + hashlib.md5(keys[1].encode()).hexdigest()
+
+
+def test_mixing_spreads_hot_ids(spark):
+    """Rows of one doc_id are drawn each for itself, and lie all over the result."""
+    rows = spark.range(8000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(rows).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in got) == pytest.approx(8000, rel=0.06)
+    assert len(got) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in got) < 2 * 8000 / len(got)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_beyond_the_broadcast_bound(spark, monkeypatch, how):
+    """A hot key, keys on one side only, and rows without a key."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    key = lambda i: None if i % 7 == 0 else 5 if i % 3 == 0 else i % 90
+    left = spark.createDataFrame([(i, key(i)) for i in range(600)], "i long, k long")
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(60)], "k long, v string")
+    got = Counter((r.i, r.k, r.v) for r in common.join_small(left, small, "k", how).collect())
+    want = [(i, key(i), None if key(i) is None or key(i) >= 60 else f"v{key(i)}") for i in range(600)]
+    assert got == Counter(w for w in want if how == "left" or w[2])
+
+
 def test_mixing_equals_brute_force(spark, awkward):
     rows = awkward.collect()
     size = Counter()
@@ -53,7 +79,7 @@ def test_mixing_equals_brute_force(spark, awkward):
     want = Counter()
     for r in rows:
         rate = sum(size.values()) * weight[r.source] / sum(weight.values()) / size[r.source]
-        for k in range(draws(rate, "n" if r.doc_id is None else f"v:{r.doc_id}")):
+        for k in range(draws(rate, one_key(r.doc_id, r.text))):
             want[r.doc_id, r.source, k + 1] += 1
     mixed = mixing.mix(awkward)
     got = mixed.collect()
@@ -67,7 +93,7 @@ def test_mixing_equals_brute_force(spark, awkward):
 def test_large_rates_equal_brute_force(spark):
     rows = spark.createDataFrame([(i, "xyz", "s") for i in range(5)], "doc_id long, text string, source string")
     got = Counter(r.doc_id for r in mixing.mix(rows, epochs=1000.0).select("doc_id").collect())
-    assert got == {i: draws(1000.0, f"v:{i}") for i in range(5)}
+    assert got == {i: draws(1000.0, one_key(i, "xyz")) for i in range(5)}
 
 
 def test_mixing_meets_its_targets(spark):
@@ -200,7 +226,7 @@ def brute_kept(docs, labels):
     kept = {}
     for group in groups:
         passed = [r for r in bins if r["lang"] in group and not r["base_failed"]]
-        free = [r for r in passed if r["doc_id"] not in said]
+        free = [r for r in passed if r["doc_id"] not in said and not good.get((r["lang"], r["text"]), [False])[0]]
         bad = [r for r in passed if r["doc_id"] in said and not all(said[r["doc_id"]])]
         tried = [r for s in group for r in trials[s]]
         rate = len(bad) / (len(bad) + len(tried))
@@ -489,16 +515,17 @@ def test_vector_search_awkward(spark):
     rows += [(1000, None), (1050, [1.0, None] + [0.0] * 6), (1100, [float("nan")] + [0.0] * 7), (1150, [float("inf")] + [0.0] * 7), (None, [0.0] * 8)]
     rows += [(2000 + i, [0.5, -0.5]) for i in range(3)] + [(2050, [1.0, 1.0])] + [(301, rows[7][1])] * 2 + [(302, [1e6] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0))
-    rows += [(400, [1e18] + [0.0] * 7), (401, [-3e38] * 8), (402, [8e6] + [0.0] * 7)]
+    rows += [(400, [1e18] + [0.0] * 7), (401, [-3e38] * 8), (402, [8e6] + [0.0] * 7), (450, [3e15, -2e15] + [0.0] * 6), (403, [5.0, 7.0] + [1e17] * 2 + [0.0] * 4), (404, [1e16] * 4 + [-1e16] * 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0))
     vectors = {}
     for i, e in rows:
-        if i not in (400, 401) and i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
+        if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
             vectors[i] = [math.floor(256 * float(np.float32(x))) for x in e]
     want = set()
     for q, a in vectors.items():
         if q % 50 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors.items() if i != q and len(a) == len(b))
+            held = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+            scored = sorted((-held(sum(x * y for x, y in zip(a, b))), i) for i, b in vectors.items() if i != q and len(a) == len(b))
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])}
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in vector_search.top_k(df, "id % 50 = 0").collect()}
     assert got == want
@@ -606,3 +633,39 @@ def test_pipeline_awkward(spark, tmp_path):
     assert out.count() > 0
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_classifier_counts_every_word():
+    ids, counts = quality_classifier.text_features([b"again"] * 70_000 + [b"once"])
+    assert dict(zip(counts.tolist(), ids.tolist())).keys() == {70_000, 1}
+    view = quality_classifier.View.of_text([ids.tobytes()] * 2, [counts.tobytes()] * 2)
+    assert view.values.size == 2 * ids.size and view.values.max() == pytest.approx(math.log1p(70_000) / math.sqrt(sum(math.log1p(c) ** 2 for c in counts.tolist())))
+
+
+def test_license_filters_lose_nothing(spark):
+    """Whatever the filters let pass, cosines from the threshold on are those of plain Python over all parts."""
+    rng = np.random.default_rng(3)
+    pool = [t for variants in licenses.TEMPLATES.values() for t in variants if len(t) < 400]
+    rows = []
+    for i in range(120):
+        text = pool[rng.integers(len(pool))].split()
+        text = [w for w in text if rng.random() > 0.15] + ["mit", "wort", *(f"w{j}" for j in range(rng.integers(8)))]
+        rng.shuffle(text)
+        rows.append((f"d/{i}.txt", "mit\n\n" + " ".join(text) + "\n\nnur mit dir " * int(rng.integers(3))))
+    df = spark.createDataFrame(rows, "path string, text string")
+    n, df_of = licenses.document_frequencies(df, licenses.TEMPLATES)
+    weights = licenses.Weights(n, df_of, licenses.TEMPLATES)
+    want = {}
+    for path, text in rows:
+        best = (0.0, None)
+        parts = [(p, 0.8) for p in text.split("\n")] + [(p, 0.8) for p in re.split(licenses.GAP, text) if "\n" in p] + [(text, 0.9)]
+        for part, least in parts:
+            w = {x: c * weights.idf.get(x, weights.other) for x, c in Counter(licenses.words(part)).items()}
+            norm = math.sqrt(sum(v * v for v in w.values()))
+            for (name, _), t in weights.templates.items():
+                cosine = round(sum(v * t.get(x, 0.0) for x, v in w.items()) / norm, 9) if norm else 0.0
+                if cosine >= least and (-cosine, name) < (-best[0], best[1] or "~"):
+                    best = (cosine, name)
+        want[path] = best[0]
+    got = {r.path: r.cosine or 0.0 for r in licenses.scan(df).collect()}
+    assert got == pytest.approx(want) and 10 < sum(c > 0 for c in want.values()) < 120
