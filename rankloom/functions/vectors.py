@@ -6,9 +6,14 @@ A text's vector is the bag of its tokens' hash buckets, each with the token's si
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import few, spread, stage
 from .text import unicode_tokens
 
 DIMENSION = 256
@@ -119,11 +124,86 @@ def minhash(gram: Column, permutation: Column) -> Column:
 SENTINEL = "7fffffffffffffff"
 
 
+#: Grams whose hashes a worker remembers, and grams of a batch that are looked up at once.
+REMEMBERED, STRETCH = 65_536, 8_192
+_HASHES: dict[int, tuple[dict[str, int], np.ndarray]] = {}
+
+
+def _gram_hashes(grams: list[str], permutations: int) -> np.ndarray:
+    """The hashes of distinct grams, one row each; a worker hashes a gram again only when its table has been full."""
+    if permutations not in _HASHES or len(_HASHES[permutations][0]) + len(grams) > REMEMBERED:
+        _HASHES[permutations] = {}, np.empty((REMEMBERED, permutations), np.uint64)
+    places, hashes = _HASHES[permutations]
+    ends = [b"|%d" % p for p in range(permutations)]
+    for gram in grams:
+        if gram not in places:
+            text = gram.encode()
+            heads = b"".join([hashlib.sha256(text + end).digest()[:8] for end in ends])
+            hashes[len(places)] = np.frombuffer(heads, ">u8")
+            places[gram] = len(places)
+    return hashes[[places[gram] for gram in grams]]
+
+
+def _signatures(grams: pa.ListArray, permutations: int) -> pa.ListArray:
+    """Of each list its signature, in stretches of the batch, so that memory is bounded for any text; none: null."""
+    offsets = grams.offsets.to_numpy()
+    flat, offsets = grams.flatten(), offsets - offsets[0]
+    least = np.full((len(grams), permutations), int(SENTINEL, 16), np.uint64)
+    for start in range(0, len(flat), STRETCH):
+        coded = flat.slice(start, STRETCH).dictionary_encode()
+        codes, hashes = coded.indices.to_numpy(), _gram_hashes(coded.dictionary.to_pylist(), permutations)
+        first = np.searchsorted(offsets, start, "right") - 1
+        last = np.searchsorted(offsets, start + len(codes), "left")
+        for row in range(first, last):
+            own = codes[max(offsets[row] - start, 0) : max(offsets[row + 1] - start, 0)]
+            if len(own):
+                np.minimum(least[row], hashes[own].min(axis=0), out=least[row])
+    some = np.diff(offsets) > 0
+    least = least[some]
+    entries = pa.StringArray.from_buffers(least.size, pa.py_buffer(np.arange(0, 16 * least.size + 1, 16, np.int32)), pa.py_buffer(least.astype(">u8").tobytes().hex().encode()))
+    ends = np.concatenate([[0], np.cumsum(some)]) * permutations
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries, mask=pa.array(~some))
+
+
+def signature(grams: Column, permutations: int = 128) -> Column:
+    """The minhashes of an array of grams, by permutation; null without grams. Made where the text lies: as rows, a text
+    would be shuffled once for each of its grams and permutations."""
+
+    @F.arrow_udf("array<string>")
+    def of_batch(batch: pa.Array) -> pa.Array:
+        return _signatures(batch, permutations)
+
+    return of_batch(F.coalesce(grams, F.array().cast("array<string>")))
+
+
+def _by_repeats(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key occurs once, and the others, if any."""
+    several = few(stage(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(key).alias("__repeated")), "repeated-keys"))
+    if several.isEmpty():
+        return rows, None
+    same = F.col(key).eqNullSafe(F.col("__repeated"))
+    return rows.join(several, same, "left_anti"), rows.join(several, same, "left_semi")
+
+
 def minhash_signatures(texts: DataFrame, key: str, grams: Column, permutations: int = 128) -> DataFrame:
-    """(key, perm, h) for texts with grams; each distinct gram is hashed once for each permutation."""
-    rows = texts.select(key, F.explode(grams).alias("gram")).distinct()
-    hashed = rows.select("gram").distinct().withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("h", minhash(F.col("gram"), F.col("perm")))
-    return rows.join(hashed, "gram").groupBy(key, "perm").agg(F.least(F.min("h"), F.lit(SENTINEL)).alias("h"))
+    """(key, perm, h) for texts with grams; only texts that share a key are merged by a shuffle."""
+    once, more = _by_repeats(spread(texts), key)
+    rows = lambda part: part.select(key, signature(grams, permutations).alias("signature")).select(key, F.posexplode("signature").alias("perm", "h"))
+    return rows(once) if more is None else rows(once).unionByName(rows(more).groupBy(key, "perm").agg(F.min("h").alias("h")))
+
+
+def minhash_jaccard(pairs: DataFrame, left_key: str, left: Column, right_key: str, right: Column, permutations: int = 128) -> DataFrame:
+    """pairs(left_key, right_key, ...), one key for both sides of a row, with lsh_score of the grams of both sides; the
+    texts of one key count as one."""
+    once, more = _by_repeats(spread(pairs), left_key)
+    signed = once.withColumn("__a", signature(left, permutations)).withColumn("__b", signature(right, permutations))
+    equal = F.size(F.filter(F.zip_with("__a", "__b", lambda x, y: x == y), lambda x: x)) / permutations
+    score = F.when(F.col(left_key).isNotNull() & F.col("__a").isNotNull() & F.col("__b").isNotNull(), equal).otherwise(F.lit(0.0))
+    out = signed.withColumn("lsh_score", score).drop("__a", "__b")
+    if more is None:
+        return out
+    a, b = minhash_signatures(more, left_key, left, permutations), minhash_signatures(more, right_key, right, permutations)
+    return out.unionByName(signature_jaccard(more, a, left_key, b, right_key, permutations))
 
 
 def signature_jaccard(pairs: DataFrame, left: DataFrame, left_key: str, right: DataFrame, right_key: str, permutations: int = 128) -> DataFrame:

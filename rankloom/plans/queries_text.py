@@ -199,9 +199,7 @@ def c15_minhash_signatures(spark, sf):
 def d11_lsh_features(spark, sf):
     """Signature and exact Jaccard of each exchange's character trigrams."""
     ex = R.exchanges(spark, sf)
-    q = V.minhash_signatures(ex, "query_id", T.char_ngrams(F.col("query")), _PERM)
-    d = V.minhash_signatures(ex, "doc_id", T.char_ngrams(F.col("doc")), _PERM)
-    rows = V.signature_jaccard(ex, q, "query_id", d, "doc_id", _PERM)
+    rows = V.minhash_jaccard(ex, "query_id", T.char_ngrams(F.col("query")), "doc_id", T.char_ngrams(F.col("doc")), _PERM)
     return rows.select("query_id", "lsh_score", F.round(V.jaccard(T.char_ngrams(F.col("query")), T.char_ngrams(F.col("doc"))), 6).alias("lsh_jaccard"))
 
 

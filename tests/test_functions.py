@@ -67,6 +67,25 @@ def test_minhash(spark):
     assert exact == pytest.approx(2 / 6)
 
 
+def test_minhash_without_rows_of_grams(spark):
+    """Signatures as by brute force, made without a shuffle of grams by permutations; texts of one key are merged."""
+    texts = {1: ["one longer text" * 3000], 2: ["你好世界, naïve"], 3: ["ab", "abc cba", "ab"], 4: ["", "  "], None: ["xyz", "xyw"]}
+    rows = spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts] + [(5, None)], "id int, t string")
+    grams = lambda t: {t} if 0 < len(t) < 3 else {t[i : i + 3] for i in range(len(t) - 2)}
+    want = {}
+    for k, ts in texts.items():
+        of_key = set().union(*(grams(t.strip()) for t in ts))
+        for p in range(4):
+            want |= {(k, p): min([hashlib.sha256(f"{g}|{p}".encode()).hexdigest()[:16] for g in of_key] + [V.SENTINEL])} if of_key else {}
+    assert {(r.id, r.perm): r.h for r in V.minhash_signatures(rows, "id", T.char_ngrams(F.col("t")), 4).collect()} == want
+    alone = V.minhash_signatures(rows.filter("id < 3").repartition(4), "id", T.char_ngrams(F.col("t")), 4)
+    assert "hashpartitioning(gram" not in alone._jdf.queryExecution().toString()
+    pairs = rows.select("id", F.col("id").alias("other"), "t", F.lit("abc").alias("u"))
+    got = {(r.id, r.t): r.lsh_score for r in V.minhash_jaccard(pairs, "id", T.char_ngrams(F.col("t")), "other", T.char_ngrams(F.col("u")), 4).collect()}
+    same = sum(want[3, p] == min(hashlib.sha256(f"abc|{p}".encode()).hexdigest()[:16], V.SENTINEL) for p in range(4)) / 4
+    assert got[3, "ab"] == got[3, "abc cba"] == same and got[4, ""] == got[5, None] == got[None, "xyz"] == 0.0
+
+
 def test_keyword_hit_rate(spark):
     rate = lambda q, d: spark.createDataFrame([(q, d)], "q string, d string").select(X.keyword_hit_rate(F.col("q"), F.col("d"))).first()[0]
     assert rate("hello world", "hello world, how are you?") == 1.0
