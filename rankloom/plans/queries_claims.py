@@ -85,8 +85,9 @@ def f04_values_conflict(spark, sf):
 def _order_claims(spark, sf):
     """Each order line states the part's price per unit: parts are the entities, orders the documents."""
     lines = R.table(spark, sf, "lineitem")
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(18,2)").cast("string")
-    return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("doc_id"), F.concat(F.lit(" Part "), F.col("l_partkey")).alias("entity"), F.concat_ws("_", F.lit("unit price"), F.lower("l_returnflag")).alias("attribute"), price.alias("value"))
+    # SQL rounds the product's binary value: Spark's round to two places takes 1.005 for a tie, though 1.005 * 100 < 100.5
+    price = (F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100, 0) / 100).cast("decimal(18,2)").cast("string")
+    return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("doc_id"), F.concat(F.lit(" Part "), F.col("l_partkey")).alias("entity"), F.concat(F.lit("unit price_"), F.lower("l_returnflag")).alias("attribute"), price.alias("value"))
 
 
 _LINES = "cl AS (SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_orderkey AS doc_id, 'part ' || l_partkey AS entity_key, 'unit price_' || lower(l_returnflag) AS attribute, CAST(CAST(round(l_extendedprice / l_quantity, 2) AS DECIMAL(18,2)) AS VARCHAR) AS value FROM lineitem)"

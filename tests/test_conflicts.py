@@ -78,3 +78,12 @@ def test_edges(spark):
     rows = [(i, i, "fox", "price", str(i % 5000)) for i in range(20_000)]
     got = conflicts.contradiction_classes(spark.createDataFrame(rows, CLAIMS)).agg({"n_links": "sum", "n_claims": "sum"}).first()
     assert tuple(sorted(got)) == (20_000, 20_000 * (20_000 - 4))
+
+
+def test_unit_prices_round_as_sql(spark, tmp_path):
+    """1.005 * 100 is below 100.5, so the first price is 1.00 and conflicts with 1.01; a line without flag states nothing."""
+    from rankloom.plans import queries_claims as Q
+
+    lines = [(1, 1, 7, 2.0, 2.01, "A"), (2, 1, 7, 2.0, 2.02, "A"), (3, 1, 7, 1.0, 9.0, None), (4, 1, 7, 1.0, 8.0, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [tuple(r) for r in Q.f05_contradictions(spark, str(tmp_path)).collect()] == [(11, 21, "part 7", "unit price_a")]
