@@ -13,6 +13,7 @@ from pyspark.sql import window as W
 
 from ..functions import vectors as V
 from ..functions.text import OUTER, normalize_space, sentences
+from ..session import stage
 from . import claim_patterns as P
 from .bm25 import rank
 
@@ -54,16 +55,24 @@ def canonical_value(value: Column) -> Column:
     return F.coalesce(synonyms[raw], F.trim(stripped))
 
 
-def values_conflict(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
+def facets(value: Column) -> Column:
+    """What values_conflict compares of a value: itself as a number, its canonical form, and that as a number."""
+    canonical = canonical_value(value)
+    return F.struct(value.try_cast("double").alias("number"), canonical.alias("canonical"), canonical.try_cast("double").alias("canonical_number"))
+
+
+def facets_conflict(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     """Numbers conflict beyond the tolerance; else their canonical forms, as numbers or as strings."""
-    def number(c: Column) -> Column:
-        return c.try_cast("double")
+    def apart(name: str) -> Column:
+        x, y = a[name], b[name]
+        return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) > tolerance)
 
-    ca, cb = canonical_value(a), canonical_value(b)
-    apart = lambda x, y: F.abs(x - y) > tolerance
-    raw = F.when(number(a).isNotNull() & number(b).isNotNull(), apart(number(a), number(b)))
-    canonical = F.when(number(ca).isNotNull() & number(cb).isNotNull(), apart(number(ca), number(cb)))
-    return F.coalesce(raw, F.when(ca == cb, F.lit(False)), canonical, ca != cb)
+    same = a["canonical"] == b["canonical"]
+    return F.coalesce(apart("number"), F.when(same, F.lit(False)), apart("canonical_number"), ~same)
+
+
+def values_conflict(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
+    return facets_conflict(facets(a), facets(b), tolerance)
 
 
 def finished_claims(matches: DataFrame) -> DataFrame:
@@ -177,28 +186,45 @@ def fuzzy_contradictions(claims: DataFrame, similarity: float = SIMILARITY, tole
     return both.filter(values_conflict(F.col("value_a"), F.col("value_b"), tolerance))
 
 
-def aligned_labels(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(label, other): pairs of distinct labels whose embeddings have this cosine, each both ways and with itself. Found by
-    a join on shared buckets."""
+def label_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, vector) of rows(label), and (vector, bucket, w): labels with the same token counts have one vector, named by the
+    least of them. A label without a vector is in neither."""
     labels = rows.select("label").distinct().withColumn("text", F.col("label"))
-    v = V.embed(labels, "label", "text")
+    counts = V.embed(labels, "label", "text", normalize=False)
+    whole = stage(counts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("v")), "label-vectors")
+    named = stage(whole.groupBy("v").agg(F.min("label").alias("vector")), "vectors")
+    return stage(whole.join(named, "v").select("label", "vector"), "vectors-of-labels"), V.unit(named.select("vector", F.explode("v").alias("x")).select("vector", "x.*"), "vector")
+
+
+def aligned_vectors(v: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(vector, other): pairs of unit vectors(vector, bucket, w) with this cosine, each both ways and with itself. Found by
+    a join on shared buckets."""
+    v = stage(v, "unit-vectors")
     # Without its most common buckets, of less than similarity in length, a unit vector still shares a bucket with any
     # vector that it aligns with; so only the rest of one side is joined.
-    common = W.Window.partitionBy("label").orderBy(F.desc("n"), "bucket").rowsBetween(W.Window.unboundedPreceding, 0)
+    common = W.Window.partitionBy("vector").orderBy(F.desc("n"), "bucket").rowsBetween(W.Window.unboundedPreceding, 0)
     counted = v.join(v.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
     rare = counted.withColumn("norm", F.sum(F.col("w") * F.col("w")).over(common)).filter(F.col("norm") >= similarity * similarity - 1e-9)
-    tried = rare.select("label", "bucket").join(v.select(F.col("label").alias("other"), "bucket"), "bucket").select("label", "other").distinct()
-    return V.dot(tried, v, "label", v.withColumnRenamed("label", "other"), "other").filter(F.round("dot", 9) >= similarity).select("label", "other")
+    whole = v.groupBy("vector").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))
+    tried = rare.select("vector", "bucket").join(v.select(F.col("vector").alias("other"), "bucket"), "bucket").filter("vector <= other").select("vector", "other").distinct()
+    both = tried.join(whole, "vector").join(whole.withColumnsRenamed({"vector": "other", "m": "o"}), "other")
+    product = F.aggregate(F.map_keys("m"), F.lit(0.0), lambda s, k: s + F.col("m")[k] * F.coalesce(F.col("o")[k], F.lit(0.0)))
+    near = both.filter(F.round(product, 9) >= similarity).select("vector", "other")
+    return stage(near.unionByName(near.filter("vector < other").select(F.col("other").alias("vector"), F.col("vector").alias("other"))), "aligned-vectors")
 
 
 def raw_contradictions(claims: DataFrame, similarity: float = SIMILARITY, tolerance: float = TOLERANCE) -> DataFrame:
-    """Pairs of raw-text claims of different documents with aligned "entity attribute" texts and conflicting values."""
+    """Pairs of raw-text claims of different documents with aligned "entity attribute" texts and conflicting values. Claims
+    meet by the vectors of their texts, of which there are far fewer than texts."""
     rows = claims.filter("attribute = 'raw_text'").withColumn("label", F.concat_ws(" ", "entity", "attribute"))
-    aligned = aligned_labels(rows, similarity)
-    a = rows.select("label", *[F.col(c).alias(f"{c}_a") for c in ("claim_id", "doc_id", "value")])
-    b = rows.select(F.col("label").alias("other"), *[F.col(c).alias(f"{c}_b") for c in ("claim_id", "doc_id", "value")])
-    both = a.join(aligned, "label").join(b, "other").filter("claim_id_a < claim_id_b AND doc_id_a <> doc_id_b")
-    return both.filter(values_conflict(F.col("value_a"), F.col("value_b"), tolerance))
+    names, vectors = label_vectors(rows)
+    rows = rows.join(names, "label").withColumn("facets", facets(F.col("value")))
+    columns = ("claim_id", "doc_id", "value", "facets")
+    a = rows.select("vector", "label", *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = rows.select(F.col("vector").alias("other_vector"), F.col("label").alias("other"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    aligned = aligned_vectors(vectors, similarity).withColumnRenamed("other", "other_vector")
+    both = a.join(aligned, "vector").join(b, "other_vector").filter("claim_id_a < claim_id_b AND doc_id_a <> doc_id_b")
+    return both.filter(facets_conflict(F.col("facets_a"), F.col("facets_b"), tolerance)).drop("vector", "other_vector", "facets_a", "facets_b")
 
 
 def check(claims: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .claims import SIMILARITY, TOLERANCE, aligned_labels, canonical_value, similar_attributes
+from .claims import SIMILARITY, TOLERANCE, aligned_vectors, canonical_value, label_vectors, similar_attributes
 
 CELL = 1000
 #: The part of the tolerance that sums alone decide; between it and the tolerance each distinct value is compared.
@@ -149,13 +149,16 @@ def fuzzy_classes(claims: DataFrame, similarity: float = SIMILARITY, tolerance:
 
 def raw_classes(claims: DataFrame, similarity: float = SIMILARITY, tolerance: float = TOLERANCE) -> DataFrame:
     """label ("entity attribute"), value, class_id, n_claims, n_links of raw-text claims, whose labels align with
-    themselves and others."""
-    rows = claims.filter("attribute = 'raw_text'").withColumn("label", F.concat_ws(" ", "entity", "attribute"))
-    pairs = aligned_labels(rows, similarity)
-    self = pairs.filter("label = other").select("label", F.col("label").alias("first"), F.col("label").alias("second"), F.lit(0).alias("side"), F.lit(2).alias("ask"))
-    apart = pairs.filter("label <> other").select(F.least("label", "other").alias("first"), F.greatest("label", "other").alias("second")).distinct()
-    ends = self.unionByName(apart.select(F.col("first").alias("label"), "first", "second", F.lit(0).alias("side"), F.lit(1).alias("ask"))).unionByName(apart.select(F.col("second").alias("label"), "first", "second", F.lit(1).alias("side"), F.lit(0).alias("ask")))
-    counted = _counted(rows.join(ends, "label").select("first", "second", "side", "ask", "claim_id", "doc_id", "value"), ["first", "second"], tolerance)
-    one = counted.withColumn("label", F.when(F.col("side") == 0, F.col("first")).otherwise(F.col("second")))
-    once = one.groupBy("label", "value", "doc_id").agg(F.max("n").alias("n"), F.min("claim_id").alias("claim_id"), F.sum("links").alias("links"))
-    return _classes(once, "label")
+    themselves and others. Labels with one vector are one label as far as links go: groups are pairs of vectors."""
+    rows = claims.filter("attribute = 'raw_text' AND value IS NOT NULL AND doc_id IS NOT NULL").withColumn("label", F.concat_ws(" ", "entity", "attribute"))
+    names, vectors = label_vectors(rows)
+    pairs = aligned_vectors(vectors, similarity)
+    self = pairs.filter("vector = other").select("vector", F.col("vector").alias("first"), F.col("vector").alias("second"), F.lit(0).alias("side"), F.lit(2).alias("ask"))
+    apart = pairs.filter("vector < other").select(F.col("vector").alias("first"), F.col("other").alias("second"))
+    ends = self.unionByName(apart.select(F.col("first").alias("vector"), "first", "second", F.lit(0).alias("side"), F.lit(1).alias("ask"))).unionByName(apart.select(F.col("second").alias("vector"), "first", "second", F.lit(1).alias("side"), F.lit(0).alias("ask")))
+    rows = stage(rows.join(names, "label", "left").select("label", "vector", "claim_id", "doc_id", "value"), "raw-claims")
+    counted = _counted(rows.join(ends, "vector").select("first", "second", "side", "ask", "claim_id", "doc_id", "value"), ["first", "second"], tolerance)
+    one = counted.withColumn("vector", F.when(F.col("side") == 0, F.col("first")).otherwise(F.col("second")))
+    links = one.groupBy("vector", "value", "doc_id").agg(F.sum("links").alias("links"))
+    own = rows.groupBy("label", "vector", "value", "doc_id").agg(F.count("*").alias("n"), F.min("claim_id").alias("claim_id"))
+    return _classes(own.join(links, ["vector", "value", "doc_id"], "left").fillna(0, ["links"]), "label")

@@ -71,6 +71,22 @@ def test_fuzzy_and_raw_classes_equal_pairs(spark):
     assert got == expected(rows, links(pairs), lambda e, a: (f"{e} {a}",)) and pairs
 
 
+def test_labels_with_one_vector_meet_once(spark):
+    """Labels of the same tokens in any order are one vector, so far fewer vectors than labels are compared."""
+    r = random.Random(8)
+    names = ["".join(r.sample("123", 3)) + " fox" * (i % 2) for i in range(60)] + ["77777", "77771"]
+    rows = [(i, r.randrange(50), names[i % len(names)], "raw_text", r.choice(VALUES[:14])) for i in range(124)]
+    df = spark.createDataFrame(rows, CLAIMS)
+    labelled = df.selectExpr("concat(entity, ' raw_text') AS label")
+    named, vectors = C.label_vectors(labelled)
+    assert named.count() == len(set(names)) == 14 and vectors.select("vector").distinct().count() == 4
+    assert C.aligned_vectors(vectors).count() == 6
+    pairs = C.raw_contradictions(df).collect()
+    assert {(x.label, x.other) for x in pairs} >= {("77777 raw_text", "77771 raw_text"), ("123 raw_text", "321 raw_text")}
+    got = {(x.label, x.value): (x.class_id, x.n_claims, x.n_links) for x in conflicts.raw_classes(df).collect()}
+    assert got == expected(rows, links(pairs), lambda e, a: (f"{e} {a}",)) and pairs
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], CLAIMS)
     assert conflicts.contradiction_classes(empty).count() == conflicts.fuzzy_classes(empty).count() == conflicts.raw_classes(empty).count() == 0
