@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,29 +88,53 @@ def finished_claims(matches: DataFrame) -> DataFrame:
 FOUND = T.ArrayType(T.StructType([T.StructField("pattern_no", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("whole", "entity", "attribute", "value")]]))
 
 
-def _search(text: str, patterns: list[tuple[int, re.Pattern, tuple[int, int, int]]]) -> list[tuple]:
+def _finditer(text: str, pattern: re.Pattern, rest: tuple[re.Pattern, re.Pattern] | None) -> Iterator[re.Match]:
+    """pattern.finditer(text). A lead of many words would be tried from each of its characters to the last, in time that
+    grows with the square of the text; so the search begins with the run of words before a place where the rest matches."""
+    if rest is None:
+        yield from pattern.finditer(text)
+        return
+    ends, of_lead = rest
+    at = 0
+    while place := ends.search(text, at):
+        start = place.start()
+        while start > at and of_lead.match(text, start - 1):
+            start -= 1
+        found = pattern.search(text, start)
+        if not found:
+            return
+        yield found
+        at = found.end()
+
+
+def _search(text: str, patterns: list[tuple[int, re.Pattern, tuple[int, int, int], tuple[re.Pattern, re.Pattern] | None]]) -> list[tuple]:
     """All matches of the patterns, in order. A pattern is only tried on a text that holds one of its own verbs."""
     out = []
-    for i, pattern, groups in patterns:
-        out += [(i, m[0], *(m[g] if g else "" for g in groups)) for m in pattern.finditer(text)]
+    for i, pattern, groups, rest in patterns:
+        out += [(i, m[0], *(m[g] if g else "" for g in groups)) for m in _finditer(text, pattern, rest)]
     return out
 
 
+def _compiled() -> list[tuple]:
+    rests = [P.rest(p) for p in P.PATTERNS]
+    numbered = [P.numbered(p) for p in P.PATTERNS]
+    return [(i, re.compile(text), (e, a, v), rest and tuple(map(re.compile, rest))) for i, ((text, e, a, v), rest) in enumerate(zip(numbered, rests, strict=True))]
+
+
 def _segment_matches(all_patterns: bool) -> Callable[[Column], Column]:
     """Matches of a segment by the sentence patterns. Java's engine recurses on repeated groups and overflows its stack
     on long segments, so this runs in Python workers, on Arrow batches."""
-    numbered = [P.numbered(p) for p in P.PATTERNS]
 
     @F.pandas_udf(FOUND)
     def segment_matches(segments: pd.Series) -> pd.Series:
-        patterns = [(i, re.compile(text), (e, a, v)) for i, (text, e, a, v) in enumerate(numbered)]
+        patterns = _compiled()
         needs = [re.compile(n, re.IGNORECASE) for n in P.NEEDS]
         out = []
         for segment in segments:
             padded = f" {segment.lower()} "
             hinted = [i for i, hints in enumerate(P.HINTS) if any(h in padded for h in hints)]
             use = range(len(patterns)) if all_patterns or not hinted else hinted
-            out.append(_search(segment, [patterns[i] for i in use if needs[i].search(segment)]))
+            out.append(_search(segment, [patterns[i] for i in use if i not in P.NEVER and needs[i].search(segment)]))
         return pd.Series(out)
 
     return segment_matches
@@ -118,8 +142,8 @@ def _segment_matches(all_patterns: bool) -> Callable[[Column], Column]:
 
 @F.pandas_udf(FOUND)
 def _generic_matches(docs: pd.Series) -> pd.Series:
-    need, pattern = re.compile("reports|lists|states|shows"), re.compile(P.GENERIC)
-    return pd.Series([_search(d, [(0, pattern, (1, 2, 3))]) if need.search(d) else [] for d in docs])
+    need, pattern, rest = re.compile("reports|lists|states|shows"), re.compile(P.GENERIC), tuple(map(re.compile, P.GENERIC_REST))
+    return pd.Series([_search(d, [(0, pattern, (1, 2, 3), rest)]) if need.search(d) else [] for d in docs])
 
 
 def structured_claims(docs: DataFrame, all_patterns: bool = False) -> DataFrame:
@@ -144,7 +168,7 @@ def extract_claims(docs: DataFrame) -> DataFrame:
     texts = docs.filter("doc IS NOT NULL").select("doc_id", _generic_matches(F.col("doc")).alias("found"))
     whole = texts.select("doc_id", F.posexplode("found").alias("n", "m")).select("doc_id", "n", "m.*")
     generic = finished_claims(whole).select("doc_id", "entity", "attribute", "value", "n", F.lit(1).alias("source"))
-    claims = _first(first.unionByName(generic), "source", "n")
+    claims = stage(_first(first.unionByName(generic), "source", "n"), "claims")
     rest = docs.join(claims.select("doc_id").distinct(), "doc_id", "left_anti")
     raw = rest.select("doc_id", F.col("doc_id").cast("string").alias("entity"), F.lit("raw_text").alias("attribute"), F.trim(F.coalesce("doc", F.lit(""))).alias("value"), F.lit(1).alias("n"))
     return claims.unionByName(raw)

@@ -179,3 +179,30 @@ def test_settings():
     with pytest.raises(ValueError):
         config.with_overrides(s, {"nothing": {}})
     assert config.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+
+
+def test_searches_equal_finditer():
+    """Searches that begin where the rest of a pattern matches find what finditer finds, in time linear in long segments."""
+    import random
+    import re
+    import time
+
+    from rankloom.operators import claim_patterns as P
+
+    r = random.Random(4)
+    words = "Fox fox 3 -x .y a the of has is was for within with , ' 's : - = reports as at confirms remains release released in will be now The K9 a/b _u shows reported to have actually screening status best metric characterized by features makes demonstrates recorded known its low according set that\n \u00a0 é".split(" ")
+    compiled, found = C._compiled(), set()
+    generic = (0, re.compile(P.GENERIC), (1, 2, 3), tuple(map(re.compile, P.GENERIC_REST)))
+    texts = ["".join(r.choice(words) + r.choice(["", " ", " ", " ", " ", "\n", "."]) for _ in range(r.randrange(2, 24))) for _ in range(3000)]
+    texts += [t.replace("{E}", "Red Fox").replace("{A}", "top speed").replace("{V}", "9 ms.") for t in ("so {E} reports {A} as {V}", "The {A} of {E} is {V}", "{E} has a {A} of {V}", "x, {E}: {A} = {V}", "with a {A} of {V}, {E}", "a {A} of {V} makes {E}", "according to {E}, {A} is {V}")]
+    for text in texts:
+        for i, pattern, groups, rest in [*compiled, generic]:
+            want = [(i, m[0], *(m[g] if g else "" for g in groups)) for m in pattern.finditer(text)]
+            assert C._search(text, [(i, pattern, groups, rest)]) == want
+            assert not want or pattern is generic[1] or i not in P.NEVER
+            found |= {pattern for _ in want}
+    assert len(found) >= 10
+    began = time.time()
+    C._search("The old fox has seen reports - and shows for all of us is " * 1500, [c for c in compiled if c[0] not in P.NEVER])
+    C._search("The old fox shows " * 5000, [generic])
+    assert time.time() - began < 60
