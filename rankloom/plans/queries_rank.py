@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bm25, combine, metrics, rankers
 from ..operators import features as X
 from ..operators.late_index import LateIndex
-from ..session import scratch, stage
+from ..session import few, scratch, stage
 from . import relations as R
 from . import sql_rank as S
 from .registry import query
@@ -36,7 +36,9 @@ def d01_bm25_index(spark, sf):
 @query(f"WITH {R.SQL_RETRIEVED} SELECT query_id, doc_id, round(bm25, 6) AS bm25, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS bm25_norm FROM bm")
 def d02_bm25_scores(spark, sf):
     """Every query against every document that shares a term with it, and normalised per query."""
-    rows = bm25.max_normalized(bm25.search(R.questions(spark, sf), R.corpus(spark, sf)))
+    scores = stage(bm25.search(R.questions(spark, sf), R.corpus(spark, sf)), "scores")
+    most = few(stage(scores.groupBy("query_id").agg(F.max("bm25").alias("most")), "greatest-scores"))
+    rows = scores.join(most, "query_id").withColumn("bm25_norm", F.col("bm25") / F.col("most"))
     return rows.select(*_KEYS, F.round("bm25", 6).alias("bm25"), F.round("bm25_norm", 6).alias("bm25_norm"))
 
 

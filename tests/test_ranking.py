@@ -44,6 +44,39 @@ def test_search_equals_candidates_over_all(spark, two):
     assert found == pytest.approx(all_of)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_splits_texts_once_and_sums_scores_where_documents_lie(spark, two, monkeypatch):
+    q, d = two.select("query_id", "query").distinct(), two.filter("query_id = 0").select("doc_id", "doc")
+    plans, write = {}, bm25.stage
+    monkeypatch.setattr(bm25, "stage", lambda df, name, *by: (plans.setdefault(name, plan(df)), write(df, name, *by))[1])
+    found = plan(bm25.top(q, d, 2))
+    assert plans["postings"].count("split(") == 1
+    assert "hashpartitioning(query_id" in found and not [line for line in found.splitlines() if "Exchange hashpartitioning(query_id" in line and "doc_id" in line]
+
+
+def test_search_of_many_terms_equals_that_of_few(spark, two, monkeypatch):
+    more = two.select("query_id", "query").distinct().unionByName(spark.createDataFrame([(7, "nothing here"), (8, ""), (9, None)], "query_id int, query string"))
+    d = two.filter("query_id = 0").select("doc_id", "doc").unionByName(spark.createDataFrame([(50, None), (51, ""), (52, " \u00a0 ")], "doc_id int, doc string"))
+    few = {(r.query_id, r.doc_id): r.bm25 for r in bm25.search(more, d).collect()}
+    monkeypatch.setattr(bm25, "BROADCAST_TOKENS", 0)
+    monkeypatch.setattr(bm25, "HEAVY_ROWS", 1)
+    many = {(r.query_id, r.doc_id): r.bm25 for r in bm25.search(more, d).collect()}
+    assert few and many == pytest.approx(few)
+    # three documents without words count in the number of documents, the null one not in the mean length
+    n, avgdl = 7, (4 + 4 + 4 + 3) / 6
+    one = lambda df, f, dl: math.log((n - df + 0.5) / (df + 0.5) + 1) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / avgdl))
+    assert few[0, 0] == pytest.approx(one(2, 1, 4) + one(1, 1, 4))
+
+
+def test_search_without_documents_or_words(spark, two):
+    q = two.select("query_id", "query").distinct()
+    assert bm25.search(q, two.select("doc_id", "doc").limit(0)).count() == 0
+    assert bm25.top(q.filter("query_id > 10"), two.filter("query_id = 0").select("doc_id", "doc"), 2).count() == 0
+
+
 def test_rank_is_a_permutation_and_ties_keep_order(spark, two):
     c = candidates(spark, ("x", ["same", "same", "same"]))
     for ranker in (bm25.rerank, rankers.hybrid, rankers.binary_quantized, rankers.late_interaction, rankers.sparse):
