@@ -26,11 +26,13 @@ def label_key(dataset: str, teachers: list[str]) -> str:
 
 
 def checksums(table: DataFrame) -> dict[str, tuple[int, int]]:
-    """Of each file of a stored table its rows and the sum of their hashes, whatever their order; read from the data."""
-    name = F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("file")
-    row = F.xxhash64(F.to_json(F.struct(*table.columns))).cast("decimal(38,0)")
-    found = table.select(name, row.alias("h")).groupBy("file").agg(F.count("*").alias("n"), F.sum("h").alias("h"))
-    return {r.file: (r.n, int(r.h)) for r in found.collect()}
+    """Of each file of a stored table its rows and the sum of their hashes, whatever their order; read from the data.
+    Columns are hashed as they are, with where nulls stand, and maps as JSON; a hash is summed in halves, which 64-bit
+    sums hold for two billion rows of a file."""
+    row = F.xxhash64(*[c if "map<" not in t else F.to_json(F.struct(c)) for c, t in table.dtypes], *[F.isnull(c) for c in table.columns])
+    halves = [F.sum(F.shiftright("h", 32)), F.sum(F.col("h").bitwiseAND(0xFFFFFFFF))]
+    found = table.select(F.input_file_name().alias("file"), row.alias("h")).groupBy("file").agg(F.count("*"), *halves)
+    return {file.rsplit("/", 1)[-1]: (n, (high << 32) + low) for file, n, high, low in found.collect()}
 
 
 class TableStore:

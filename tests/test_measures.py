@@ -89,3 +89,17 @@ def test_store_tells_damage(spark, tmp_path):
     empty = store.TableStore(spark, str(tmp_path))
     for _ in range(2):
         assert empty.get_or_build("none", lambda: spark.range(0)).count() == 0
+
+
+def test_checksums_tell_where_nulls_stand_and_read_maps(spark, tmp_path, monkeypatch):
+    def of(sql):
+        path = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        spark.sql(sql).coalesce(1).write.parquet(path)
+        return list(store.checksums(spark.read.parquet(path)).values())
+
+    assert of("SELECT map('a', 1) AS m, 2 AS n") == of("SELECT map('a', 1) AS m, 2 AS n") != of("SELECT map('a', 2) AS m, 2 AS n")
+    monkeypatch.delattr(store.F, "to_json")  # only maps need it
+    assert of("SELECT CAST(NULL AS INT) AS a, 1 AS b") != of("SELECT 1 AS a, CAST(NULL AS INT) AS b")
+    [(n, h)] = of("SELECT id, -id AS m FROM range(1000)")
+    rows = spark.sql("SELECT xxhash64(id, -id, false, false) AS h FROM range(1000)").collect()
+    assert n == 1000 and h == sum(r.h for r in rows)
