@@ -113,12 +113,15 @@ def label_with_log(rows: DataFrame, key: str, teacher: Callable[[pd.DataFrame, i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
+            # one frame of what a batch of rows gives: frames of a call each cost more than the calls
+            records = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in batch.to_dict("records")]
+            labels, calls = [], []
             for start in range(0, len(batch), size):
-                some = batch.iloc[start : start + size]
-                labels, calls = answered(some, f"{part}-{place}")
+                got, made = answered(batch.iloc[start : start + size], f"{part}-{place}")
+                labels += got
+                calls += made
                 place += 1
-                records = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in some.to_dict("records")]
-                yield pd.DataFrame({"__row": records + [None] * len(calls), "__label": pd.Series([*labels, *[None] * len(calls)], dtype=object), "__call": [None] * len(records) + calls})
+            yield pd.DataFrame({"__row": records + [None] * len(calls), "__label": pd.Series([*labels, *[None] * len(calls)], dtype=object), "__call": [None] * len(records) + calls})
 
     dealt = rows.repartition(key, F.xxhash64(*columns)).sortWithinPartitions(key, F.xxhash64(*columns))
     staged = stage(dealt.mapInPandas(run, T.StructType(fields)), "taught")

@@ -1,6 +1,7 @@
 """Exact percentiles, measured stages, teacher logs and verified stores."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -103,3 +104,13 @@ def test_checksums_tell_where_nulls_stand_and_read_maps(spark, tmp_path, monkeyp
     [(n, h)] = of("SELECT id, -id AS m FROM range(1000)")
     rows = spark.sql("SELECT xxhash64(id, -id, false, false) AS h FROM range(1000)").collect()
     assert n == 1000 and h == sum(r.h for r in rows)
+
+
+def test_teacher_log_of_single_rows_is_quick(spark):
+    rows = spark.range(4000).withColumnRenamed("id", "n")
+    one = lambda batch, n: teacher.Answer([0], cost_usd=0.5)
+    teacher.label_with_log(rows.limit(8), "n", one, "bigint", size=1)
+    began = time.monotonic()
+    labelled, log = teacher.label_with_log(rows, "n", one, "bigint", size=1)
+    assert time.monotonic() - began < 5  # 7 ms a call and core before
+    assert labelled.count() == log.count() == 4000 and log.select("batch").distinct().count() == 4000
