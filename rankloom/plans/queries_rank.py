@@ -290,8 +290,7 @@ def e03_routed_hybrid(spark, sf):
     return _scores(combine.routed_hybrid(candidates, combine.auto_labels(R.judge(candidates))))
 
 
-def _judged_ranking(spark, sf, ranker):
-    candidates = R.candidates(spark, sf)
+def _judged_ranking(candidates, ranker):
     return ranker(candidates).select("query_id", "doc_id", "rank").join(R.judge(candidates).select("query_id", "doc_id", "rel"), _KEYS)
 
 
@@ -308,7 +307,7 @@ pn AS (SELECT *, CASE WHEN ideal = 0 THEN 0 ELSE dcg / ideal END AS ndcg FROM pe
 @query(f"WITH {_PER} SELECT query_id, round(dcg, 6) AS dcg, round(ndcg, 6) AS ndcg, round(rr, 6) AS rr, round(ap, 6) AS ap, round(p5, 6) AS p5 FROM pn")
 def l02_metrics_per_query(spark, sf):
     """L01 to L05 for each query of the BM25 ranking."""
-    r = _judged_ranking(spark, sf, bm25.rerank)
+    r = _judged_ranking(R.candidates(spark, sf), bm25.rerank)
     rows = metrics.ndcg(r).join(metrics.reciprocal_rank(r), "query_id").join(metrics.average_precision(r), "query_id").join(metrics.precision_at(r, 5).withColumnRenamed("precision", "p5"), "query_id")
     return rows.select("query_id", *[F.round(c, 6).alias(c) for c in ("dcg", "ndcg", "rr", "ap", "p5")])
 
@@ -316,15 +315,16 @@ def l02_metrics_per_query(spark, sf):
 @query(f"WITH {_PER} SELECT count(*) AS queries, round(coalesce(avg(CASE WHEN any_rel = 1 THEN ndcg END), 0), 6) AS ndcg, round(coalesce(avg(CASE WHEN any_rel = 1 THEN rr END), 0), 6) AS mrr, round(coalesce(avg(CASE WHEN any_rel = 1 THEN ap END), 0), 6) AS map, round(coalesce(avg(CASE WHEN any_rel = 1 THEN p1 END), 0), 6) AS p_at_1 FROM pn")
 def l10_evaluate(spark, sf):
     """Means over the queries that have a relevant document."""
-    rows = metrics.evaluate(_judged_ranking(spark, sf, bm25.rerank), only_with_relevant=True)
+    rows = metrics.evaluate(_judged_ranking(R.candidates(spark, sf), bm25.rerank), only_with_relevant=True)
     return rows.select("queries", *[F.round(c, 6).alias(c) for c in ("ndcg", "mrr", "map", "p_at_1")])
 
 
 @query(f"WITH {_PER}, {S.late('cand', 'la')}, {S.ranked('la', 'r2')}, j2 AS (SELECT query_id, rank, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS best FROM r2 JOIN judged USING (query_id, doc_id)), p2 AS (SELECT query_id, coalesce(sum(CASE WHEN rank <= 10 THEN {_GAIN.format('rank')} END), 0) AS d, coalesce(sum(CASE WHEN best <= 10 THEN {_GAIN.format('best')} END), 0) AS i FROM j2 GROUP BY ALL) SELECT round(avg(CASE WHEN i = 0 THEN 0 ELSE d / i END), 6) AS ndcg, round(avg(pn.ndcg), 6) AS baseline, round(avg(CASE WHEN i = 0 THEN 0 ELSE d / i END) - avg(pn.ndcg), 6) AS uplift FROM p2 JOIN pn USING (query_id)")
 def l08_uplift(spark, sf):
     """Late interaction against the BM25 baseline on the same candidates."""
-    a = metrics.ndcg(_judged_ranking(spark, sf, rankers.late_interaction)).select("query_id", "ndcg")
-    b = metrics.ndcg(_judged_ranking(spark, sf, bm25.rerank)).select("query_id", F.col("ndcg").alias("baseline"))
+    candidates = R.candidates(spark, sf)
+    a = metrics.ndcg(_judged_ranking(candidates, rankers.late_interaction)).select("query_id", "ndcg")
+    b = metrics.ndcg(_judged_ranking(candidates, bm25.rerank)).select("query_id", F.col("ndcg").alias("baseline"))
     means = a.join(b, "query_id").agg(F.avg("ndcg").alias("ndcg"), F.avg("baseline").alias("baseline"))
     return means.select(F.round("ndcg", 6).alias("ndcg"), F.round("baseline", 6).alias("baseline"), F.round(F.col("ndcg") - F.col("baseline"), 6).alias("uplift"))
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import bm25, combine, metrics, rankers, teacher
+from rankloom.plans import queries_rank
 from rankloom.sources import store
 
 
@@ -114,3 +115,9 @@ def test_teacher_log_of_single_rows_is_quick(spark):
     labelled, log = teacher.label_with_log(rows, "n", one, "bigint", size=1)
     assert time.monotonic() - began < 5  # 7 ms a call and core before
     assert labelled.count() == log.count() == 4000 and log.select("batch").distinct().count() == 4000
+
+
+def test_uplift_retrieves_once(spark, sf, monkeypatch):
+    found, of = [], queries_rank.R.candidates
+    monkeypatch.setattr(queries_rank.R, "candidates", lambda *a: found.append(a) or of(*a))
+    assert queries_rank.l08_uplift(spark, sf).count() == 1 and len(found) == 1
