@@ -117,6 +117,12 @@ def encoder(tokenizer_file: str) -> Encoder:
     return _ENCODERS[tokenizer_file]
 
 
+def forget() -> None:
+    """Drop this worker's encoders, with all parts that they remember: Spark reuses workers, and what runs after a packing
+    needs the memory."""
+    _ENCODERS.clear()
+
+
 def batches_of(texts: pa.Array, most_bytes: int = 8_000_000):
     """Runs (first, last + 1) of texts with at most most_bytes bytes (one text at least)."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))

@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .common import SALTS, give_back, join_hot, materialize, temporary
+from .encode import forget
 
 LABELLED = 4000
 ROUNDS = 4
@@ -109,6 +110,7 @@ def features_of(text: str | None, lang: str | None, source: str | None) -> tuple
 def features(text: Column, lang: Column, source: Column) -> Column:
     @F.pandas_udf(FEATURES)
     def view_features(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        forget()
         for texts, langs, sources in batches:
             yield pd.DataFrame(map(features_of, texts, langs, sources), columns=FEATURES.names, dtype=object)
         _WORD_IDS.clear()
@@ -356,6 +358,7 @@ def score(rows: DataFrame, model: Model | None) -> DataFrame:
 
     @F.pandas_udf(SCORES)
     def of_documents(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        forget()
         for texts, langs, sources in batches:
             found = list(map(features_of, texts, langs, sources))
             yield scores(shared.value, *([x[k] for x in found] for k in range(3)))

@@ -669,3 +669,24 @@ def test_license_filters_lose_nothing(spark):
         want[path] = best[0]
     got = {r.path: r.cosine or 0.0 for r in licenses.scan(df).collect()}
     assert got == pytest.approx(want) and 10 < sum(c > 0 for c in want.values()) < 120
+
+
+def test_classifier_drops_encoders_that_a_packing_left(spark, sf):
+    def left(batches):
+        import pyarrow as pa
+
+        from rankloom.llm import encode
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(encode._ENCODERS)] * batch.num_rows})
+
+    def fill(batches):
+        from rankloom.llm import encode
+
+        encode._ENCODERS["left over"] = None
+        yield from batches
+
+    docs = table(spark, sf, "documents").select("text", "lang", "source").coalesce(1)
+    docs.mapInArrow(fill, docs.schema).count()
+    docs.select(quality_classifier.features(*map(F.col, docs.columns)).alias("f")).agg(F.count("f.text_ids")).collect()
+    assert docs.select("text").mapInArrow(left, "n long").agg(F.max("n")).first()[0] == 0
