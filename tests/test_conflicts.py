@@ -56,6 +56,26 @@ def test_classes_equal_pairs(spark, values):
     assert penalty == {r.doc_id: r.penalty for r in C.penalties(C.contradictions(df)).collect()}
 
 
+def test_small_numeric_groups_are_compared_where_they_lie(spark, monkeypatch):
+    """Only large groups and those with other values than finite numbers are sorted; links are those of all pairs."""
+    r = random.Random(3)
+    entities = [f"part {i}" for i in range(40)] + ["large"] * 20
+    rows = [(i, r.randrange(25), r.choice(entities), r.choice(["price", "size"]), r.choice(near_numbers())) for i in range(900)]
+    rows += [(900 + i, i, "part 3", "price", v) for i, v in enumerate(["7 %", "nan", "yes"])]
+    seen, plain = [], conflicts._sorted
+
+    def watched(part, group, tolerance):
+        seen.extend(part.select("entity_key", "attribute").distinct().collect())
+        return plain(part, group, tolerance)
+
+    monkeypatch.setattr(conflicts, "_sorted", watched)
+    df = spark.createDataFrame(rows, CLAIMS).repartition(3)
+    pairs = C.contradictions(df).collect()
+    got = {(x.entity_key, x.attribute, x.value): (x.class_id, x.n_claims, x.n_links) for x in conflicts.contradiction_classes(df).collect()}
+    assert got == expected(rows, links(pairs), lambda e, a: (e, a)) and sum(x[2] for x in got.values()) == 2 * len(pairs) > 0
+    assert {tuple(x) for x in seen} == {("large", "price"), ("large", "size"), ("part 3", "price")}
+
+
 def test_fuzzy_and_raw_classes_equal_pairs(spark):
     r = random.Random(6)
     names = ["ship latency", "latency ship", "latency-ship", "price"]
