@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions.text import unicode_tokens
 from ..functions.vectors import DIMENSION, hashed_vocabulary
+from ..session import stage
 from ..sources.readers import path_exists
 from .bm25 import rank
 from .rankers import TOP_TOKENS, token_index
@@ -34,10 +36,10 @@ class LateIndex:
 
     def add(self, documents: DataFrame, batch: str) -> None:
         """Index documents(doc_id, doc) under this batch name."""
-        known = documents.select("doc_id", "doc").filter("doc_id IS NOT NULL").distinct()
+        known = stage(documents.select("doc_id", "doc").filter("doc_id IS NOT NULL").distinct(), "index-documents", "doc_id")
         signs = token_index(known, self.top_k, self.use_salience).select("doc_id", "bucket", "sign").distinct()
-        counts = signs.groupBy("doc_id").agg(F.count("*").alias("kinds"))
-        rows = signs.join(counts, "doc_id").withColumn("part", _part(F.col("bucket")))
+        kinds = F.count("*").over(W.Window.partitionBy("doc_id"))
+        rows = signs.withColumn("kinds", kinds).withColumn("part", _part(F.col("bucket")))
         folder = f"{self.root}/{batch}"
         rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/signs")
         known.select("doc_id").distinct().write.mode("overwrite").parquet(f"{folder}/documents")

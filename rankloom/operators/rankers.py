@@ -128,14 +128,15 @@ def binary_quantized(candidates: DataFrame, hamming_top_k: int = 500, bilinear_t
 
 def token_index(docs: DataFrame, top_k: int = TOP_TOKENS, use_salience: bool = True) -> DataFrame:
     """docs(doc_id, doc) to kept token occurrences (doc_id, at, token, bucket, sign, salience): the top_k by salience,
-    ties to later occurrences; or simply the first top_k."""
+    ties to later occurrences; or simply the first top_k. Tokens are dealt by document once, and the few that are kept
+    are hashed where they lie."""
     rows = docs.select("doc_id", F.posexplode(unicode_tokens(F.col("doc"))).alias("place", "token"))
     tf = F.count("*").over(W.Window.partitionBy("doc_id", "token"))
     n = F.count("*").over(W.Window.partitionBy("doc_id"))
-    rows = rows.withColumn("tf", tf).withColumn("salience", F.col("tf") * F.log(1 + n / (F.col("tf") + 1)))
+    rows = rows.withColumn("n", n).withColumn("tf", tf).withColumn("salience", F.col("tf") * F.log(1 + F.col("n") / (F.col("tf") + 1))).drop("n")
     first = [F.desc(F.round("salience", 6)), F.desc("place")] if use_salience else [F.asc("place")]
     kept = rows.withColumn("__n", F.row_number().over(W.Window.partitionBy("doc_id").orderBy(*first))).filter(F.col("__n") <= top_k).drop("__n", "tf")
-    return kept.join(V.hashed_vocabulary(kept), "token")
+    return kept.withColumns({"bucket": V.token_bucket(F.col("token")), "sign": V.token_sign(F.col("token"))})
 
 
 def max_sim(candidates: DataFrame, index: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def e09_late_interaction(spark, sf):
 def h05_appended_index(spark, sf):
     """Documents added to a stored index in two batches, some of them twice, rank as in an index built at once."""
     candidates = R.candidates(spark, sf)
-    docs = candidates.select("doc_id", "doc").distinct()
+    docs = candidates.select("doc_id", "doc")
     index = LateIndex(spark, scratch(spark, "late-index"))
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     index.add(docs.filter(half == 0).unionByName(docs.filter(half == 1).select("doc_id", F.substring("doc", 1, 40).alias("doc"))), "batch-1")
