@@ -77,6 +77,46 @@ def test_search_without_documents_or_words(spark, two):
     assert bm25.top(q.filter("query_id > 10"), two.filter("query_id = 0").select("doc_id", "doc"), 2).count() == 0
 
 
+def test_top_sorts_no_score_below_a_bound(spark, monkeypatch):
+    """The first k, ties included, are those of all scores, though most scores are dropped before they are ranked."""
+    words = ["alpha", "beta", "gamma", "delta"]
+    texts = [(i, " ".join(words[j] for j in range(4) if i >> j & 1) + " filler" * (i % 7)) for i in range(600)] + [(600, None)]
+    docs = spark.createDataFrame(texts, "doc_id int, doc string")
+    asked = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta"), (3, "nothing"), (4, "filler alpha")], "query_id int, query string")
+    scores = bm25.search(asked, docs)
+    want = {(r.query_id, r.doc_id, r["rank"]) for r in bm25.rank(scores, "bm25", "doc_id", 5).collect()}
+    seen, plain = [], bm25.rank
+
+    def watched(rows, *args):
+        seen.append(rows.count())
+        return plain(rows, *args)
+
+    monkeypatch.setattr(bm25, "rank", watched)
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in bm25.top(asked, docs, 5).collect()} == want and len(want) == 15
+    assert seen[-1] < scores.count() / 2
+    assert bm25.top(asked, docs, 1000).count() == scores.count()
+
+
+def test_candidates_are_split_into_words_once(two):
+    calls = []
+
+    def tokens(text):
+        calls.append(text)
+        return bm25.whitespace_tokens(text)
+
+    bm25.score_candidates(two, tokens)
+    assert len(calls) == 2  # the queries' texts and the documents'
+
+
+def test_lengths_count_documents_without_words(spark):
+    """An empty document counts among the candidates and in their mean length; a candidate given twice counts twice."""
+    c = candidates(spark, ("fox", ["fox owl", "", "owl", "fox fox fox"]), ("", ["fox", "owl"]))
+    got = {(r.query_id, r.pos): r.bm25 for r in bm25.score_candidates(c).collect()}
+    idf, avg = math.log((4 - 2 + 0.5) / (2 + 0.5) + 1), 6 / 4
+    weight = lambda f, n: idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * max(n, 1) / avg))
+    assert got == pytest.approx({(0, 0): weight(1, 2), (0, 1): 0, (0, 2): 0, (0, 3): weight(3, 3), (1, 0): 0, (1, 1): 0})
+
+
 def test_rank_is_a_permutation_and_ties_keep_order(spark, two):
     c = candidates(spark, ("x", ["same", "same", "same"]))
     for ranker in (bm25.rerank, rankers.hybrid, rankers.binary_quantized, rankers.late_interaction, rankers.sparse):
@@ -116,6 +156,12 @@ def test_late_interaction_equals_dense_definition(spark, two):
         assert got[doc_id] == want
 
 
+def test_kept_tokens_are_dealt_by_document_once(two):
+    index = rankers.token_index(two.select("doc_id", "doc").distinct().localCheckpoint())
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_salience(spark):
     index = rankers.token_index(spark.createDataFrame([(1, "the cat the dog the")], "doc_id int, doc string"))
     got = {(r.token, round(r.salience, 6)) for r in index.collect()}
