@@ -13,6 +13,10 @@ hashes of text and row, and one of wholly equal rows; rows with equal doc_id in
 source is a source of its own. Further columns of documents pass through all stages but the last, whatever their names
 (packing returns pieces); names beginning with two underscores and mix_ are the operators'. Empty documents give an
 empty result.
+
+The stages run one after another on the same executors, so what one leaves in memory is lacking to the next: they hand
+rows to Python workers in small batches (common.small_batches, a setting of the session), and packing's workers remember
+fewer parts of texts than op5's.
 """
 
 from __future__ import annotations
@@ -22,33 +26,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import mixing, packing, quality_classifier, quality_rules, simhash
-from rankloom.llm.common import load, materialize
+from rankloom.llm.common import load, materialize, small_batches
 from rankloom.llm.queries import tokenizer_file
 from rankloom.session import ship
 
+#: Parts of texts whose ids a packing worker remembers: 44 MB; with op5's 700,000, 154 MB.
+REMEMBERED = 200_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return quality_classifier.keep_good(docs, load(spark, sf_dir, "labels"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return quality_rules.keep_good(docs, load(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixing.mix(docs).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(docs, tokenizer_file())
+    small_batches(spark)
+    return packing.pack(docs, tokenizer_file(), remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -11,6 +11,7 @@ goes to the library as a whole. Both ways give the library's ids; tests compare
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ _ODD = r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}]|[^\x00-\x{24f
 class Encoder:
     """encode(texts) gives each text's ids as an array of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer_file: str) -> None:
+    def __init__(self, tokenizer_file: str, most: int = MEMORY) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,7 +39,7 @@ class Encoder:
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         splitter = str(self.tokenizer.pre_tokenizer)
         self.cuts = "ByteLevel" in splitter and "add_prefix_space=False" in splitter and self.tokenizer.normalizer is None
-        self.memory: dict[str, bytes] = {}
+        self.most, self.memory = most, dict[str, bytes]()
         self.feed = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -91,8 +92,8 @@ class Encoder:
             found = self._parts([parts[i][1:] if fed else f" {parts[i]}" for i in at])
             for i, x in zip(at, found, strict=True):
                 ids[i] = feed + x if fed else x
-        if len(self.memory) + len(holes) <= MEMORY:
-            self.memory.update((parts[i], ids[i]) for i in holes if len(parts[i]) <= LONGEST)
+        short = ((parts[i], ids[i]) for i in holes if len(parts[i]) <= LONGEST)
+        self.memory.update(islice(short, max(0, self.most - len(self.memory))))
         return ids
 
     def _parts(self, words: list[str]) -> list[bytes]:
@@ -107,14 +108,15 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(tokenizer_file: str) -> Encoder:
-    """One encoder for each worker process."""
-    if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
-    return _ENCODERS[tokenizer_file]
+def encoder(tokenizer_file: str, most: int = MEMORY) -> Encoder:
+    """One encoder for each worker process; most: the parts that it remembers."""
+    if (tokenizer_file, most) not in _ENCODERS:
+        forget()
+        _ENCODERS[tokenizer_file, most] = Encoder(tokenizer_file, most)
+    return _ENCODERS[tokenizer_file, most]
 
 
 def forget() -> None:

@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_range, materialize, partitions
-from .encode import batches_of, encoder
+from .common import by_range, give_back, materialize, partitions
+from .encode import MEMORY, batches_of, encoder, forget
 
 WINDOW = 1024
 END_ID = 0
@@ -192,11 +192,11 @@ def _held_by(ids: np.ndarray, n: np.ndarray, width: int, docs: int = 64) -> np.n
     return out
 
 
-def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str) -> tuple[DataFrame, Statistics]:
+def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str, remembered: int) -> tuple[DataFrame, Statistics]:
     """(doc_id, h, n, ids) of each document, staged, and the corpus's statistics."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, end, df = encoder(tokenizer_file), np.asarray([end_id], "<u4"), np.zeros(0, np.int64)
+        of, end, df = encoder(tokenizer_file, remembered), np.asarray([end_id], "<u4"), np.zeros(0, np.int64)
         names = ["doc_id", "h", "n", "ids", "term", "df"]
         for batch in batches:
             doc_id, text, h = batch.columns
@@ -213,6 +213,7 @@ def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str) -> t
         terms = np.flatnonzero(df)
         none = pa.nulls(len(terms), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(terms), pa.binary()), pa.array(terms), pa.array(df[terms])], names)
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc_id", "text", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("h"))
@@ -226,18 +227,21 @@ def _encoded(docs: DataFrame, tokenizer_file: str, end_id: int, dtype: str) -> t
     return staged, Statistics(documents, tokens, df)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of sequences of at most window ids; with_ids adds each piece's ids (array<int>)."""
-    dtype = "<u2" if max(encoder(tokenizer_file).size - 1, end_id) < 1 << 16 else "<u4"
-    staged, corpus = _encoded(docs, tokenizer_file, end_id, dtype)
+def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, remembered: int = MEMORY) -> DataFrame:
+    """Pieces of sequences of at most window ids; with_ids adds each piece's ids (array<int>). remembered: parts of texts
+    whose ids a worker keeps at hand, at about 220 bytes each; they take memory for time and change no result."""
+    dtype = "<u2" if max(encoder(tokenizer_file, remembered).size - 1, end_id) < 1 << 16 else "<u4"
+    staged, corpus = _encoded(docs, tokenizer_file, end_id, dtype, remembered)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(corpus)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # all texts are encoded
         for batch in batches:
             if batch.num_rows:
                 k = shared.value.keys(*_lists(batch.column(3), dtype))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k)], [*batch.schema.names, "k"])
+        give_back()
 
     keyed = staged.mapInArrow(key, "doc_id bigint, h bigint, n bigint, ids binary, k bigint")
     keys = materialize(keyed.select("k", "h", "n"), "packing-keys")
@@ -245,6 +249,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
     ordered = by_range(keyed, "k", F.col("h"), min(shards, max(partitions(spark), shards // 32)), keys)
 
     def pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, sequence = [], TaskContext.get().partitionId() << 40
         room_docs, room_tokens = SHARD_DOCS, SHARD_TOKENS
         for batch in batches:
@@ -264,6 +269,8 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
                 a = b
         if held:
             yield pack_shard(held, sequence)[0]
+        held = []
+        give_back()
 
     def pack_shard(held: list[pa.RecordBatch], first: int) -> tuple[pa.RecordBatch, int]:
         doc_ids = pa.concat_arrays([b.column(0) for b in held])

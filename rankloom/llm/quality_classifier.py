@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -286,7 +287,7 @@ def _fetch(staged: DataFrame, ids: list[int]) -> dict[int, tuple[bytes, bytes, b
     """Features of a bounded number of rows."""
     if not ids:
         return {}
-    wanted = staged.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+    wanted = staged.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64())}))  # a list of rows would take Python workers of another kind
     found = staged.join(F.broadcast(wanted), "id").select("id", *FEATURES.names).dropDuplicates(["id"])
     return {r[0]: (bytes(r[1]), bytes(r[2]), bytes(r[3])) for r in found.collect()}
 

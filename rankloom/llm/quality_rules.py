@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,7 +175,8 @@ def thresholds(judged: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta
     if not merged:
         return spark.createDataFrame([], schema)
     level = delta / len(set(merged.values()))
-    group = join_small(spark.createDataFrame(sorted(merged.items()), "stratum string, grp string"), judged.select("stratum").distinct(), "stratum", "inner")
+    groups = spark.createDataFrame(pa.table({"stratum": list(merged), "grp": list(merged.values())}))
+    group = join_small(groups, judged.select("stratum").distinct(), "stratum", "inner")
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"bin_{r}").alias("bin")) for r in RULES])).alias("p")
     # copies of a text are counted before they are shuffled; a text that is a trial counts for nothing here
     texts = passed.groupBy("stratum", "text_hash").agg(F.count("*").alias("rows"), *each_bin)
