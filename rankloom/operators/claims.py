@@ -19,6 +19,8 @@ from .bm25 import rank
 
 TOLERANCE = 0.01
 SIMILARITY = 0.95
+#: Claims of one vector that lie in one row when pairs are listed, and that a task takes on each side; pairs tried by a task.
+BLOCK, CHUNK, TASK_PAIRS = 64, 16_384, 100_000_000
 
 
 def normalize_entity(value: Column) -> Column:
@@ -237,25 +239,53 @@ def aligned_vectors(v: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return stage(near.unionByName(near.filter("vector < other").select(F.col("other").alias("vector"), F.col("vector").alias("other"))), "aligned-vectors")
 
 
-def raw_contradictions(claims: DataFrame, similarity: float = SIMILARITY, tolerance: float = TOLERANCE) -> DataFrame:
-    """Pairs of raw-text claims of different documents with aligned "entity attribute" texts and conflicting values. Claims
-    meet by the vectors of their texts, of which there are far fewer than texts."""
-    rows = claims.filter("attribute = 'raw_text'").withColumn("label", F.concat_ws(" ", "entity", "attribute"))
+def _blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows(vector, columns), claim_id the first of them, as (vector, chunk, n, lo, hi, claims): up to BLOCK claims of one
+    vector in a row and CHUNK of them in a chunk, both of consecutive claim_ids from lo to hi, however many a vector has."""
+    placed = rows.repartitionByRange("vector", "claim_id").sortWithinPartitions("vector", *columns).withColumn("place", F.monotonically_increasing_id())
+    placed = placed.withColumns({"chunk": F.floor(F.col("place") / CHUNK), "block": F.floor(F.col("place") / BLOCK)})
+    met = placed.groupBy("vector", "chunk", "block").agg(F.count("*").alias("n"), F.min("claim_id").alias("lo"), F.max("claim_id").alias("hi"), F.collect_list(F.struct(*columns)).alias("claims"))
+    return stage(met.drop("block"), "claim-blocks")
+
+
+def raw_contradictions(claims: DataFrame, similarity: float = SIMILARITY, tolerance: float = TOLERANCE, carry: tuple[str, ...] = ("label", "claim_id", "doc_id", "value")) -> DataFrame:
+    """Pairs of raw-text claims of different documents with aligned "entity attribute" texts and conflicting values; of each
+    claim these columns (the other's label is other). Claims meet by the vectors of their texts, of which there are far
+    fewer than texts.
+
+    All pairs are given, so rows grow with the square of the claims, and they are most of what is written. So a task gets
+    two chunks of claims, whatever a vector's share of them, and lists pairs by blocks: each claim of one block with all
+    of the other. In this order a column repeats one value, the other one a short sequence, which Parquet stores in a
+    fraction of the bytes of longer ones."""
+    rows = claims.filter("attribute = 'raw_text' AND claim_id IS NOT NULL AND doc_id IS NOT NULL AND value IS NOT NULL").withColumn("label", F.concat_ws(" ", "entity", "attribute"))
     names, vectors = label_vectors(rows)
-    rows = rows.join(names, "label").withColumn("facets", facets(F.col("value")))
-    columns = ("claim_id", "doc_id", "value", "facets")
-    a = rows.select("vector", "label", *[F.col(c).alias(f"{c}_a") for c in columns])
-    b = rows.select(F.col("vector").alias("other_vector"), F.col("label").alias("other"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    columns = list(dict.fromkeys(["claim_id", "doc_id", "facets", *carry]))
+    blocks = _blocks(rows.join(names, "label").withColumn("facets", facets(F.col("value"))), columns)
+    first = {"vector": "vector", "chunk": "chunk", "n": "n", "lo": "lo", "claims": "__a"}
+    second = {"vector": "other_vector", "chunk": "other_chunk", "n": "other_n", "hi": "hi", "claims": "__b"}
+    side = lambda of: blocks.select(*[F.col(c).alias(name) for c, name in of.items()])
+    a, b = side(first), side(second)
     aligned = aligned_vectors(vectors, similarity).withColumnRenamed("other", "other_vector")
-    both = a.join(aligned, "vector").join(b, "other_vector").filter("claim_id_a < claim_id_b AND doc_id_a <> doc_id_b")
-    return both.filter(facets_conflict(F.col("facets_a"), F.col("facets_b"), tolerance)).drop("vector", "other_vector", "facets_a", "facets_b")
+    one, two = a.groupBy("vector", "chunk").agg(F.sum("n").alias("n"), F.min("lo").alias("lo")), b.groupBy("other_vector", "other_chunk").agg(F.sum("other_n").alias("other_n"), F.max("hi").alias("hi"))
+    tasks = stage(one.join(aligned, "vector").join(two, "other_vector").filter("lo < hi"), "chunk-pairs")
+    tried = tasks.agg(F.sum(F.col("n").cast("double") * F.col("other_n"))).first()[0] or 0
+    n = max(int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(tried / TASK_PAIRS) + 1)
+    keys = ["vector", "chunk", "other_vector", "other_chunk"]
+    a = a.drop("n").join(tasks.select(*keys), ["vector", "chunk"]).repartition(n, *keys)
+    b = b.drop("other_n").join(tasks.select(*keys), ["other_vector", "other_chunk"]).repartition(n, *keys)
+    # the left side's rows come one by one, each with all blocks of the right side: a block of b stays while those of a change
+    met = b.hint("merge").join(a, keys).filter("lo < hi").select("__b", F.filter("__a", lambda x: x["claim_id"] < F.col("hi")).alias("__a"))
+    each = met.select("__b", F.inline("__a")).withColumnsRenamed({c: f"{c}_a" for c in columns})
+    both = each.select(*[f"{c}_a" for c in columns], F.inline("__b")).withColumnsRenamed({c: f"{c}_b" for c in columns}).filter("claim_id_a < claim_id_b AND doc_id_a <> doc_id_b")
+    found = both.filter(facets_conflict(F.col("facets_a"), F.col("facets_b"), tolerance))
+    return found.select(*[f"{c}_{s}" for s in "ab" for c in carry]).withColumnsRenamed({"label_a": "label", "label_b": "other"})
 
 
 def check(claims: DataFrame) -> DataFrame:
     """(claim_id_a, claim_id_b, reason) of all contradictions."""
     same = contradictions(claims).unionByName(fuzzy_contradictions(claims), allowMissingColumns=True)
     one = same.select("claim_id_a", "claim_id_b", F.lit("Structured claims report conflicting values for the same entity and attribute.").alias("reason"))
-    return one.unionByName(raw_contradictions(claims).select("claim_id_a", "claim_id_b", F.lit("Semantically aligned claims report conflicting values.").alias("reason")))
+    return one.unionByName(raw_contradictions(claims, carry=("claim_id",)).select("claim_id_a", "claim_id_b", F.lit("Semantically aligned claims report conflicting values.").alias("reason")))
 
 
 def penalties(pairs: DataFrame) -> DataFrame:

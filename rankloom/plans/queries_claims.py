@@ -119,7 +119,7 @@ _RAWS = "rw AS (SELECT event_id AS claim_id, event_id AS doc_id, 'user ' || user
 @query(f"WITH {_RAWS}, nm AS (SELECT DISTINCT label, label AS text FROM rw), {R.sql_embedding('nm', 'label', 'text', 'e')}, pr AS (SELECT a.label, b.label AS other FROM e a JOIN e b ON a.bucket = b.bucket GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.95e0) SELECT a.claim_id AS claim_id_a, b.claim_id AS claim_id_b FROM rw a JOIN pr USING (label) JOIN rw b ON b.label = pr.other AND a.claim_id < b.claim_id WHERE abs(CAST(a.value AS DOUBLE) - CAST(b.value AS DOUBLE)) > 0.01e0")
 def f07_raw_contradictions(spark, sf):
     """raw-text claims whose labels align."""
-    return C.raw_contradictions(_raw_claims(spark, sf)).select("claim_id_a", "claim_id_b")
+    return C.raw_contradictions(_raw_claims(spark, sf), carry=("claim_id",))
 
 
 def _raw_claims(spark, sf):

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.operators import claims as C
 from rankloom.operators import conflicts
@@ -107,6 +108,39 @@ def test_labels_with_one_vector_meet_once(spark):
     assert got == expected(rows, links(pairs), lambda e, a: (f"{e} {a}",)) and pairs
 
 
+def test_raw_pairs_by_blocks_are_all_pairs(spark, monkeypatch):
+    """However a vector's claims are cut into blocks, chunks and tasks, each pair is given once; repeated claims count each."""
+    r = random.Random(11)
+    names = ["red fox", "fox red", "blue whale", "77777", "77771"]
+    rows = [(r.randrange(90), r.choice([*range(40), None]), r.choice(names), r.choice(["raw_text"] * 9 + ["price"]), r.choice(VALUES)) for _ in range(230)]
+    facts = spark.createDataFrame(list(enumerate(v for *_, v in rows)), "i long, value string")
+    other = facts.withColumnsRenamed({"i": "j", "value": "v"})
+    apart = {(x.i, x.j) for x in facts.crossJoin(other).filter(C.values_conflict(F.col("value"), F.col("v"))).collect()}
+    near = [set(names[:2]), {"blue whale"}, set(names[3:])]
+    whole = [i for i, x in enumerate(rows) if None not in x and x[3] == "raw_text"]
+    side = lambda x: (f"{x[2]} raw_text", x[0], x[1], x[4])
+    meets = lambda a, b: a[0] < b[0] and a[1] != b[1] and any({a[2], b[2]} <= g for g in near)
+    pairs = Counter(side(rows[i]) + side(rows[j]) for i in whole for j in whole if meets(rows[i], rows[j]) and (i, j) in apart)
+    for block, chunk, tried in ((C.BLOCK, C.CHUNK, C.TASK_PAIRS), (3, 9, 400), (1, 1, 50)):
+        monkeypatch.setattr(C, "BLOCK", block)
+        monkeypatch.setattr(C, "CHUNK", chunk)
+        monkeypatch.setattr(C, "TASK_PAIRS", tried)
+        found = C.raw_contradictions(spark.createDataFrame(rows, CLAIMS).repartition(3))
+        assert found.columns == ["label", "claim_id_a", "doc_id_a", "value_a", "other", "claim_id_b", "doc_id_b", "value_b"]
+        assert Counter(map(tuple, found.collect())) == pairs and pairs
+    assert C.raw_contradictions(spark.createDataFrame([], CLAIMS)).count() == 0
+
+
+def test_raw_pairs_take_few_bytes(spark, tmp_path):
+    """All pairs are most of what is written, so their order lets a file keep a pair in a fraction of a byte."""
+    r = random.Random(12)
+    rows = [(i, i, "fox", "raw_text", str(int(r.expovariate(1 / 50)))) for i in range(2_000)]
+    C.raw_contradictions(spark.createDataFrame(rows, CLAIMS)).select("claim_id_a", "claim_id_b").write.parquet(str(tmp_path / "pairs"))
+    n = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert n == sum(a[4] != b[4] for i, a in enumerate(rows) for b in rows[:i])
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < n / 2
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], CLAIMS)
     assert conflicts.contradiction_classes(empty).count() == conflicts.fuzzy_classes(empty).count() == conflicts.raw_classes(empty).count() == 0
